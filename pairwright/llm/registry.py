@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pairwright.llm.quality import op9_quality_classifier
+from pairwright.llm.trie_bpe import op6_trie_bpe
+from pairwright.llm.winnowing import op3_winnowing
 
 QUERIES = {
+    "op3_winnowing": op3_winnowing,
+    "op6_trie_bpe": op6_trie_bpe,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
