@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import doc_texts, slices, table
 from pairwright.llm.tokens import tokenizer_path
 
-END = "</w>"
+END, NEVER = "</w>", 1 << 60
 LETTERS = "a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžſ"
 NUMERIC = "0-9²³¹¼-¾"
 #: How the file's pre-tokenizer splits lower-cased texts of the characters that PLAIN admits.
@@ -48,12 +48,13 @@ class TrieEncoder:
         self.vocab, self.ranks = vocab, {tuple(m): i for i, m in enumerate(merges)}
         self.longest = max(map(len, vocab))
         self.apart: dict[tuple[str, str], bool] = {}
+        self.built: dict[str, tuple[bool, bool, list, list]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the pair of least rank is joined, the leftmost first, until none is left."""
         while len(symbols) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 60:
+            rank, at = min((self.ranks.get(p, NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+            if rank == NEVER:
                 break
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
@@ -65,17 +66,58 @@ class TrieEncoder:
         text = text[: -len(END)]
         return [*text[:-1], text[-1] + END]
 
+    def edges(self, token: str) -> tuple[bool, bool, list, list]:
+        """How a token is built, seen from its two ends.
+
+        Whether it encodes to itself; whether ranks only rise while it is built; the symbols
+        that stand at its right end, and those at its left end, each with the rank of the merge
+        that takes it in (infinite for the token itself).
+        """
+        known = self.built.get(token)
+        if known is None:
+            symbols, right, left, rising, level = self.symbols(token), [], [], True, -1
+            while len(symbols) > 1:
+                rank, at = min((self.ranks.get(p, NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+                if rank == NEVER:
+                    break
+                rising, level = rising and rank >= level, rank
+                if at == 0:
+                    left.append((symbols[0], rank))
+                if at == len(symbols) - 2:
+                    right.append((symbols[-1], rank))
+                symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+            known = self.built[token] = (len(symbols) == 1, rising, [*right, (symbols[-1], NEVER)], [*left, (symbols[0], NEVER)])
+        return known
+
     def fits(self, before: str, token: str) -> bool:
         """Whether `before` and `token` remain two tokens when encoded together ('' before: token alone)."""
         known = self.apart.get((before, token))
         if known is None:
             if len(self.apart) > KEEP_PAIRS:
                 self.apart.clear()
-            want = [before, token] if before else [token]
-            known = self.merged([*self.symbols(before), *self.symbols(token)] if before else self.symbols(token)) == want
-            self.apart[before, token] = known
+            known = self.apart[before, token] = self._fits(before, token)
         return known
 
+    def _fits(self, before: str, token: str) -> bool:
+        alone, rising, _, lefts = self.edges(token)
+        if not before or not alone:
+            return alone
+        alone, rose, rights, _ = self.edges(before)
+        if not (rising and rose):  # merges do not follow their ranks: encode both together
+            return self.merged([*self.symbols(before), *self.symbols(token)]) == [before, token]
+        i = j = 0
+        while True:  # merges at the border in the order of their ranks; of equal ones the leftmost is first
+            (a, left), (b, right) = rights[i], lefts[j]
+            rank = self.ranks.get((a, b), NEVER)
+            if rank < left and rank <= right and rank != NEVER:
+                return False
+            if left == right == NEVER:
+                return True
+            if left <= right:
+                i += 1
+            else:
+                j += 1
+
     def _last(self, prefix: str, ended: bool, lasts: list[str]) -> str:
         """Last token of a prefix, given those of all shorter ones."""
         n, vocab, apart = len(prefix), self.vocab, self.apart
