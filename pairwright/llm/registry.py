@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairwright.llm.packing import op7_best_fit_packing
 from pairwright.llm.quality import op9_quality_classifier
 from pairwright.llm.trie_bpe import op6_trie_bpe
 from pairwright.llm.winnowing import op3_winnowing
@@ -9,6 +10,7 @@ from pairwright.llm.winnowing import op3_winnowing
 QUERIES = {
     "op3_winnowing": op3_winnowing,
     "op6_trie_bpe": op6_trie_bpe,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
