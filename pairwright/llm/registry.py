@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pairwright.llm.packing import op7_best_fit_packing
 from pairwright.llm.quality import op9_quality_classifier
+from pairwright.llm.store import op5_content_store
 from pairwright.llm.trie_bpe import op6_trie_bpe
 from pairwright.llm.winnowing import op3_winnowing
 
 QUERIES = {
     "op3_winnowing": op3_winnowing,
+    "op5_content_store": op5_content_store,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
