@@ -31,7 +31,7 @@ NUMERIC = "0-9²³¹¼-¾"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMERIC}]|[^\s{LETTERS}{NUMERIC}]+")
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ]")
 #: Words kept by a worker, and words put into one trie; speed and memory only.
-KEEP_WORDS, KEEP_PAIRS, TRIE_WORDS = 300_000, 500_000, 50_000
+KEEP_WORDS, KEEP_PAIRS, TRIE_WORDS = 400_000, 500_000, 50_000
 
 
 def byte_letters() -> list[str]:
@@ -47,7 +47,9 @@ class TrieEncoder:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.vocab, self.ranks = vocab, {tuple(m): i for i, m in enumerate(merges)}
         self.longest = max(map(len, vocab))
-        self.apart: dict[tuple[str, str], bool] = {}
+        #: for each token, whether it stays apart from each token seen before it
+        self.state: dict[str, dict[str, bool]] = {t: {} for t in vocab}
+        self.kept = 0
         self.built: dict[str, tuple[bool, bool, list, list]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -89,16 +91,8 @@ class TrieEncoder:
             known = self.built[token] = (len(symbols) == 1, rising, [*right, (symbols[-1], NEVER)], [*left, (symbols[0], NEVER)])
         return known
 
-    def fits(self, before: str, token: str) -> bool:
-        """Whether `before` and `token` remain two tokens when encoded together ('' before: token alone)."""
-        known = self.apart.get((before, token))
-        if known is None:
-            if len(self.apart) > KEEP_PAIRS:
-                self.apart.clear()
-            known = self.apart[before, token] = self._fits(before, token)
-        return known
-
     def _fits(self, before: str, token: str) -> bool:
+        """Whether `before` and `token` remain two tokens when encoded together ('' before: token alone)."""
         alone, rising, _, lefts = self.edges(token)
         if not before or not alone:
             return alone
@@ -118,45 +112,60 @@ class TrieEncoder:
             else:
                 j += 1
 
-    def _last(self, prefix: str, ended: bool, lasts: list[str]) -> str:
-        """Last token of a prefix, given those of all shorter ones."""
-        n, vocab, apart = len(prefix), self.vocab, self.apart
-        whole = prefix + END if ended else prefix
-        for at in range(max(0, n - self.longest), n):
-            token = whole[at:]
-            if token in vocab:
-                fits = apart.get((lasts[at], token))
-                if self.fits(lasts[at], token) if fits is None else fits:
-                    return token
-        raise ValueError(f"no token ends {prefix!r}")
-
     def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word, each word not empty."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in word[:-1]:
-                node = node.setdefault(letter, {})
-            node.setdefault(END, []).append(word[-1])
+        """Tokens of each distinct word, each word not empty.
+
+        The trie is kept as its depth-first order: sorted words, each of which branches off the
+        word before it where their common prefix ends.  lasts holds, along the path from the
+        root, the last token of each prefix; a word goes on from its branch.
+        """
         found: dict[str, list[str]] = {}
-        lasts = [""] * (1 + max(map(len, words), default=0))  # by length of the prefix, along the path walked
-        stack = [("", root)]
-        while stack:
-            prefix, node = stack.pop()
-            if prefix:
-                lasts[len(prefix)] = self._last(prefix, False, lasts)
-            for letter in node.get(END, ()):
-                found[prefix + letter] = self._back(prefix + letter, lasts)
-            stack.extend((prefix + letter, child) for letter, child in node.items() if letter != END)
+        lasts = [""] * (1 + max(map(len, words), default=0))
+        state, longest, before = self.state, self.longest, ""
+        for word in sorted(words):
+            n, at = len(word), 0
+            for a, b in zip(before, word[:-1], strict=False):
+                if a != b:
+                    break
+                at += 1
+            at = min(at, len(before) - 1) if before else 0  # a word's last letter is not a node of its prefix
+            before = word
+            for end in range(at + 1, n):
+                for start in range(end - longest if end > longest else 0, end):
+                    fits = state.get(word[start:end])
+                    if fits is not None:
+                        ok = fits.get(lasts[start])
+                        if ok is None:
+                            ok = self._learn(lasts[start], word[start:end])
+                        if ok:
+                            lasts[end] = word[start:end]
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:end]!r}")
+            ended = word + END
+            for start in range(n - longest if n > longest else 0, n):
+                fits = state.get(ended[start:])
+                if fits is not None:
+                    ok = fits.get(lasts[start])
+                    if self._learn(lasts[start], ended[start:]) if ok is None else ok:
+                        break
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            tokens = [ended[start:]]
+            while start:
+                tokens.append(lasts[start])
+                start -= len(lasts[start])
+            found[word] = tokens[::-1]
         return found
 
-    def _back(self, word: str, lasts: list[str]) -> list[str]:
-        tokens, at = [self._last(word, True, lasts)], len(word)
-        at -= len(tokens[0]) - len(END)
-        while at:
-            tokens.append(lasts[at])
-            at -= len(lasts[at])
-        return tokens[::-1]
+    def _learn(self, before: str, token: str) -> bool:
+        self.kept += 1
+        if self.kept > KEEP_PAIRS:
+            self.kept = 0
+            for fits in self.state.values():
+                fits.clear()
+        ok = self.state[token][before] = self._fits(before, token)
+        return ok
 
 
 class TextEncoder:
