@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMERIC = "0-9²³¹¼-¾"
@@ -18,12 +17,22 @@ NUMERIC = "0-9²³¹¼-¾"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{NUMERIC}]+| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
 #: A character or a special token's start for which the library gets the whole text.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]|<\|")
-#: Words that a worker remembers at most; beyond it the memory starts anew (a speed matter only).
-KEEP_WORDS = 300_000
+#: A word that its byte letters spell as it is, after a space.
+SPELLED = re.compile(r" [!-~]+\Z")
+#: Words of each of the two generations that a worker remembers (a speed matter only): when the
+#: young one is full it becomes the old one, from which words still in use are taken over.
+KEEP_WORDS = 500_000
 
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else one from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -34,11 +43,32 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
+        return [array("I", e.ids).tobytes() for e in out]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Bring the ids of all these words into the young generation."""
+        new = set(parts).difference(self.words)
+        if len(self.words) + len(new) > KEEP_WORDS:
+            self.old, self.words, new = self.words, {}, set(parts)
+        words, old = self.words, self.old
+        missing = []
+        for w in new:
+            ids = old.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                words[w] = ids
+        tokenize, letters = self.model.tokenize, self.letters
+        for w in missing:
+            spelled = "Ġ" + w[1:] if w[0] == " " and SPELLED.match(w) else "".join([letters[b] for b in w.encode()])
+            words[w] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
@@ -46,20 +76,16 @@ class WordEncoder:
         odd = [i for i, t in enumerate(texts) if NOT_PLAIN.search(t)]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             found[i] = ids
-        skip, words = set(odd), self.words
+        skip = set(odd)
         for i, text in enumerate(texts):
             if i in skip or not text:
                 continue
             parts = WORDS.findall(text)
             try:
-                found[i] = b"".join(map(words.__getitem__, parts))
+                found[i] = b"".join(map(self.words.__getitem__, parts))
             except KeyError:
-                new = list(dict.fromkeys(w for w in parts if w not in words))
-                if len(words) + len(new) > KEEP_WORDS:
-                    words.clear()
-                    new = list(dict.fromkeys(parts))
-                words.update(zip(new, self._whole(new), strict=True))
-                found[i] = b"".join(map(words.__getitem__, parts))
+                self._learn(parts)
+                found[i] = b"".join(map(self.words.__getitem__, parts))
         return found
 
 
