@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffles that nothing refers to, so that their files go before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """A DataFrame written to a shared folder and read again: its lineage ends at committed files."""
 

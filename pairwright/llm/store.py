@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import Stage, doc_texts, drop_dir, shared_dir, slices, table, with_starts
+from pairwright.llm.common import Stage, doc_texts, drop_dir, free_shuffles, shared_dir, slices, table, with_starts
 from pairwright.llm.tokens import tokenizer_path, word_encoder
 
 END_ID = 0
 #: Ids under the rolling hash; the mean distance of cuts is 2 ** MASK_BITS; least and greatest ids of a chunk.
-WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 2048
+WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 256, 4096
 DIGEST = 16
 #: Documents of a block of recipes, about; chunks that a task remembers as already handed on.
 BLOCK_DOCS, REMEMBER = 1_000, 200_000
@@ -44,7 +44,9 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([1], np.full(max(0, n - 1), base))).astype(np.uint64))
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps)
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -70,18 +72,22 @@ def rolling_hashes(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
         return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    marks = np.flatnonzero(rolling_hashes(ids) >> np.uint64(64 - MASK_BITS) == 0) + 1
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end."""
+    return np.flatnonzero(rolling_hashes(ids) >> np.uint64(64 - MASK_BITS) == 0) + 1
+
+
+def cuts(n: int, places: np.ndarray) -> list[int]:
+    """Ends of the chunks of a stream of n ids with such places.
+
+    A place under LEAST is never used, so that the hashes of streams that lie one after the
+    other in an array may be taken at once: only those at a stream's first WINDOW ids differ.
+    """
     ends, at = [], 0
     while n - at > LEAST:
-        i = np.searchsorted(marks, at + LEAST)
-        end = min(int(marks[i]) if i < len(marks) else n, at + MOST, n)
-        ends.append(end)
-        at = end
+        i = np.searchsorted(places, at + LEAST)
+        at = min(int(places[i]) if i < len(places) else n, at + MOST, n)
+        ends.append(at)
     if at < n:
         ends.append(n)
     return ends
@@ -128,10 +134,15 @@ def chunked(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         encoder, compress, seen = word_encoder(path), zstd.ZstdCompressor(level=3).compress, set()
         for part in slices(batches, 128):
             rows: list[tuple] = []
-            for doc_id, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(data + end, "<u4")
+            streams = [data + end for data in encoder.encode(part.column(1).to_pylist())]
+            joint = np.frombuffer(b"".join(streams), "<u4")
+            places, first = marks(joint), 0
+            for doc_id, data in zip(part.column(0).to_pylist(), streams, strict=True):
+                ids = joint[first : first + len(data) // 4]
+                lo, hi = np.searchsorted(places, (first, first + len(ids)), side="right")
+                own, first = places[lo:hi] - first, first + len(ids)
                 recipe, at = [], 0
-                for to in cuts(ids):
+                for to in cuts(len(ids), own):
                     body = _narrow(ids[at:to])
                     digest = hashlib.sha256(body).digest()[:DIGEST]
                     recipe.append(digest)
@@ -174,6 +185,7 @@ class TokenStore:
         final.select("block", "row", "doc_id", "start", "n_tokens", "leaf", "recipe").write.option("compression", "none").parquet(f"{store.path}/recipes")
         stage.drop()
         named.drop()
+        free_shuffles(spark)
         roots = store._roots()
         total = roots.agg(F.count("*"), F.sum("n_docs"), F.sum("n_tokens")).first()
         top = spark.createDataFrame([(-1, int(total[1] or 0), int(total[2] or 0), store._top(roots))], roots.schema)
@@ -209,11 +221,11 @@ class TokenStore:
         recipes = self._read("recipes")
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in batches:  # rows of a block lie together: few blocks are cut between batches
                 pairs = {(b, r[i : i + DIGEST]) for b, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i in range(0, len(r), DIGEST)}
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], names=["block", "digest"])
 
-        asked = recipes.select("block", "recipe").mapInArrow(wanted, "block long, digest binary").distinct()
+        asked = recipes.select("block", "recipe").mapInArrow(wanted, "block long, digest binary")
         sent = asked.join(self._read("chunks"), "digest").select("block", "digest", "data")
 
         def rebuild(key, rows, chunks):  # noqa: ANN001, ANN202
