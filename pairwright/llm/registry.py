@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pairwright.llm.linededup import ORACLE_SQL as LINE_DEDUP_SQL
+from pairwright.llm.linededup import op10_line_dedup
 from pairwright.llm.packing import op7_best_fit_packing
 from pairwright.llm.quality import op9_quality_classifier
 from pairwright.llm.store import op5_content_store
@@ -14,7 +16,10 @@ QUERIES = {
     "op6_trie_bpe": op6_trie_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-#: No operator here has a form in SQL that the comparison could run: they tokenize, compress, hash windows or iterate.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators tokenize, compress, hash windows or iterate, which SQL cannot express.
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": LINE_DEDUP_SQL,
+}
