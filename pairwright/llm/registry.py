@@ -5,12 +5,14 @@ from __future__ import annotations
 from pairwright.llm.linededup import ORACLE_SQL as LINE_DEDUP_SQL
 from pairwright.llm.linededup import op10_line_dedup
 from pairwright.llm.packing import op7_best_fit_packing
+from pairwright.llm.pii import op1_pii
 from pairwright.llm.quality import op9_quality_classifier
 from pairwright.llm.store import op5_content_store
 from pairwright.llm.trie_bpe import op6_trie_bpe
 from pairwright.llm.winnowing import op3_winnowing
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_winnowing": op3_winnowing,
     "op5_content_store": op5_content_store,
     "op6_trie_bpe": op6_trie_bpe,
