@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairwright.llm.licenses import op2_license_scan
 from pairwright.llm.linededup import ORACLE_SQL as LINE_DEDUP_SQL
 from pairwright.llm.linededup import op10_line_dedup
 from pairwright.llm.packing import op7_best_fit_packing
@@ -13,6 +14,7 @@ from pairwright.llm.winnowing import op3_winnowing
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_license_scan": op2_license_scan,
     "op3_winnowing": op3_winnowing,
     "op5_content_store": op5_content_store,
     "op6_trie_bpe": op6_trie_bpe,
