@@ -10,6 +10,7 @@ from pairwright.llm.pii import op1_pii
 from pairwright.llm.quality import op9_quality_classifier
 from pairwright.llm.store import op5_content_store
 from pairwright.llm.trie_bpe import op6_trie_bpe
+from pairwright.llm.vectors import op8_embedding_neardup
 from pairwright.llm.winnowing import op3_winnowing
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_content_store": op5_content_store,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_embedding_neardup": op8_embedding_neardup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
