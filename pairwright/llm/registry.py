@@ -5,6 +5,8 @@ from __future__ import annotations
 from pairwright.llm.licenses import op2_license_scan
 from pairwright.llm.linededup import ORACLE_SQL as LINE_DEDUP_SQL
 from pairwright.llm.linededup import op10_line_dedup
+from pairwright.llm.ngramjoin import ORACLE_SQL as NGRAM_JOIN_SQL
+from pairwright.llm.ngramjoin import op4_ngram_jaccard_join
 from pairwright.llm.packing import op7_best_fit_packing
 from pairwright.llm.pii import op1_pii
 from pairwright.llm.quality import op9_quality_classifier
@@ -17,6 +19,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_license_scan": op2_license_scan,
     "op3_winnowing": op3_winnowing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_content_store": op5_content_store,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -27,5 +30,6 @@ QUERIES = {
 
 #: The other operators tokenize, compress, hash windows or iterate, which SQL cannot express.
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": NGRAM_JOIN_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
