@@ -200,31 +200,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # -------------------------------------------------------------------------------- the join
 
-_DOCS = "doc_id long, n int, digest binary, prefix array<long>, o2 binary, o3 binary, bits binary"
+_DOCS = "doc_id long, tag long, n int, digest binary, prefix array<long>, o2 binary, o3 binary, bits binary"
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, by which rows of one doc_id are told apart."""
+    return doc_texts(docs).withColumn("tag", F.xxhash64("text"))
 
 
 def described(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
     """Every document's set size, digest, prefixes under the three orders, and parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # 2 ** SKETCH_BITS bytes
     names = [x.split()[0] for x in _DOCS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 3]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for part in slices(batches):
             rows: list[tuple] = []
-            for doc_id, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True):
+            for doc_id, tag, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True):
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None, None, None))
+                    rows.append((doc_id, tag, 0, None, None, None, None, None))
                     continue
                 own = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 o1, o2, o3 = (prefix(s, own, j, percent) for j in range(3))
                 short = [np.unique(o.astype(np.uint32)).tobytes() for o in (o2, o3)]
-                rows.append((doc_id, len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), o1.view(np.int64), *short, parity(s)))
+                rows.append((doc_id, tag, len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), o1.view(np.int64), *short, parity(s)))
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return doc_texts(docs).mapInArrow(run, _DOCS)
+    return tagged(docs).mapInArrow(run, _DOCS)
 
 
 def _shares(a: bytes, b: bytes) -> bool:
@@ -332,7 +337,8 @@ def _folded(hashes: np.ndarray, size: int = 1024) -> bytes:
 def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: the least doc_id that links lead to.
 
-    percent: least Jaccard similarity of a link, in hundredths.
+    percent: least Jaccard similarity of a link, in hundredths.  Further columns: tag, a hash of
+    the text, and node, a number that the rows of a component share (null for an empty set).
     """
     every = Stage(described(docs, k, percent, levels(docs, k)), "ngram-docs").df
     parts = ["n", "prefix", "o2", "o3", "bits"]
@@ -358,12 +364,31 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     known = classes.select("class", "digest", "least_id").join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     known = Stage(known, "ngram-components").df
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = known.join(least, "component").select("digest", "component_id")
-    return every.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = known.join(least, "component").select("digest", "component_id", F.col("component").alias("node"))
+    found = every.select("doc_id", "tag", "n", "digest").join(named, "digest", "left")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"), "tag", "node")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs but for all documents of a component after its first (by doc_id, then by text hash).
+
+    All columns stay.  Documents without words stay; of rows that agree in doc_id and text one stays.
+    """
+    found = Stage(components(docs, k, percent).select("doc_id", "tag", "node"), "ngram-decisions").df
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    first = found.where("node is not null").groupBy("node").agg(F.min(place).alias("p")).select("p.doc_id", "p.tag")
+    stay = first.unionByName(found.where("node is null").select("doc_id", "tag")).distinct().select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("_k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k2"), F.struct(*(F.col(f"`{c}`").alias(names[c]) for c in docs.columns)).alias("_row"))
+    kept = rows.join(stay, F.col("_k1").eqNullSafe(F.col("_d")) & (F.col("_k2") == F.col("_t")), "left_semi")
+    if not found.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        kept = kept.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+    return kept.select(*(F.col(f"_row.{names[c]}").alias(c) for c in docs.columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"))
+    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = r"""
