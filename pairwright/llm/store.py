@@ -40,6 +40,8 @@ BLOCK_DOCS, REMEMBER = 1_000, 200_000
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+#: A number for each id (for its lower 16 bits).
+_VALUES = np.random.default_rng(3).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -64,12 +66,9 @@ def rolling_hashes(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
         _POWERS[size] = _powers(_ODD, size), _powers(_INVERSE, size)
     up, down = _POWERS[size]
     with np.errstate(over="ignore"):
-        value = ids.astype(np.uint64) + np.uint64(1)
-        value = (value ^ (value << np.uint64(21))) * np.uint64(0xD6E8FEB86659FD93)
-        total = np.cumsum(value * down[:n])
+        total = np.cumsum(_VALUES[ids & 0xFFFF] * down[:n])
         total[window:] -= total[:-window].copy() if n > window else total[:0]
-        out = total * up[:n]
-        return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return total * up[:n]
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -131,7 +130,7 @@ def chunked(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
-        encoder, compress, seen = word_encoder(path), zstd.ZstdCompressor(level=3).compress, set()
+        encoder, compress, seen = word_encoder(path), zstd.ZstdCompressor(level=1).compress, set()
         for part in slices(batches, 128):
             rows: list[tuple] = []
             streams = [data + end for data in encoder.encode(part.column(1).to_pylist())]
@@ -173,7 +172,7 @@ class TokenStore:
     def write(cls, docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> TokenStore:
         spark = docs.sparkSession
         store = cls(spark, path or shared_dir(spark, "token-store"))
-        stage = Stage(chunked(docs, tokenizer, end_id), "chunked")
+        stage = Stage(chunked(docs, tokenizer, end_id), "chunked", "none")  # its data is compressed already
         unique = stage.df.where("not is_doc").groupBy("digest").agg(F.first("data").alias("data"))
         unique.write.option("compression", "none").parquet(f"{store.path}/chunks")  # data is compressed already
         rows = stage.df.where("is_doc").select("doc_id", "n_tokens", "leaf", "recipe")

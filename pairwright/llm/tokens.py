@@ -14,7 +14,7 @@ from array import array
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMERIC = "0-9²³¹¼-¾"
 #: The byte-level splitting pattern over the characters that PLAIN admits.
-WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{NUMERIC}]+| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
+WORDS = re.compile(rf" ?[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMERIC}]+| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
 #: A character or a special token's start for which the library gets the whole text.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]|<\|")
 #: A word that its byte letters spell as it is, after a space.
@@ -33,6 +33,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+def is_plain(text: str) -> bool:
+    """Whether the pattern here splits the text as the library does; ASCII texts are told quickly."""
+    if text.isascii() and text.replace("\n", " ").isprintable():
+        return "<|" not in text
+    return not NOT_PLAIN.search(text)
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -73,7 +80,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
         found: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if NOT_PLAIN.search(t)]
+        odd = [i for i, t in enumerate(texts) if not is_plain(t)]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             found[i] = ids
         skip = set(odd)

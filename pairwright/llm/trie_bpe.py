@@ -28,7 +28,7 @@ END, NEVER = "</w>", 1 << 60
 LETTERS = "a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžſ"
 NUMERIC = "0-9²³¹¼-¾"
 #: How the file's pre-tokenizer splits lower-cased texts of the characters that PLAIN admits.
-WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMERIC}]|[^\s{LETTERS}{NUMERIC}]+")
+WORDS = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMERIC}]|[^\s{LETTERS}{NUMERIC}]+")
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ]")
 #: Words kept by a worker, and words put into one trie; speed and memory only.
 KEEP_WORDS, KEEP_PAIRS, TRIE_WORDS = 400_000, 500_000, 50_000
