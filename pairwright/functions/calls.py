@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import canonical, finite_error
 from pairwright.functions.text import is_slug, looks_like_call
+from pairwright.functions.udf import vectorized
 
 BLOCK = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
 ANY_CASE_BLOCK = re.compile(BLOCK.pattern, re.S | re.I)
@@ -88,22 +89,22 @@ def json_state(raw: str | None) -> str | None:
     return next((f"missing_{k}" for k in ("name", "arguments") if k not in payload), "invalid_structure")
 
 
-@F.pandas_udf(CALL)
+@vectorized(CALL)
 def parsed_call(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_call(r) or (None, None) for r in raw], columns=["name", "arguments"])
 
 
-@F.pandas_udf("boolean")
+@vectorized("boolean")
 def valid_external_call(raw: pd.Series) -> pd.Series:
     return raw.map(external_call_ok)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def call_state(raw: pd.Series) -> pd.Series:
     return raw.map(json_state)
 
 
-@F.pandas_udf("boolean")
+@vectorized("boolean")
 def same_json(left: pd.Series, right: pd.Series) -> pd.Series:
     """Equality of decoded JSON values: 1 equals 1.0, key order does not matter, list order does."""
 

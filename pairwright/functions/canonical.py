@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairwright.functions.udf import vectorized
+
 
 def canonical(value: object) -> str:
     """JSON with sorted keys and no spaces; raises ValueError for non-finite numbers."""
@@ -32,7 +34,7 @@ def finite_error(value: object, at: str = "value") -> str | None:
     return next((e for e in (finite_error(v, where) for where, v in children) if e), None)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def canonical_json(text: pd.Series) -> pd.Series:
     """Canonical form of JSON text (Spark's own form spells floats differently); null for bad JSON."""
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairwright.functions.udf import vectorized
+
 #: Characters stripped from the edges of a normalised text, and phrases of refusals and of nothing to do.
 EDGES = " \t\n\r.,!?;:'\""
 REFUSAL = r"\b(cannot|can't|unable|no available tool|no tool|not equipped|unsupported|none of (?:the )?(?:provided|available) (?:functions|tools))\b"
@@ -23,7 +25,7 @@ def normalise(value: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", value).casefold().split()).strip(EDGES)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def normalize_text(text: pd.Series) -> pd.Series:
     """normalise() over a column: Spark has neither NFKC nor case folding."""
     return text.map(lambda t: None if t is None else normalise(t))
@@ -138,7 +140,7 @@ def percent(value: Column) -> Column:
     return F.when(value.isNull(), "—").otherwise(F.format_string("%.2f%%", value.cast("double") * 100))
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def general_format(value: pd.Series) -> pd.Series:
     """Numbers as C's %g gives them; Java's differs."""
     return value.map(lambda v: None if v is None or v != v else f"{v:g}")
