@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from pairwright.plans import fixtures, scaled
+
+    return scaled.QUERIES | fixtures.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    from pairwright.plans import fixtures, scaled
+
+    return scaled.ORACLE_SQL | fixtures.ORACLE_SQL
