@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,11 @@ def _problem(line: str) -> str | None:
     return None if isinstance(value, dict) else "expected a JSON object"
 
 
+@vectorized("string")
+def line_problem(value: pd.Series) -> pd.Series:
+    return value.map(_problem)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 1), value of every line with something on it; a file is one row until it is split."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
@@ -39,14 +45,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, checke
     if not checked:
         reader = spark.read.option("mode", "FAILFAST").option("allowSingleQuotes", "false")
         return (reader.schema(schema) if schema else reader).json(path)
-    import pandas as pd
-
-    @vectorized("string")
-    def problem(value: pd.Series) -> pd.Series:
-        return value.map(_problem)
-
     lines = numbered_lines(spark, path)
-    bad = lines.withColumn("problem", problem("value")).where("problem is not null").orderBy("path", "line").limit(1).collect()
+    bad = lines.withColumn("problem", line_problem("value")).where("problem is not null").orderBy("path", "line").limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0].path}:{bad[0].line}: {bad[0].problem}")
     if schema is None:
