@@ -164,6 +164,11 @@ class TokenStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        #: Name under which this session's catalog knows the chunks and their buckets.
+        self.table = "chunks_" + hashlib.md5(path.encode(), usedforsecurity=False).hexdigest()
+
+    def _chunks(self) -> DataFrame:
+        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else self._read("chunks")
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -174,9 +179,11 @@ class TokenStore:
         store = cls(spark, path or shared_dir(spark, "token-store"))
         stage = Stage(chunked(docs, tokenizer, end_id), "chunked", "none")  # its data is compressed already
         unique = stage.df.where("not is_doc").groupBy("digest").agg(F.first("data").alias("data"))
-        unique.write.option("compression", "none").parquet(f"{store.path}/chunks")  # data is compressed already
-        rows = stage.df.where("is_doc").select("doc_id", "n_tokens", "leaf", "recipe")
+        # in buckets by digest, so that readers need not shuffle chunks again; data is compressed already
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        chunks = unique.write.format("parquet").bucketBy(parts, "digest").option("compression", "none").option("path", f"{store.path}/chunks")
+        chunks.saveAsTable(store.table)
+        rows = stage.df.where("is_doc").select("doc_id", "n_tokens", "leaf", "recipe")
         ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
         named = Stage(ordered.mapInArrow(_numbered, "block long, row long, doc_id long, n_tokens long, leaf binary, recipe binary"), "recipes")
         narrow = with_starts(named.df.select("block", "row", "n_tokens"), "n_tokens", "row", "block").select("block", "row", "start")
@@ -225,7 +232,7 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], names=["block", "digest"])
 
         asked = recipes.select("block", "recipe").mapInArrow(wanted, "block long, digest binary")
-        sent = asked.join(self._read("chunks"), "digest").select("block", "digest", "data")
+        sent = asked.join(self._chunks(), "digest").select("block", "digest", "data")
 
         def rebuild(key, rows, chunks):  # noqa: ANN001, ANN202
             import pandas as pd
@@ -251,6 +258,7 @@ class TokenStore:
         return recipes.select("block", "doc_id", "start", "n_tokens", "leaf", "recipe").groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(rebuild, f"doc_id long, start long, n_tokens long, out {what}")
 
     def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         drop_dir(self.spark, self.path)
 
 
