@@ -236,20 +236,37 @@ def _shares(a: bytes, b: bytes) -> bool:
     return len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True)) > 0
 
 
+def _joined_sides(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both classes as x_ and y_ ones."""
+    out = pairs
+    for key, side in (("a", "x"), ("b", "y")):
+        known = classes.select(F.col("class").alias(key), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        out = out.join(known, key)
+    return out.select("a", "b", *(f"{side}_{c}" for side in "xy" for c in columns))
+
+
 def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the second and third order and the parity maps let through."""
-    known = classes.select("class", "n", "o2", "o3", "bits")
-    sides = [known.select(*(F.col(c).alias(f"{s}_{c}") for c in known.columns)) for s in "xy"]
-    both = pairs.join(sides[0], F.col("a") == F.col("x_class")).join(sides[1], F.col("b") == F.col("y_class"))
+    """Pairs (a, b) that the parity maps and the second and third order let through.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The maps are short, so they go first; the other orders' prefixes travel for the pairs left.
+    """
+
+    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
-            names = ("a", "b", "x_n", "y_n", "x_o2", "y_o2", "x_o3", "y_o3", "x_bits", "y_bits")
-            rows = zip(*(part.column(c).to_pylist() for c in names), strict=True)
-            kept = [(a, b) for a, b, na, nb, p2, q2, p3, q3, p, q in rows if _shares(p2, q2) and _shares(p3, q3) and may_link(na, nb, bits_apart(p, q), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
+            yield _pairs([(a, b) for a, b, na, p, nb, q in rows if may_link(na, nb, bits_apart(p, q), percent)])
+
+    def by_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
+            yield _pairs([(a, b) for a, b, p2, p3, q2, q3 in rows if _shares(p2, q2) and _shares(p3, q3)])
+
+    near = _joined_sides(pairs, classes, "n", "bits").mapInArrow(by_bits, "a long, b long")
+    return _joined_sides(near, classes, "o2", "o3").mapInArrow(by_orders, "a long, b long")
+
 
-    return both.drop("x_class", "y_class").mapInArrow(run, "a long, b long")
+def _pairs(kept: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -340,29 +357,37 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     percent: least Jaccard similarity of a link, in hundredths.  Further columns: tag, a hash of
     the text, and node, a number that the rows of a component share (null for an empty set).
     """
-    every = Stage(described(docs, k, percent, levels(docs, k)), "ngram-docs").df
+    spark = docs.sparkSession
+    wide = Stage(described(docs, k, percent, levels(docs, k)), "ngram-docs")
     parts = ["n", "prefix", "o2", "o3", "bits"]
-    grouped = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first(F.struct(*parts)).alias("s"))
+    grouped = wide.df.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first(F.struct(*parts)).alias("s"))
     classes = Stage(grouped.select(F.monotonically_increasing_id().alias("class"), "digest", "least_id", "s.*"), "ngram-classes").df
-    free_shuffles(docs.sparkSession)
+    every = Stage(wide.df.select("doc_id", "tag", "n", "digest"), "ngram-ids").df
+    wide.drop()  # prefixes and maps are with the classes now
+    free_shuffles(spark)
     postings = classes.select("class", "n", F.explode("prefix").alias("token"))
     often = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = Stage(postings.join(often, "token"), "ngram-postings").df
-    free_shuffles(docs.sparkSession)
+    meets = Stage(postings.join(often, "token"), "ngram-postings")
+    shared = meets.df
+    free_shuffles(spark)
     small = shared.where(F.col("m") <= POSTING)
     x, y = small.alias("x"), small.alias("y")
     lesser = F.struct("x.n", "x.class") < F.struct("y.n", "y.class")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & lesser & (100 * F.col("x.n") >= percent * F.col("y.n")))
     pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     kept = Stage(filtered(pairs, classes, percent), "ngram-pairs").df
+    free_shuffles(spark)
     large = shared.where(F.col("m") > POSTING).select("token", "class", "m")
     needed = kept.select(F.col("a").alias("class")).unionByName(kept.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
-    sets = Stage(whole_sets(docs, classes, needed, k), "ngram-sets").df
-    free_shuffles(docs.sparkSession)
-    edges = verified(kept, sets, percent).unionByName(tile_edges(large, sets, percent))
+    whole = Stage(whole_sets(docs, classes, needed, k), "ngram-sets")
+    free_shuffles(spark)
+    edges = verified(kept, whole.df, percent).unionByName(tile_edges(large, whole.df, percent))
     links = connected_components(edges)
     known = classes.select("class", "digest", "least_id").join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     known = Stage(known, "ngram-components").df
+    whole.drop()
+    meets.drop()
+    free_shuffles(spark)
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = known.join(least, "component").select("digest", "component_id", F.col("component").alias("node"))
     found = every.select("doc_id", "tag", "n", "digest").join(named, "digest", "left")
