@@ -22,8 +22,7 @@ ELSEWHERE = ("train-sft", "train-dpo", "cache-dpo-reference", "fetch-external",
 
 
 def _tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks from files whose open parts are objects: they are kept as JSON text."""
-    return files.read_jsonl(spark, path, TASK)
+    return files.read_tasks(spark, path)
 
 
 def _predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +58,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:  # noqa: C901
             spark.createDataFrame([(canonical(json.loads(schema.json())),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.output}/{kind}.schema.json")
     elif name == "validate-record":
         check, ddl = {"task": (contracts.tasks, TASK), "prediction": (contracts.predictions, PREDICTION), "evaluation": (contracts.evaluations, EVALUATION)}[a.kind]
-        bad = [r.violations for r in check(files.read_jsonl(spark, a.input, ddl)).collect() if r.violations]
+        rows = _tasks(spark, a.input) if a.kind == "task" else files.read_jsonl(spark, a.input, ddl)
+        bad = [r.violations for r in check(rows).collect() if r.violations]
         if bad:
             raise ValueError(f"record breaks {bad[0]}")
     elif name == "generate-productivity":

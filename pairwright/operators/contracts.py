@@ -174,3 +174,18 @@ def dpo_examples(df: DataFrame) -> DataFrame:
 def in_unit_range(df: DataFrame, *columns: str) -> DataFrame:
     """Rates between 0 and 1."""
     return _checked(df, *((F.col(c).between(0, 1), c) for c in columns))
+
+
+def internal_only(manifest: dict) -> dict:
+    """A manifest of generated data that no external source and no held-out row went into, else ValueError."""
+    for key, want in (("source_kind", "internal_generated"), ("external_sources", []), ("test_consumed", False)):
+        if manifest.get(key) != want:
+            raise ValueError(f"provenance must have {key} = {want!r}")
+    return manifest
+
+
+def expected_count(df: DataFrame, want: int | None, what: str) -> DataFrame:
+    """df, if it has as many rows as declared (or none are declared)."""
+    if want is not None and (n := df.count()) != want:
+        raise ValueError(f"{what}: expected {want} records, found {n}")
+    return df

@@ -54,6 +54,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, checke
     return lines.select("line", F.from_json("value", schema, {"mode": "FAILFAST", "allowSingleQuotes": "false"}).alias("r")).select(F.col("line").alias("ord"), "r.*")
 
 
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Stored tasks with ord, the line; open parts become JSON text, a numeric validator's value a number."""
+    from pairwright.operators.generate import TASK
+
+    v = F.col("expected.validator")
+    numeric = v["kind"] == "numeric"
+    fixed = v.withField("num_value", F.when(numeric, v["value"].cast("double"))).withField("value", F.when(~numeric, v["value"]))
+    rows = read_jsonl(spark, path, TASK)
+    return rows.withColumn("expected", F.col("expected").withField("validator", F.when(v["kind"].isNotNull(), fixed)))
+
+
+def read_unique(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
+    """Rows that are there at all, each key once."""
+    rows = read_jsonl(spark, path, schema)
+    if rows.isEmpty():
+        raise ValueError(f"{path}: no rows")
+    return strict(rows, duplicates(rows, key), f"{path}: ids must be unique")
+
+
 def read_split(spark: SparkSession, path: str, schema: str, split: str) -> DataFrame:
     rows = read_jsonl(spark, path, schema)
     return strict(rows, rows.where(F.col("split") != split).select("id"), f"{path}: records have wrong split").orderBy("id")
