@@ -110,3 +110,54 @@ def quarantine(external: DataFrame, internal: DataFrame) -> tuple[DataFrame, Dat
     """(kept rows, report of excluded ones)."""
     report = overlap(external, internal)
     return external.join(report.select(F.col("external_id").alias("id")), "id", "left_anti"), report
+
+
+#: Items of this many characters together are searched for at once by an automaton in each worker; beyond it they are joined.
+AUTOMATON_CHARS = 16_000_000
+HEAD = 40
+
+
+def _searched(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    def run(batches):  # noqa: ANN001, ANN202
+        import ahocorasick
+        import pyarrow as pa
+
+        owners: dict[str, list[int]] = {}
+        for key, text in items:
+            owners.setdefault(text, []).append(key)
+        machine = ahocorasick.Automaton()
+        for text in owners:
+            machine.add_word(text, text)
+        machine.make_automaton()
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {t for _, t in machine.iter(text)} if text else set()
+                rows += [(doc, key) for t in found for key in owners[t]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long")
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Candidates meet in the item's first HEAD characters, which may stand anywhere in a document."""
+    heads = items.select("item_id", F.col("text").alias("item"), F.substring("text", 1, HEAD).alias("head"))
+    pieces = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{HEAD}}}))"), F.lit(1)))).alias("head"))
+    meets = pieces.join(heads.where(F.length("item") >= HEAD), "head").select("doc_id", "item_id", "item")
+    return meets.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of every document (doc_id, text) that holds an item's (item_id, text) whole text.
+
+    One scan without a shuffle while the items are small enough to be in every worker; else items of at
+    least HEAD characters are joined, and the short ones, of which there are few different, still searched.
+    """
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    take = lambda df: [(r.item_id, r.text) for r in df.where(F.length("text") > 0).select("item_id", "text").collect()]
+    if size <= AUTOMATON_CHARS:
+        return _searched(docs, take(items))
+    short = items.where(F.length("text") < HEAD)
+    if (short.agg(F.sum(F.length("text"))).first()[0] or 0) > AUTOMATON_CHARS:
+        raise ValueError("too many items of under 40 characters")
+    return _joined(docs, items).unionByName(_searched(docs, take(short)))

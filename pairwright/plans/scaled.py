@@ -9,7 +9,7 @@ from pairwright.functions.canonical import sha256_of_string
 from pairwright.functions.numbers import safe_ratio, softplus
 from pairwright.functions.text import CALL_MARKS, five_grams, looks_like_call, normalize_query, refuses, slug, whitespace_query
 from pairwright.operators import agreement, guards, rewards, sampling, statistics
-from pairwright.operators.overlap import jaccard_pairs, sequence_pairs
+from pairwright.operators.overlap import contained, jaccard_pairs, sequence_pairs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,20 +67,8 @@ def q_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def q_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's whole text.
-
-    Candidates come from an equi-join of the item's first 40 characters with the documents' pieces
-    that begin a word, so that no pair of document and item is made without a shared piece.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 40).alias("head"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    short = items.where(F.length("item") < 40)
-    starts = items.where(F.length("item") >= 40).select(F.substring("item", 1, 12).alias("start")).distinct()
-    pieces = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{40}))"), F.lit(1)))).alias("head"))
-    near = pieces.where(F.col("head").isNotNull()).join(starts, F.substring("head", 1, 12) == F.col("start"), "left_semi")
-    long = near.join(items, "head").select("doc_id", "item_id", "item").join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    few = short.limit(1).count() and docs.join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    return long.unionByName(few) if few else long
+    """Documents that hold a benchmark item's whole text."""
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("""

@@ -197,3 +197,13 @@ def test_contract_violations(spark):
     assert got == {"ok": [], "bad": ["latency_ms", "input_tokens", "peak_memory_gb", "inference_error"]}
     tasks = generate.finance_tasks(spark).limit(1).withColumn("label", F.lit("NOOP"))
     assert set(contracts.tasks(tasks).first().violations) >= {"kind", "label"}
+
+
+def test_containment_both_ways(spark, monkeypatch):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota"
+    docs = spark.createDataFrame([(1, f"x{long}y"), (2, "has kappa here"), (3, None), (4, long[:45])], "doc_id long, text string")
+    items = spark.createDataFrame([(10, long), (11, "kappa"), (12, long), (13, "")], "item_id long, text string")
+    want = {(1, 10), (1, 12), (2, 11)}
+    assert {tuple(r) for r in overlap.contained(docs, items).collect()} == want
+    monkeypatch.setattr(overlap, "AUTOMATON_CHARS", 20)
+    assert {tuple(r) for r in overlap.contained(docs, items).collect()} == want
