@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("pairwright").getOrCreate()
     try:
         run(spark, args)
-    except (OSError, ValueError) as error:
+    except (OSError, ValueError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
     return 0

@@ -38,6 +38,11 @@ def strict(df: DataFrame, bad: DataFrame, message: str) -> DataFrame:
     return df
 
 
+def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """df, failing at a row for which ok does not hold, in the same pass that uses the rows."""
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
 def violations(*checks: tuple[Column, str]) -> Column:
     """Names of the checks that a row fails; a check that gives null fails."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in checks)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.numbers import finite, share, softplus
-from pairwright.operators.guards import strict
+from pairwright.operators.guards import require
 
 LOGPS = ("policy_chosen", "policy_rejected", "reference_chosen", "reference_rejected")
 
@@ -16,12 +16,12 @@ def dpo_rows(df: DataFrame, beta: float, label_smoothing: float = 0.0, normaliza
     if beta < 0 or not 0 <= label_smoothing < 0.5:
         raise ValueError("invalid beta or label smoothing")
     pc, pr, rc, rr = (F.col(c).cast("double") for c in LOGPS)
-    strict(df, df.where(~(finite(pc) & finite(pr) & finite(rc) & finite(rr))).select(*LOGPS), "log probabilities must be finite")
+    df = require(df, finite(pc) & finite(pr) & finite(rc) & finite(rr), "log probabilities must be finite")
     if normalization == "mean":
-        strict(df, df.where("not coalesce(chosen_tokens > 0 and rejected_tokens > 0, false)").select("chosen_tokens", "rejected_tokens"), "token counts must be positive")
+        df = require(df, (F.col("chosen_tokens") > 0) & (F.col("rejected_tokens") > 0), "token counts must be positive")
         pc, rc, pr, rr = pc / F.col("chosen_tokens"), rc / F.col("chosen_tokens"), pr / F.col("rejected_tokens"), rr / F.col("rejected_tokens")
     scaled = F.lit(beta) * ((pc - pr) - (rc - rr))
-    loss = (1 - label_smoothing) * softplus(-scaled) + label_smoothing * softplus(scaled)
+    loss = softplus(-scaled) if not label_smoothing else (1 - label_smoothing) * softplus(-scaled) + label_smoothing * softplus(scaled)
     chosen, rejected = beta * (pc - rc), beta * (pr - rr)
     return df.withColumns({"loss": loss, "chosen_reward": chosen, "rejected_reward": rejected, "reward_margin": chosen - rejected})
 
@@ -38,8 +38,7 @@ def anchored_loss(df: DataFrame, dpo_loss: Column, weight: float) -> DataFrame:
     """dpo_loss, chosen_sft_loss and their weighted sum over chosen log-probabilities and token counts."""
     if weight < 0:
         raise ValueError("chosen weight must be non-negative")
-    ok = finite(F.col("policy_chosen")) & (F.col("chosen_tokens") > 0)
-    strict(df, df.where(~F.coalesce(ok, F.lit(False))).select("policy_chosen", "chosen_tokens"), "chosen log probabilities and token counts must be valid")
+    df = require(df, finite(F.col("policy_chosen")) & (F.col("chosen_tokens") > 0), "chosen log probabilities and token counts must be valid")
     anchor = F.avg(-F.col("policy_chosen") / F.col("chosen_tokens"))
     return df.agg(dpo_loss.alias("dpo_loss"), anchor.alias("chosen_sft_loss")).withColumn("loss", F.col("dpo_loss") + weight * F.col("chosen_sft_loss"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.numbers import finite
-from pairwright.operators.guards import matched, strict
+from pairwright.operators.guards import matched, require
 
 #: Fixed value: Student's t at 97.5 % with two degrees of freedom, used whatever the number of values.
 T_CRITICAL = 4.3026527299
@@ -19,9 +19,8 @@ T_CRITICAL = 4.3026527299
 def mean_interval(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """n, mean, sample deviation and t interval of a column, at least two finite values."""
     v = F.col(value).cast("double")
-    strict(df, df.where(~finite(v)).select(value), "mean interval requires finite values")
-    flat = df.groupBy(*([by] if by else [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sample_std"))
-    strict(flat, flat.where("n < 2"), "mean interval requires at least two values")
+    flat = require(df, finite(v), "mean interval requires finite values").groupBy(*([by] if by else [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sample_std"))
+    flat = require(flat, F.col("n") >= 2, "mean interval requires at least two values")
     half = F.lit(T_CRITICAL) * F.col("sample_std") / F.sqrt("n")
     return flat.withColumns({"ci95_low": F.col("mean") - half, "ci95_high": F.col("mean") + half})
 
