@@ -17,6 +17,7 @@ ids are pieces like any others; an empty table has no pieces.
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ from pairwright.llm.common import doc_texts, slices, staged, table
 from pairwright.llm.tokens import tokenizer_path, word_encoder
 
 CAPACITY, END_ID = 1024, 2
-#: Fillings that are tried around one largest piece, and nodes of the search over the last sequences.
-FILLINGS, NODES, TAIL = 2_000, 20_000, 48
+#: Fillings that are tried around one largest piece, nodes of a search over sequences, pieces left to
+#: it at the end, and rounds in which sequences are taken apart again.
+FILLINGS, NODES, TAIL, ROUNDS = 2_000, 400, 48, 40
 
 Filling = tuple[int, ...]
 
@@ -172,12 +174,85 @@ def _branch(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return best
 
 
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Largest pieces first, each into the fullest sequence that has room; equal pieces and sequences go together.
+
+    Of sequences with room r a piece of size s goes into one r // s times before another one is fuller.
+    """
+    rooms: dict[int, Counter] = {}  # sequences by the room left in them: filling, how many
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        left = counts[size]
+        while left:
+            room = min((r for r, group in rooms.items() if r >= size and group), default=capacity)
+            group = rooms.setdefault(room, Counter())
+            filling, have = next(iter(group.items())) if group else ((), left)
+            each = min(room // size, left)
+            bins = min(have, left // each)
+            if group:
+                group[filling] -= bins
+                if not group[filling]:
+                    del group[filling]
+            rooms.setdefault(room - each * size, Counter())[filling + (size,) * each] += bins
+            left -= bins * each
+    return [(f, n) for group in rooms.values() for f, n in group.items()]
+
+
+def _histogram(bins: list[tuple[Filling, int]]) -> Counter:
+    total: Counter = Counter()
+    for filling, times in bins:
+        for size in filling:
+            total[size] += times
+    return total
+
+
+def _bins(solution: list[tuple[Filling, int]]) -> int:
+    return sum(n for _, n in solution)
+
+
+def improved(solution: list[tuple[Filling, int]], floor: int, capacity: int, rounds: int = ROUNDS) -> list[tuple[Filling, int]]:
+    """Take the sequences with the most waste and some others apart, complete them anew, keep what is fewer."""
+    rng = random.Random(1)
+    for _ in range(rounds):
+        if _bins(solution) <= floor:
+            break
+        wasteful = sorted((x for x in solution if sum(x[0]) < capacity), key=lambda x: sum(x[0]))
+        others = [x for x in solution if sum(x[0]) == capacity and len(x[0]) > 1]
+        rng.shuffle(others)
+        taken, room = [], rng.choice((8, 16, 32, 64))
+        for group in [*wasteful, *others]:
+            if room <= 0:
+                break
+            n = min(group[1], room)
+            taken.append((group[0], n))
+            room -= n
+        best = min((_branch(_histogram(taken), capacity), best_fit_decreasing(_histogram(taken), capacity)), key=_bins)
+        if _bins(best) < _bins(taken) or rng.random() < 0.5 and _bins(best) == _bins(taken):
+            rest = Counter(dict(_merged(solution)))
+            rest.subtract(dict(_merged(taken)))
+            solution = _merged([*((f, n) for f, n in rest.items() if n), *best])
+    return solution
+
+
+def _merged(solution: list[tuple[Filling, int]]) -> list[tuple[Filling, int]]:
+    total: Counter = Counter()
+    for filling, times in solution:
+        total[filling] += times
+    return list(total.items())
+
+
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is made; together they hold every piece counted."""
+    """Fillings and how often each is made; together they hold every piece counted.
+
+    The incumbent is best-fit decreasing's; bin completion stands if it needs fewer sequences.
+    """
     counts = {s: n for s, n in counts.items() if n}
-    left = dict(counts)
-    bins = _greedy(left, capacity, TAIL)
-    return bins + _branch({s: n for s, n in left.items() if n}, capacity)
+    floor, incumbent = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity)
+    if _bins(incumbent) > floor:
+        left = dict(counts)
+        bins = _greedy(left, capacity, TAIL)
+        bins += _branch({s: n for s, n in left.items() if n}, capacity)
+        incumbent = min(incumbent, bins, key=_bins)
+    return improved(_merged(incumbent), floor, capacity)
 
 
 # ------------------------------------------------------------------------------- placement
