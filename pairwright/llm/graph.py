@@ -34,16 +34,26 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _brought_back(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges joined with the minimum m of their node a.
+
+    Minima come dealt by a, as they were summed; dealt anew for the join, both sides are plain
+    exchanges, of which Spark may split the one that holds a hot node's edges.
+    """
+    again = least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m")
+    return edges.join(again, "a")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour greater than a node is joined to the least node about it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return _brought_back(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and all its lesser neighbours are joined to the least of them; edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     own = least.select("a", F.col("m").alias("b"))
-    others = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    others = _brought_back(edges, least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return own.unionByName(others).distinct()
