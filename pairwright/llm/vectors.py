@@ -162,7 +162,9 @@ def tile_links(members: DataFrame, cosine: float, tile: int = TILE) -> DataFrame
         np.fill_diagonal(near, False)
         return pd.DataFrame({"rep": rows.rep, "n": near @ rows.weight.to_numpy(np.int64)})
 
-    counts = sent.groupBy("component", "t1", "t2").applyInPandas(compare, "rep long, n long")
+    # rows may lie dealt by component already, which would put all tiles of one into a single task
+    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = sent.repartition(parts, "component", "t1", "t2").groupBy("component", "t1", "t2").applyInPandas(compare, "rep long, n long")
     return counts.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
