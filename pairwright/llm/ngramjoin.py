@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import Stage, doc_texts, free_shuffles, slices, table
+from pairwright.llm.common import Stage, arrow_rows, doc_texts, free_shuffles, slices, table
 from pairwright.llm.graph import connected_components
 
 #: Counters of the sketch (a power of two), counters of one of its rows; classes of a token that is joined by pairs; classes of a tile.
 SKETCH_BITS, SEGMENT, POSTING, TILE = 22, 4096, 64, 256
+#: Rows, each with up to two whole sets, that a worker is handed at once.
+BATCH_ROWS = 512
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -357,6 +359,11 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     percent: least Jaccard similarity of a link, in hundredths.  Further columns: tag, a hash of
     the text, and node, a number that the rows of a component share (null for an empty set).
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, k, percent)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     wide = Stage(described(docs, k, percent, levels(docs, k)), "ngram-docs")
     parts = ["n", "prefix", "o2", "o3", "bits"]
