@@ -125,19 +125,27 @@ PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
 FOURS = re.compile(r"(?<=[0-9]{4})(?:[\s./_,·-]{2,3}|[./_,·\t\n])(?=[0-9]{4})")
 #: Texts without any of these are not rewritten.
 STRANGE = re.compile("[" + INVISIBLE + " Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९ -―․ ⁠⁰-₟℀-⅏−①-⓿　-。！-｡\U0001d400-\U0001d7ff]")
+#: The tests of disguised(): each is as wide as the alternatives of the transducers that it stands for.
 _WORD = re.compile(r"\b(?:dot|plus)\b")
-_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point|punkt|punto)\s*[\])}>]|&(?:#0*64|#x40|commat);|%40")
+_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point|punkt|punto)\s*[\])}>]|&(?:#0*64|#x40|commat|#0*46|#x2e|period);|%40")
 _LOOSE = re.compile(r"\s@|@\s")
-_FOURS = re.compile(r"[0-9]{4}[\s./_,·-]{1,3}[0-9]{4}[\s./_,·-]{1,3}[0-9]{4}")
+_LOOSE_DOT = re.compile(r"\.(?<=\s\.)\s")
+_AT = re.compile(r"at(?<=\sat)\s+[a-z0-9-]+\s*(?:[\[({<]|\.|\s(?:dot|point|punkt|punto)\b)")
+_FOURS = re.compile(r"[0-9]{4}(?:[\s./_,·-]{2,3}|[./_,·\t\n])[0-9]{4}")
 _SPELLED = re.compile(rf"\b(?:{_NUMBER}){_GAP}(?:{_NUMBER}|[0-9]){_GAP}(?:{_NUMBER}|[0-9])")
 
 
+def _lower(text: str) -> str:
+    """Lower case, as patterns that ignore case see it."""
+    return (text if text.isascii() else text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")).lower()
+
+
 def disguised(text: str) -> bool:
-    """Whether a text has anything that the transducers rewrite; cheap tests first."""
-    if STRANGE.search(text) or "@" in text and _LOOSE.search(text):
+    """Whether a text has anything that the transducers rewrite (true whenever they would); cheap tests first."""
+    if STRANGE.search(text) or "@" in text and _LOOSE.search(text) or _LOOSE_DOT.search(text):
         return True
-    low = text.lower()
-    if ("dot" in low or "plus" in low) and _WORD.search(low) or _BRACKET.search(low) or _SPELLED.search(low):
+    low = _lower(text)
+    if ("dot" in low or "plus" in low) and _WORD.search(low) or _AT.search(low) or _BRACKET.search(low) or _SPELLED.search(low):
         return True
     return bool(DIGIT.search(text) and _FOURS.search(text))
 

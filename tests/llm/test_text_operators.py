@@ -83,6 +83,35 @@ def test_clean_texts_have_no_spans(text):
     assert pii.redacted(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail jo.doe at example.com now", "email", "jo.doe at example.com"),
+        ("jo@example&#46;com", "email", "jo@example&#46;com"),
+        ("jo@example&#x2e;com", "email", "jo@example&#x2e;com"),
+        ("jo@example&period;com", "email", "jo@example&period;com"),
+        ("jo@example . com", "email", "jo@example . com"),
+        ("pay 45391488.03436467 now", "card", "45391488.03436467"),
+    ],
+)
+def test_disguises_without_another_one_are_tried(text, kind, found):
+    base, added = pii.all_spans(text)
+    assert [text[a:b] for a, b in base[kind] + added[kind]] == [found]
+
+
+def test_every_text_that_is_rewritten_is_tried():
+    rng = random.Random(5)
+    parts = [" ", " ", "\n", "\t", ".", " . ", "@", "at", " at ", "DOT", " dot ", "punkt", "point", "[", "]", "(", ")", "{", ">", "&#46;", "&#064;", "&#X2E;", "&period;", "&commat;", "%40"]
+    parts += ["plus", "one", "SIX", "ſix", "fİve", "zéro", "fünf", "1234", "12", "7", "-", ",", "/", "·", "com", "a", "é", "ı", "\u200b", "\u212a", "\u0660"]
+    rewritten = 0
+    for _ in range(60_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        if pii.normalise(text).text != text:
+            rewritten += 1
+            assert pii.disguised(text), text
+    assert rewritten > 5_000
+
+
 def test_pii_edges(spark):
     rows = pii.digests(docs(spark, [*ROWS, (9, "a@b.co at 1.2.3.4 or +1 (017) 555-7713, card 4539 1488 0343 6467", None)])).collect()
     assert len(rows) == len(ROWS) + 1
