@@ -1,14 +1,16 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by bucketed projection passes.
 
-In each pass every vector gets the concatenated signs of random projections; vectors are
-ordered by these bit strings and laid into blocks, and each block is compared with itself and the
-next one.  Near vectors agree in most signs, so they meet in some pass.  Pairs verified by cosine
+In each pass every vector gets the signs of random projections; vectors with the same signs are a
+bucket, and all pairs of a bucket are compared, in tiles if it is large.  Signs and passes follow
+from the number of distinct vectors, so that a pair of the sought cosine shares a bucket in some pass
+with probability RECALL at least, however the other vectors lie: a crowded bucket is more tiles, not
+fewer comparisons.  Pairs verified by cosine
 in double precision join their vectors; the passes' links are united, and components found.
 Within each component all pairs are then compared in tiles, which gives every vector's links
 exactly as far as the component reaches, whatever its size.
 
 Equal vectors are one vector while candidates are sought, so that no number of copies crowds a
-window; copies are linked by the same cosine.
+bucket; copies are linked by the same cosine.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link
 with nothing; vectors of different lengths never link; rows of one vec_id are vectors of their own,
@@ -17,6 +19,7 @@ each with its links and component; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,19 @@ from pyspark.sql import functions as F
 from pairwright.llm.common import Stage, slices, table
 from pairwright.llm.graph import connected_components
 
-#: Passes, signs of a bit string, rows of a block (a vector meets at least BLOCK neighbours on one side), rows of a tile.
-PASSES, BITS, BLOCK, TILE = 8, 60, 512, 512
+#: Probability that a pair of the sought cosine meets, most signs of a pass, rows that a bucket has at least on average, rows of a tile.
+RECALL, BITS, BLOCK, TILE = 0.999, 60, 512, 512
+
+
+def plan(vectors: int, cosine: float, block: int = BLOCK, recall: float = RECALL) -> tuple[int, int]:
+    """Signs and passes.  One sign agrees for a pair of that cosine with probability 1 - angle / pi.
+
+    Tables of under two blocks have no signs and one pass, which compares all pairs.
+    """
+    agree = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    bits = min(BITS, int(math.log2(max(1, vectors / block))))
+    met = agree**bits
+    return bits, 1 if met >= recall else math.ceil(math.log1p(-recall) / math.log1p(-met))
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -38,7 +52,7 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def planes(seed: int, dim: int, bits: int = BITS) -> np.ndarray:
+def planes(seed: int, dim: int, bits: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits))
 
 
@@ -56,7 +70,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return found.where("digest is not null")
 
 
-def projected(reps: DataFrame, passes: int = PASSES, bits: int = BITS) -> DataFrame:
+def projected(reps: DataFrame, passes: int, bits: int) -> DataFrame:
     """rep, dim and the bit string (long) of every pass, for vectors of any lengths."""
     schema = "rep long, dim int, " + ", ".join(f"h{p} long" for p in range(passes))
     names = [x.split()[0] for x in schema.split(", ")]
@@ -96,47 +110,34 @@ def _spanning(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def pass_edges(reps: DataFrame, hashes: DataFrame, number: int, cosine: float, block: int = BLOCK) -> DataFrame:
-    """a, b: links that join all vectors which one pass finds near each other in neighbouring blocks.
+def pass_edges(reps: DataFrame, hashes: DataFrame, number: int, cosine: float, tile: int = 2 * BLOCK) -> DataFrame:
+    """a, b: links that join all vectors which one pass finds near each other in its buckets.
 
-    A vector's place in the order is counted by ranges of bit strings first, so no task sorts all.
+    A bucket's vectors are dealt into tiles of about `tile`; a task compares two tiles, so a bucket of any size is many tasks.
     """
-    h = f"h{number}"
-    parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = hashes.select("rep", "dim", F.col(f"h{number}").alias("h"))
+    # one row a bucket; buckets of one vector have no pairs
+    sizes = own.groupBy("dim", "h").agg(F.count("*").alias("size")).where("size > 1").select("dim", "h", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
+    dealt = own.join(sizes, ["dim", "h"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "dim", "h", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep"
+    )
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=["rep", "part", "row"])
-            at += n
-
-    ordered = hashes.select("rep", "dim", h).repartitionByRange(parts, "dim", h, "rep").sortWithinPartitions("dim", h, "rep")
-    placed = Stage(ordered.select("rep").mapInArrow(numbered, "rep long, part int, row long"), "places")
-    totals = placed.df.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # one row a partition
-    blocks = placed.df.join(F.broadcast(firsts), "part").select("rep", F.floor((F.col("row") + F.col("first")) / block).cast("long").alias("block"))
-    # each vector goes to its own block's task and, to be met from the left, to the one before
-    sent = blocks.select("rep", F.explode(F.array(F.struct(F.col("block").alias("at"), F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("at"), F.lit(False).alias("own")))).alias("x")).select("rep", "x.at", "x.own").where("at >= 0")
-
-    def compare(rows):  # noqa: ANN001, ANN202
+    def compare(key, rows):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        edges = []
-        for _, same in rows.groupby(rows.vec.map(len)):
-            ids, own = same.rep.to_numpy(), same.own.to_numpy()
-            if own.any():
-                x = unit_rows(list(same.vec))
-                near = x @ x.T >= cosine
-                near &= own[:, None] | own[None, :]
-                np.fill_diagonal(near, False)
-                edges += _spanning(near, ids)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        _, _, t1, t2 = key
+        ids, x, first = rows.rep.to_numpy(), unit_rows(list(rows.vec)), rows.tile.to_numpy() == t1
+        near = x @ x.T >= cosine
+        if t1 != t2:
+            near &= first[:, None] != first[None, :]
+        np.fill_diagonal(near, False)
+        return pd.DataFrame(_spanning(near, ids), columns=["a", "b"], dtype="int64")
 
-    return sent.join(reps.select("rep", "vec"), "rep").groupBy("at").applyInPandas(compare, "a long, b long")
+    # rows may lie dealt by bucket already, which would put all tiles of one into a single task
+    parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with_vec = sent.join(reps.select("rep", "vec"), "rep").repartition(parts, "dim", "h", "t1", "t2")
+    return with_vec.groupBy("dim", "h", "t1", "t2").applyInPandas(compare, "a long, b long")
 
 
 def tile_links(members: DataFrame, cosine: float, tile: int = TILE) -> DataFrame:
@@ -168,15 +169,20 @@ def tile_links(members: DataFrame, cosine: float, tile: int = TILE) -> DataFrame
     return counts.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = PASSES, block: int = BLOCK, tile: int = TILE) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int | None = None, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
+
+    passes: None for as many as RECALL needs.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = usable(rows)
     groups = good.groupBy("digest").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
     numbered = Stage(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-groups").df
     reps = numbered.select("rep", "vec")
-    hashes = Stage(projected(reps, passes), "projections").df
-    found = [Stage(pass_edges(reps, hashes, p, cosine, block).distinct(), "pass").df for p in range(passes)]
+    bits, needed = plan(numbered.count(), cosine, block)
+    passes = passes or needed
+    hashes = Stage(projected(reps, passes, bits), "projections").df
+    found = [Stage(pass_edges(reps, hashes, p, cosine, 2 * block).distinct(), "pass").df for p in range(passes)]
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

@@ -293,6 +293,33 @@ def test_vectors_are_linked_as_by_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("vectors_", [1, 1023, 50_000, 400_000, 2_000_000, 10**9])
+def test_passes_follow_the_number_of_vectors(vectors_):
+    bits, passes = vectors.plan(vectors_, 0.9)
+    agree = 1 - np.arccos(0.9) / np.pi
+    assert 1 - (1 - agree**bits) ** passes >= 0.999
+    assert vectors_ / 2**bits <= 2 * vectors.BLOCK
+    assert vectors_ > 1023 or (bits, passes) == (0, 1)
+
+
+def test_pairs_in_a_crowd_are_met(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    cone = unit(centre + 0.6 * unit(rng.standard_normal((800, 64))))  # under 0.9 with one another
+    lone = unit(rng.standard_normal((1000, 64)))
+    heads = np.concatenate([cone[:100], lone[:100]])
+    side = rng.standard_normal((200, 64))
+    side = unit(side - (side * heads).sum(axis=1, keepdims=True) * heads)
+    mates = 0.92 * heads + np.sqrt(1 - 0.92**2) * side
+    every = np.concatenate([cone, lone, mates]).astype(np.float32)
+    near = unit(every.astype(float)) @ unit(every.astype(float)).T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, 0.9, block=32).collect()}
+    assert got == dict(enumerate(near.sum(axis=1).tolist()))
+
+
 # -------------------------------------------------------------------------------- op10
 
 
