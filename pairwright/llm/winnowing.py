@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import doc_texts, slices, table
 
-K, WINDOW = 16, 64
+#: Texts that share K + WINDOW - 1 = 23 code points share a hash.
+K, WINDOW = 16, 8
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOW32 = np.uint64(0xFFFFFFFF)
 

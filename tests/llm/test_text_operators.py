@@ -169,6 +169,19 @@ def test_shared_substrings_share_a_hash():
         assert set(winnowing.winnow(a)[0].tolist()) & set(winnowing.winnow(b)[0].tolist())
 
 
+def test_short_texts_are_like_their_own_edit():
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    for _ in range(200):
+        text, other = words(30)[: rng.randint(40, 119)], words(30)
+        edited = text[: len(text) - len(text) // 3] + other[: len(text) // 3]
+        kept = len(text) - len(text) // 3
+        own, changed = (winnowing.winnow(x)[0] for x in (text, edited))
+        assert kept < 23 or winnowing.likeness(own, changed) > 0
+        quote = text[:23]
+        assert set(winnowing.winnow(words(200) + quote + words(200))[0].tolist()) & set(own.tolist())
+
+
 def slow_op3(rows):
     order = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     out = []
