@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows and bytes of text that a Python worker holds at once while it walks an Arrow batch.
-SLICE_ROWS = 512
+#: Rows and bytes of text that a Python worker holds at once while it walks an Arrow batch (a single row may be longer).
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
+
+#: By application, the folder of this machine that stands for the shared one in local mode.
+_LOCAL_DIRS: dict[str, str] = {}
+#: What modules keep in a worker between tasks, by name: functions that free it and tell whether there was any.
+KEPT: dict[str, Callable[[], bool]] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where that setting is missing (tests in local mode) a folder of this machine is set.
+    Where that setting is missing, a session that runs on this machine alone uses a folder of it;
+    on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pairwright-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL_DIRS:
+            _LOCAL_DIRS[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='pairwright-')}"
+        base = _LOCAL_DIRS[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -80,11 +93,38 @@ def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Small zero-copy slices, so that few Python strings are alive at once."""
+def release(keep: str = "") -> None:
+    """Free what other operators have kept in this worker, which Spark uses for one stage after another."""
+    if any([free() for name, free in KEPT.items() if name != keep]):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it gives memory back by itself or not at all
+            pass
+
+
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Small zero-copy slices of a row at least, so that few Python strings are alive at once.
+
+    keep: what the caller itself keeps in the worker; all else that is kept there goes.
+    """
+    release(keep)
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends, at = np.cumsum(_row_bytes(batch)), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            to = min(at + rows, max(at + 1, full), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def with_starts(df: DataFrame, count_col: str, key: str, block: str, out: str = "start") -> DataFrame:

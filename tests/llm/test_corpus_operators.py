@@ -1,6 +1,7 @@
 """Operators that look at the whole corpus: op4, op5, op7, op8, op10, and the pipeline."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -323,32 +324,45 @@ def test_pairs_in_a_crowd_are_met(spark):
 # -------------------------------------------------------------------------------- op10
 
 
+def slow_pieces(text):
+    """Cut after every line end and after the blanks that follow a mark, a character at a time."""
+    out, now = [], ""
+    for i, c in enumerate(text):
+        now += c
+        after = text[i + 1] if i + 1 < len(text) else ""
+        blanks = now.rstrip(" \t\r\v\f")
+        ended = c in " \t\r\v\f" and blanks[-1:] in (".", "!", "?") and (not after or after not in " \t\r\v\f")
+        if c == "\n" or ended or not after:
+            out.append(now)
+            now = ""
+    return out
+
+
 def slow_dedup(rows, min_words):
     order = sorted(range(len(rows)), key=lambda i: rows[i][0])
     seen, out = set(), {}
     for i in order:
-        start, kept, run, units = 0, [], [], 0
-        lines = (rows[i][1] or "").split("\n")
-        flags = []
-        for line in lines:
-            words = linededup.WORDS.findall(line)
-            key = " ".join(words).lower()
-            flags.append((start, start + len(line), len(words), bool(words) and key in seen, bool(words)))
+        text, start, flags, line_start = rows[i][1] or "", 0, [], True
+        for piece in slow_pieces(text):
+            words = re.findall(r"[^\x20\x09-\x0D]+", piece)
+            key = " ".join(words).translate({c: c + 32 for c in range(65, 91)})
+            flags.append((start, start + len(piece), len(words), bool(words) and key in seen, bool(words), line_start, piece))
             if words:
                 seen.add(key)
-            start += len(line) + 1
-        spans, run = [], []
-        for f in [*flags, (0, 0, 1, False, True)]:
+            start += len(piece)
+            line_start = piece.endswith("\n")
+        spans, run, units = [], [], 0
+        for f in [*flags, (0, 0, 1, False, True, True, "")]:
             if f[4] and f[3]:
                 run.append(f)
             elif f[4]:
                 if run and sum(x[2] for x in run) >= min_words:
-                    spans.append((run[0][0], run[-1][1]))
+                    stays = not run[0][5] and run[-1][6].endswith("\n")
+                    spans.append((run[0][0], run[-1][1] - stays))
                     units += len(run)
                 run = []
-        text = rows[i][1]
-        kept = linededup.without(text, spans) if spans else text
-        out[rows[i][0]] = (kept, spans, units)
+        kept = "".join(c for j, c in enumerate(text) if not any(a <= j < b for a, b in spans))
+        out[rows[i][0]] = (rows[i][1] and kept, spans, units)
     return out
 
 
@@ -358,9 +372,10 @@ def test_line_dedup_is_the_brute_force_one(spark, monkeypatch):
     pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 30))) for _ in range(40)]
     rows = []
     for i in range(150):
-        lines = [rng.choice(pool) if rng.random() < 0.5 else f"unique {i} {j} " + " ".join(rng.choice("xyz") for _ in range(12)) for j in range(rng.randint(0, 8))]
-        rows.append((i, "\n".join(x.upper() if rng.random() < 0.2 else x for x in lines) + rng.choice(["", "\n", "\n\n"])))
-    rows += [(500, None), (501, ""), (502, "\n\n")]
+        parts = [rng.choice(pool) if rng.random() < 0.5 else f"unique {i} {j} " + " ".join(rng.choice("xyz") for _ in range(12)) for j in range(rng.randint(0, 8))]
+        ends = [rng.choice(["\n", ". ", "!  ", "?\n", ".\t", "3.5 ", ". \n", "\n\n"]) for _ in parts]
+        rows.append((i, "".join((x.upper() if rng.random() < 0.2 else x) + end for x, end in zip(parts, ends, strict=True))))
+    rows += [(500, None), (501, ""), (502, "\n\n"), (503, ". ".join([pool[0], "é" + pool[1]] * 30))]
     want = slow_dedup(rows, 25)
     got = linededup.dedup(docs(spark, rows)).collect()
     assert {r.doc_id: (r.text, [(s.start, s.end) for s in r.removed], r.n_removed) for r in got} == want
@@ -370,8 +385,13 @@ def test_line_dedup_is_the_brute_force_one(spark, monkeypatch):
 def test_line_dedup_edges(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(2, f"second\n{passage}\nend"), (1, f"first\n{passage}"), (3, "short line"), (4, "short line"), (1, f"first\n{passage}"), (None, f"nobody\n{passage}")]
+    long = " ".join(f"long{i}" for i in range(40_000))
+    rows += [(6, long), (7, f"In a line. {passage}. {long}")]
+    rows += [(8, f"Another. {passage}.\nfinis")] * 20
     got = {(r.doc_id, r.text) for r in linededup.dedup(docs(spark, rows)).collect()}
-    assert got == {(2, "second\nend"), (1, "first"), (3, "short line"), (4, "short line"), (None, f"nobody\n{passage}")}
+    assert got == {
+        (2, "second\nend"), (1, "first\n"), (3, "short line"), (4, "short line"), (None, f"nobody\n{passage}"), (6, long), (7, f"In a line. {passage}. "), (8, "Another. \nfinis"),
+    }
     assert linededup.dedup(empty(spark)).count() == 0
     assert linededup.dedup(docs(spark, rows)).columns == ["doc_id", "text", "class", "removed", "n_removed"]
 
