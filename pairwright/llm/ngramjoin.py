@@ -9,13 +9,17 @@ tokens under the second and third order, and whose parity bitmaps differ in no m
 the sets may; the rest are verified on whole sets.  Every filter is exact: no link is lost.
 
 Equal sets are one class before candidates are sought.  A prefix token of more than POSTING
-classes makes no pairs: its classes are dealt into tiles, and a task compares two tiles and returns
-only links that join what it found joined.
+classes makes no pairs.  Classes that have such tokens are dealt into tiles (by the token that most
+classes have, by size, by hash); two tiles are compared once, whatever number of tokens they
+share, and only classes that share a token with the other tile are sent.  A task applies the
+three orders and verifies all pairs of two tiles by products of incidence matrices; it returns
+how many documents each class links with, and links enough to join what is joined.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
 nothing; with fewer words than a shingle the whole sequence is one; repeated rows are one class;
 rows without doc_id join classes but name no component (a component of such rows has the id
-null); an empty table gives an empty one.
+null); very long texts are sets like any other, in tiles of few classes; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import Stage, arrow_rows, doc_texts, free_shuffles, slices, table
+from pairwright.llm.common import KEPT, Stage, arrow_rows, doc_texts, free_shuffles, slices, table
 from pairwright.llm.graph import connected_components
 
-#: Counters of the sketch (a power of two), counters of one of its rows; classes of a token that is joined by pairs; classes of a tile.
-SKETCH_BITS, SEGMENT, POSTING, TILE = 22, 4096, 64, 256
-#: Rows, each with up to two whole sets, that a worker is handed at once.
-BATCH_ROWS = 512
+#: The sketch has 16 counters a row of the table, between these powers of two (one byte each is broadcast).
+LEAST_BITS, MOST_BITS = 16, 24
+#: Counters of one row of the sketch; classes of a token that is joined by pairs; classes and hashes of a tile, about.
+SEGMENT, POSTING, TILE, TILE_HASHES = 1 << 16, 64, 256, 1 << 20
+#: Classes whose documents are found again by a table of flags; more are found by a join.
+FLAGGED = 1 << 21
+#: Rows, each with up to two whole sets, that a worker is handed at once; cells of a matrix.
+BATCH_ROWS, CELLS = 512, 1 << 22
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,6 +55,15 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _free() -> bool:
+    some = bool(_POWERS)
+    _POWERS.clear()
+    return some
+
+
+KEPT["ngrams"] = _free
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(1 << 16, 1 << n.bit_length())
     if size not in _POWERS:
@@ -113,50 +130,73 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
 # --------------------------------------------------------------------------------- sketch
 
 
-def merged_counters(rows: DataFrame) -> np.ndarray:
-    """Sum of counter arrays given as rows (segment int, salt int, counts binary); fixed size, whatever the input."""
+def sketch_bits(rows: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, max(1, rows).bit_length() + 4))
+
+
+_COUNTERS = "segment int, salt int, counts binary"
+
 
-    def add(frame):  # noqa: ANN001, ANN202
-        total = np.zeros(SEGMENT, np.int64)
-        for packed in frame.counts:
-            total += np.frombuffer(zlib.decompress(packed), np.int64)
-        return frame.iloc[:1][["segment", "salt"]].assign(counts=[zlib.compress(total.tobytes(), 1)])
+def merged_counters(rows: DataFrame, bits: int) -> np.ndarray:
+    """Sum of counter arrays given as rows (segment int, salt int, counts binary).
 
-    some = rows.groupBy("segment", "salt").applyInPandas(add, "segment int, salt int, counts binary")
-    full = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in some.groupBy("segment").applyInPandas(add, "segment int, salt int, counts binary").collect():
-        full[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+    Its size is the sketch's, whatever the input; a task sums 32 rows a segment, then 32 of these.
+    """
+    sizes = min(SEGMENT, 1 << bits)
+
+    def add(found: pa.Table) -> pa.Table:
+        total = np.zeros(sizes, np.uint32)
+        for packed in found.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(packed), np.uint32)
+        return found.select(["segment", "salt"]).slice(0, 1).append_column("counts", pa.array([zlib.compress(total, 1)], pa.binary()))
+
+    some = rows.withColumn("salt", F.expr("salt div 32").cast("int")).groupBy("segment", "salt").applyInArrow(add, _COUNTERS)
+    some = some.withColumn("salt", F.expr("salt div 32").cast("int")).groupBy("segment", "salt").applyInArrow(add, _COUNTERS)
+    full = np.zeros(1 << bits, np.uint32)
+    for r in some.groupBy("segment").applyInArrow(add, _COUNTERS).toLocalIterator():
+        full[r.segment * sizes : (r.segment + 1) * sizes] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
     return full
 
 
-def _counter_rows(hashes: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A task's counters by segment; segments without a count are left out."""
+def _counter_rows(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """A task's counters by segment; segments without a count are left out, and salt is the task's number."""
     from pyspark import TaskContext
 
-    counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+    counts, waiting, size = np.zeros(1 << bits, np.uint32), [], 0
+
+    def settle() -> None:
+        places, n = np.unique(np.concatenate(waiting), return_counts=True)
+        counts[places] += n.astype(np.uint32)
+        waiting.clear()
+
     for h in hashes:
-        waiting.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+        waiting.append((h >> np.uint64(64 - bits)).astype(np.uint32))
         size += len(h)
-        if size > 2_000_000:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-            waiting, size = [], 0
+        if size > 1_000_000:
+            settle()
+            size = 0
     if waiting:
-        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-    parts = counts.reshape(-1, SEGMENT)
-    used = np.flatnonzero(parts.any(axis=1))
-    salt = TaskContext.get().partitionId() % 32
-    packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), salt), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "salt", "counts"])
+        settle()
+    number = TaskContext.get().partitionId()
+    for i, part in enumerate(counts.reshape(-1, min(SEGMENT, 1 << bits))):
+        if part.any():
+            columns = [pa.array([i], pa.int32()), pa.array([number], pa.int32()), pa.array([zlib.compress(part, 1)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "salt", "counts"])
 
 
 def levels(docs: DataFrame, k: int) -> np.ndarray:
     """For each counter how far above the mean it is, in powers of two: 0 for all but frequent shingles."""
+    bits = sketch_bits(docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counter_rows(s for part in slices(batches) for s in shingle_sets(part.column(1).to_pylist(), k))
+        yield from _counter_rows((s for part in slices(batches, keep="ngrams") for s in shingle_sets(part.column(1).to_pylist(), k)), bits)
+
+    counts = merged_counters(doc_texts(docs).mapInArrow(run, _COUNTERS), bits)
+    return np.maximum(0, np.floor(np.log2((counts + 1.0) / (2 * counts.mean() + 8))) + 1).astype(np.uint8)
 
-    counts = merged_counters(doc_texts(docs).mapInArrow(run, "segment int, salt int, counts binary"))
-    return np.maximum(0, np.floor(np.log2((counts + 1) / (2 * counts.mean() + 8))) + 1).astype(np.uint8)
+
+def level_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[(hashes >> np.uint64(65 - len(table).bit_length())).astype(np.int64)].astype(np.uint64)
 
 
 # --------------------------------------------------------------------------------- filters
@@ -212,19 +252,19 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 def described(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
     """Every document's set size, digest, prefixes under the three orders, and parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)  # 2 ** SKETCH_BITS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(level)  # at most 2 ** MOST_BITS bytes
     names = [x.split()[0] for x in _DOCS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for part in slices(batches):
+        for part in slices(batches, keep="ngrams"):
             rows: list[tuple] = []
             for doc_id, tag, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True):
                 if not len(s):
                     rows.append((doc_id, tag, 0, None, None, None, None, None))
                     continue
-                own = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+                own = level_of(s, table)
                 o1, o2, o3 = (prefix(s, own, j, percent) for j in range(3))
                 short = [np.unique(o.astype(np.uint32)).tobytes() for o in (o2, o3)]
                 rows.append((doc_id, tag, len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), o1.view(np.int64), *short, parity(s)))
@@ -251,6 +291,7 @@ def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the parity maps and the second and third order let through.
 
     The maps are short, so they go first; the other orders' prefixes travel for the pairs left.
+    Pairs that share a token of many classes are left to the tiles.
     """
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +305,9 @@ def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield _pairs([(a, b) for a, b, p2, p3, q2, q3 in rows if _shares(p2, q2) and _shares(p3, q3)])
 
     near = _joined_sides(pairs, classes, "n", "bits").mapInArrow(by_bits, "a long, b long")
-    return _joined_sides(near, classes, "o2", "o3").mapInArrow(by_orders, "a long, b long")
+    sides = _joined_sides(near, classes, "o2", "o3", "hot")
+    left = sides.where(~F.coalesce(F.arrays_overlap("x_hot", "y_hot"), F.lit(False))).select("a", "b", "x_o2", "x_o3", "y_o2", "y_o3")
+    return left.mapInArrow(by_orders, "a long, b long")
 
 
 def _pairs(kept: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -274,87 +317,140 @@ def _pairs(kept: list[tuple[int, int]]) -> pa.RecordBatch:
 def whole_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """class, hashes (binary) of the classes needed (class).
 
-    Only documents whose id may be a needed one, by a table of fixed size, are shingled again.
+    Only documents whose id may be a needed one are shingled again: by a table of flags that grows
+    with the classes needed, or, where they are very many, by a join that brings texts and ids together.
     """
     ids = classes.join(needed, "class").select("class", "digest", "least_id", F.coalesce(F.xxhash64("least_id"), F.lit(0)).alias("h"))
+    texts = doc_texts(docs).withColumn("h", F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
+    number = needed.count()
+    flags = None
+    if number <= FLAGGED:
+        bits = sketch_bits(number)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counter_rows(b.column(0).to_numpy().view(np.uint64) for b in batches)
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _counter_rows((b.column(0).to_numpy().view(np.uint64) for b in batches), bits)
 
-    wanted = docs.sparkSession.sparkContext.broadcast(merged_counters(ids.select("h").mapInArrow(mark, "segment int, salt int, counts binary")) > 0)
+        flags = docs.sparkSession.sparkContext.broadcast(merged_counters(ids.select("h").mapInArrow(mark, _COUNTERS), bits) > 0)
+    else:
+        texts = texts.join(ids.select("h").distinct(), "h", "left_semi").select("doc_id", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = wanted.value
-        for part in slices(batches):
-            h = part.column(2).to_numpy().view(np.uint64)
-            own = np.flatnonzero(table[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
-            sets = shingle_sets(part.column(1).take(pa.array(own)).to_pylist(), k)
+        for part in slices(batches, keep="ngrams"):
+            chosen = part.column(1)
+            if flags is not None:
+                h = part.column(2).to_numpy().view(np.uint64)
+                chosen = chosen.filter(pa.array(level_of(h, flags.value) > 0))
+            sets = shingle_sets(chosen.to_pylist(), k)
             rows = [(hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), s.tobytes()) for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["digest", "hashes"])
 
-    texts = doc_texts(docs).withColumn("h", F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
     found = texts.mapInArrow(run, "digest binary, hashes binary")
     return found.join(ids.select("class", "digest"), "digest").groupBy("class").agg(F.first("hashes").alias("hashes"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x, y = (sets.select(F.col("class").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    """a, b, and the documents that each of them is linked with by this pair."""
+    x, y = (sets.select(F.col("class").alias(c), F.col("hashes").alias(h), F.col("weight").alias(f"w{h}")) for c, h in (("a", "x"), ("b", "y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True)
-            kept = [(a, b) for a, b, p, q in rows if linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
-
-
-def tile_edges(members: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Links within tokens of many classes (token, class, m); of each pair of tiles those that join."""
-    dealt = members.withColumn("tiles", F.ceil(F.col("m") / tile).cast("int")).withColumn("tile", F.pmod(F.xxhash64("class", "token"), F.col("tiles")).cast("int"))
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("token", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "class")
-
-    def compare(key, rows):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        _, t1, t2 = key
-        sets = [np.frombuffer(h, np.uint64) for h in rows.hashes]
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        ids, tiles = rows["class"].to_numpy(), rows.tile.to_numpy()
-        wide = [np.frombuffer(_folded(s), np.uint64) for s in sets]
-        root = list(range(len(sets)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges, maps, sizes = [], np.array(wide), np.array([len(s) for s in sets])
-        for at, i in enumerate(order):
-            rest = order[at + 1 :]
-            rest = rest[100 * sizes[i] >= percent * sizes[rest]]
-            if t1 != t2:
-                rest = rest[tiles[rest] != tiles[i]]
-            apart = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1).astype(np.int64)
-            total = sizes[rest] + sizes[i]
-            for j in rest[100 * (total - apart) >= percent * (total + apart)]:
-                a, b = find(int(i)), find(int(j))
-                if a != b and linked(sets[i], sets[j], percent):
-                    root[b] = a
-                    edges.append((int(ids[i]), int(ids[j])))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    return sent.join(sets, "class").groupBy("token", "t1", "t2").applyInPandas(compare, "a long, b long")
-
-
-def _folded(hashes: np.ndarray, size: int = 1024) -> bytes:
-    bits = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+            sides = zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)
+            yield part.select(["a", "b", "wx", "wy"]).filter(pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in sides], pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "wx", "wy", "x", "y").mapInArrow(run, "a long, b long, wx long, wy long")
+
+
+def tiles(large: DataFrame, percent: int, tile: int, hashes: int) -> tuple[DataFrame, DataFrame]:
+    """From tokens of many classes (token, class, n, m): each class's tokens and tile (class, hot,
+    tile), and to which pairs of tiles it is sent (t1, t2, class)."""
+    top = large.groupBy("class").agg(F.max(F.struct("m", "token")).alias("top"), F.first("n").alias("n"), F.sort_array(F.collect_list("token")).alias("hot"))
+    banded = top.select("class", "n", "hot", F.col("top.token").alias("home"), F.floor(F.log2("n")).cast("int").alias("band"))
+    cells = banded.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / hashes)).cast("long").alias("parts"))
+    number = F.xxhash64("home", "band", F.pmod(F.xxhash64("class"), F.col("parts")))
+    of_class = Stage(banded.join(cells, ["home", "band"]).select("class", "n", "hot", number.alias("tile")), "ngram-tiles").df
+    placed = large.select("token", "class", "n").join(of_class.select("class", "tile"), "class")
+    others = placed.groupBy("token", F.col("tile").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = placed.join(others, "token").where((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")))
+    sent = met.select(F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "class").distinct()
+    return of_class.select("class", "hot", "tile"), sent
+
+
+def in_common(rows: list[np.ndarray]) -> np.ndarray:
+    """How many values each two rows (distinct values each) share, by products of incidence matrices.
+
+    Only values of two rows or more are columns; they are taken so many at a time that a matrix has at most CELLS cells.
+    """
+    n = len(rows)
+    kind = np.float32 if max(map(len, rows), default=0) < 1 << 24 else np.float64  # counts are exact in it
+    total = np.zeros((n, n), kind)
+    values = np.concatenate([*rows, np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
+    column = np.cumsum(new) - 1
+    keep = (np.bincount(column, minlength=1) > 1)[column] if len(values) else new
+    owner, column = owner[keep], np.cumsum(new[keep]) - 1
+    width = max(64, CELLS // max(1, n))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (first, first + width))
+        cells = np.zeros((n, min(width, int(column[-1]) + 1 - first)), kind)
+        cells[owner[lo:hi], column[lo:hi] - first] = 1
+        total += cells @ cells.T
+    return total
+
+
+def spanning(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what `near` joins."""
+    edges, new = [], np.ones(len(ids), bool)
+    for start in np.flatnonzero(near.any(axis=1)):
+        if not new[start]:
+            continue
+        new[start], front = False, [start]
+        while front:
+            i = front.pop()
+            for j in np.flatnonzero(near[i] & new):
+                new[j] = False
+                edges.append((int(ids[i]), int(ids[j])))
+                front.append(j)
+    return edges
+
+
+def tile_links(sent: DataFrame, sets: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
+    """Of each pair of tiles: edges (a, b, links null) that join what is linked, and for every class
+    a the documents that it links with there (a, b null, links)."""
+    shared = sets.sparkSession.sparkContext.broadcast(level)
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        t1, t2 = (x.as_py() for x in key)
+        tile, ids = rows.column("tile").to_numpy(), rows.column("class").to_numpy()
+        weight, first = rows.column("weight").to_numpy(), tile == t1
+        near = np.ones((len(ids), len(ids)), bool) if t1 == t2 else first[:, None] != first[None, :]
+        np.fill_diagonal(near, False)
+        own = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+        size = np.array([len(s) for s in own], np.int64)
+        near &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+        if near.any():
+            near &= in_common([np.array(h, np.int64).view(np.uint64) for h in rows.column("hot").to_pylist()]) > 0
+        for order in (1, 2):
+            if near.any():
+                near &= in_common([prefix(s, level_of(s, shared.value), order, percent) for s in own]) > 0
+        if near.any():
+            common = in_common(own).astype(np.int64)
+            near &= 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        edges = spanning(near, ids)
+        links = near @ weight
+        some = np.flatnonzero(links)
+        a = np.concatenate((np.array([e[0] for e in edges], np.int64), ids[some]))
+        b = pa.array([*(e[1] for e in edges), *[None] * len(some)], pa.int64())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "links": pa.array([*[None] * len(edges), *links[some].tolist()], pa.int64())})
+
+    return sent.join(sets, "class").groupBy("t1", "t2").applyInArrow(compare, "a long, b long, links long")
 
 
 def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs: the least doc_id that links lead to.
+    """doc_id, n_shingles, component_id, n_links of every row of docs: the least doc_id that links
+    lead to, and how many other rows are linked with the row itself.
 
     percent: least Jaccard similarity of a link, in hundredths.  Further columns: tag, a hash of
     the text, and node, a number that the rows of a component share (null for an empty set).
@@ -365,41 +461,52 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    wide = Stage(described(docs, k, percent, levels(docs, k)), "ngram-docs")
+    level = levels(docs, k)
+    wide = Stage(described(docs, k, percent, level), "ngram-docs")
     parts = ["n", "prefix", "o2", "o3", "bits"]
-    grouped = wide.df.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first(F.struct(*parts)).alias("s"))
-    classes = Stage(grouped.select(F.monotonically_increasing_id().alias("class"), "digest", "least_id", "s.*"), "ngram-classes").df
+    grouped = wide.df.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.first(F.struct(*parts)).alias("s"))
+    classes = Stage(grouped.select(F.monotonically_increasing_id().alias("class"), "digest", "least_id", "weight", "s.*"), "ngram-classes")
     every = Stage(wide.df.select("doc_id", "tag", "n", "digest"), "ngram-ids").df
     wide.drop()  # prefixes and maps are with the classes now
     free_shuffles(spark)
-    postings = classes.select("class", "n", F.explode("prefix").alias("token"))
+    postings = classes.df.select("class", "n", F.explode("prefix").alias("token"))
     often = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     meets = Stage(postings.join(often, "token"), "ngram-postings")
-    shared = meets.df
     free_shuffles(spark)
-    small = shared.where(F.col("m") <= POSTING)
+    of_class, sent = tiles(meets.df.where(F.col("m") > POSTING), percent, TILE, TILE_HASHES)
+    small = meets.df.where(F.col("m") <= POSTING)
     x, y = small.alias("x"), small.alias("y")
     lesser = F.struct("x.n", "x.class") < F.struct("y.n", "y.class")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & lesser & (100 * F.col("x.n") >= percent * F.col("y.n")))
     pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    kept = Stage(filtered(pairs, classes, percent), "ngram-pairs").df
+    with_hot = classes.df.join(of_class.select("class", "hot"), "class", "left")
+    kept = Stage(filtered(pairs, with_hot, percent), "ngram-pairs")
+    sent = Stage(sent, "ngram-sent")
+    meets.drop()
+    free_shuffles(spark)
+    needed = kept.df.select(F.col("a").alias("class")).unionByName(kept.df.select(F.col("b").alias("class"))).unionByName(sent.df.select("class")).distinct()
+    needed = Stage(needed, "ngram-needed")
+    whole = Stage(whole_sets(docs, classes.df, needed.df, k).join(classes.df.select("class", "weight"), "class"), "ngram-sets")
     free_shuffles(spark)
-    large = shared.where(F.col("m") > POSTING).select("token", "class", "m")
-    needed = kept.select(F.col("a").alias("class")).unionByName(kept.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
-    whole = Stage(whole_sets(docs, classes, needed, k), "ngram-sets")
+    met = Stage(verified(kept.df, whole.df, percent), "ngram-links")
+    dealt = Stage(tile_links(sent.df, whole.df.join(of_class, "class"), level, percent), "ngram-tile-links")
+    for stage in (kept, sent, needed, whole):
+        stage.drop()
     free_shuffles(spark)
-    edges = verified(kept, whole.df, percent).unionByName(tile_edges(large, whole.df, percent))
-    links = connected_components(edges)
-    known = classes.select("class", "digest", "least_id").join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    links = connected_components(met.df.select("a", "b").unionByName(dealt.df.where("b is not null").select("a", "b")))
+    counts = met.df.select(F.col("a").alias("class"), F.col("wy").alias("links")).unionByName(met.df.select(F.col("b").alias("class"), F.col("wx").alias("links")))
+    counts = counts.unionByName(dealt.df.where("b is null").select(F.col("a").alias("class"), "links")).groupBy("class").agg(F.sum("links").alias("links"))
+    known = classes.df.select("class", "digest", "least_id", "weight").join(links.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
+    known = known.select("digest", "least_id", F.coalesce("component", "class").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     known = Stage(known, "ngram-components").df
-    whole.drop()
-    meets.drop()
+    for stage in (met, dealt, classes):
+        stage.drop()
     free_shuffles(spark)
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = known.join(least, "component").select("digest", "component_id", F.col("component").alias("node"))
+    named = known.join(least, "component").select("digest", "component_id", F.col("component").alias("node"), "links")
     found = every.select("doc_id", "tag", "n", "digest").join(named, "digest", "left")
     component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"), "tag", "node")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "tag", "node")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -420,7 +527,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE_SQL = r"""
@@ -437,6 +544,6 @@ links AS (
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id
-FROM documents d LEFT JOIN sizes s USING (doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id, coalesce(l.n, 0) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM both_ways GROUP BY a) l USING (doc_id)
 """

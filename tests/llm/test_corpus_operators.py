@@ -73,17 +73,18 @@ def shingles(text, k):
 
 def slow_components(rows, k, percent):
     named = [(d, shingles(t, k)) for d, t in rows]
-    sets = Sets(len(named))
+    sets, links = Sets(len(named)), Counter()
     for i, (_, a) in enumerate(named):
         for j in range(i):
             b = named[j][1]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 sets.join(i, j)
+                links.update([i, j])
     least = {}
     for i, (d, _) in enumerate(named):
         r = sets.find(i)
         least[r] = min(x for x in (least.get(r), d) if x is not None) if (least.get(r), d) != (None, None) else None
-    return sorted(((d, len(s), least[sets.find(i)]) for i, (d, s) in enumerate(named)), key=repr)
+    return sorted(((d, len(s), least[sets.find(i)], links[i]) for i, (d, s) in enumerate(named)), key=repr)
 
 
 def texts_with_copies(seed=3, n=260):
@@ -104,12 +105,13 @@ def texts_with_copies(seed=3, n=260):
     return made
 
 
-@pytest.mark.parametrize(("k", "percent", "posting"), [(3, 90, 64), (3, 90, 2), (5, 80, 2), (5, 80, 64)])
-def test_join_is_the_brute_force_one(spark, monkeypatch, k, percent, posting):
+@pytest.mark.parametrize(("k", "percent", "posting", "flagged"), [(3, 90, 64, 1 << 21), (3, 90, 2, 0), (5, 80, 2, 1 << 21), (5, 80, 6, 0)])
+def test_join_is_the_brute_force_one(spark, monkeypatch, k, percent, posting, flagged):
     monkeypatch.setattr(ngramjoin, "POSTING", posting)
     monkeypatch.setattr(ngramjoin, "TILE", 7)
-    rows = list(enumerate(texts_with_copies())) + [(900, None), (901, ""), (902, " \n "), (903, "One two"), (904, "one  TWO"), (905, "x"), (7, "again seven"), (None, "one two"), (None, "no id here at all")]
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.components(docs(spark, rows), k, percent).collect()), key=repr)
+    monkeypatch.setattr(ngramjoin, "FLAGGED", flagged)
+    rows = list(enumerate(texts_with_copies())) + [(900, None), (901, ""), (902, " \n "), (903, "One two"), (904, "one  TWO"), (905, "x"), (906, "far " * 60_000), (907, " ".join(map(str, range(30_000)))), (908, " ".join(map(str, range(30_500)))), (7, "again seven"), (None, "one two"), (None, "no id here at all")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngramjoin.components(docs(spark, rows), k, percent).collect()), key=repr)
     assert got == slow_components(rows, k, percent)
 
 
@@ -137,6 +139,16 @@ def test_filters_lose_no_link():
                 assert len(np.intersect1d(ngramjoin.prefix(a, level(a), order, 80), ngramjoin.prefix(b, level(b), order, 80)))
 
 
+def test_matrix_products_count_what_rows_share(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "CELLS", 700)
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (0, 1, 5, 40, 40, 60, 200)] + [np.array([7], np.uint64)]
+    want = [[len(np.intersect1d(a, b)) if i != j else None for j, b in enumerate(rows)] for i, a in enumerate(rows)]
+    got = ngramjoin.in_common(rows)
+    assert all(want[i][j] in (None, got[i, j]) for i in range(len(rows)) for j in range(len(rows)))
+    assert ngramjoin.in_common([]).shape == (0, 0)
+
+
 def test_shingles_are_told_apart():
     rows = ["a b c a b c", "A B\tC", "a b", "", "é É é É", "x\x1cy z w", "a b c d " * 3000]
     for k in (1, 3, 5):
