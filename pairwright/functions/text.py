@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -31,12 +32,25 @@ def normalize_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normalise(t))
 
 
+@functools.lru_cache(1)
+def foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding does to letters that lower() leaves as they are: single letters, and those that become several."""
+    left = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c and c.casefold() != c}
+    return {c: f for c, f in left.items() if len(f) == 1}, {c: f for c, f in left.items() if len(f) > 1}
+
+
 def fold(text: Column) -> Column:
-    """Lower case with the foldings of letters that lower() leaves as they are (sharp s, long s, Kelvin, ligatures)."""
-    lowered = F.translate(F.lower(text), "ſK", "sk")
-    for letter, spelled in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
-        lowered = F.replace(lowered, F.lit(letter), F.lit(spelled))
-    return lowered
+    """Case folding: lower(), and the foldings of the letters that it leaves as they are.
+
+    Letters that become several are rare, so their replacements are looked at only where one stands.
+    """
+    single, several = foldings()
+    rest = {k: v for k, v in several.items() if k != "ß"}
+    lowered = F.replace(F.translate(F.lower(text), "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
+    spelled = lowered
+    for letter, letters in rest.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
+    return F.when(F.regexp_like(lowered, F.lit("[" + "".join(rest) + "]")), spelled).otherwise(lowered)
 
 
 def normalize_query(text: Column) -> Column:

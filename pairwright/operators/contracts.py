@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.canonical import canonical_json
 from pairwright.functions.numbers import finite
 from pairwright.functions.schemas import argument_problem, schema_problem
-from pairwright.functions.text import LABELS, slug_ok
+from pairwright.functions.text import LABELS, fold, slug_ok
 from pairwright.operators.generate import PERTURBATIONS
 from pairwright.operators.guards import violations
 
@@ -47,7 +47,7 @@ def unknown_fields(raw: Column, *fields: str) -> Column:
 
 def validator_ok(v: Column) -> Column:
     number = finite(v["num_value"]) & (v["absolute_tolerance"] >= 0)
-    lowered = F.transform(v["values"], F.lower)
+    lowered = F.transform(v["values"], fold)
     return (
         F.when(v["kind"].isin("exact", "normalized_text"), _filled(v["value"]))
         .when(v["kind"] == "numeric", number)
@@ -64,7 +64,7 @@ def expected_ok(e: Column) -> Column:
         .when(e["kind"] == "ANSWER", validator_ok(e["validator"]))
         .when(e["kind"] == "CLARIFY", (F.size(slots) >= 1) & _unique(slots) & F.forall(slots, slug_ok))
         .when(e["kind"] == "REFUSE", slug_ok(e["unavailable_capability"]) & e["reason"].isin("missing_tool", "unsupported_capability"))
-        .when(e["kind"] == "NOOP", _filled(e["state_assertion"]) & (F.size(markers) >= 1) & _unique(F.transform(markers, F.lower)))
+        .when(e["kind"] == "NOOP", _filled(e["state_assertion"]) & (F.size(markers) >= 1) & _unique(F.transform(markers, fold)))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.canonical import sha256_of_string
 from pairwright.functions.text import pair_of, stratum_of, variant_of
 from pairwright.operators.guards import strict
+from pairwright.staging import Stage
 
 
 def balanced(df: DataFrame, cells: list[str], key: Column, per_cell: int) -> DataFrame:
@@ -65,13 +66,16 @@ def smoke_pairs(tasks: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def positions(df: DataFrame, key: str, out: str = "position", start: int = 0) -> DataFrame:
-    """Place of every row by key, counted per range of keys first, so that no task sorts all rows."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    """Place of every row by key.  No task sorts all rows: ranges of keys are sorted and their rows counted first.
+
+    The sorted ranges are written once and read again, as ranges that are computed twice may differ.
+    """
+    number = F.monotonically_increasing_id()  # range in the upper bits, place in it in the lower 33
+    ranged = Stage(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", number), "positions").df
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(totals), "_part").withColumn(out, F.col("_before") + F.col("_at") - 1 + start).drop("_part", "_at", "_before")  # one row a partition
+    totals = ranged.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.join(F.broadcast(totals), F.shiftright("_id", 33) == F.col("_part"))  # one row a range
+    return placed.withColumn(out, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + start).drop("_part", "_id", "_before")
 
 
 def numbered(df: DataFrame, key: str, pattern: str = "audit-%03d") -> DataFrame:
