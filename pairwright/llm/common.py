@@ -4,50 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.staging import Stage, drop_dir, shared_dir, size_of
+
+__all__ = ["KEPT", "Stage", "arrow_rows", "doc_texts", "drop_dir", "free_shuffles", "release", "shared_dir", "size_of", "slices", "staged", "table", "trim"]
+
 #: Rows and bytes of text that a Python worker holds at once while it walks an Arrow batch (a single row may be longer).
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
-#: By application, the folder of this machine that stands for the shared one in local mode.
-_LOCAL_DIRS: dict[str, str] = {}
 #: What modules keep in a worker between tasks, by name: functions that free it and tell whether there was any.
 KEPT: dict[str, Callable[[], bool]] = {}
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which the driver and all executors share.
-
-    Where that setting is missing, a session that runs on this machine alone uses a folder of it;
-    on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if context.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
-        if context.applicationId not in _LOCAL_DIRS:
-            _LOCAL_DIRS[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='pairwright-')}"
-        base = _LOCAL_DIRS[context.applicationId]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a staged table through Hadoop's file system, whichever store it is in."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner find shuffles that nothing refers to, so that their files go before more are written."""
     gc.collect()
@@ -66,20 +42,6 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-class Stage:
-    """A DataFrame written to a shared folder and read again: its lineage ends at committed files."""
-
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
-        self.spark = df.sparkSession
-        self.path = shared_dir(self.spark, name)
-        schema = df.schema
-        df.write.option("compression", codec).parquet(self.path)
-        self.df = self.spark.read.schema(schema).parquet(self.path)
-
-    def drop(self) -> None:
-        drop_dir(self.spark, self.path)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df
 
@@ -93,15 +55,20 @@ def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def trim() -> None:
+    """Give memory that is free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it gives memory back by itself or not at all
+        pass
+
+
 def release(keep: str = "") -> None:
     """Free what other operators have kept in this worker, which Spark uses for one stage after another."""
     if any([free() for name, free in KEPT.items() if name != keep]):
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: it gives memory back by itself or not at all
-            pass
+        trim()
 
 
 def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
@@ -125,21 +92,4 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             to = min(at + rows, max(at + 1, full), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
-
-
-def with_starts(df: DataFrame, count_col: str, key: str, block: str, out: str = "start") -> DataFrame:
-    """Sum of count_col over all rows before a row, by ascending key.
-
-    df has a column block that orders ranges of key; the sums are taken over blocks
-    first, so that no window holds more than one block or one row per block.
-    """
-    totals = df.groupBy(block).agg(F.sum(count_col).alias("_total"))
-    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(block, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.withColumn("_inside", F.coalesce(F.sum(count_col).over(inside), F.lit(0)))
-        .join(offsets, block)
-        .withColumn(out, (F.col("_inside") + F.col("_offset")).cast("long"))
-        .drop("_inside", "_offset")
-    )
+    trim()

@@ -6,15 +6,16 @@ A document is a recipe: the digests of its chunks in order.  Files of a store:
 
     chunks/    digest binary(16), data binary     zstandard frames of little-endian uint16 or uint32 ids
     recipes/   block, row, doc_id, start, n_tokens long, leaf binary(32), recipe binary   ascending doc_id by block
-    manifest/  block, n_docs, n_tokens long, root binary(32)   and block -1: the root over all blocks
+    manifest/  level int, number, n_docs, n_tokens long, root binary(32)   level 0: blocks, 1: ranges of blocks, 2: the store
 
 leaf is the SHA-256 of doc_id, n_tokens and recipe; a block's root is the Merkle root of its leaves
-in order, and the store's root that of the blocks' roots.  Reading rebuilds every document, and
-checks each chunk against its digest, and each block and the store against their roots.
+in order, a range's that of its blocks' roots, and the store's that of its ranges'.  Reading rebuilds
+every document, and checks each chunk against its digest, each document against its leaf, and
+blocks, ranges and store against their roots.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are documents of their own
-with shared chunks; rows without doc_id come before all others; ties are ordered by leaf; an empty
-table gives an empty store.
+Defined cases: a null or empty text is the end id alone; a very long text is a block of its own;
+repeated rows are documents of their own with shared chunks; rows without doc_id come before all
+others; ties are ordered by leaf; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -25,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import Stage, doc_texts, drop_dir, free_shuffles, shared_dir, slices, table, with_starts
+from pairwright.llm.common import Stage, doc_texts, drop_dir, free_shuffles, shared_dir, size_of, slices, table
 from pairwright.llm.tokens import tokenizer_path, word_encoder
 
 END_ID = 0
 #: Ids under the rolling hash; the mean distance of cuts is 2 ** MASK_BITS; least and greatest ids of a chunk.
 WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 256, 4096
 DIGEST = 16
-#: Documents of a block of recipes, about; chunks that a task remembers as already handed on.
-BLOCK_DOCS, REMEMBER = 1_000, 200_000
+#: A block of recipes ends with the document that brings it to so many documents or ids.
+BLOCK_DOCS, BLOCK_TOKENS = 1_000, 1 << 20
+#: Chunks that a task remembers as already handed on; bytes of a bucket of chunks, about.
+REMEMBER, BUCKET_BYTES = 200_000, 64 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -131,7 +134,7 @@ def chunked(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         import zstandard as zstd
 
         encoder, compress, seen = word_encoder(path), zstd.ZstdCompressor(level=1).compress, set()
-        for part in slices(batches, 128):
+        for part in slices(batches, 128, keep="tokens"):
             rows: list[tuple] = []
             streams = [data + end for data in encoder.encode(part.column(1).to_pylist())]
             joint = np.frombuffer(b"".join(streams), "<u4")
@@ -159,6 +162,51 @@ def chunked(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, schema)
 
 
+_ROWS = "is_block boolean, block long, row long, doc_id long, inside long, n_tokens long, leaf binary, recipe binary"
+_MANIFEST = "level int, number long, n_docs long, n_tokens long, root binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted documents (doc_id, n_tokens, leaf, recipe) with their block, place and the ids before them in the task.
+
+    The task's number is the upper half of a block's.  After the documents there is a row for
+    each block: how many documents (row) and ids it has, and its root (leaf).
+    """
+    from pyspark import TaskContext
+
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    types = [pa.bool_(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+    block, row, inside = TaskContext.get().partitionId() << 32, 0, 0
+    leaves: list[bytes] = []
+    tokens, blocks = 0, []
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    for b in batches:
+        rows = []
+        for doc_id, n, leaf, recipe in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if len(leaves) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                blocks.append((True, block, len(leaves), None, None, tokens, merkle_root(leaves), None))
+                block, leaves, tokens = block + 1, [], 0
+            rows.append((False, block, row, doc_id, inside, n, leaf, recipe))
+            leaves.append(leaf)
+            row, inside, tokens = row + 1, inside + n, tokens + n
+        yield batch(rows)
+    if leaves:
+        blocks.append((True, block, len(leaves), None, None, tokens, merkle_root(leaves), None))
+    yield batch(blocks)
+
+
+def _range_of(blocks: pa.Table) -> pa.Table:
+    """One row of level 1 from the rows of level 0 of a range."""
+    blocks = blocks.sort_by("number")
+    root = merkle_root(blocks.column("root").to_pylist())
+    totals = [sum(blocks.column(c).to_pylist()) for c in ("n_docs", "n_tokens")]
+    return pa.table({"level": pa.array([1], pa.int32()), "number": pa.array([blocks.column("number")[0].as_py() >> 32], pa.int64()), "n_docs": pa.array([totals[0]], pa.int64()), "n_tokens": pa.array([totals[1]], pa.int64()), "root": pa.array([root], pa.binary())})
+
+
 class TokenStore:
     """A store at a path that the driver and all executors share."""
 
@@ -178,45 +226,58 @@ class TokenStore:
         spark = docs.sparkSession
         store = cls(spark, path or shared_dir(spark, "token-store"))
         stage = Stage(chunked(docs, tokenizer, end_id), "chunked", "none")  # its data is compressed already
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size_of(spark, stage.path) // BUCKET_BYTES)
         unique = stage.df.where("not is_doc").groupBy("digest").agg(F.first("data").alias("data"))
         # in buckets by digest, so that readers need not shuffle chunks again; data is compressed already
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         chunks = unique.write.format("parquet").bucketBy(parts, "digest").option("compression", "none").option("path", f"{store.path}/chunks")
         chunks.saveAsTable(store.table)
         rows = stage.df.where("is_doc").select("doc_id", "n_tokens", "leaf", "recipe")
         ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
-        named = Stage(ordered.mapInArrow(_numbered, "block long, row long, doc_id long, n_tokens long, leaf binary, recipe binary"), "recipes")
-        narrow = with_starts(named.df.select("block", "row", "n_tokens"), "n_tokens", "row", "block").select("block", "row", "start")
-        final = named.df.join(narrow, ["block", "row"]).repartitionByRange(parts, "block").sortWithinPartitions("block", "row")
-        final.select("block", "row", "doc_id", "start", "n_tokens", "leaf", "recipe").write.option("compression", "none").parquet(f"{store.path}/recipes")
+        named = Stage(ordered.mapInArrow(_numbered, _ROWS), "recipes", "none")
         stage.drop()
-        named.drop()
         free_shuffles(spark)
-        roots = store._roots()
-        total = roots.agg(F.count("*"), F.sum("n_docs"), F.sum("n_tokens")).first()
-        top = spark.createDataFrame([(-1, int(total[1] or 0), int(total[2] or 0), store._top(roots))], roots.schema)
-        roots.unionByName(top).write.parquet(f"{store.path}/manifest")
+        blocks = named.df.where("is_block").select(F.lit(0).alias("level"), F.col("block").alias("number"), F.col("row").alias("n_docs"), "n_tokens", F.col("leaf").alias("root"))
+        part = F.shiftright("number", 32)
+        ranges = Stage(blocks.groupBy(part).applyInArrow(_range_of, _MANIFEST), "ranges")
+        before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = ranges.df.select("number", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("offset"))  # a row a range: as many as partitions
+        placed = named.df.where("not is_block").withColumn("number", F.shiftright("block", 32)).join(F.broadcast(offsets), "number")
+        final = placed.select("block", "row", "doc_id", (F.col("inside") + F.col("offset")).alias("start"), "n_tokens", "leaf", "recipe")
+        final.write.option("compression", "none").parquet(f"{store.path}/recipes")
+        every = blocks.unionByName(ranges.df)
+        every.unionByName(spark.createDataFrame([store._whole(ranges.df)], _MANIFEST)).write.parquet(f"{store.path}/manifest")
+        named.drop()
+        ranges.drop()
         return store
 
-    def _roots(self) -> DataFrame:
-        """Merkle root of every block, from the recipes' leaves."""
+    @staticmethod
+    def _whole(ranges: DataFrame) -> tuple:
+        """The row of level 2.  A range is a partition of the recipes when they were written: their roots are few."""
+        found = ranges.orderBy("number").collect()
+        return 2, -1, sum(r.n_docs for r in found), sum(r.n_tokens for r in found), merkle_root([bytes(r.root) for r in found])
 
-        def root(rows):  # noqa: ANN001, ANN202
-            rows = rows.sort_values("row")
-            return rows.iloc[:1][["block"]].assign(n_docs=len(rows), n_tokens=rows.n_tokens.sum(), root=merkle_root(list(rows.leaf)))
+    def _check_top(self) -> None:
+        """Raises if the manifest's ranges or its store do not follow from its blocks."""
+        kept = self._read("manifest")
+        again = kept.where("level = 0").groupBy(F.shiftright("number", 32)).applyInArrow(_range_of, _MANIFEST)
+        same = ["level", "number", "n_docs", "n_tokens", "root"]
+        apart = again.select(same).exceptAll(kept.where("level = 1").select(same)).unionByName(kept.where("level = 1").select(same).exceptAll(again.select(same)))
+        top = kept.where("level = 2").first()
+        if not apart.isEmpty() or (top.n_docs, top.n_tokens, bytes(top.root)) != self._whole(kept.where("level = 1"))[2:]:
+            raise ValueError(f"store {self.path} does not match its manifest")
 
-        return self._read("recipes").select("block", "row", "n_tokens", "leaf").groupBy("block").applyInPandas(root, "block long, n_docs long, n_tokens long, root binary")
+    def verify(self) -> None:
+        """Raises if what the recipes and the manifest say does not agree.  Chunks are checked where they are read."""
 
-    def _top(self, roots: DataFrame) -> bytes:
-        """Root over the blocks' roots: 32 bytes a block come to the driver, one block for BLOCK_DOCS documents."""
-        return merkle_root([bytes(r.root) for r in roots.where("block >= 0").select("block", "root").orderBy("block").toLocalIterator()])
+        def root(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("row")
+            return rows.slice(0, 1).select(["block"]).append_column("n_docs", pa.array([len(rows)], pa.int64())).append_column("root", pa.array([merkle_root(rows.column("leaf").to_pylist())], pa.binary()))
 
-    def verify(self) -> None:
-        """Raises if a block's root, or the store's, is not the one in the manifest."""
-        kept = self._read("manifest")
-        wrong = self._roots().join(kept.select("block", F.col("root").alias("kept")), "block", "full_outer").where("block >= 0 and not root <=> kept").limit(1).collect()
-        if wrong or bytes(kept.where("block = -1").first().root) != self._top(kept):
+        found = self._read("recipes").select("block", "row", "leaf").groupBy("block").applyInArrow(root, "block long, n_docs long, root binary")
+        kept = self._read("manifest").where("level = 0").select(F.col("number").alias("block"), F.col("n_docs").alias("docs"), F.col("root").alias("kept"))
+        if not found.join(kept, "block", "full_outer").where("not (root <=> kept and n_docs <=> docs)").isEmpty():
             raise ValueError(f"store {self.path} does not match its manifest")
+        self._check_top()
 
     def read(self, what: str, per_document) -> DataFrame:  # noqa: ANN001
         """Rebuild every document from its recipe: doc_id, start, n_tokens, and per_document(ids) as `out what`.
@@ -224,6 +285,7 @@ class TokenStore:
         A block of documents asks for each of its chunks once, whatever number of its documents
         hold it; so a chunk that a third of all documents share is sent once a block.
         """
+        self._check_top()
         recipes = self._read("recipes")
 
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,48 +295,42 @@ class TokenStore:
 
         asked = recipes.select("block", "recipe").mapInArrow(wanted, "block long, digest binary")
         sent = asked.join(self._chunks(), "digest").select("block", "digest", "data")
+        # a block's root comes as a row before its documents
+        roots = self._read("manifest").where("level = 0").select(F.col("number").alias("block"), F.lit(-1).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("start"), F.col("n_docs").alias("n_tokens"), F.col("root").alias("leaf"), F.lit(None).cast("binary").alias("recipe"))
+        kind = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[what]
 
-        def rebuild(key, rows, chunks):  # noqa: ANN001, ANN202
-            import pandas as pd
+        def rebuild(rows: pa.Table, chunks: pa.Table) -> pa.Table:
             import zstandard as zstd
 
             expand = zstd.ZstdDecompressor().decompress
             have = {}
-            for digest, data in zip(chunks.digest, chunks.data, strict=True):
+            for digest, data in zip(chunks.column("digest").to_pylist(), chunks.column("data").to_pylist(), strict=True):
                 body = expand(data)
                 if hashlib.sha256(body).digest()[:DIGEST] != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
                 have[digest] = body
+            found = sorted(zip(*(rows.column(c).to_pylist() for c in ("row", "doc_id", "start", "n_tokens", "leaf", "recipe")), strict=True), key=lambda r: r[0])
+            if found[0][0] != -1 or found[0][3] != len(found) - 1 or merkle_root([r[4] for r in found[1:]]) != found[0][4]:
+                raise ValueError(f"block {rows.column('block')[0]} does not match the manifest")
             out = []
-            for doc_id, start, n, leaf, recipe in zip(rows.doc_id, rows.start, rows.n_tokens, rows.leaf, rows.recipe, strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                ids = b"".join(_wide(have[recipe[i : i + DIGEST]]) for i in range(0, len(recipe), DIGEST))
-                if len(ids) != 4 * n or _leaf(doc_id, int(n), recipe) != leaf:
+            for _, doc_id, _, n, leaf, recipe in found[1:]:
+                ids = b"".join([_wide(have[recipe[i : i + DIGEST]]) for i in range(0, len(recipe), DIGEST)])
+                if len(ids) != 4 * n or _leaf(doc_id, n, recipe) != leaf:
                     raise ValueError(f"document {doc_id} is damaged")
-                out.append((doc_id, start, n, per_document(ids)))
-            found = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "out"])
-            return found.astype({"doc_id": "Int64"})
+                out.append(per_document(ids))
+            columns = [pa.array([r[i] for r in found[1:]], pa.int64()) for i in (1, 2, 3)]
+            return pa.table([*columns, pa.array(out, kind)], names=["doc_id", "start", "n_tokens", "out"])
 
-        return recipes.select("block", "doc_id", "start", "n_tokens", "leaf", "recipe").groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(rebuild, f"doc_id long, start long, n_tokens long, out {what}")
+        rows = recipes.select("block", "row", "doc_id", "start", "n_tokens", "leaf", "recipe").unionByName(roots)
+        return rows.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(rebuild, f"doc_id long, start long, n_tokens long, out {what}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         drop_dir(self.spark, self.path)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row: place in the sorted partition; block: partition and run of BLOCK_DOCS rows in it, in order."""
-    from pyspark import TaskContext
-
-    first, at = TaskContext.get().partitionId() << 32, 0
-    for b in batches:
-        rows = np.arange(at, at + b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(first + rows // BLOCK_DOCS), pa.array(rows), *b.columns], names=["block", "row", *b.schema.names])
-        at += b.num_rows
-
-
 def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = TokenStore.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    store.verify()
-    found = store.read("long", zlib.crc32)
+    found = Stage(store.read("long", zlib.crc32), "token-digests").df
+    store.drop()
     return found.select("doc_id", "start", "n_tokens", F.col("out").alias("ids_crc32"))

@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from pairwright.llm.common import KEPT
+
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMERIC = "0-9²³¹¼-¾"
 #: The byte-level splitting pattern over the characters that PLAIN admits.
@@ -21,7 +23,7 @@ NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]|<\|")
 SPELLED = re.compile(r" [!-~]+\Z")
 #: Words of each of the two generations that a worker remembers (a speed matter only): when the
 #: young one is full it becomes the old one, from which words still in use are taken over.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 300_000
 
 _LOADED: dict[str, "WordEncoder"] = {}
 
@@ -96,6 +98,15 @@ class WordEncoder:
         return found
 
 
+def _free() -> bool:
+    some = bool(_LOADED)
+    _LOADED.clear()
+    return some
+
+
+KEPT["tokens"] = _free
+
+
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per worker process and file."""
     if path not in _LOADED:
