@@ -11,14 +11,19 @@ the counts allow.  The last few sequences are searched by branch and bound over
 Pieces get their places by their rank within their length, which is counted per task first,
 so that no length's pieces meet in one task.
 
-Defined cases: a null or empty text is a piece of the end id alone; repeated rows, ties and null
-ids are pieces like any others; an empty table has no pieces.
+Fewest sequences are not proven unless the lower bound is met: the searches have budgets, as the
+problem is hard.  The bound is given beside what was found.
+
+Defined cases: a null or empty text is a piece of the end id alone; a very long text is as many
+pieces as it needs; repeated rows, ties and null ids are pieces like any others; further columns of
+any names are passed over; an empty table has no pieces.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -56,10 +61,10 @@ def completions(room: int, counts: dict[int, int], sizes: list[int], enough: int
     """Undominated fillings of room, those of least waste first, at most `enough`.
 
     sizes descend.  A filling that leaves room for a further piece is dominated, and so is
-    one in which a larger piece could stand for one of its pieces; going from the largest piece
-    down meets the better one first.  A branch ends if even all pieces below it cannot bring
-    the waste under that of the incumbents.
+    one in which a larger piece could stand for one or two of its pieces.  A branch ends if even
+    all pieces below it cannot bring the waste under that of the incumbents.
     """
+    rising = sizes[::-1]
     first = best_fit(room, counts, sizes)
     kept = {first: room - sum(first)}
     if (enough == 1 and not kept[first]) or not room:
@@ -73,6 +78,19 @@ def completions(room: int, counts: dict[int, int], sizes: list[int], enough: int
     def worst() -> int:
         return max(kept.values()) if len(kept) >= enough else room + 1
 
+    def dominated(taken: list[int], left: int) -> bool:
+        """Whether a piece that is there could take the place of one or two smaller ones within the room left."""
+        if not left:
+            return False
+        for i, a in enumerate(taken):
+            for least, most in ((a + 1, a + left), *((a + b, a + b + left) for b in taken[i + 1 : i + 3])):
+                j = bisect_left(rising, least)
+                while j < len(rising) and rising[j] <= most:
+                    if counts[rising[j]] > taken.count(rising[j]):
+                        return True
+                    j += 1
+        return False
+
     def walk(at: int, left: int, taken: list[int]) -> bool:
         """False once the search is over."""
         nonlocal tried
@@ -80,7 +98,7 @@ def completions(room: int, counts: dict[int, int], sizes: list[int], enough: int
         if tried > budget:
             return False
         if left < smallest or at == len(sizes):
-            if left < worst():
+            if left < worst() and not dominated(taken, left):
                 kept[tuple(taken)] = left
                 if len(kept) > enough:
                     kept.pop(max(kept, key=kept.__getitem__))
@@ -212,7 +230,7 @@ def _bins(solution: list[tuple[Filling, int]]) -> int:
 def improved(solution: list[tuple[Filling, int]], floor: int, capacity: int, rounds: int = ROUNDS) -> list[tuple[Filling, int]]:
     """Take the sequences with the most waste and some others apart, complete them anew, keep what is fewer."""
     rng = random.Random(1)
-    for _ in range(rounds):
+    for _ in range(rounds * max(1, min(8, _bins(solution) - floor))):
         if _bins(solution) <= floor:
             break
         wasteful = sorted((x for x in solution if sum(x[0]) < capacity), key=lambda x: sum(x[0]))
@@ -287,7 +305,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         from pyspark import TaskContext
 
         block, seen, encoder = TaskContext.get().partitionId(), Counter(), word_encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, keep="tokens"):
             rows: list[tuple] = []
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                 ids += end
@@ -303,10 +321,12 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (staged, as tokenized_pieces gives them) with sequence_id and offset."""
+    """pieces (staged, as tokenized_pieces gives them) with sequence_id and offset, and in every row
+    sequences, how many there are, and bound, which no packing can be under."""
     cells = pieces.groupBy("length", "block").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = placement(pack_histogram(counts, capacity))
+    bins = pack_histogram(counts, capacity)
+    plan, made, bound = placement(bins), _bins(bins), lower_bound(counts, capacity)
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cells.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(firsts, ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("local")).alias("rank"))
@@ -324,11 +344,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[own], offset[own] = use[:, 2] + copy, use[:, 3] + slot * size
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumns({"sequences": F.lit(made).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents' pieces."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequences, bound of all documents' pieces."""
     return place(staged(tokenized_pieces(docs, path, capacity, end_id), "packing"), capacity)
 
 
