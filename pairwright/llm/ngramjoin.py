@@ -9,10 +9,9 @@ tokens under the second and third order, and whose parity bitmaps differ in no m
 the sets may; the rest are verified on whole sets.  Every filter is exact: no link is lost.
 
 Equal sets are one class before candidates are sought.  A prefix token of more than POSTING
-classes makes no pairs.  Classes that have such tokens are dealt into tiles (by the token that most
-classes have, by size, by hash); two tiles are compared once, whatever number of tokens they
-share, and only classes that share a token with the other tile are sent.  A task applies the
-three orders and verifies all pairs of two tiles by products of incidence matrices; it returns
+classes makes no pairs.  Classes that have such tokens are dealt into tiles (by a token that most
+classes have, by size, by hash); two tiles that share tokens are compared once, whatever
+number of them they share.  A task applies the three orders and verifies all pairs of two tiles by products of incidence matrices; it returns
 how many documents each class links with, and links enough to join what is joined.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
@@ -362,17 +361,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def tiles(large: DataFrame, percent: int, tile: int, hashes: int) -> tuple[DataFrame, DataFrame]:
     """From tokens of many classes (token, class, n, m): each class's tokens and tile (class, hot,
-    tile), and to which pairs of tiles it is sent (t1, t2, class)."""
-    top = large.groupBy("class").agg(F.max(F.struct("m", "token")).alias("top"), F.first("n").alias("n"), F.sort_array(F.collect_list("token")).alias("hot"))
+    tile), and to which pairs of tiles it is sent (t1, t2, class).
+
+    A tile's classes have a token in common, one of those with the most classes; of two tiles that
+    share a token all classes are sent, unless their sizes are too far apart.
+    """
+    top = large.groupBy("class").agg(F.max(F.struct(F.floor(F.log2("m")), "token")).alias("top"), F.first("n").alias("n"), F.sort_array(F.collect_list("token")).alias("hot"))
     banded = top.select("class", "n", "hot", F.col("top.token").alias("home"), F.floor(F.log2("n")).cast("int").alias("band"))
     cells = banded.groupBy("home", "band").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / hashes)).cast("long").alias("parts"))
     number = F.xxhash64("home", "band", F.pmod(F.xxhash64("class"), F.col("parts")))
     of_class = Stage(banded.join(cells, ["home", "band"]).select("class", "n", "hot", number.alias("tile")), "ngram-tiles").df
-    placed = large.select("token", "class", "n").join(of_class.select("class", "tile"), "class")
-    others = placed.groupBy("token", F.col("tile").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = placed.join(others, "token").where((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")))
-    sent = met.select(F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "class").distinct()
-    return of_class.select("class", "hot", "tile"), sent
+    held = of_class.select("tile", "n", F.explode("hot").alias("token")).groupBy("token", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = held.alias("x"), held.alias("y")
+    near = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") <= F.col("y.tile")) & near).select(F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2")).distinct()
+    sides = met.withColumn("tile", F.explode(F.when(F.col("t1") == F.col("t2"), F.array("t1")).otherwise(F.array("t1", "t2"))))
+    return of_class.select("class", "hot", "tile"), sides.join(of_class.select("class", "tile"), "tile").select("t1", "t2", "class")
 
 
 def in_common(rows: list[np.ndarray]) -> np.ndarray:
