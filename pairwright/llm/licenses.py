@@ -1,16 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines) are classified by a softmax regression over sparse word n-grams of one to
+A paragraph goes on from line to line until a blank line, or a line that ends with a mark; so
+wrapped lines are one paragraph.  Paragraphs are classified by a softmax regression over sparse word n-grams of one to
 three words.  It is trained on the templates below: each family's sentences, whole, cut and with
-words changed, against ordinary paragraphs of the corpus and licence-like ones of no family.  Its
-temperature and the least probability for naming a family are chosen on examples that
-it was not trained on; under that probability a licence-like paragraph is of the class
-"unknown".  A named family is confirmed if the paragraph holds enough of one of its templates' words
-in order, and is unknown otherwise.
-
-Defined cases: null and empty texts and lines without a known word have no licence; a
-paragraph has one family at most, a document the families of its paragraphs; repeated rows get
-the same result; with an empty table the ordinary class is learnt from the templates alone.
+words changed, against ordinary lines of the corpus and licence-like ones of no family.  Its
+temperature and the least probability for naming a family are chosen on what models say about
+sentences that none of their examples came from: of those of no family at most one in a hundred may be
+named.  Under that probability a licence-like paragraph is of the class "unknown".  A named family is confirmed if the paragraph holds enough of one of its
+templates' words in order, and is unknown otherwise.  In a paragraph of several lines that as a whole is
+not confirmed each line is a paragraph of its own, so that a licence line amid other text is found.
+
+Defined cases: null and empty texts and paragraphs without a known word have no licence; a
+paragraph has one family at most, a document the families of its paragraphs; very long texts and
+paragraphs are read whole; repeated rows get the same result, and a doc_id counts once in the sample;
+with an empty table the ordinary class is learnt from the templates alone.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from pairwright.llm.common import doc_texts, slices, table
 
 WORDS = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 NONE, UNKNOWN = "none", "unknown"
-#: Documents whose paragraphs are taken as ordinary ones for fitting, and paragraphs at most.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 4_000
+MARKS = ".!?:;"
+#: A bounded sample is taken for fitting: documents (the first by a hash of doc_id), of at most so many code points, and lines of them.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PARAGRAPHS = 400, 20_000, 4_000
+#: Models that are trained without a part of the sentences, to calibrate; their steps, and those of the final one.
+FOLDS, FOLD_STEPS, STEPS = 4, 150, 400
 #: Part of a template's word pairs that a paragraph must hold for its family to be confirmed.
 CONFIRM = 0.6
 
@@ -153,14 +159,14 @@ class LicenseModel:
     least: float
 
 
-def _examples(rng: random.Random, ordinary: list[list[str]]) -> list[tuple[list[str], str]]:
-    """Templates whole, cut, joined with ordinary words, and with words changed."""
-    found: list[tuple[list[str], str]] = []
+def _examples(rng: random.Random, ordinary: list[list[str]]) -> list[tuple[list[str], str, int]]:
+    """Templates whole, cut, joined with ordinary words, and with words changed: words, class, fold of the sentence."""
+    found: list[tuple[list[str], str, int]] = []
     noise = [w for p in ordinary for w in p] or ["text"]
     for family, sentences in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for sentence in sentences:
+        for number, sentence in enumerate(sentences):
             words = tokens(sentence)
-            found.append((words, family))
+            found.append((words, family, number % FOLDS))
             for _ in range(12):
                 own = list(words)
                 if len(own) > 12 and rng.random() < 0.5:
@@ -171,15 +177,15 @@ def _examples(rng: random.Random, ordinary: list[list[str]]) -> list[tuple[list[
                 if rng.random() < 0.3:
                     extra = [rng.choice(noise) for _ in range(rng.randint(1, 8))]
                     own = extra + own if rng.random() < 0.5 else own + extra
-                found.append((own, family))
-    found += [(p, NONE) for p in ordinary if p]
+                found.append((own, family, number % FOLDS))
+    found += [(p, NONE, i % FOLDS) for i, p in enumerate(ordinary) if p]
     return found
 
 
-def _train(rows: list[tuple[list[str], str]], classes: tuple[str, ...], index: dict[str, int], steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def _train(rows: list[tuple[list[str], str, int]], classes: tuple[str, ...], index: dict[str, int], steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Full-batch softmax regression with momentum; classes weigh alike."""
-    at = [np.array(sorted({index[g] for g in grams(w) if g in index}), int) for w, _ in rows]
-    y = np.array([classes.index(c) for _, c in rows])
+    at = [np.array(sorted({index[g] for g in grams(w) if g in index}), int) for w, _, _ in rows]
+    y = np.array([classes.index(c) for _, c, _ in rows])
     share = 1 / np.bincount(y, minlength=len(classes)).clip(1)[y] / len(set(y.tolist()))
     flat, owner = np.concatenate(at), np.repeat(np.arange(len(rows)), [len(a) for a in at])
     weights, bias = np.zeros((len(index), len(classes))), np.zeros(len(classes))
@@ -204,32 +210,46 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def sample(docs: DataFrame) -> list[str]:
+    """Texts of the first SAMPLE_DOCS documents by a hash, one row (the least text) of each doc_id.
+
+    Only rows whose hash is in the lowest part of its range leave the scan: some eight times as many as are taken.
+    """
+    rows = docs.count()  # from the files' footers
+    share = min(1.0, 8 * SAMPLE_DOCS / max(1, rows))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
+    few = doc_texts(docs).where(F.col("doc_id").isNotNull() & (place <= int(share * 2**31)) & (F.length("text") <= SAMPLE_CHARS))
+    return [r.text for r in few.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(place, "doc_id").limit(SAMPLE_DOCS).collect()]
+
+
 def fit(docs: DataFrame) -> LicenseModel:
-    """Train on the templates and on paragraphs of at most SAMPLE_DOCS documents (the first by a hash)."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = [r.text for r in doc_texts(docs).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= 20_000).orderBy(F.xxhash64("doc_id"), "text").collect()]
+    """Train on the templates and on lines of a bounded sample of documents."""
     rng = random.Random(5)
     marks = set(tokens("license licensed copyright permission permitted redistribution rights warranty domain spdx"))
-    lines = [w for t in texts for w in map(tokens, t.split("\n")) if w and not marks.intersection(w)]
+    lines = [w for t in sample(docs) for w in map(tokens, t.split("\n")) if w and not marks.intersection(w)]
     ordinary = rng.sample(lines, min(len(lines), SAMPLE_PARAGRAPHS))
     rows = _examples(rng, ordinary)
     rng.shuffle(rows)
-    half = len(rows) * 3 // 4
-    train, apart = rows[:half], rows[half:]
     classes = (NONE, UNKNOWN, *TEMPLATES)
     known = {g for s in (*OTHERS, *(s for f in TEMPLATES.values() for s in f)) for g in grams(tokens(s))}
     index = {g: i for i, g in enumerate(sorted(known))}
-    weights, bias = _train(train, classes, index)
-    model = LicenseModel(classes, index, weights, bias, 1.0, 0.0)
-    z = np.array([_logits(model, w) for w, _ in apart])
-    y = np.array([classes.index(c) for _, c in apart])
-    losses = {t: -np.log(_softmax(z / t)[np.arange(len(y)), y].clip(1e-12)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
+    z, y, words = [], [], []
+    for fold in range(FOLDS):  # no variant of a sentence is on both sides
+        part = LicenseModel(classes, index, *_train([r for r in rows if r[2] != fold], classes, index, FOLD_STEPS), 1.0, 0.0)
+        apart = [r for r in rows if r[2] == fold]
+        z += [_logits(part, w) for w, _, _ in apart]
+        y += [classes.index(c) for _, c, _ in apart]
+        words += [w for w, _, _ in apart]
+    z, y = np.array(z), np.array(y)
+    apart = y < 2  # texts of no family are always new ones; a family's sentences are those that the final model knows
+    losses = {t: -np.log(_softmax(z / t)[apart, y[apart]].clip(1e-12)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
     temperature = min(losses, key=losses.__getitem__)
     p = _softmax(z / temperature)
-    family = p[:, 2:].argmax(axis=1) + 2
-    top, right = p[:, 2:].max(axis=1), family == y
-    # the least probability with 99 of 100 named families right
-    least = next((t for t in np.arange(0.3, 0.96, 0.05) if (top >= t).any() and right[top >= t].mean() >= 0.99), 0.95)
+    top, best = p[:, 2:].max(axis=1), p[:, 2:].argmax(axis=1) + 2
+    other = y == classes.index(UNKNOWN)
+    named = np.array([o and q[0] < 0.5 and confirmed(w, classes[c]) > 0 for o, q, w, c in zip(other, p, words, best, strict=True)])
+    least = next((t for t in np.arange(0.3, 0.96, 0.05) if (named & (top >= t)).sum() <= 0.01 * other.sum()), 0.95)
+    weights, bias = _train(rows, classes, index, STEPS)
     return LicenseModel(classes, index, weights, bias, temperature, float(least))
 
 
@@ -255,26 +275,49 @@ class Scanner:
         spread = model.weights[:, 0] < 0
         self.telling = {w for w, i in model.index.items() if " " not in w and spread[i]}
 
+    def classified(self, text: str) -> tuple[str, float, float] | None:
+        """Family or "unknown", probability and template likeness of one paragraph; None if it is no licence."""
+        words = tokens(text)
+        if self.telling.isdisjoint(words):
+            return None
+        p = _softmax(_logits(self.model, words) / self.model.temperature)
+        best = int(p[2:].argmax()) + 2
+        if p[0] >= 0.5:
+            return None
+        family, chance = self.model.classes[best], float(p[best])
+        alike = confirmed(words, family)
+        return (family, chance, alike) if alike and chance >= self.model.least else (UNKNOWN, float(p[1]), alike)
+
     def paragraphs(self, text: str) -> list[tuple[str, float, float, int, int]]:
         """Family or "unknown", probability, template likeness, start and end of each licence paragraph."""
-        found, start = [], 0
-        for line in text.split("\n"):
-            end = start + len(line)
-            if line:
-                words = tokens(line)
-                if not self.telling.isdisjoint(words):
-                    p = _softmax(_logits(self.model, words) / self.model.temperature)
-                    best = int(p[2:].argmax()) + 2
-                    if p[0] < 0.5:
-                        family, chance = self.model.classes[best], float(p[best])
-                        alike = confirmed(words, family)
-                        if chance < self.model.least or not alike:
-                            family, chance = UNKNOWN, float(p[1])
-                        found.append((family, chance, alike, start, end))
-            start = end + 1
+        found = []
+        for lines in blocks(text):
+            start, end = lines[0][0], lines[-1][1]
+            whole = self.classified(text[start:end])
+            if len(lines) > 1 and (whole is None or whole[0] == UNKNOWN):
+                own = [(*c, a, b) for a, b in lines if (c := self.classified(text[a:b])) is not None]
+                if own or whole is None:
+                    found += own
+                    continue
+            if whole is not None:
+                found.append((*whole, start, end))
         return found
 
 
+def blocks(text: str) -> list[list[tuple[int, int]]]:
+    """Start and end of the lines of every paragraph."""
+    found, now, start = [], [], 0
+    for line in text.split("\n"):
+        end = start + len(line)
+        if line.strip():
+            now.append((start, end))
+        if now and (not line.strip() or line.rstrip()[-1] in MARKS):
+            found.append(now)
+            now = []
+        start = end + 1
+    return [*found, now] if now else found
+
+
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, paragraphs array<struct<family,probability,likeness,start,end>>; no shuffle."""
     shape = pa.struct([("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
