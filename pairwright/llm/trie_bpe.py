@@ -6,8 +6,12 @@ last token of a longer prefix is the one suffix token t for which the last token
 stay apart when they are encoded together.  Words are put into a trie; a depth-first walk hands
 the last tokens down, and a prefix that many words share is encoded once.
 
+Decoding goes from ids alone: each id is looked up in the vocabulary, ids that it does not have are
+passed over, and the tokens are joined as the file's decoder joins them.
+
 Defined cases: null and empty texts have no ids and decode to the empty text; special tokens'
-strings in a text become their ids, as the tokenizers library has it.
+strings in a text become their ids, as the tokenizers library has it; very long texts and
+repeated rows are encoded like any others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm.common import doc_texts, slices, table
+from pairwright.llm.common import KEPT, doc_texts, slices, table
 from pairwright.llm.tokens import tokenizer_path
 
 END, NEVER = "</w>", 1 << 60
@@ -184,9 +188,11 @@ class TextEncoder:
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = dict(enumerate(byte_letters()))
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
-        self.special_names = {i: t for t, i in self.special.items()}
         self.ids: dict[str, bytes] = {}
-        self.names: dict[str, str] = {}
+        every = {**{i: t for t, i in model["vocab"].items()}, **{i: t for t, i in self.special.items()}}
+        #: token of each id, None where there is none
+        self.tokens = np.array([every.get(i) for i in range(max(every) + 1)], dtype=object)
+        self.gaps = len(every) < len(self.tokens)
 
     def _words(self, text: str) -> list[str]:
         """Words as the library splits them, plain text or in byte letters (marked by a leading NUL)."""
@@ -202,35 +208,50 @@ class TextEncoder:
             tokens = self.trie.encode(list(dict.fromkeys(spelled)))
             for w, own in zip(part, map(tokens.__getitem__, spelled), strict=True):
                 self.ids[w] = b"".join(map(self.id_bytes.__getitem__, own))
-                self.names[w] = " ".join(own)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of each text (four bytes each) and the text that they decode to."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each."""
         cut = [self.split.split(t) if "<|" in t else (t,) for t in texts]
         parts = [[self.special[p] if p in self.special else self._words(p) for p in one if p] for one in cut]
         words = [w for one in parts for p in one if not isinstance(p, int) for w in p]
         fresh = set(words).difference(self.ids)
         if len(self.ids) + len(fresh) > KEEP_WORDS:
             self.ids.clear()
-            self.names.clear()
             fresh = set(words)
         self._learn(sorted(fresh))
         out = []
         for one in parts:
-            ids, names = [], []
+            ids = []
             for p in one:
                 if isinstance(p, int):
                     ids.append(p.to_bytes(4, "little"))
-                    names.append(self.special_names[p])
                 else:
                     ids.extend(map(self.ids.__getitem__, p))
-                    names.extend(map(self.names.__getitem__, p))
-            out.append((b"".join(ids), " ".join(names)))
+            out.append(b"".join(ids))
         return out
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text that ids stand for, as the library's decode(ids, skip_special_tokens=False) gives it."""
+        if len(ids) and int(ids.max()) >= len(self.tokens):
+            ids = ids[ids < len(self.tokens)]
+        tokens = self.tokens[ids].tolist()
+        if self.gaps:
+            tokens = [t for t in tokens if t is not None]
+        return " ".join(tokens) if self.library.decoder is None else self.library.decoder.decode(tokens)
+
+
 _LOADED: dict[str, TextEncoder] = {}
 
 
+def _free() -> bool:
+    some = bool(_LOADED)
+    _LOADED.clear()
+    return some
+
+
+KEPT["trie"] = _free
+
+
 def text_encoder(path: str) -> TextEncoder:
     """One encoder per worker process and file."""
     if path not in _LOADED:
@@ -239,30 +260,41 @@ def text_encoder(path: str) -> TextEncoder:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string; no shuffle."""
+    """doc_id, ids array<int> of every text; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
-        for part in slices(batches):
-            found = encoder.encode(part.column(1).to_pylist())
-            ids = pa.array([np.frombuffer(x[0], "<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([x[1] for x in found], pa.string())], names=["doc_id", "ids", "decoded"])
+        for part in slices(batches, keep="trie"):
+            ids = [np.frombuffer(x, "<i4") for x in encoder.encode(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, decoded string of rows with doc_id and ids array<int>; null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = text_encoder(path)
+        for part in slices(batches, keep="trie"):
+            texts = [None if x is None else encoder.decode(np.array([i for i in x if i is not None], np.int64)) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and hashes of ids and decoded text, taken beside the encoder."""
+    """doc_id, n_tokens, and hashes of the ids and of what the ids decode to, both taken in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, keep="trie"):
             found = encoder.encode(part.column(1).to_pylist())
             columns = [
                 part.column(0),
-                pa.array([len(x[0]) // 4 for x in found], pa.int64()),
-                pa.array([hashlib.sha256(x[0]).hexdigest() for x in found], pa.string()),
-                pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in found], pa.string()),
+                pa.array([len(x) // 4 for x in found], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                pa.array([hashlib.sha256(encoder.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in found], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

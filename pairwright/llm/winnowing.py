@@ -7,7 +7,8 @@ selected hash.
 
 Defined cases: a text shorter than k is one gram; with fewer than w grams the whole text is one
 window; null and empty texts have no hashes, and their likeness is 1 with each other and 0 with
-any other text.  Equal texts have equal fingerprints.  In op3, rows of one doc_id are ordered by
+any other text.  Equal texts have equal fingerprints.  Very long texts are walked like any others;
+repeated rows are documents of their own; an empty table gives an empty one.  In op3, rows of one doc_id are ordered by
 text, and rows without doc_id come after all others; a single document is its own next one.
 """
 
@@ -132,20 +133,23 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     return both.repartition(n, "block").sortWithinPartitions("block", "role", F.col("doc_id").desc_nulls_last(), "text").select("block", "role", "doc_id", "text")
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
 
 
 def compare_with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likeness; columns as op3 returns them."""
+    """Fingerprints of every text, of its edited text, and their likeness; columns as op3 returns them.
+
+    The positions (code points) of the selected hashes are those of `positions` and `edited_positions`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _OUT.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        last = None  # block, role, doc_id, text, hashes of the row before
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        last = None  # block, role, doc_id, text, hashes and their positions of the row before
         for part in slices(batches, 128):
             out: list[tuple] = []
             for block, role, doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                row = (block, role, doc_id, text, winnow(text, k, window)[0])
+                row = (block, role, doc_id, text, *winnow(text, k, window))
                 if last is not None and last[0] == block:
                     out.append(_compared(last, row, k, window))
                 last = row
@@ -156,11 +160,12 @@ def compare_with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
 
 
 def _compared(row: tuple, after: tuple, k: int, window: int) -> tuple:
-    _, _, doc_id, text, own = row
+    _, _, doc_id, text, own, at = row
     swap = len(text) // 3
     edited = text[: len(text) - swap] + after[3][:swap]
-    other = winnow(edited, k, window)[0]
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_hex(own), as_hex(other), likeness(own, other), likeness(own, after[4])
+    other, places = winnow(edited, k, window)
+    digest = hashlib.sha256(edited.encode()).hexdigest()
+    return doc_id, len(text), digest, as_hex(own), as_hex(other), likeness(own, other), likeness(own, after[4]), at.astype(np.int32), places.astype(np.int32)
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
