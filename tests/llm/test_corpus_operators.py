@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairwright.llm import graph, linededup, ngramjoin, packing, store, vectors
-from pairwright.llm.common import with_starts
 from pairwright.llm.tokens import tokenizer_path
 
 SCHEMA = "doc_id long, text string, class string"  # class clashes with a name that operators use
@@ -56,11 +55,6 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_starts(spark):
-    df = spark.createDataFrame([(0, 1, 5), (0, 2, 7), (2, 1, 1), (2, 3, 4)], "block int, row int, n long")
-    assert {(r.block, r.row): r.start for r in with_starts(df, "n", "row", "block").collect()} == {(0, 1): 0, (0, 2): 5, (2, 1): 12, (2, 3): 13}
-
-
 # --------------------------------------------------------------------------------- op4
 
 

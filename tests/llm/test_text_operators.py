@@ -189,8 +189,9 @@ def slow_op3(rows):
         nxt = order[(i + 1) % len(order)][1]
         m = len(t) // 3
         edited = t[: len(t) - m] + nxt[:m]
-        own, other, after = (winnowing.winnow(x)[0] for x in (t, edited, nxt))
-        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), winnowing.as_hex(own), winnowing.as_hex(other), winnowing.likeness(own, other), winnowing.likeness(own, after)))
+        (own, at), (other, places), (after, _) = (winnowing.winnow(x) for x in (t, edited, nxt))
+        assert all(winnowing.gram_hashes(t)[i] == h for h, i in zip(own, at, strict=True))
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), winnowing.as_hex(own), winnowing.as_hex(other), winnowing.likeness(own, other), winnowing.likeness(own, after), at.tolist(), places.tolist()))
     return sorted(out, key=repr)
 
 
@@ -214,10 +215,19 @@ def test_trie_encoder_is_the_library():
     texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 60))) for a in (plain, wide) for _ in range(400)]
     texts += ["x<|endoftext|>Y <|startoftext|> it's", "", "<|", LONG, "unbelievable misunderstandings"]
     texts += ["".join(chr(rng.randint(1, 0x2FFF)) for _ in range(30)) for _ in range(200)]
-    for text, (ids, decoded) in zip(texts, encoder.encode(texts), strict=True):
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
         want = encoder.library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
-        assert decoded == encoder.library.decode(want, skip_special_tokens=False)
+        assert encoder.decode(np.frombuffer(ids, "<u4")) == encoder.library.decode(want, skip_special_tokens=False)
+
+
+def test_ids_decode_as_in_the_library():
+    encoder = trie_bpe.text_encoder(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    for n in (0, 1, 2, 50, 3000):
+        ids = [rng.randrange(49_408) for _ in range(n)]
+        assert encoder.decode(np.array(ids, np.int64)) == encoder.library.decode(ids, skip_special_tokens=False)
+    assert encoder.decode(np.array([5, 60_000, 49_407])) == encoder.library.decode([5, 60_000, 49_407], skip_special_tokens=False)
 
 
 def test_small_memories_change_nothing(monkeypatch):
@@ -225,7 +235,7 @@ def test_small_memories_change_nothing(monkeypatch):
     monkeypatch.setattr(trie_bpe, "KEEP_PAIRS", 2)
     encoder = trie_bpe.TextEncoder(tokenizer_path("word_bpe_49k.json"))
     for text in ("one two three four five six", "seven eight nine ten", "one two"):
-        assert np.frombuffer(encoder.encode([text])[0][0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
 def test_op6_edges(spark):
@@ -234,8 +244,10 @@ def test_op6_edges(spark):
     nothing = hashlib.sha256(b"").hexdigest()
     assert len(rows) == len(ROWS) and [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows if r.doc_id in (3, 4)] == [(0, nothing, nothing)] * 2
     assert trie_bpe.digest_documents(empty(spark), path).count() == 0
-    one = trie_bpe.encode_documents(docs(spark, ROWS[:1]), path).first()
+    one = trie_bpe.decode_documents(trie_bpe.encode_documents(docs(spark, ROWS[:1]), path), path).first()
     assert one.decoded.startswith("hello</w>")
+    odd = spark.createDataFrame([(1, None, "x"), (2, [], "y"), (3, [320, None, 99_999_999], "z")], "doc_id long, ids array<int>, class string")
+    assert [r.decoded is None for r in trie_bpe.decode_documents(odd, path).orderBy("doc_id").collect()] == [True, False, False]
 
 
 def test_word_encoder_is_the_library(monkeypatch):
@@ -308,10 +320,75 @@ def test_licence_families(license_model):
         "Licensed under the terms of the Acme corporate license agreement": "unknown",
     }
     for text, family in wanted.items():
-        found = scanner.paragraphs("on the re at\n" + text + "\nthe an")
-        assert [(p[0], p[3], p[4]) for p in found] == [(family, 13, 13 + len(text))], text
+        found = scanner.paragraphs("on the re at.\n" + text + "\n\nthe an")
+        assert [(p[0], p[3], p[4]) for p in found] == [(family, 14, 14 + len(text))], text
     for text in ("", "the an er on", "permission to eat the cake on the table was given to them all", "a license plate on the car at the end"):
         assert not [p for p in scanner.paragraphs(text) if p[0] != "unknown"]
+    wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files (the Software), to deal in the Software without restriction."
+    found = scanner.paragraphs("the an.\n\n" + wrapped + "\nre at on\n")
+    assert [(p[0], p[3], p[4]) for p in found] == [("MIT", 9, 9 + len(wrapped))]
+
+
+def slow_scan(model, text):
+    """The scan from its description: lines are joined up to a mark or a blank line, scores are summed n-gram by n-gram."""
+    import math
+
+    def judged(part):
+        words = licenses.WORDS.findall(part.lower())
+        seen = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        known = [model.index[g] for g in seen if g in model.index]
+        if not any(" " not in g and g in model.index and model.weights[model.index[g], 0] < 0 for g in seen):
+            return None
+        z = [(model.bias[c] + sum(model.weights[i, c] for i in known)) / model.temperature for c in range(len(model.classes))]
+        e = [math.exp(x - max(z)) for x in z]
+        p = [x / sum(e) for x in e]
+        if p[0] >= 0.5:
+            return None
+        best = max(range(2, len(p)), key=p.__getitem__)
+        own = set(zip(words, words[1:], strict=False))
+        alike = []
+        for sentence in licenses.TEMPLATES[model.classes[best]]:
+            t = licenses.WORDS.findall(sentence.lower())
+            pairs = set(zip(t, t[1:], strict=False))
+            alike.append(len(own & pairs) / min(len(pairs), max(len(own), 4)))
+        good = max(alike) >= licenses.CONFIRM and p[best] >= model.least
+        return (model.classes[best], p[best]) if good else ("unknown", p[1])
+
+    groups, now, at = [], [], 0
+    for line in text.split("\n"):
+        if line.strip():
+            now.append((at, at + len(line)))
+        if now and (not line.strip() or line.strip()[-1] in ".!?:;"):
+            groups.append(now)
+            now = []
+        at += len(line) + 1
+    found = []
+    for lines in [*groups, *([now] if now else [])]:
+        a, b = lines[0][0], lines[-1][1]
+        whole = judged(text[a:b])
+        single = [(judged(text[x:y]), x, y) for x, y in lines] if len(lines) > 1 and (whole is None or whole[0] == "unknown") else []
+        single = [s for s in single if s[0]]
+        found += single or ([(whole, a, b)] if whole else [])
+    return [(f, round(p, 9), a, b) for (f, p), a, b in found]
+
+
+def test_licence_scan_is_the_brute_force_one(spark, license_model):
+    rng = random.Random(3)
+    lines = [s for f in licenses.TEMPLATES.values() for s in f] + list(licenses.OTHERS) + ["the an er on", "a plain line", "software use and copies", ""] * 6
+    rows = []
+    for i in range(150):
+        words = " ".join(rng.choice(lines) + rng.choice([".", "", "\n", ".\n\n"]) for _ in range(rng.randint(0, 9))).split(" ")
+        rows.append((i, " ".join(w + rng.choice(["", "", "", "\n"]) for w in words), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (7, "MIT license", "t"), (902, "\n".join(["the an er on re at"] * 3000 + ["Licensed under CC BY 4.0"]), "s")]
+    got = licenses.scan(docs(spark, rows), license_model).collect()
+    found = sorted((r.doc_id, [(p.family, round(p.probability, 9), p.start, p.end) for p in r.paragraphs]) for r in got)
+    assert found == sorted((d, slow_scan(license_model, t or "")) for d, t, _ in rows)
+    assert sum(len(x) for _, x in found) > 100
+
+
+def test_licence_sample_takes_a_document_once(spark):
+    rows = [(i % 50, f"text {i % 7}", "s") for i in range(400)] + [(None, "no id", "s"), (60, "x" * 30_000, "s"), (61, None, "s")]
+    assert sorted(licenses.sample(docs(spark, rows))) == sorted([""] + [min(t for d, t, _ in rows if d == i) for i in range(50)])
 
 
 def test_licence_edges(spark, license_model):
