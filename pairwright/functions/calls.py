@@ -121,6 +121,7 @@ def malformed_category(raw: Column, output_tokens: Column, max_tokens: int = 256
     text = unwrapped(raw, any_case=True)
     state = call_state(raw)
     opened, closed = (F.length(text) - F.length(F.replace(text, F.lit(c))) for c in "{}")
+    # fixed values: the patterns that tell the kinds of broken JSON apart
     broken = (
         F.when(opened > closed, "truncated_json")
         .when(F.regexp_like(text, F.lit(r"\b(?:true|false|null)\.[0-9]+")), "invalid_literal")

@@ -7,7 +7,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.udf import vectorized
@@ -61,6 +61,29 @@ def sha256_of_json(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
+def tokenizer_identity(kind: Column, template: Column, end_id: Column) -> Column:
+    """Hash of what tells tokenizers apart: class, chat template (or null) and end id (or null), as canonical JSON."""
+    text = lambda c: F.coalesce(json_string(c), F.lit("null"))
+    parts = (F.lit('{"chat_template":'), text(template), F.lit(',"class":'), text(kind), F.lit(',"eos_token_id":'), F.coalesce(end_id.cast("string"), F.lit("null")), F.lit("}"))
+    return F.sha2(F.concat(*parts), 256)
+
+
+def ranged_digest(df: DataFrame, by: list[str], value: Column, order: Column, width: int, out: str) -> DataFrame:
+    """For each group the hash of the JSON list of its ranges' hashes, each that of the values (JSON text) of a range of `width` orders.
+
+    A group of any size is many ranges, so that no task holds its values.
+    """
+    ranges = df.groupBy(*by, F.floor(order / width).alias("_range")).agg(ordered_digest(value, order).alias("_digest"))
+    return ranges.groupBy(*by).agg(ordered_digest(json_string(F.col("_digest")), F.col("_range")).alias(out))
+
+
+def content_hash(df: DataFrame, column: str) -> str:
+    """Hash of all values of a column in whatever order they lie: of the sorted hashes, taken together by their first two digits first."""
+    hashes = df.select(F.sha2(column, 256).alias("h"))
+    groups = hashes.groupBy(F.substring("h", 1, 2).alias("g")).agg(ordered_digest(json_string(F.col("h")), F.col("h")).alias("d"))
+    return groups.agg(ordered_digest(json_string(F.col("d")), F.col("g")).alias("d")).first()["d"]
+
+
 def ordered_digest(value: Column, order: Column) -> Column:
     """Aggregate: hash of the JSON list of all values (JSON text) by ascending order."""
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))

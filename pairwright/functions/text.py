@@ -34,9 +34,12 @@ def normalize_text(text: pd.Series) -> pd.Series:
 
 @functools.lru_cache(1)
 def foldings() -> tuple[dict[str, str], dict[str, str]]:
-    """What case folding does to letters that lower() leaves as they are: single letters, and those that become several."""
-    left = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c and c.casefold() != c}
-    return {c: f for c, f in left.items() if len(f) == 1}, {c: f for c, f in left.items() if len(f) > 1}
+    """What case folding does to letters: those that become one letter, and those that become several and that lower() leaves.
+
+    Letters that lower() takes itself are among the first, as the JVM may not know the newest ones.
+    """
+    every = {c: c.casefold() for c in map(chr, range(0x20000)) if c.casefold() != c}
+    return {c: f for c, f in every.items() if len(f) == 1}, {c: f for c, f in every.items() if len(f) > 1 and c.lower() == c}
 
 
 def fold(text: Column) -> Column:
@@ -47,9 +50,8 @@ def fold(text: Column) -> Column:
     single, several = foldings()
     rest = {k: v for k, v in several.items() if k != "ß"}
     lowered = F.replace(F.translate(F.lower(text), "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
-    spelled = lowered
-    for letter, letters in rest.items():
-        spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in rest.items()))
+    spelled = F.aggregate(pairs, lowered, lambda s, p: F.replace(s, p["k"], p["v"]))
     return F.when(F.regexp_like(lowered, F.lit("[" + "".join(rest) + "]")), spelled).otherwise(lowered)
 
 

@@ -72,8 +72,8 @@ def evaluate(tasks: DataFrame, predictions: DataFrame) -> DataFrame:
 
     tasks has id, label, expected (generate.TASK); tasks without a prediction are left out.
     """
-    strict(predictions, duplicates(predictions, "task_id"), "prediction task ids must be unique")
-    strict(predictions, missing_from(predictions, tasks.select(F.col("id").alias("task_id")), "task_id"), "predictions without a task")
+    strict(predictions, duplicates(predictions, "task_id"), "a task has several predictions")
+    strict(predictions, missing_from(predictions, tasks.select(F.col("id").alias("task_id")), "task_id"), "a prediction is of no task")
     rows = tasks.select(F.col("id").alias("task_id"), "label", F.col("expected").alias("e")).join(predictions, "task_id")
     v = F.col("e.validator")
     rows = rows.withColumns(

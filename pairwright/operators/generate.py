@@ -14,6 +14,7 @@ from pairwright.functions.canonical import json_string
 from pairwright.functions.text import family_split, template_family
 from pairwright.functions.tools import TOOL, tools_column
 
+#: The version, and the query templates and tool results in the functions below, which generated rows must repeat.
 VERSION = "1.0.0"
 VALIDATOR = "struct<kind:string,value:string,num_value:double,values:array<string>,case_sensitive:boolean,absolute_tolerance:double,unit:string,validator_id:string,parameters:string>"
 EXPECTED = f"struct<kind:string,tool_name:string,arguments:string,expected_result:string,validator:{VALIDATOR},missing_slots:array<string>,unavailable_capability:string,reason:string,state_assertion:string,allowed_markers:array<string>>"

@@ -56,6 +56,11 @@ def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+def version_gaps(found: Column, wanted: dict[str, str]) -> Column:
+    """Names whose recorded version (map<string,string>) is not the one wanted, or is missing."""
+    return F.array_compact(F.array(*(F.when(~found[name].eqNullSafe(F.lit(version)), F.lit(name)) for name, version in sorted(wanted.items()))))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -16,7 +16,7 @@ def joined(tasks: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Tasks (id, pair_id, variant, label) with their evaluations, one to one, in complete pairs."""
     rows = matched(tasks.select(F.col("id").alias("task_id"), "pair_id", "variant", "label"), evaluations, "task_id")
     pairs = rows.groupBy("pair_id").agg(F.count("*").alias("n"), F.count_distinct("variant").alias("v"))
-    return strict(rows, pairs.where("n != 2"), "each pair must contain exactly two evaluated tasks")
+    return strict(rows, pairs.where("n != 2"), "a pair has not two evaluated tasks")
 
 
 def per_class(rows: DataFrame) -> DataFrame:
@@ -55,9 +55,9 @@ def compute_metrics(tasks: DataFrame, evaluations: DataFrame) -> tuple[DataFrame
     rows = joined(tasks, evaluations)
     sides = {r.variant for r in rows.select("variant").distinct().collect()}
     if not sides:
-        raise ValueError("cannot compute metrics for an empty task set")
+        raise ValueError("there are no tasks to measure")
     if sides != {"act", "abstain"}:
-        raise ValueError("metrics require both act and abstain tasks")
+        raise ValueError("tasks of one variant only")
     return summary(rows), per_class(rows)
 
 
@@ -76,5 +76,5 @@ def external_metrics(evaluations: DataFrame) -> DataFrame:
     )
     by = evaluations.groupBy("category").agg(F.avg(right).alias("accuracy")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "accuracy")))).alias("per_category"))
     both = flat.withColumn("balanced_accuracy", (F.col("call_accuracy") + F.col("abstain_accuracy")) / 2)
-    strict(both, both.where("call_accuracy is null or abstain_accuracy is null"), "external metrics require CALL and ABSTAIN records")
+    strict(both, both.where("call_accuracy is null or abstain_accuracy is null"), "records of one decision only")
     return both.crossJoin(by)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.text import five_grams, normalize_query
 from pairwright.functions.udf import vectorized
+from pairwright.staging import Stage
 
 JACCARD, SEQUENCE = 0.80, 0.90
 SHAPE = "struct<duplicate:boolean,method:string,score:double>"
@@ -34,9 +35,11 @@ def near_duplicate(left: Column, right: Column) -> Column:
     return F.when(a == b, row(True, "exact", F.lit(1.0))).when(j >= JACCARD, row(True, "five_gram_jaccard", j)).when(s >= SEQUENCE, row(True, "sequence_match", s)).otherwise(row(False, None, F.greatest(j, s)))
 
 
-def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = df.select(F.col(key).alias("id"), normalize_query(F.col(text)).alias("q"), five_grams(F.col(text)).alias("grams"))
-    return rows.withColumns({"h": F.sha2("q", 256), "n": F.size("grams"), "len": F.length("q")})
+def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
+    """id, q (normalised text), grams (64-bit hashes of its five-grams), h, n, len; staged, as every step reads it."""
+    grams = F.transform(five_grams(F.col(text)), lambda g: F.xxhash64(g))
+    rows = df.select(F.col(key).alias("id"), normalize_query(F.col(text)).alias("q"), grams.alias("grams"))
+    return Stage(rows.withColumns({"h": F.sha2("q", 256), "n": F.size("grams"), "len": F.length("q")}), "prepared").df
 
 
 def exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def prefixes(rows: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
     """id, gram, n: of each row's grams, rarest first, as many as must meet a similar set's."""
-    ordered = rows.select("id", "n", F.explode("grams").alias("gram")).join(ranks, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    ordered = rows.select("id", "n", F.explode("grams").alias("gram")).join(ranks, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     return ordered.select("id", "n", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("x")).select("id", "n", F.col("x.gram").alias("gram"))
 
@@ -67,6 +70,19 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float = JACCARD, self_j
     return scored.where(F.col("score") >= threshold)
 
 
+def jaccard_groups(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
+    """left_id, right_id, score: pairs between the first ids of different gram sets, and every other id of a set with its first one.
+
+    Rows of one set are not paired with one another, so that any number of copies is that many rows.
+    """
+    key = F.sha2(F.array_join(F.sort_array("grams").cast("array<string>"), ","), 256)
+    keyed = rows.select("id", key.alias("key"))
+    first = keyed.groupBy("key").agg(F.min("id").alias("rep"))
+    sets = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    copies = keyed.join(first, "key").where("id != rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
+    return jaccard_pairs(sets, sets, threshold, self_join=True).unionByName(copies)
+
+
 def sequence_pairs(a: DataFrame, b: DataFrame, threshold: float = SEQUENCE) -> DataFrame:
     """left_id, right_id, score of pairs with a matching sequence ratio of at least the threshold.
 
@@ -94,8 +110,8 @@ def overlap(external: DataFrame, internal: DataFrame) -> DataFrame:
 
     First is by ord (file order of train, validation, test); of one pair the first method counts.
     """
-    a = _prepared(external, "id", "query")
-    b = _prepared(internal, "id", "query")
+    a = prepared(external, "id", "query")
+    b = prepared(internal, "id", "query")
     steps = [exact_pairs(a, b), jaccard_pairs(a, b).withColumn("method", F.lit("five_gram_jaccard")), sequence_pairs(a, b).withColumn("method", F.lit("sequence_match"))]
     pairs = steps[0]
     for i, more in enumerate(steps[1:]):
@@ -117,18 +133,34 @@ AUTOMATON_CHARS = 16_000_000
 HEAD = 40
 
 
-def _searched(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    def run(batches):  # noqa: ANN001, ANN202
-        import ahocorasick
-        import pyarrow as pa
+#: Automata that this worker has built, the last one only.
+_BUILT: dict[int, tuple] = {}
+
+
+def _automaton(shared) -> tuple:  # noqa: ANN001
+    """The automaton of broadcast items and the keys of each text, built once a worker."""
+    import ahocorasick
 
+    if id(shared.value) not in _BUILT:
         owners: dict[str, list[int]] = {}
-        for key, text in items:
+        for key, text in shared.value:
             owners.setdefault(text, []).append(key)
         machine = ahocorasick.Automaton()
         for text in owners:
             machine.add_word(text, text)
         machine.make_automaton()
+        _BUILT.clear()
+        _BUILT[id(shared.value)] = machine, owners, shared.value  # kept, so that its id stays its own
+    return _BUILT[id(shared.value)][:2]
+
+
+def _searched(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most AUTOMATON_CHARS characters
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        machine, owners = _automaton(shared)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -147,17 +179,24 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     return meets.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
 
 
+def _short(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of under HEAD characters: every piece of a document as long as some item is joined with the items of that length."""
+    lengths = sorted(r[0] for r in items.select(F.length("text")).distinct().collect())  # fewer than HEAD
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    for n in lengths:
+        pieces = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("text"))
+        found = found.unionByName(pieces.join(items.where(F.length("text") == n).select("item_id", "text"), "text").select("doc_id", "item_id"))
+    return found
+
+
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id of every document (doc_id, text) that holds an item's (item_id, text) whole text.
 
-    One scan without a shuffle while the items are small enough to be in every worker; else items of at
-    least HEAD characters are joined, and the short ones, of which there are few different, still searched.
+    One scan without a shuffle while the items are small enough to be in every worker; else they are joined,
+    by their first HEAD characters, or, the shorter ones, by pieces of their own length.
     """
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     take = lambda df: [(r.item_id, r.text) for r in df.where(F.length("text") > 0).select("item_id", "text").collect()]
     if size <= AUTOMATON_CHARS:
         return _searched(docs, take(items))
-    short = items.where(F.length("text") < HEAD)
-    if (short.agg(F.sum(F.length("text"))).first()[0] or 0) > AUTOMATON_CHARS:
-        raise ValueError("too many items of under 40 characters")
-    return _joined(docs, items).unionByName(_searched(docs, take(short)))
+    return _joined(docs, items).unionByName(_short(docs, items.where((F.length("text") > 0) & (F.length("text") < HEAD))))

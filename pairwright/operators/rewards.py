@@ -14,11 +14,11 @@ LOGPS = ("policy_chosen", "policy_rejected", "reference_chosen", "reference_reje
 def dpo_rows(df: DataFrame, beta: float, label_smoothing: float = 0.0, normalization: str = "sum") -> DataFrame:
     """loss, rewards and margin of each row of log-probabilities (LOGPS; for "mean" also token counts)."""
     if beta < 0 or not 0 <= label_smoothing < 0.5:
-        raise ValueError("invalid beta or label smoothing")
+        raise ValueError("beta or label smoothing out of range")
     pc, pr, rc, rr = (F.col(c).cast("double") for c in LOGPS)
-    df = require(df, finite(pc) & finite(pr) & finite(rc) & finite(rr), "log probabilities must be finite")
+    df = require(df, finite(pc) & finite(pr) & finite(rc) & finite(rr), "a log-probability is not finite")
     if normalization == "mean":
-        df = require(df, (F.col("chosen_tokens") > 0) & (F.col("rejected_tokens") > 0), "token counts must be positive")
+        df = require(df, (F.col("chosen_tokens") > 0) & (F.col("rejected_tokens") > 0), "a completion has no tokens")
         pc, rc, pr, rr = pc / F.col("chosen_tokens"), rc / F.col("chosen_tokens"), pr / F.col("rejected_tokens"), rr / F.col("rejected_tokens")
     scaled = F.lit(beta) * ((pc - pr) - (rc - rr))
     loss = softplus(-scaled) if not label_smoothing else (1 - label_smoothing) * softplus(-scaled) + label_smoothing * softplus(scaled)
@@ -37,8 +37,8 @@ def dpo_metrics(df: DataFrame, beta: float, label_smoothing: float = 0.0, normal
 def anchored_loss(df: DataFrame, dpo_loss: Column, weight: float) -> DataFrame:
     """dpo_loss, chosen_sft_loss and their weighted sum over chosen log-probabilities and token counts."""
     if weight < 0:
-        raise ValueError("chosen weight must be non-negative")
-    df = require(df, finite(F.col("policy_chosen")) & (F.col("chosen_tokens") > 0), "chosen log probabilities and token counts must be valid")
+        raise ValueError("the weight of chosen responses is negative")
+    df = require(df, finite(F.col("policy_chosen")) & (F.col("chosen_tokens") > 0), "a chosen response has no finite log-probability or no tokens")
     anchor = F.avg(-F.col("policy_chosen") / F.col("chosen_tokens"))
     return df.agg(dpo_loss.alias("dpo_loss"), anchor.alias("chosen_sft_loss")).withColumn("loss", F.col("dpo_loss") + weight * F.col("chosen_sft_loss"))
 
@@ -51,7 +51,7 @@ def sequence_logp(logits: Column, targets: Column, mask: Column) -> Column:
     picked = F.transform(rows, lambda r: F.element_at(r["l"], r["t"].cast("int") + 1) - log_sum(r["l"]))
     total = F.aggregate(F.zip_with(picked, mask, lambda p, m: p * m), F.lit(0.0), lambda s, v: s + v)
     tokens = F.aggregate(mask, F.lit(0), lambda s, v: s + v.cast("int"))
-    return F.struct(F.when(tokens > 0, total).otherwise(F.raise_error(F.lit("each sequence must contain completion tokens"))).alias("logp"), tokens.alias("tokens"))
+    return F.struct(F.when(tokens > 0, total).otherwise(F.raise_error(F.lit("a sequence has no completion to score"))).alias("logp"), tokens.alias("tokens"))
 
 
 def promotion(metrics: DataFrame) -> DataFrame:

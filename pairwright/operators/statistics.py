@@ -19,8 +19,8 @@ T_CRITICAL = 4.3026527299
 def mean_interval(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """n, mean, sample deviation and t interval of a column, at least two finite values."""
     v = F.col(value).cast("double")
-    flat = require(df, finite(v), "mean interval requires finite values").groupBy(*([by] if by else [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sample_std"))
-    flat = require(flat, F.col("n") >= 2, "mean interval requires at least two values")
+    flat = require(df, finite(v), "a value is not finite").groupBy(*([by] if by else [])).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sample_std"))
+    flat = require(flat, F.col("n") >= 2, "two values at least are needed")
     half = F.lit(T_CRITICAL) * F.col("sample_std") / F.sqrt("n")
     return flat.withColumns({"ci95_low": F.col("mean") - half, "ci95_high": F.col("mean") + half})
 
@@ -54,7 +54,7 @@ def compared(baseline: DataFrame, candidate: DataFrame, name: str, seed: int) ->
     a, b = (df.select("task_id", F.col("correct").alias(c)) for df, c in ((baseline, "baseline"), (candidate, "candidate")))
     rows = matched(a, b, "task_id")
     if rows.isEmpty():
-        raise ValueError("paired evaluations must have identical non-empty task ids")
+        raise ValueError("the evaluations have no tasks to pair")
     return rows.select(F.lit(name).alias("comparison"), F.lit(seed).cast("long").alias("seed"), "task_id", "baseline", "candidate")
 
 

@@ -76,7 +76,12 @@ def call_text(name: Column, arguments: Column) -> Column:
 def malform(call: Column) -> Column:
     """The call block without its last brace."""
     mark = F.lit("}</tool_call>")
-    return F.when(F.endswith(call, mark), F.concat(F.left(call, F.length(call) - 13), F.lit("</tool_call>"))).otherwise(F.raise_error(F.lit("cannot malform a non-canonical tool call")))
+    return F.when(F.endswith(call, mark), F.concat(F.left(call, F.length(call) - 13), F.lit("</tool_call>"))).otherwise(F.raise_error(F.lit("only a canonical call block can be broken")))
+
+
+#: The words of right replies, around what a task names.
+REFUSAL = ("I cannot complete that request because the required capability '", "' is not available in the visible tools.")
+QUESTION = ("Could you provide the missing ", "?")
 
 
 def gold_text(e: Column) -> Column:
@@ -87,13 +92,13 @@ def gold_text(e: Column) -> Column:
         F.when(v["kind"].isin("exact", "normalized_text"), v["value"])
         .when(v["kind"] == "numeric", number)
         .when(v["kind"] == "set", F.array_join(v["values"], ", "))
-        .otherwise(F.raise_error(F.lit("domain validator has no deterministic training response")))
+        .otherwise(F.raise_error(F.lit("a domain validator names no answer to train on")))
     )
-    refusal = F.concat(F.lit("I cannot complete that request because the required capability '"), e["unavailable_capability"], F.lit("' is not available in the visible tools."))
+    refusal = F.concat(F.lit(REFUSAL[0]), e["unavailable_capability"], F.lit(REFUSAL[1]))
     return (
         F.when(e["kind"] == "CALL", call_text(e["tool_name"], canonical_json(e["arguments"])))
         .when(e["kind"] == "ANSWER", answers)
-        .when(e["kind"] == "CLARIFY", F.concat(F.lit("Could you provide the missing "), F.array_join(e["missing_slots"], ", "), F.lit("?")))
+        .when(e["kind"] == "CLARIFY", F.concat(F.lit(QUESTION[0]), F.array_join(e["missing_slots"], ", "), F.lit(QUESTION[1])))
         .when(e["kind"] == "NOOP", F.try_element_at(e["allowed_markers"], F.lit(1)))
         .otherwise(refusal)
     )
@@ -101,7 +106,7 @@ def gold_text(e: Column) -> Column:
 
 def sft_examples(tasks: DataFrame, split: str) -> DataFrame:
     """id, messages with the gold turn, tools, of a split's tasks by id; ValueError for rows of another split."""
-    strict(tasks, tasks.where(F.col("split") != split).select("id"), "records have wrong split")
+    strict(tasks, tasks.where(F.col("split") != split).select("id"), "tasks of another split")
     rows = messages(tasks)
     gold = F.array(F.struct(F.lit("assistant").alias("role"), gold_text(F.col("expected")).alias("content")))
     return rows.select("id", F.concat("messages", gold).alias("messages"), "tools").orderBy("id")
@@ -150,6 +155,7 @@ def with_task_json(tasks: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------------------- preferences
 
+#: Replies of rejected responses.
 WRONG_DECISION = "I cannot complete this request with the visible tools."
 NO_TOOL = "I cannot complete this request because no visible tool supports it."
 ALREADY_DONE = "No action is needed; the request is already complete."
@@ -163,9 +169,9 @@ def preferences(tasks: DataFrame, sft_init_hash: str) -> DataFrame:
     The kind of rejection goes around by the task's place among all ids; abstain tasks see their
     pair's act call.
     """
-    strict(tasks, tasks.where("split = 'test'").select("id"), "test records are prohibited from preference generation")
+    strict(tasks, tasks.where("split = 'test'").select("id"), "preferences are never made from test tasks")
     sides = tasks.groupBy("pair_id").agg(F.count_if(F.col("variant") == "act").alias("a"), F.count_if(F.col("variant") == "abstain").alias("b"))
-    strict(tasks, sides.where("a != 1 or b != 1").select("pair_id"), "incomplete preference source pair")
+    strict(tasks, sides.where("a != 1 or b != 1").select("pair_id"), "a pair lacks a side")
     rows = positions(with_task_json(tasks), "id", "at").withColumn("chosen", gold_text(F.col("expected")))
     acts = rows.where("variant = 'act'").select("pair_id", F.col("chosen").alias("act_call"))
     rows = rows.join(acts, "pair_id")
@@ -212,14 +218,14 @@ def checked(prefs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def dpo_examples(prefs: DataFrame, tasks: DataFrame, sft_init_hash: str, limit: int | None = None) -> DataFrame:
     """Preferences with their prompts, by id; ValueError for repeated, missing, stale or foreign ones."""
-    strict(prefs, duplicates(prefs, "id"), "preference ids must be unique")
-    strict(tasks, duplicates(tasks, "id"), "source task ids must be unique")
-    strict(tasks, tasks.where("split = 'test'").select("id"), "test tasks are prohibited")
+    strict(prefs, duplicates(prefs, "id"), "a preference id stands twice")
+    strict(tasks, duplicates(tasks, "id"), "a task id stands twice")
+    strict(tasks, tasks.where("split = 'test'").select("id"), "test tasks are not for training")
     named = messages(with_task_json(tasks)).select(F.col("id").alias("task_id"), "messages", "tools", "task_hash", F.col("split").alias("_split"))
     rows = prefs.join(named, "task_id", "left")
-    strict(rows, rows.where("task_hash is null").select("task_id"), "preference has no internal task")
-    strict(rows, rows.where("provenance.source_task_hash != task_hash").select("task_id"), "preference task hash is stale")
-    strict(rows, rows.where(F.col("provenance.sft_init_hash") != sft_init_hash).select("task_id"), "preference initialization hash does not match")
+    strict(rows, rows.where("task_hash is null").select("task_id"), "a preference is of no known task")
+    strict(rows, rows.where("provenance.source_task_hash != task_hash").select("task_id"), "a preference was made from another version of its task")
+    strict(rows, rows.where(F.col("provenance.sft_init_hash") != sft_init_hash).select("task_id"), "a preference was made for another initial model")
     whole = with_preference_hash(rows)
     out = whole.select(F.concat(F.lit("dpo-"), "task_id").alias("id"), "task_id", F.col("_split").alias("split"), "messages", "tools", "chosen", "rejected", "negative_type", "preference_hash", "task_hash", F.col("provenance.sft_init_hash").alias("sft_init_hash"))
     return balanced_pairs(out, limit)
@@ -258,12 +264,12 @@ def tokenized(examples: DataFrame, tokenizer: Callable[[list, bool], list[int]],
                 for text in (row.chosen, row.rejected):
                     ids = list(tokenizer([*turns, {"role": "assistant", "content": text}], False))
                     if ids[: len(prompt)] != prompt:
-                        raise ValueError(f"{row.id}: chosen/rejected prompt tokens differ")
+                        raise ValueError(f"{row.id}: a completion does not go on from its prompt")
                     if min(len(ids), max_length) <= len(prompt):
-                        raise ValueError(f"{row.id}: truncation removed the completion")
+                        raise ValueError(f"{row.id}: nothing of the completion is left")
                     sides.append((ids[:max_length], len(ids) > max_length))
                 if sides[0][0] == sides[1][0]:
-                    raise ValueError(f"{row.id}: truncation erased the preference signal")
+                    raise ValueError(f"{row.id}: cut to the same ids on both sides")
                 rows.append((row.id, sides[0][0], sides[1][0], len(prompt), len(prompt), sides[0][1], sides[1][1]))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in shape.split(", ")])
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from pairwright.plans import fixtures, scaled
+def _modules() -> tuple:
+    from pairwright.plans import cases, fixtures, generated, scaled, stored
 
-    return scaled.QUERIES | fixtures.QUERIES
+    return scaled, fixtures, cases, generated, stored
 
 
-def oracle_sql() -> dict[str, str]:
-    from pairwright.plans import fixtures, scaled
+def queries() -> dict:
+    return {name: query for module in _modules() for name, query in module.QUERIES.items()}
 
-    return scaled.ORACLE_SQL | fixtures.ORACLE_SQL
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _modules() for name, sql in module.ORACLE_SQL.items()}

@@ -1,0 +1,659 @@
+"""Operators row by row: small tables of cases, each with what must come out of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairwright.functions import numbers, schemas, text
+from pairwright.functions.calls import same_json
+from pairwright.functions.canonical import canonical_json, finite_error, ordered_digest, sha256_of_json
+from pairwright.functions.tools import run_tool
+from pairwright.operators import agreement, contracts, evaluation, generate, guards, metrics, reports, rewards, sampling, statistics, training
+from pairwright.plans.fixtures import literal
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):  # noqa: ANN201
+    def add(run):  # noqa: ANN001, ANN202
+        QUERIES[run.__name__] = lambda spark, sf_dir: run(spark)
+        ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+def said(run) -> str:  # noqa: ANN001
+    """What a call gives: "ok", or the kind of its error."""
+    try:
+        run()
+    except ValueError:
+        return "ValueError"
+    return "ok"
+
+
+# -------------------------------------------------------------------------------------- text
+
+#: input, normalised text, folded, event slug, first number, whether it is a slug
+TEXTS = [
+    (1, "  LYON,\n Rhône! ", "lyon, rhône", "lyon, rhône!", "lyon,-rhône!", None, False),
+    (2, "ΟΔΟΣ Σίγμας", "οδοσ σίγμασ", "οδοσ σίγμασ", "οδοσ-σίγμασ", None, False),
+    (3, "İstanbul ŉ Straße ﬃ", "i̇stanbul ʼn strasse ffi", "i̇stanbul ʼn strasse ffi", "i̇stanbul-ʼn-strasse-ffi", None, False),
+    (4, "Planning  Session\t12", "planning session 12", "planning session 12", "planning-session-12", 12.0, False),
+    (5, "about -1,234.5 units", "about -1,234.5 units", "about -1,234.5 units", "about--1,234.5-units", -1234.5, False),
+    (6, "a-slug.v2", "a-slug.v2", "a-slug.v2", "a-slug.v2", 2.0, True),
+    (7, "", "", "", "", None, False),
+    (8, "Ｆｕｌｌ　ｗｉｄｔｈ?", "full width", "ｆｕｌｌ ｗｉｄｔｈ?", "ｆｕｌｌ-ｗｉｄｔｈ?", None, False),
+    (9, "Kelvin K ſt ϴ Ꭰ", "kelvin k st θ Ꭰ", "kelvin k st θ Ꭰ", "kelvin-k-st-θ-Ꭰ", None, False),
+]
+
+
+@query(literal([(i, n, w, e, x, s) for i, _, n, w, e, x, s in TEXTS], ("i", "normalised", "folded", "event", "number", "is_slug")))
+def q_text_cases(spark: SparkSession) -> DataFrame:
+    """Normalisation, case folding, slugs and numbers of texts in several scripts."""
+    rows = spark.createDataFrame([(i, t) for i, t, *_ in TEXTS], "i int, t string")
+    t = F.col("t")
+    return rows.select("i", text.normalize_text(t).alias("normalised"), text.whitespace_query(t).alias("folded"), text.event_slug(t).alias("event"), text.first_number(t).alias("number"), text.slug_ok(t).alias("is_slug"))
+
+
+PIECES = [(1, "red, green;blue and  teal", "red|green|blue|teal"), (2, "one\ntwo•three", "one|two|three"), (3, "android", "android"), (4, "", ""), (5, ", ,", "")]
+
+
+@query(literal([(i, p) for i, _, p in PIECES], ("i", "pieces")))
+def q_answer_pieces(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, t) for i, t, _ in PIECES], "i int, t string")
+    return rows.select("i", F.array_join(text.answer_pieces(F.col("t")), "|").alias("pieces"))
+
+
+NUMBERS = [(1, 0.5, "50.00%", "0.5", True), (2, 1234567.0, "123456700.00%", "1.23457e+06", True), (3, 1e-7, "0.00%", "1e-07", True), (4, 100.0, "10000.00%", "100", True), (5, None, "—", None, False), (6, -0.125, "-12.50%", "-0.125", True)]
+
+
+@query(literal([(i, p, g, f) for i, _, p, g, f in NUMBERS], ("i", "percent_", "general", "finite")))
+def q_number_formats(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, v) for i, v, *_ in NUMBERS], "i int, v double")
+    return rows.select("i", text.percent(F.col("v")).alias("percent_"), text.general_format(F.col("v")).alias("general"), numbers.finite(F.col("v")).alias("finite"))
+
+
+SCRIPTS = [(1, '{"a":"</script>"}', '{"a":"<\\/script>"}'), (2, "plain", "plain")]
+
+
+@query(literal([(i, s) for i, _, s in SCRIPTS], ("i", "safe")))
+def q_script_safe(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t, _ in SCRIPTS], "i int, t string").select("i", text.script_safe(F.col("t")).alias("safe"))
+
+
+# -------------------------------------------------------------------------------------- JSON
+
+JSONS = [
+    (1, '{"b": "é", "a": 1}', '{"a":1,"b":"é"}'), (2, '[1.0, 1e-7, true, null]', "[1.0,1e-07,true,null]"), (3, '{"z": {"y": [], "x": {}}}', '{"z":{"x":{},"y":[]}}'),
+    (4, "broken", None), (5, None, None), (6, '{"n": NaN}', None), (7, '"text"', '"text"'),
+]
+
+
+@query("SELECT i, canon, sha256(canon) AS digest FROM (" + literal([(i, c) for i, _, c in JSONS], ("i", "canon")) + ")")
+def q_canonical_json(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, t) for i, t, _ in JSONS], "i int, t string")
+    return rows.select("i", canonical_json("t").alias("canon"), sha256_of_json(F.col("t")).alias("digest"))
+
+
+SAME = [(1, '{"a":1,"b":[1,2]}', '{"b":[1,2],"a":1.0}', True), (2, "[1,2]", "[2,1]", False), (3, '{"a":null}', "{}", False), (4, None, "{}", False), (5, "true", "1", True)]
+
+
+@query(literal([(i, s) for i, _, _, s in SAME], ("i", "same")))
+def q_same_json(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, a, b) for i, a, b, _ in SAME], "i int, a string, b string").select("i", same_json(F.col("a"), F.col("b")).alias("same"))
+
+
+FINITE = [(1, [1, 2.5], None), (2, {"a": [0, float("inf")]}, "value.a[1] contains a non-finite number"), (3, {"x": {"y": float("nan")}}, "value.x.y contains a non-finite number"), (4, "text", None)]
+
+
+@query(literal([(i, e) for i, _, e in FINITE], ("i", "problem")))
+def q_finite_check(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, finite_error(v)) for i, v, _ in FINITE], "i int, problem string")
+
+
+CITY = '{"additionalProperties":false,"properties":{"city":{"minLength":2,"type":"string"},"days":{"maximum":14,"minimum":1,"type":"integer"},"unit":{"enum":["C","F"]}},"required":["city"],"type":"object"}'
+LISTED = '{"properties":{"ids":{"items":{"type":"integer"},"minItems":1,"type":"array"},"ratio":{"exclusiveMinimum":0,"type":"number"}},"type":"object"}'
+ARGUMENTS = [
+    (1, CITY, '{"city":"Oslo","days":3}', None), (2, CITY, '{"days":3}', "$: 'city' is required"), (3, CITY, '{"city":"O"}', "$.city: too short"), (4, CITY, '{"city":"Oslo","days":15}', "$.days: 15 breaks maximum 14"),
+    (5, CITY, '{"city":"Oslo","days":0}', "$.days: 0 breaks minimum 1"), (6, CITY, '{"city":"Oslo","days":2.5}', "$.days: 2.5 is not of type integer"), (7, CITY, '{"city":"Oslo","unit":"K"}', '$.unit: "K" is not one of the choices'),
+    (8, CITY, '{"city":"Oslo","wind":1}', "$: 'wind' is not allowed"), (9, CITY, "[]", "$: [] is not of type object"), (10, LISTED, '{"ids":[]}', "$.ids: too few items"), (11, LISTED, '{"ids":[1,"2"]}', '$.ids[1]: "2" is not of type integer'),
+    (12, LISTED, '{"ratio":0}', "$.ratio: 0 breaks exclusiveMinimum 0"), (13, LISTED, '{"ratio":true}', "$.ratio: true is not of type number"), (14, LISTED, '{"ids":[3.0],"more":null}', None),
+]
+
+
+@query(literal([(i, p) for i, _, _, p in ARGUMENTS], ("i", "problem")))
+def q_schema_arguments(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, s, a) for i, s, a, _ in ARGUMENTS], "i int, s string, a string")
+    return rows.select("i", schemas.argument_problem("s", "a").alias("problem"))
+
+
+TOOLS = [
+    (1, "find_city", "Finds.", CITY, ""), (2, "Find City", "Finds.", CITY, "name"), (3, "find_city", "", CITY, "description"), (4, "find_city", "Finds.", '{"type":"array"}', "parameters"),
+    (5, "find_city", "Finds.", '{"properties":{"a":{"type":"float"}},"type":"object"}', "parameters"), (6, "find_city", "Finds.", '{"required":"a","type":"object"}', "parameters"), (7, "X", "", "[]", "name,description,parameters"),
+]
+
+
+@query(literal([(i, v) for i, *_, v in TOOLS], ("i", "violations")))
+def q_tool_violations(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([r[:4] for r in TOOLS], "i int, name string, description string, parameters string")
+    return contracts.tools(rows).select("i", F.array_join("violations", ",").alias("violations"))
+
+
+TYPES = [
+    (1, '{"type":"dict","properties":{"a":{"type":"float"},"b":{"type":"tuple","items":{"type":"str"}}}}', '{"properties":{"a":{"type":"number"},"b":{"items":{"type":"string"},"type":"array"}},"type":"object"}'),
+    (2, '{"type":"any","description":"x"}', '{"description":"x"}'), (3, '{"type":"bool","enum":["dict"]}', '{"enum":["dict"],"type":"boolean"}'), (4, None, None),
+]
+
+
+@query(literal([(i, s) for i, _, s in TYPES], ("i", "schema")))
+def q_normalized_schemas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, s) for i, s, _ in TYPES], "i int, s string").select("i", schemas.normalize_schema("s").alias("schema"))
+
+
+# --------------------------------------------------------------------------------- contracts
+
+
+def _changed(rows: DataFrame, changes: list[tuple[str, str, object]]) -> DataFrame:
+    """The single row of rows once as it is and once for every change (name, column, value), with name."""
+    found = rows.withColumn("change", F.lit("none"))
+    for name, column, value in changes:
+        new = value if isinstance(value, Column) else F.lit(value)
+        top, _, inner = column.partition(".")
+        new = F.col(top).withField(inner, new) if inner else new.cast(rows.schema[column].dataType)
+        found = found.unionByName(rows.withColumn(top, new).withColumn("change", F.lit(name)))
+    return found
+
+
+def _broken(df: DataFrame) -> DataFrame:
+    return df.select("change", F.array_join("violations", ",").alias("violations"))
+
+
+PREDICTIONS = [
+    ("none", "task_id", None, ""), ("id", "task_id", "Not A Slug", "task_id"), ("late", "latency_ms", -1.0, "latency_ms"), ("endless", "latency_ms", float("inf"), "latency_ms"), ("tokens", "input_tokens", -1, "input_tokens"),
+    ("said", "output_tokens", -5, "output_tokens"), ("memory", "peak_memory_gb", float("nan"), "peak_memory_gb"), ("failed", "inference_error", "boom", "inference_error"), ("unknown", "input_tokens", None, ""),
+]
+
+
+@query(literal([(n, v) for n, _, _, v in PREDICTIONS], ("change", "violations")))
+def q_prediction_violations(spark: SparkSession) -> DataFrame:
+    row = spark.createDataFrame([("t-1", "words", None, 12.5, 3, 4, 1.5, None)], evaluation.PREDICTION)
+    return _broken(contracts.predictions(_changed(row, [c[:3] for c in PREDICTIONS[1:]])))
+
+
+EVALUATIONS = [("none", "", None, ""), ("unclassified", "predicted_class", None, "unclassified"), ("incorrect", "correct", False, "correct"), ("semantic", "semantic_correct", False, "correct"), ("reason", "reason_code", "Why Not", "reason_code")]
+
+
+@query(literal([(n, v) for n, _, _, v in EVALUATIONS], ("change", "violations")))
+def q_evaluation_violations(spark: SparkSession) -> DataFrame:
+    row = spark.createDataFrame([("t-1", "CALL", True, True, True, True, "correct_tool_call")], "task_id string, predicted_class string, behavior_correct boolean, semantic_correct boolean, protocol_correct boolean, correct boolean, reason_code string")
+    return _broken(contracts.evaluations(_changed(row, [c[:3] for c in EVALUATIONS[1:]])))
+
+
+PREFERENCES = [
+    ("none", "", None, ""), ("id", "id", "t-1", "id"), ("split", "split", "test", "split"), ("kind", "negative_type", "rude", "negative_type"), ("same", "rejected", " yes ", "texts"),
+    ("hash", "provenance.source_task_hash", "abc", "hashes"), ("version", "provenance.generator_version", "1.0", "hashes"), ("external", "provenance.source_kind", "web", "provenance"), ("consumed", "provenance.test_consumed", True, "provenance"),
+]
+
+
+@query(literal([(n, v) for n, _, _, v in PREFERENCES], ("change", "violations")))
+def q_preference_violations(spark: SparkSession) -> DataFrame:
+    shape = "id string, task_id string, split string, negative_type string, chosen string, rejected string, provenance struct<source_kind:string,source_task_hash:string,generator_version:string,sft_init_hash:string,external_sources:array<string>,test_consumed:boolean>"
+    row = spark.createDataFrame([("pref-t-1", "t-1", "train", "wrong_tool", "yes", "no", ("internal_task", "0" * 64, "1.0.0", "f" * 64, [], False))], shape)
+    return _broken(contracts.preferences(_changed(row, [c[:3] for c in PREFERENCES[1:]])))
+
+
+EXTERNALS = [
+    ("none", "", None, ""), ("id", "id", "Bad Id", "id"), ("decision", "expected_decision", "MAYBE", "choice"), ("category", "category", "hard", "choice"), ("uri", "provenance.source_uri", "http://x", "source_uri"),
+    ("revision", "provenance.revision", "main", "revision"), ("hash", "provenance.source_sha256", "0", "revision"), ("license", "provenance.license", "none", "license"), ("usage", "provenance.usage", "training", "usage"),
+]
+
+
+@query(literal([*((n, v) for n, _, _, v in EXTERNALS), ("silent", "messages")], ("change", "violations")))
+def q_external_violations(spark: SparkSession) -> DataFrame:
+    shape = "id string, category string, expected_decision string, messages array<struct<role:string,content:string>>, provenance struct<source_uri:string,revision:string,source_sha256:string,license:string,usage:string>"
+    row = spark.createDataFrame([("bfcl-1", "simple", "CALL", [("user", "hi")], ("https://e.org/x", "a" * 40, "b" * 64, "MIT", "external_eval"))], shape)
+    changes = [c[:3] for c in EXTERNALS[1:]] + [("silent", "messages", F.expr("transform(messages, m -> named_struct('role', 'system', 'content', m.content))"))]
+    return _broken(contracts.external(_changed(row, changes)))
+
+
+CACHED = [("none", "", None, ""), ("logp", "chosen_logp", float("-inf"), "logps"), ("nan", "rejected_logp", float("nan"), "logps"), ("tokens", "rejected_tokens", 0, "tokens"), ("hash", "example_hash", "XYZ", "example_hash")]
+
+
+@query(literal([(n, v) for n, _, _, v in CACHED], ("change", "violations")))
+def q_cache_violations(spark: SparkSession) -> DataFrame:
+    row = spark.createDataFrame([("dpo-1", "a" * 64, -1.5, -2.5, 3, 4)], "id string, example_hash string, chosen_logp double, rejected_logp double, chosen_tokens long, rejected_tokens long")
+    return _broken(contracts.reference_logps(_changed(row, [c[:3] for c in CACHED[1:]])))
+
+
+DPO = [("none", "", None, ""), ("id", "id", "t-1", "id"), ("split", "split", "test", "split"), ("same", "rejected", "yes ", "texts")]
+
+
+@query(literal([(n, v) for n, _, _, v in DPO], ("change", "violations")))
+def q_dpo_violations(spark: SparkSession) -> DataFrame:
+    row = spark.createDataFrame([("dpo-t-1", "t-1", "train", "yes", "no")], "id string, task_id string, split string, chosen string, rejected string")
+    return _broken(contracts.dpo_examples(_changed(row, [c[:3] for c in DPO[1:]])))
+
+
+@query(literal([(1, ""), (2, "rate"), (3, "share"), (4, "rate,share")], ("i", "violations")))
+def q_range_violations(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.01, 0.5), (3, 0.5, None), (4, -0.1, float("nan"))], "i int, rate double, share double")
+    return contracts.in_unit_range(rows, "rate", "share").select("i", F.array_join("violations", ",").alias("violations"))
+
+
+TASKS = [
+    ("none", "", None, ""), ("domain", "domain", "My Domain", "slug"), ("split", "split", "dev", "choice"), ("version", "generator_version", "one", "generator_version"), ("query", "query", "", "query"),
+    ("id", "id", "other-act", "id"), ("kind", "expected.kind", "NOOP", "kind,expected"), ("label", "label", "ANSWER", "kind,label"), ("perturbation", "perturbation", "tool_removed", "perturbation"),
+    ("tool", "expected.tool_name", "fly_home", "expected_tool"), ("arguments", "expected.arguments", '{"account_id":7}', "arguments"), ("no-arguments", "expected.arguments", None, "expected"), ("slug", "expected.tool_name", "Get Balance", "expected_tool,expected"),
+]
+
+
+@query(literal([*((n, v) for n, _, _, v in TASKS), ("twice", "tools,expected_tool"), ("abstains", ""), ("abstains-plainly", "perturbation"), ("no-slots", "expected"), ("two-slots", "expected")], ("change", "violations")))
+def q_task_violations(spark: SparkSession) -> DataFrame:
+    """A task, and what each change to it breaks."""
+    tasks = generate.finance_tasks(spark, 1)
+    act = tasks.where("id = 'finance-answer-000-act'")
+    found = _changed(act, [c[:3] for c in TASKS[1:]] + [("twice", "tools", F.expr("concat(tools, tools)"))])
+    other = tasks.where("id = 'finance-clarify-000-abstain'")
+    slots = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    more = _changed(other, [("abstains-plainly", "perturbation", None), ("no-slots", "expected.missing_slots", slots()), ("two-slots", "expected.missing_slots", slots("source", "source"))])
+    more = more.withColumn("change", F.when(F.col("change") == "none", "abstains").otherwise(F.col("change")))
+    return _broken(contracts.tasks(found.unionByName(more)))
+
+
+VALIDATORS = [
+    (1, "exact", "x", None, None, None, None, True), (2, "exact", "", None, None, None, None, False), (3, "numeric", None, 1.5, 0.0, None, None, True), (4, "numeric", None, float("nan"), 0.0, None, None, False),
+    (5, "numeric", None, 1.0, -1.0, None, None, False), (6, "set", None, None, None, ["a", "b"], None, True), (7, "set", None, None, None, ["Σ", "ς"], None, False), (8, "set", None, None, None, [], None, False),
+    (9, "set", None, None, None, ["a", ""], None, False), (10, "domain", None, None, None, None, "rate_check", True), (11, "domain", None, None, None, None, "Rate Check", False), (12, "normalized_text", "y", None, None, None, None, True),
+]
+
+
+@query(literal([(r[0], r[7]) for r in VALIDATORS], ("i", "ok")))
+def q_validator_contract(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(r[0], (r[1], r[2], r[3], r[5], True, r[4], None, r[6], None)) for r in VALIDATORS], f"i int, v {generate.VALIDATOR}")
+    return rows.select("i", F.coalesce(contracts.validator_ok(F.col("v")), F.lit(False)).alias("ok"))
+
+
+@query(literal([("none", ""), ("alone", "members,shared,changes"), ("split", "shared"), ("state", "changes"), ("tools", "changes")], ("change", "violations")))
+def q_pair_violations(spark: SparkSession) -> DataFrame:
+    tasks = generate.finance_tasks(spark, 1).where("pair_id = 'finance-clarify-000'")
+    side = F.col("variant") == "abstain"
+    frames = {
+        "none": tasks,
+        "alone": tasks.where(~side),
+        "split": tasks.withColumn("split", F.when(side, "test").otherwise(F.col("split"))),
+        "state": tasks.withColumn("environment", F.when(side, '{"balances":{}}').otherwise(F.col("environment"))),
+        "tools": tasks.withColumn("tools", F.when(side, F.slice("tools", 1, 2)).otherwise(F.col("tools"))),
+    }
+    found = [contracts.pairs(df).select(F.lit(name).alias("change"), F.array_join("violations", ",").alias("violations")) for name, df in frames.items()]
+    return guards.union_all(*found)
+
+
+@query(literal([("unknown", "b,d")], ("change", "fields")))
+def q_unknown_fields(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([('{"a":1,"b":2,"c":3,"d":4}',)], "raw string")
+    return rows.select(F.lit("unknown").alias("change"), F.array_join(F.array_sort(contracts.unknown_fields(F.col("raw"), "a", "c")), ",").alias("fields"))
+
+
+GATES = [("good", "ok"), ("kind", "ValueError"), ("sources", "ValueError"), ("consumed", "ValueError"), ("count", "ok"), ("short", "ValueError"), ("undeclared", "ok")]
+
+
+@query(literal(GATES, ("gate", "outcome")))
+def q_gates(spark: SparkSession) -> DataFrame:
+    good = {"source_kind": "internal_generated", "external_sources": [], "test_consumed": False}
+    three = spark.range(3)
+    runs = {
+        "good": lambda: contracts.internal_only(good), "kind": lambda: contracts.internal_only(good | {"source_kind": "web"}), "sources": lambda: contracts.internal_only(good | {"external_sources": ["x"]}),
+        "consumed": lambda: contracts.internal_only(good | {"test_consumed": True}), "count": lambda: contracts.expected_count(three, 3, "rows"), "short": lambda: contracts.expected_count(three, 4, "rows"),
+        "undeclared": lambda: contracts.expected_count(three, None, "rows"),
+    }
+    return spark.createDataFrame([(name, said(run)) for name, run in runs.items()], "gate string, outcome string")
+
+
+CONFIGS = [("good", "ok"), ("repeated", "ValueError"), ("held-out", "ValueError"), ("family", "ValueError"), ("unknown", "ValueError"), ("mixed", "ValueError"), ("few", "ValueError")]
+
+
+@query(literal(CONFIGS, ("config", "outcome")))
+def q_analysis_configs(spark: SparkSession) -> DataFrame:
+    one = {"id": "a", "family": "1.5b", "method": "Base", "split": "internal-validation", "status": "baseline", "metrics": "r/a/metrics.json", "evaluations": "r/a/evaluations.jsonl"}
+    two, other = one | {"id": "b"}, one | {"id": "c", "split": "bfcl"}
+    pair = {"id": "b-a", "baseline": "a", "candidate": "b"}
+    runs = {
+        "good": {"experiments": [one, two], "paired_comparisons": [pair]}, "repeated": {"experiments": [one, one]}, "held-out": {"experiments": [one | {"metrics": "r/TEST/m.json"}]}, "family": {"experiments": [one | {"family": "7b"}]},
+        "unknown": {"experiments": [one], "paired_comparisons": [pair]}, "mixed": {"experiments": [one, other], "paired_comparisons": [pair | {"candidate": "c"}]}, "few": {"experiments": [one], "bootstrap_samples": 99},
+    }
+    return spark.createDataFrame([(name, said(lambda c=c: reports.check_config(c))) for name, c in runs.items()], "config string, outcome string")
+
+
+# -------------------------------------------------------------------------------- evaluation
+
+#: kind, value, number, tolerance, unit, values, case matters, response, strict, semantic
+ANSWERS = [
+    (1, "exact", "Oslo", None, None, None, None, True, "Oslo", True, True), (2, "exact", "Oslo", None, None, None, None, True, "oslo", False, False), (3, "exact", "Oslo", None, None, None, None, False, " OSLO. ", True, True),
+    (4, "exact", "Oslo", None, None, None, None, True, "It is Oslo, I think.", False, True), (5, "normalized_text", "red car", None, None, None, None, None, "Red  CAR!", True, True), (6, "normalized_text", "red car", None, None, None, None, None, "A red car it is", False, True),
+    (7, "numeric", None, 12.5, 0.1, "km", None, None, "about 12.55 km", True, True), (8, "numeric", None, 12.5, 0.1, "km", None, None, "12.5 miles", False, False), (9, "numeric", None, 1200.0, 0.0, None, None, None, "1,200", True, True),
+    (10, "set", None, None, None, None, ["a", "B"], False, "b and A", True, True), (11, "set", None, None, None, None, ["a", "B"], True, "b, a", False, False), (12, "set", None, None, None, None, ["a", "b"], True, "a; b; c", False, False),
+    (13, "domain", None, None, None, None, None, None, "anything", False, False),
+]
+
+
+@query(literal([(r[0], r[9], r[10]) for r in ANSWERS], ("i", "strict_", "semantic")))
+def q_answer_validators(spark: SparkSession) -> DataFrame:
+    shape = f"i int, v {generate.VALIDATOR}, t string"
+    rows = spark.createDataFrame([(r[0], (r[1], r[2], r[3], r[6], r[7], r[4], r[5], "check" if r[1] == "domain" else None, None), r[8]) for r in ANSWERS], shape)
+    v, t = F.col("v"), F.col("t")
+    parts = (v, t, text.normalize_text(t), text.normalize_text(v["value"]), text.normalize_text(v["unit"]), evaluation.normalized_all(v["values"]))
+    return rows.select("i", evaluation.answer_strict(*parts).alias("strict_"), evaluation.answer_semantic(*parts).alias("semantic"))
+
+
+#: label, variant, predicted class, correct
+SCORED = [(f"p{p}-{v}", f"p{p}", v, "CALL" if v == "act" else lab, g, ok) for p, (lab, ga, gb, oa, ob) in enumerate([("ANSWER", "CALL", "ANSWER", True, True), ("CLARIFY", "CALL", "CALL", True, False), ("REFUSE", "REFUSE", "REFUSE", False, True), ("NOOP", "CALL", None, True, False), ("ANSWER", "CALL", "NOOP", False, False)]) for v, g, ok in (("act", ga, oa), ("abstain", gb, ob))]
+SCORED_SQL = literal(SCORED, ("task_id", "pair_id", "variant", "label", "guess", "ok"))
+
+
+def _scored(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    tasks = spark.createDataFrame([r[:4] for r in SCORED], "id string, pair_id string, variant string, label string")
+    found = spark.createDataFrame([(r[0], r[4], r[5], r[5], r[4] is not None, r[5]) for r in SCORED], "task_id string, predicted_class string, behavior_correct boolean, semantic_correct boolean, protocol_correct boolean, correct boolean")
+    return tasks, found
+
+
+CLASS_SQL = f"""WITH t AS ({SCORED_SQL}), c AS (SELECT unnest(['CALL', 'ANSWER', 'CLARIFY', 'REFUSE', 'NOOP']) AS class),
+n AS (SELECT class, (SELECT count(*) FROM t WHERE label = class) AS support, (SELECT count(*) FROM t WHERE guess = class) AS guessed, (SELECT count(*) FROM t WHERE label = class AND guess = class) AS tp FROM c),
+r AS (SELECT class, support, CASE WHEN guessed = 0 THEN 0.0::DOUBLE ELSE tp / guessed END AS p, CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE tp / support END AS r FROM n),
+f AS (SELECT class, support, p, r, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END AS f1 FROM r)"""
+
+
+@query(f"{CLASS_SQL} SELECT class, round(p, 9) AS prec, round(r, 9) AS recall, round(f1, 9) AS f1, support FROM f")
+def q_per_class(spark: SparkSession) -> DataFrame:
+    found = metrics.compute_metrics(*_scored(spark))[1]
+    return found.select("class", F.round("precision", 9).alias("prec"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"), "support")
+
+
+@query(f"""{CLASS_SQL}, pairs AS (SELECT pair_id, bool_and(ok) AS ok FROM t GROUP BY 1)
+SELECT count(*) AS task_count, count(DISTINCT pair_id) AS pair_count, round(avg(ok::INT), 9) AS accuracy, round(avg((guess IS NOT NULL)::INT), 9) AS protocol_compliance_rate,
+  round(avg(ok::INT) FILTER (variant = 'act'), 9) AS act_accuracy, round(avg(ok::INT) FILTER (variant = 'abstain'), 9) AS abstention_accuracy,
+  round(avg(coalesce(guess = 'CALL', false)::INT) FILTER (variant = 'abstain'), 9) AS tool_hallucination_rate, (SELECT round(avg(ok::INT), 9) FROM pairs) AS paired_accuracy,
+  (SELECT round(avg(f1), 9) FROM f) AS macro_f1, '2.0.0' AS evaluator_version FROM t""")
+def q_compute_metrics(spark: SparkSession) -> DataFrame:
+    """All accuracies of five pairs, macro F1 among them."""
+    found = metrics.compute_metrics(*_scored(spark))[0]
+    rates = ("accuracy", "protocol_compliance_rate", "act_accuracy", "abstention_accuracy", "tool_hallucination_rate", "paired_accuracy", "macro_f1")
+    return found.select("task_count", "pair_count", *(F.round(c, 9).alias(c) for c in rates), "evaluator_version")
+
+
+REFUSED = [("complete", "ok"), ("empty", "ValueError"), ("missing", "ValueError"), ("repeated", "ValueError"), ("one-sided", "ValueError"), ("broken-pair", "ValueError")]
+
+
+@query(literal(REFUSED, ("input", "outcome")))
+def q_metrics_refusals(spark: SparkSession) -> DataFrame:
+    tasks, found = _scored(spark)
+    only = lambda df, key, cond: df.where(cond.replace("ID", key))
+    runs = {
+        "complete": (tasks, found), "empty": (tasks.limit(0), found.limit(0)), "missing": (tasks, found.where("task_id != 'p0-act'")), "repeated": (tasks, found.unionByName(found.where("task_id = 'p0-act'"))),
+        "one-sided": (tasks.withColumn("variant", F.lit("act")), found), "broken-pair": (only(tasks, "id", "ID != 'p0-act'"), only(found, "task_id", "ID != 'p0-act'")),
+    }
+    return spark.createDataFrame([(name, said(lambda a=a: metrics.compute_metrics(*a))) for name, a in runs.items()], "input string, outcome string")
+
+
+NOTES = [("a1", "CALL", "YES", "YES", "t1", "CALL", True, True), ("a2", "ANSWER", "NO", "YES", "t2", "CALL", False, True), ("a3", "UNCLEAR", "UNCERTAIN", "NO", "t3", None, False, False), ("a4", "NOOP", "YES", "NO", "t4", "NOOP", False, True)]
+
+
+def _judged(spark: SparkSession) -> DataFrame:
+    notes = spark.createDataFrame([(*r[:4], "") for r in NOTES], ", ".join(f"{f} string" for f in agreement.FIELDS))
+    mapping = spark.createDataFrame([(r[0], r[4]) for r in NOTES], "audit_id string, task_id string")
+    found = spark.createDataFrame([r[4:] for r in NOTES], "task_id string, predicted_class string, correct boolean, protocol_correct boolean")
+    return agreement.judged(notes, mapping, found)
+
+
+@query(literal([("a1", "t1", ""), ("a2", "t2", "behavior"), ("a3", "t3", ""), ("a4", "t4", "semantic,protocol")], ("audit_id", "task_id", "axes")))
+def q_judged_items(spark: SparkSession) -> DataFrame:
+    return _judged(spark).select("audit_id", "task_id", "axes")
+
+
+@query("SELECT 4 AS item_count, 0.75 AS behavior_agreement, 0.75 AS semantic_agreement, 0.75 AS protocol_agreement, 'a2:t2:behavior|a4:t4:semantic,protocol' AS disagreements")
+def q_evaluator_agreement(spark: SparkSession) -> DataFrame:
+    found = agreement.evaluator_agreement(_judged(spark))
+    listed = F.array_join(F.transform(F.array_compact("disagreements"), lambda d: F.concat_ws(":", d["audit_id"], d["task_id"], d["axes"])), "|")
+    return found.select("item_count", "behavior_agreement", "semantic_agreement", "protocol_agreement", listed.alias("disagreements"))
+
+
+@query(literal([("a1", "repeated"), ("a2", "semantic_correctness"), ("a3", "only in left"), ("a9", "only in right")], ("audit_id", "problem")))
+def q_annotation_problems(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([("a1", "CALL", "YES", "YES", ""), ("a1", "CALL", "YES", "YES", ""), ("a2", "CALL", "MAYBE", "YES", ""), ("a3", "NOOP", "NO", "NO", "x")], ", ".join(f"{f} string" for f in agreement.FIELDS))
+    wanted = spark.createDataFrame([("a1",), ("a2",), ("a9",)], "audit_id string")
+    return agreement.annotation_problems(rows, wanted)
+
+
+@query("SELECT field, value, count(*) AS n FROM (UNPIVOT (" + literal([r[:4] for r in NOTES], ("audit_id", "predicted_behavior", "semantic_correctness", "format_acceptable")) + ") ON predicted_behavior, semantic_correctness, format_acceptable INTO NAME field VALUE value) GROUP BY 1, 2")
+def q_annotation_summary(spark: SparkSession) -> DataFrame:
+    notes = spark.createDataFrame([(*r[:4], "") for r in NOTES], ", ".join(f"{f} string" for f in agreement.FIELDS))
+    return agreement.annotation_summary(notes)
+
+
+# -------------------------------------------------------------------------------- statistics
+
+#: Whether 120 stored validation answers, by ascending task id, were correct, before training and after it, with two recipes.
+BEFORE = "101010101001010101010101010101111111111111111111110101010101010101010101010101011010101010010101010101010101011111111111"
+AFTER = "111111111111111111111111111111111111111111111111111111111111010101010111111111111111111111111111111111111111111111111111"
+REPAIRED = "111111111101010101011111111111111111111111111111111111111111111111111111111111111111111111111111111111111111111111111111"
+
+
+@query(literal([("trained", 120, 10000, 2027, 0.333333, 0.25, 0.416667), ("repaired", 120, 10000, 2029, 0.0, -0.05, 0.05)], ("comparison", "task_count", "samples", "seed", "difference", "ci95_low", "ci95_high")))
+def q_bootstrap_published(spark: SparkSession) -> DataFrame:
+    """Paired bootstraps of stored answers, which must give the published intervals."""
+    found = None
+    for name, seed, base, candidate in (("trained", 2027, BEFORE, AFTER), ("repaired", 2029, AFTER, REPAIRED)):
+        make = lambda bits: spark.createDataFrame([(f"t{i:03d}", b == "1") for i, b in enumerate(bits)], "task_id string, correct boolean")
+        one = statistics.compared(make(base), make(candidate), name, seed)
+        found = one if found is None else found.unionByName(one)
+    rows = statistics.paired_bootstrap(found)
+    return rows.select("comparison", F.col("task_count").cast("int").alias("task_count"), F.col("samples").cast("int").alias("samples"), F.col("seed").cast("int").alias("seed"), *(F.round(c, 6).alias(c) for c in ("difference", "ci95_low", "ci95_high")))
+
+
+@query("WITH v AS (SELECT range::DOUBLE * range AS v, row_number() OVER (ORDER BY range) - 1 AS spot FROM range(201)) SELECT (SELECT v FROM v WHERE spot = floor(0.025 * 200)) AS ci95_low, (SELECT v FROM v WHERE spot = ceil(0.975 * 200)) AS ci95_high")
+def q_order_interval(spark: SparkSession) -> DataFrame:
+    return statistics.order_interval(spark.range(201).select((F.col("id") * F.col("id")).cast("double").alias("v")), "v", 201)
+
+
+@query(literal([("passes", True), ("shrinks", False), ("negative", False), ("guesses", False), ("unchanged", False), ("unknown", False)], ("run", "promoted")))
+def q_promotion(spark: SparkSession) -> DataFrame:
+    rows = [("passes", 0.1, 0.5, 0.7, "a", "b"), ("shrinks", 0.6, 0.5, 0.7, "a", "b"), ("negative", -0.9, -0.1, 0.7, "a", "b"), ("guesses", 0.1, 0.5, 0.59, "a", "b"), ("unchanged", 0.1, 0.5, 0.7, "a", "a"), ("unknown", 0.1, 0.5, None, "a", "b")]
+    return rewards.promotion(spark.createDataFrame(rows, "run string, initial_margin double, final_margin double, reward_accuracy double, initial_hash string, final_hash string")).select("run", "promoted")
+
+
+LOGPS = [("a", -1.0, -3.0, -2.0, -2.0, 2, 4), ("b", -5.0, -1.0, -2.0, -2.5, 1, 2), ("c", -2.0, -2.0, -2.0, -2.0, 3, 3)]
+
+
+@query("WITH t AS (" + literal(LOGPS, ("id", "pc", "pr", "rc", "rr", "nc", "nr")) + """), s AS (SELECT id, 0.5 * ((pc - pr) - (rc - rr)) AS x, 0.5 * (pc / nc - pr / nr - (rc / nc - rr / nr)) AS m FROM t)
+SELECT id, round(0.9 * (greatest(-x, 0) + ln(1 + exp(-abs(x)))) + 0.1 * (greatest(x, 0) + ln(1 + exp(-abs(x)))), 9) AS smoothed, round(greatest(-m, 0) + ln(1 + exp(-abs(m))), 9) AS normalised, round(m, 9) AS margin FROM s""")
+def q_dpo_rows(spark: SparkSession) -> DataFrame:
+    """Losses with label smoothing, and with log-probabilities a token."""
+    rows = spark.createDataFrame(LOGPS, "id string, policy_chosen double, policy_rejected double, reference_chosen double, reference_rejected double, chosen_tokens long, rejected_tokens long")
+    smooth = rewards.dpo_rows(rows, 0.5, 0.1).select("id", F.round("loss", 9).alias("smoothed"))
+    mean = rewards.dpo_rows(rows, 0.5, 0.0, "mean").select("id", F.round("loss", 9).alias("normalised"), F.round("reward_margin", 9).alias("margin"))
+    return smooth.join(mean, "id")
+
+
+# ----------------------------------------------------------------------------- keys and order
+
+
+@query("SELECT range + 1 AS step, [4, 2, 0, 1, 3][range % 5 + 1] AS item FROM range(13)")
+def q_cycled(spark: SparkSession) -> DataFrame:
+    return sampling.cycled([4, 2, 0, 1, 3], 13, spark)
+
+
+@query("SELECT range AS place, [14, 0, 23, 18, 6, 5, 7, 10, 22, 20, 4, 2, 21, 3, 17, 11, 19, 9, 24, 15, 16, 8, 1, 13, 12][range + 1] AS person FROM range(25)")
+def q_seeded_order(spark: SparkSession) -> DataFrame:
+    """The people of the generated corpus in their seeded order."""
+    return spark.createDataFrame(list(enumerate(generate.contact_order(0))), "place long, person int")
+
+
+@query(literal([("common", "b"), ("common", "c"), ("lacking", "a"), ("twice", "c"), ("split", "k1")], ("check_", "key")))
+def q_key_checks(spark: SparkSession) -> DataFrame:
+    left, right = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "k string"), spark.createDataFrame([("b",), ("c",), ("d",)], "k string")
+    splits = spark.createDataFrame([("k1", "train"), ("k1", "test"), ("k2", "train"), ("k2", "train")], "k string, split string")
+    named = lambda name, df: df.select(F.lit(name).alias("check_"), F.col(df.columns[0]).alias("key"))
+    return guards.union_all(named("common", guards.common(left, right, "k")), named("lacking", guards.missing_from(left, right, "k")), named("twice", guards.duplicates(left, "k").select("k")), named("split", guards.leaks(splits, "k").select("key")))
+
+
+@query(literal([("a", 1), ("b", 2), ("c", 3)], ("k", "n")))
+def q_counted(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(k,) for k in "cabcbc"], "k string")
+    listed = guards.count_map(rows, "k").select(F.explode("counts").alias("k", "n"))
+    return listed.intersect(guards.counted(rows, "k").select("k", "n")).select("k", F.col("n").cast("int").alias("n"))
+
+
+@query(literal([("complete", "ok"), ("repeated", "ValueError"), ("missing", "ValueError"), ("foreign", "ValueError")], ("keys", "outcome")))
+def q_one_to_one(spark: SparkSession) -> DataFrame:
+    make = lambda keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    runs = {"complete": ("abc", "cab"), "repeated": ("abc", "abcc"), "missing": ("abc", "ab"), "foreign": ("ab", "abx")}
+    return spark.createDataFrame([(name, said(lambda s=s: guards.matched(make(s[0]), make(s[1]).withColumn("x", F.lit(1)), "k"))) for name, s in runs.items()], "keys string, outcome string")
+
+
+CALLED = [
+    (1, "finance", "get_balance", '{"account_id":"a"}', '{"balances":{"a":5}}', '{"account_id":"a","balance":5}', None), (2, "finance", "fly", "{}", "{}", None, "ValueError"), (3, "weather", "get_time", '{"city":"X"}', "{}", None, "KeyError"),
+    (4, "productivity", "close_ticket", '{"ticket_id":7}', '{"tickets":{"7":"open"}}', '{"changed":true,"status":"closed","ticket_id":7}', None), (5, "productivity", "close_ticket", '{"ticket_id":0}', "{}", None, "ValueError"),
+    (6, "productivity", "close_ticket", '{"ticket_id":7}', '{"tickets":{"7":"closed"}}', '{"changed":false,"status":"closed","ticket_id":7}', None), (7, "weather", "distance", '{"destination":"B","origin":"A"}', '{"miles":12}', '{"destination":"B","miles":12,"origin":"A"}', None),
+]
+
+
+@query(literal([(r[0], r[5], r[6]) for r in CALLED], ("i", "result", "error")))
+def q_tool_runs(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([r[:5] for r in CALLED], "i int, d string, n string, a string, s string").withColumn("r", run_tool("d", "n", "a", "s"))
+    return rows.select("i", "r.result", F.substring_index("r.error", ":", 1).alias("error"))
+
+
+# ---------------------------------------------------------------------------------- training
+
+
+@query(literal([("dpo-1", "1,2,3", "1,2,4", 2, False, False), ("dpo-2", "1,2,5,6", "1,2,5,7", 2, True, False)], ("id", "chosen", "rejected", "prompt", "cut_chosen", "cut_rejected")))
+def q_pair_tokens(spark: SparkSession) -> DataFrame:
+    """Token ids of two pairs by a toy tokenizer: a number a word, prompts first."""
+
+    def tokenizer(turns: list, generation: bool) -> list[int]:
+        ids = [1, 2]
+        return ids if generation else ids + [int(w) for w in turns[-1]["content"].split()]
+
+    rows = [("dpo-1", [("user", "x")], "3", "4"), ("dpo-2", [("user", "x")], "5 6 8", "5 7")]
+    found = training.tokenized(spark.createDataFrame(rows, "id string, messages array<struct<role:string,content:string>>, chosen string, rejected string"), tokenizer, 4)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return found.select("id", joined("chosen").alias("chosen"), joined("rejected").alias("rejected"), F.col("chosen_offset").alias("prompt"), F.col("chosen_truncated").alias("cut_chosen"), F.col("rejected_truncated").alias("cut_rejected"))
+
+
+@query(literal([("c", "repeated"), ("a", "unmatched"), ("d", "unmatched"), ("b", "stale")], ("id", "problem")))
+def q_reference_problems(spark: SparkSession) -> DataFrame:
+    examples = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("c", "h3")], "id string, example_hash string")
+    cache = spark.createDataFrame([("b", "old"), ("c", "h3"), ("c", "h3"), ("d", "h4")], "id string, example_hash string")
+    return training.reference_problems(examples, cache)
+
+
+TOOL_JSON = '{"function":{"description":"Finds \\"it\\".","name":"find","parameters":{"type":"object"}},"type":"function"}'
+
+
+@query(literal([("native_full", "system", 7, 'Environment state: {"a":1,"b":[2]}\n\nRequest: Go "now".'), ("embedded_tools", "system", 12, 'Environment state: {"a":1,"b":[2]}\n\nRequest: Go "now".'), ("protocol_strict", "system", 13, 'Environment state: {"a":1,"b":[2]}\n\nRequest: Go "now".'), ("native_short", "system", 3, 'Environment state: {"a":1,"b":[2]}\n\nRequest: Go "now".')], ("policy", "first_role", "policy_lines", "request")))
+def q_prompts(spark: SparkSession) -> DataFrame:
+    """Chat messages of a task under every prompt policy."""
+    row = spark.createDataFrame([("t-1", 'Go "now".', '{"b": [2], "a": 1}', [("find", 'Finds "it".', '{"type":"object"}')])], "id string, query string, environment string, tools array<struct<name:string,description:string,parameters:string>>")
+    found = None
+    for variant in training.POLICIES:
+        m = training.messages(row, variant).select(F.lit(variant).alias("policy"), F.col("messages")[0]["role"].alias("first_role"), F.size(F.split(F.col("messages")[0]["content"], "\n")).alias("policy_lines"), F.col("messages")[1]["content"].alias("request"))
+        found = m if found is None else found.unionByName(m)
+    return found
+
+
+@query(f"SELECT '{TOOL_JSON}' AS wrapped, true AS embedded, true AS stripped")
+def q_tool_wrapper(spark: SparkSession) -> DataFrame:
+    """A tool as a function object, and its place in the prompt that embeds tools."""
+    row = spark.createDataFrame([("t-1", "Go.", "{}", [("find", 'Finds "it".', '{"type":"object"}')])], "id string, query string, environment string, tools array<struct<name:string,description:string,parameters:string>>")
+    embedded = training.messages(row, "embedded_tools").select(F.contains(F.col("messages")[0]["content"], training.tools_json(F.col("tools"))).alias("embedded"), training.function_json(F.col("tools")[0]).alias("wrapped"))
+    return embedded.select("wrapped", "embedded", (training.policy(F.lit("native_full")) == F.trim(training.policy(F.lit("native_full")))).alias("stripped"))
+
+
+GOLD_TEXTS = [
+    ("finance-answer-002-abstain", "$1002"), ("finance-answer-002-act", '<tool_call>{"arguments":{"account_id":"acct-1002"},"name":"get_balance"}</tool_call>'), ("finance-clarify-002-abstain", "Could you provide the missing source?"),
+    ("finance-clarify-002-act", '<tool_call>{"arguments":{"amount":12.0,"destination":"acct-2002","source":"acct-1002"},"name":"transfer"}</tool_call>'), ("finance-noop-002-abstain", "already transferred"),
+    ("finance-noop-002-act", '<tool_call>{"arguments":{"amount":12.0,"destination":"acct-2002","source":"acct-1002"},"name":"transfer"}</tool_call>'),
+    ("finance-refuse-002-abstain", "I cannot complete that request because the required capability 'fx_rate' is not available in the visible tools."), ("finance-refuse-002-act", '<tool_call>{"arguments":{"base":"USD","quote":"JPY"},"name":"fx_rate"}</tool_call>'),
+]
+
+
+@query(literal(GOLD_TEXTS, ("id", "reply")))
+def q_gold_texts(spark: SparkSession) -> DataFrame:
+    return generate.finance_tasks(spark, 3).where("pair_id like '%-002'").select("id", training.gold_text(F.col("expected")).alias("reply"))
+
+
+@query(literal([("finance-answer-000-act", "wrong_decision_abstain", ""), ("finance-answer-000-abstain", "unnecessary_call", "task_hash"), ("finance-clarify-000-act", "wrong_arguments", "chosen"), ("finance-noop-000-act", "malformed_tool_call", "rejected,protocol"), ("finance-refuse-000-act", "wrong_tool", "source")], ("task_id", "negative_type", "violations")))
+def q_checked_preferences(spark: SparkSession) -> DataFrame:
+    """Preferences looked at with their tasks, some of them spoilt."""
+    tasks = generate.finance_tasks(spark, 1)
+    gold = tasks.select(F.col("id").alias("task_id"), training.gold_text(F.col("expected")).alias("gold"))
+    shape = "task_id string, negative_type string, spoilt string"
+    chosen = [("finance-answer-000-act", "wrong_decision_abstain", ""), ("finance-answer-000-abstain", "unnecessary_call", "hash"), ("finance-clarify-000-act", "wrong_arguments", "chosen"), ("finance-noop-000-act", "malformed_tool_call", "right"), ("finance-refuse-000-act", "wrong_tool", "split")]
+    named = training.with_task_json(tasks).select(F.col("id").alias("task_id"), "pair_id", "split", "label", "task_hash").join(gold, "task_id").join(spark.createDataFrame(chosen, shape), "task_id")
+    act = F.regexp_replace("task_id", "abstain$", "act")
+    calls = named.select(F.col("task_id"), act.alias("act_id")).join(gold.select(F.col("task_id").alias("act_id"), F.col("gold").alias("act_call")), "act_id").select("task_id", "act_call")
+    rows = named.join(calls, "task_id")
+    kind, spoilt = F.col("negative_type"), F.col("spoilt")
+    rejected = F.when(spoilt == "right", F.col("gold")).when(kind == "wrong_decision_abstain", training.WRONG_DECISION).when(kind == "unnecessary_call", F.col("act_call")).when(kind == "wrong_arguments", training.call_text(F.lit("transfer"), F.lit("{}"))).otherwise(training.call_text(F.lit("get_balance"), F.lit("{}")))
+    provenance = F.struct(F.lit("internal_task").alias("source_kind"), F.when(spoilt == "hash", "0").otherwise(F.col("task_hash")).alias("source_task_hash"))
+    prefs = rows.select(F.concat(F.lit("pref-"), "task_id").alias("id"), "task_id", "pair_id", F.when(spoilt == "split", "test").otherwise(F.col("split")).alias("split"), F.col("label").alias("target_class"), "negative_type", F.when(spoilt == "chosen", "No idea.").otherwise(F.col("gold")).alias("chosen"), rejected.alias("rejected"), provenance.alias("provenance"))
+    return training.checked(prefs, tasks).select("task_id", "negative_type", F.array_join("violations", ",").alias("violations"))
+
+
+@query("SELECT sha256('[' || string_agg('\"n' || range || '\"', ',' ORDER BY range DESC) || ']') AS digest FROM range(50)")
+def q_ordered_digest(spark: SparkSession) -> DataFrame:
+    rows = spark.range(50).select(F.concat(F.lit('"n'), F.col("id").cast("string"), F.lit('"')).alias("v"), (-F.col("id")).alias("o"))
+    return rows.agg(ordered_digest(F.col("v"), F.col("o")).alias("digest"))
+
+
+# ----------------------------------------------------------------------------------- reports
+
+REPORT = [
+    {"id": "base", "family": "1.5b", "method": "Base", "split": "internal-validation", "status": "baseline", "metrics": {"accuracy": 0.625, "act_accuracy": 0.8333, "abstention_accuracy": 0.4167, "protocol_compliance_rate": 1, "note": "x"}},
+    {"id": "ext", "family": "0.5b", "method": "Base <x>", "split": "bfcl", "status": "rejected", "metrics": {"decision_accuracy": 0.5, "call_accuracy": 0.25, "abstain_accuracy": 0.75, "task_count": 8}},
+]
+REPORT_LINES = [
+    (1, "id,family,method,split,status,task_count,accuracy,act_accuracy,abstention_accuracy,balanced_accuracy,call_accuracy,malformed_call_rate,protocol_compliance_rate"),
+    (2, "base,1.5b,Base,internal-validation,baseline,120,0.625,0.8333,0.4167,,,,1.0"), (3, "ext,0.5b,Base <x>,bfcl,rejected,8,0.5,,0.75,,0.25,,"),
+    (4, "| Base | 1.5b | internal-validation | baseline | 62.50% | 83.33% | 41.67% | 100.00% |"), (5, "| Base <x> | 0.5b | bfcl | rejected | 50.00% | 25.00% | 75.00% | — |"),
+    (6, '<text x="20" y="75" font-family="sans-serif" font-size="13">base</text>'), (7, '<rect x="280" y="58" width="350.000" height="22" fill="#2563eb"/>'), (8, '<text x="850" y="75" text-anchor="end" font-family="sans-serif" font-size="13">62.50%</text>'),
+]
+
+
+@query(literal(REPORT_LINES, ("i", "line")))
+def q_report_lines(spark: SparkSession) -> DataFrame:
+    """Comparison rows as CSV, as Markdown and as bars."""
+    rows = [reports.experiment_row(r, r["metrics"], 120) for r in REPORT]
+    table = [x for x in reports.markdown(rows).splitlines() if x.startswith("| Base")]
+    drawn = reports.bars(rows, "1.5b").splitlines()[3:6]
+    return spark.createDataFrame(list(enumerate([*reports.csv_text(rows).splitlines(), *table, *drawn], 1)), "i int, line string")
+
+
+@query(literal([("finance-clarify-000", "finance-clarify-000 [CLARIFY] changes=query\n  act: Transfer $10 from acct-1000 to acct-2000.\n  abstain: Transfer $10 to acct-2000."), ("finance-refuse-000", "finance-refuse-000 [REFUSE] changes=tools\n  act: Get the current USD to EUR exchange rate.\n  abstain: Get the current USD to EUR exchange rate.")], ("pair_id", "lines")))
+def q_pair_audit(spark: SparkSession) -> DataFrame:
+    tasks = generate.finance_tasks(spark, 1).where("pair_id in ('finance-clarify-000', 'finance-refuse-000')")
+    return reports.pair_audit(tasks).select("pair_id", F.col("text").alias("lines"))
+
+
+MANIFEST_SQL = """WITH p AS (SELECT * FROM (VALUES ('t1', 'a'), ('t2', 'b')) p(task_id, raw_text)), h AS (SELECT sha256('[' || string_agg('"' || task_id || '"', ',' ORDER BY task_id) || ']') AS ids,
+  sha256('[' || string_agg('{"raw_text":"' || raw_text || '","task_id":"' || task_id || '"}', ',' ORDER BY task_id) || ']') AS preds FROM p)
+SELECT '{"ids_hash":"' || ids || '","model":"m","predictions_hash":"' || preds || '","prompt_policy_hash":"' || sha256('"be brief"') || '","record_count":2}' AS manifest FROM h"""
+
+
+@query(MANIFEST_SQL)
+def q_run_manifest(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([("t2", "b"), ("t1", "a")], "task_id string, raw_text string")
+    return spark.createDataFrame([(reports.run_manifest(rows, {"model": "m"}, "be brief").rstrip("\n"),)], "manifest string")
+
+
+@query(literal([("items", 2), ("closed script tags", 1), ("safe ends", 1)], ("what", "n")))
+def q_packet_page(spark: SparkSession) -> DataFrame:
+    """The annotation page of two items, one of which tries to end its script element."""
+    shape = "audit_id string, query string, environment string, tools array<struct<name:string,description:string,parameters:string>>, response string"
+    page = reports.packet_page(spark.createDataFrame([("audit-001", "q", "{}", [], "</script><b>"), ("audit-002", "q", "{}", [], "fine")], shape))
+    data = page.split('<script id="items" type="application/json">')[1]
+    return spark.createDataFrame([("items", data.count('"audit_id":"audit-')), ("closed script tags", data.split("</script>")[0].count("</")+1), ("safe ends", data.count("<\\/script>"))], "what string, n int")
+
+

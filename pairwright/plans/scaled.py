@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions.canonical import sha256_of_string
-from pairwright.functions.numbers import safe_ratio, softplus
-from pairwright.functions.text import CALL_MARKS, five_grams, looks_like_call, normalize_query, refuses, slug, whitespace_query
-from pairwright.operators import agreement, guards, rewards, sampling, statistics
-from pairwright.operators.overlap import contained, jaccard_pairs, sequence_pairs
+from pairwright.functions.numbers import softplus
+from pairwright.functions.text import CALL_MARKS, looks_like_call, normalize_query, refuses, slug, whitespace_query
+from pairwright.operators import agreement, guards, metrics, rewards, sampling, statistics
+from pairwright.operators.overlap import contained, jaccard_groups, prepared, sequence_pairs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,14 +54,15 @@ GRAMS_SQL = "list_distinct(list_transform(range(1, greatest(2, length(p) - 3)),
 
 @query(f"""
 WITH q AS (SELECT doc_id, '  ' || {norm_sql('text')} || '  ' AS p FROM documents),
-g AS (SELECT doc_id, {GRAMS_SQL} AS grams FROM q), s AS (SELECT doc_id, grams, len(grams) AS n FROM g),
+g AS (SELECT doc_id, list_sort({GRAMS_SQL}) AS grams FROM q), s AS (SELECT grams, min(doc_id) AS doc_id, len(grams) AS n FROM g GROUP BY grams),
 pairs AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, len(list_intersect(a.grams, b.grams)) AS c, a.n AS n1, b.n AS n2
           FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n)
-SELECT left_id, right_id, round(c / (n1 + n2 - c)::DOUBLE, 9) AS score FROM pairs WHERE c / (n1 + n2 - c)::DOUBLE >= 0.8""")
+SELECT left_id, right_id, round(c / (n1 + n2 - c)::DOUBLE, 9) AS score FROM pairs WHERE c / (n1 + n2 - c)::DOUBLE >= 0.8
+UNION ALL SELECT s.doc_id, g.doc_id, 1.0::DOUBLE FROM g JOIN s ON g.grams = s.grams AND g.doc_id != s.doc_id""")
 def q_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents with five-gram Jaccard of at least 0.8: prefixes of rarest grams, then whole sets."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), five_grams(F.col("text")).alias("grams")).withColumn("n", F.size("grams"))
-    return jaccard_pairs(rows, rows, 0.8, self_join=True).withColumn("score", F.round("score", 9))
+    """Documents with five-gram Jaccard of at least 0.8: prefixes of rarest grams, then whole sets; copies are listed with their first one."""
+    rows = prepared(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return jaccard_groups(rows, 0.8).withColumn("score", F.round("score", 9))
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -96,27 +96,24 @@ def q_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT unnest([0, 1]) AS class), t AS (SELECT class, count(*) FILTER (quality = class AND toxic = class) AS tp,
   count(*) FILTER (quality = class) AS support, count(*) FILTER (toxic = class) AS guessed FROM c, labels GROUP BY class),
-p AS (SELECT class, support, CASE WHEN guessed = 0 THEN 0.0 ELSE tp / guessed END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM t)
+p AS (SELECT CASE WHEN class = 1 THEN 'CALL' ELSE 'ANSWER' END AS class, support, CASE WHEN guessed = 0 THEN 0.0 ELSE tp / guessed END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM t
+  UNION ALL SELECT unnest(['CLARIFY', 'REFUSE', 'NOOP']), 0, 0.0, 0.0)
 SELECT class, support, round(p, 9) AS prec, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1 FROM p""")
 def q_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels")
-    classes = spark.createDataFrame([(0,), (1,)], "class int")
-    a = rows.groupBy(F.col("quality").alias("class")).agg(F.count("*").alias("support"), F.count_if(F.col("quality") == F.col("toxic")).alias("tp"))
-    b = rows.groupBy(F.col("toxic").alias("class")).agg(F.count("*").alias("guessed"))
-    full = classes.join(a, "class", "left").join(b, "class", "left").na.fill(0)
-    p, r = safe_ratio(F.col("tp"), F.col("guessed")), safe_ratio(F.col("tp"), F.col("support"))
-    return full.select("class", "support", F.round(p, 9).alias("prec"), F.round(r, 9).alias("recall"), F.round(safe_ratio(2 * p * r, p + r), 9).alias("f1"))
+    """Precision, recall and F1 of a label that predicts another one, as two of the five classes; the others have no rows."""
+    named = lambda c: F.when(F.col(c) == 1, "CALL").otherwise("ANSWER")
+    rows = table(spark, sf_dir, "labels").select(named("quality").alias("label"), named("toxic").alias("predicted_class"))
+    found = metrics.per_class(rows)
+    return found.select("class", "support", F.round("precision", 9).alias("prec"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
 @query("""
 WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('"' || doc_id || '"')) AS rn FROM documents)
-SELECT doc_id, lang, source FROM r WHERE rn <= 2""")
+SELECT doc_id, lang, source FROM r WHERE rn <= 1""")
 def q_balanced_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two documents of each language and source by the hash of their id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", sha256_of_string(F.col("doc_id").cast("string")).alias("h"))
-    from pyspark.sql import Window
-
-    return docs.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "source").orderBy("h"))).where("rn <= 2").select("doc_id", "lang", "source")
+    """The first document of each language and source by the hash of its id: a balanced sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return sampling.balanced(docs, ["lang", "source"], F.col("doc_id").cast("string"), 1)
 
 
 @query("""
@@ -138,6 +135,17 @@ def q_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.positions(table(spark, sf_dir, "events").select("event_id"), "event_id")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders")
+def q_positions_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all orders, with columns that travel along."""
+    return sampling.positions(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+
+
+@query("SELECT printf('row-%05d', row_number() OVER (ORDER BY c_custkey)) AS audit_id, c_custkey, c_name FROM customer")
+def q_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", "row-%05d")
+
+
 MARKS_SQL = " OR ".join(f"contains(lower(text), '{m}')" for m in CALL_MARKS)
 REFUSAL_SQL = r"\b(cannot|can''t|unable|no available tool|no tool|not equipped|unsupported|none of (?:the )?(?:provided|available) (?:functions|tools))\b"
 
@@ -192,13 +200,13 @@ def q_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS place, n_regionkey AS v FROM nation), n AS (SELECT count(*) AS n FROM t),
-d AS (SELECT s AS sample, ('0x' || substr(sha256('q' || ':' || s || ':' || i), 1, 13))::BIGINT % (SELECT n FROM n) AS place FROM range(200) x(s), range(25) y(i) WHERE i < (SELECT n FROM n))
-SELECT sample, round(avg(v), 9) AS mean FROM d JOIN t USING (place) GROUP BY 1""")
+WITH t AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, value AS v FROM events), n AS (SELECT count(*) AS n FROM t),
+d AS (SELECT s AS sample, ('0x' || substr(sha256('q' || ':' || s || ':' || i), 1, 13))::BIGINT % (SELECT n FROM n) AS place FROM range(20) x(s), range((SELECT n FROM n)) y(i))
+SELECT sample, round(avg(v), 6) AS mean FROM d JOIN t USING (place) GROUP BY 1""")
 def q_bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred bootstrap means of a column, with draws from hashes."""
-    found = statistics.hashed_bootstrap(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", 200, "q")
-    return found.select("sample", F.round("mean", 9).alias("mean"))
+    """Twenty bootstrap means over all events, with draws from hashes."""
+    found = statistics.hashed_bootstrap(table(spark, sf_dir, "events"), "event_id", "value", 20, "q")
+    return found.select("sample", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
@@ -264,13 +272,14 @@ def q_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.accumulated(rows, "step", 100, "value").select(F.col("update").alias("update_"), F.round("value", 6).alias("value"), "n")
 
 
-@query("SELECT source, sha256('[' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || ']') AS ids_hash FROM documents WHERE lang = 'en' GROUP BY 1")
+@query("""
+WITH r AS (SELECT source, doc_id // 1000 AS range, sha256('[' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || ']') AS h FROM documents GROUP BY 1, 2)
+SELECT source, sha256('[' || string_agg('"' || h || '"', ',' ORDER BY range) || ']') AS ids_hash FROM r GROUP BY 1""")
 def q_ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of each source's English document ids in order."""
-    from pairwright.functions.canonical import ordered_digest
+    """Hash of each source's document ids in order: of ranges of a thousand ids, then of these."""
+    from pairwright.functions.canonical import ranged_digest
 
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return rows.groupBy("source").agg(ordered_digest(F.col("doc_id").cast("string"), F.col("doc_id")).alias("ids_hash"))
+    return ranged_digest(table(spark, sf_dir, "documents"), ["source"], F.col("doc_id").cast("string"), F.col("doc_id"), 1000, "ids_hash")
 
 
 @query("SELECT conv_id, turn FROM conversations QUALIFY role <> first_value(role) OVER (PARTITION BY conv_id ORDER BY turn)")
@@ -281,7 +290,7 @@ def q_conflicting_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_sequence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against benchmark items by matching sequences (difflib, which SQL has not)."""
-    prepared = lambda df, key: df.select(F.col(key).alias("id"), normalize_query(F.col("text")).alias("q")).withColumn("len", F.length("q"))
-    return sequence_pairs(prepared(table(spark, sf_dir, "documents"), "doc_id"), prepared(table(spark, sf_dir, "benchmark"), "item_id"))
-
+    """Benchmark items against the items without their first words by matching sequences (difflib, which SQL has not)."""
+    items = table(spark, sf_dir, "benchmark")
+    shaped = lambda text: items.select(F.col("item_id").alias("id"), normalize_query(text).alias("q")).withColumn("len", F.length("q"))
+    return sequence_pairs(shaped(F.col("text")), shaped(F.regexp_replace("text", r"^(?:\S+\s+){2}", "")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import canonical
-from pairwright.functions.schemas import normalize_schema
+from pairwright.functions.schemas import normalize_schemas
 from pairwright.functions.text import slug
 from pairwright.functions.udf import vectorized
 from pairwright.operators.guards import duplicates, strict
@@ -22,7 +22,7 @@ def _problem(line: str) -> str | None:
         value = json.loads(line)
     except ValueError as error:
         return str(error)
-    return None if isinstance(value, dict) else "expected a JSON object"
+    return None if isinstance(value, dict) else "the line is no JSON object"
 
 
 @vectorized("string")
@@ -75,22 +75,22 @@ def read_unique(spark: SparkSession, path: str, schema: str, key: str = "id") ->
 
 def read_split(spark: SparkSession, path: str, schema: str, split: str) -> DataFrame:
     rows = read_jsonl(spark, path, schema)
-    return strict(rows, rows.where(F.col("split") != split).select("id"), f"{path}: records have wrong split").orderBy("id")
+    return strict(rows, rows.where(F.col("split") != split).select("id"), f"{path}: rows of another split").orderBy("id")
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
     """One JSON document that must be an object; small, so the driver holds it."""
     value = json.loads(spark.read.text(path, wholetext=True).first()[0])
     if not isinstance(value, dict):
-        raise ValueError(f"metrics must be an object: {path}")
+        raise ValueError(f"{path} holds no JSON object")
     return value
 
 
 def read_correct(spark: SparkSession, path: str) -> DataFrame:
     """Only task_id and correct of an evaluation file; both must be there, ids once."""
     rows = spark.read.schema("task_id string, correct boolean").json(path)
-    strict(rows, rows.where("task_id is null or correct is null"), f"invalid evaluation row in {path}")
-    return strict(rows, duplicates(rows, "task_id"), "duplicate evaluation task ID")
+    strict(rows, rows.where("task_id is null or correct is null"), f"{path}: an evaluation lacks its id or outcome")
+    return strict(rows, duplicates(rows, "task_id"), "a task is evaluated twice")
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +99,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
     header = spark.read.text(path).first()[0].rstrip("\r").split(",")
     if tuple(header) != FIELDS:
-        raise ValueError(f"annotation columns must be {FIELDS}")
+        raise ValueError(f"an annotation file has the columns {FIELDS}")
     schema = ", ".join(f"{f} string" for f in FIELDS)
     return spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').schema(schema).csv(path).na.fill({"notes": ""})
 
@@ -114,18 +114,18 @@ def read_external(spark: SparkSession, path: str, revision: str, license_name: s
     raw = spark.read.schema(schema).json(path).select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
     kind = F.when(F.col("file") == "BFCL_v3_simple.json", F.struct(F.lit("simple").alias("category"), F.lit("CALL").alias("decision"))).when(F.col("file") == "BFCL_v3_irrelevance.json", F.struct(F.lit("irrelevance").alias("category"), F.lit("ABSTAIN").alias("decision")))
     rows = raw.withColumn("kind", kind)
-    strict(rows, rows.where("kind is null").select("file"), "unsupported file")
-    strict(rows, rows.where("size(question) != 1 or id is null or function is null").select("id"), "question must contain exactly one conversation")
+    strict(rows, rows.where("kind is null").select("file"), "the name of a file tells no category")
+    strict(rows, rows.where("size(question) != 1 or id is null or function is null").select("id"), "a record has not one conversation")
     hashes = file_hashes(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
-    flat = rows.withColumn("at", F.monotonically_increasing_id()).select("*", F.posexplode_outer("function").alias("p", "f"))
-    fixed = flat.groupBy("at").agg(F.first(F.struct("id", "question", "kind", "file")).alias("r"), F.array_sort(F.collect_list(F.struct("p", F.col("f.name").alias("name"), F.col("f.description").alias("description"), normalize_schema("f.parameters").alias("parameters")))).alias("fs"))
-    out = fixed.select("r.*", F.transform("fs", lambda f: f.dropFields("p")).alias("functions")).join(hashes, "file")
+    schemas = normalize_schemas(F.transform("function", lambda f: f["parameters"]))
+    named = F.zip_with("function", schemas, lambda f, s: f.withField("parameters", s))
+    out = rows.select("id", "question", "kind", "file", named.alias("functions")).join(hashes, "file")
     provenance = F.struct(
         F.lit(revision).alias("revision"), F.lit(license_name).alias("license"), F.lit("external_eval").alias("usage"), F.col("id").alias("original_id"),
         F.col("file").alias("source_file"), F.col("sha256").alias("source_sha256"), F.array(F.lit("python-types-to-json-schema")).alias("transformations"),
     )
     named = out.select(F.concat(F.lit("bfcl-"), slug(F.col("id"))).alias("new_id"), "*")
-    strict(named, duplicates(named, "new_id"), "duplicate external id")
+    strict(named, duplicates(named, "new_id"), "two records have one id")
     return named.select(F.col("new_id").alias("id"), F.col("kind.category").alias("category"), F.col("kind.decision").alias("expected_decision"), F.element_at("question", 1).alias("messages"), "functions", provenance.alias("provenance")).orderBy("id")
 
 
@@ -133,10 +133,40 @@ def user_text(messages: Column) -> Column:
     return F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: m["content"]), "\n")
 
 
+#: Files up to this size are a row each; larger ones are read as streams.
+WHOLE_BYTES = 1 << 30
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and length of every file below a path, in whichever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        status = found.next()
+        rows.append((status.getPath().toString(), status.getLen()))
+    return rows
+
+
+def stream_sha256(spark: SparkSession, path: str) -> str:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of every file below a path, but for those in .cache folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(~F.contains("path", F.lit("/.cache/"))).select("path", F.sha2("content", 256).alias("sha256"))
+    """path, sha256 of every file below a path, but for those in .cache folders.
+
+    Files are hashed by tasks, each as one row; empty ones and those over WHOLE_BYTES, which Spark's scan
+    does not give, are found by the listing, and the large ones read as streams, one after the other.
+    """
+    listed = [f for f in listing(spark, path) if "/.cache/" not in f[0]]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where((F.col("length") > 0) & (F.col("length") <= WHOLE_BYTES))
+    small = files.where(~F.contains("path", F.lit("/.cache/"))).select("path", F.sha2("content", 256).alias("sha256"))
+    apart = [(name, stream_sha256(spark, name)) for name, length in listed if not length or length > WHOLE_BYTES]
+    return small.unionByName(spark.createDataFrame(apart, "path string, sha256 string")) if apart else small
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -174,7 +204,7 @@ def load_yaml(spark: SparkSession, path: str, fields: dict[str, type]) -> dict:
 
     value = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
     if not isinstance(value, dict):
-        raise ValueError("config must be a YAML mapping")
+        raise ValueError("a configuration is a mapping")
     unknown, missing = set(value) - set(fields), set(fields) - set(value)
     if unknown or missing:
         raise ValueError(f"config: unknown {sorted(unknown)}, missing {sorted(missing)}")

@@ -50,6 +50,16 @@ def size_of(spark: SparkSession, path: str) -> int:
     return system.getContentSummary(at).getLength()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, such as a manifest, in whichever store the path is."""
+    at, system = _file_system(spark, path)
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 class Stage:
     """A DataFrame written to a shared folder and read again: its lineage ends at committed files."""
 

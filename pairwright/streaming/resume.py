@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.evaluation import PREDICTION
 from pairwright.operators.guards import duplicates, missing_from, strict
+from pairwright.staging import exists
 
 #: A backend is made once a partition and gives for a row's dict the fields of a prediction but task_id.
 Backend = Callable[[], Callable[[dict], dict]]
@@ -21,8 +22,10 @@ def predicted(tasks: DataFrame, backend: Backend) -> DataFrame:
     def run(frames):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        predict = backend()
+        predict = None
         for frame in frames:
+            if predict is None and len(frame):  # nothing is made for a partition without rows
+                predict = backend()
             rows = []
             for row in frame.to_dict("records"):
                 blank = dict.fromkeys(COLUMNS) | {"task_id": row["id"], "raw_text": "", "latency_ms": 0.0}
@@ -35,11 +38,8 @@ def predicted(tasks: DataFrame, backend: Backend) -> DataFrame:
     return tasks.mapInPandas(run, PREDICTION)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(PREDICTION).parquet(path)
-    return spark.createDataFrame([], PREDICTION)
+def _existing(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def resume(tasks: DataFrame, backend: Backend, path: str, limit: int | None = None) -> DataFrame:
@@ -51,19 +51,58 @@ def resume(tasks: DataFrame, backend: Backend, path: str, limit: int | None = No
     spark = tasks.sparkSession
     chosen = tasks.orderBy("ord").limit(limit) if limit is not None else tasks
     done = _existing(spark, path)
-    strict(done, duplicates(done, "task_id"), "output contains duplicate ids")
-    strict(done, missing_from(done, chosen.select(F.col("id").alias("task_id")), "task_id"), "output contains ids that are not selected")
+    strict(done, duplicates(done, "task_id"), "the output holds an id twice")
+    strict(done, missing_from(done, chosen.select(F.col("id").alias("task_id")), "task_id"), "the output holds ids that are not asked for")
     rest = chosen.join(done.select(F.col("task_id").alias("id")), "id", "left_anti")
     predicted(rest, backend).write.mode("append").parquet(path)
     return chosen.select(F.col("id").alias("task_id"), "ord").join(_existing(spark, path), "task_id").orderBy("ord").drop("ord")
 
 
+def resume_prompts(prompts: DataFrame, backend: Backend, path: str, limit: int | None = None) -> DataFrame:
+    """The same for generic prompts (id, messages), by ascending id; a backend sees id and messages only."""
+    return resume(prompts.select("id", "messages", F.col("id").alias("ord")), backend, path, limit)
+
+
 def stream(tasks: DataFrame, backend: Backend, path: str, checkpoint: str):  # noqa: ANN201
-    """The same over a stream of tasks: each micro-batch appends what path has not; exactly once by id."""
+    """The same over a stream of tasks, each id once.
+
+    Ids that this stream has seen are in its state; those that were in path when it began are looked up
+    there, so that no micro-batch reads what earlier ones wrote.
+    """
+    earlier = _existing(tasks.sparkSession, path).select(F.col("task_id").alias("id"))
 
     def append(batch: DataFrame, number: int) -> None:
-        done = _existing(batch.sparkSession, path).select(F.col("task_id").alias("id"))
-        rest = batch.dropDuplicates(["id"]).join(done, "id", "left_anti")
-        predicted(rest, backend).write.mode("append").parquet(path)
+        predicted(batch.join(earlier, "id", "left_anti"), backend).write.mode("append").parquet(path)
+
+    return tasks.dropDuplicates(["id"]).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+CACHED = "id string, example_hash string, chosen_logp double, rejected_logp double, chosen_tokens long, rejected_tokens long"
+
 
-    return tasks.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def reference_cache(examples: DataFrame, scorer: Callable[[], Callable[[list, str], tuple[float, int]]], path: str) -> DataFrame:
+    """Log-probabilities of both responses to every example (id, messages, chosen, rejected, example_hash), from path or computed and appended.
+
+    A scorer is made once a partition and gives log-probability and tokens of a response to messages.
+    """
+
+    def run(frames):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        score = None
+        for frame in frames:
+            if score is None and len(frame):
+                score = scorer()
+            rows = []
+            for row in frame.itertuples():
+                turns = [dict(m) for m in row.messages]
+                (chosen, n), (rejected, m) = score(turns, row.chosen), score(turns, row.rejected)
+                rows.append((row.id, row.example_hash, chosen, rejected, n, m))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CACHED.split(", ")])
+
+    spark = examples.sparkSession
+    done = _existing(spark, path, CACHED)
+    strict(done, duplicates(done, "id"), "an example is cached twice")
+    rest = examples.join(done.select("id"), "id", "left_anti")
+    rest.select("id", "messages", "chosen", "rejected", "example_hash").mapInPandas(run, CACHED).write.mode("append").parquet(path)
+    return _existing(spark, path, CACHED)

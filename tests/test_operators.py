@@ -12,7 +12,7 @@ def test_mean_interval(spark):
     assert row.n == 3 and abs(row["mean"] - 0.9) < 1e-12 and abs(row.sample_std - 0.1) < 1e-12
     assert abs(row.ci95_low - 0.651586) < 1e-6 and abs(row.ci95_high - 1.148414) < 1e-6
     for bad in ([(1.0,)], [(1.0,), (float("nan"),)]):
-        with pytest.raises(Exception, match="mean interval requires"):
+        with pytest.raises(Exception, match="value is not finite|two values at least"):
             statistics.mean_interval(spark.createDataFrame(bad, "v double"), "v").collect()
 
 
@@ -41,9 +41,9 @@ def test_dpo_metrics(spark):
     row = rewards.dpo_metrics(logps(spark, [(-2.0, -6.0, -4.0, -3.0, 2, 3)]), 1.0, normalization="mean").first()
     assert abs(row.reward_margin - 2.0) < 1e-12 and row.reward_accuracy == 1
     for bad in ((float("inf"), -1.0, -1.0, -1.0, 1, 1),):
-        with pytest.raises(Exception, match="must be finite"):
+        with pytest.raises(Exception, match="is not finite"):
             rewards.dpo_metrics(logps(spark, [bad]), 0.1).collect()
-    with pytest.raises(Exception, match="must be positive"):
+    with pytest.raises(Exception, match="has no tokens"):
         rewards.dpo_metrics(logps(spark, [(-1.0, -1.0, -1.0, -1.0, 0, 1)]), 0.1, normalization="mean").collect()
     with pytest.raises(ValueError):
         rewards.dpo_metrics(logps(spark, []), 0.1, label_smoothing=0.5)
@@ -139,7 +139,7 @@ def test_tokenized_pairs(spark):
     tokenizer = lambda turns, more: [ord(c) for t in turns for c in t["content"]] + ([] if more else [0])
     row = training.tokenized(rows, tokenizer, 5).first()
     assert (row.chosen_offset, row.chosen, row.chosen_truncated, row.rejected_truncated) == (2, [104, 105, 121, 101, 115], True, False)
-    with pytest.raises(Exception, match="truncation removed"):
+    with pytest.raises(Exception, match="nothing of the completion is left"):
         training.tokenized(rows, tokenizer, 2).collect()
 
 
