@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def test_positions_with_a_payload_are_distinct(spark):
 
 
 def test_folding_is_casefold(spark):
-    letters = [chr(c) for c in range(32, 0x2100)] + ["ΑΣ", "ας", "İ", "ﬄ", "ẞ", "Ꭰꭰ", "ſt"]
+    known = (c for c in map(chr, range(32, 0x2100)) if unicodedata.category(c) != "Cn")  # the JVM may know newer letters
+    letters = [*known] + ["ΑΣ", "ας", "İ", "ﬄ", "ẞ", "Ꭰꭰ", "ſt"]
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(letters)], "i int, t string")
     got = {r.i: r.f for r in rows.select("i", text.fold(F.col("t")).alias("f")).collect()}
     assert [c for i, c in enumerate(letters) if got[i] != c.casefold()] == []
