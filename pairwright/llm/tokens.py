@@ -19,11 +19,9 @@ NUMERIC = "0-9²³¹¼-¾"
 WORDS = re.compile(rf" ?[{LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMERIC}]+| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
 #: A character or a special token's start for which the library gets the whole text.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ſ]|<\|")
-#: A word that its byte letters spell as it is, after a space.
-SPELLED = re.compile(r" [!-~]+\Z")
 #: Words of each of the two generations that a worker remembers (a speed matter only): when the
 #: young one is full it becomes the old one, from which words still in use are taken over.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 400_000
 
 _LOADED: dict[str, "WordEncoder"] = {}
 
@@ -53,7 +51,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -76,7 +74,11 @@ class WordEncoder:
                 words[w] = ids
         tokenize, letters = self.model.tokenize, self.letters
         for w in missing:
-            spelled = "Ġ" + w[1:] if w[0] == " " and SPELLED.match(w) else "".join([letters[b] for b in w.encode()])
+            # a word has white space at its start only, or is nothing else: byte letters spell ASCII ones as they are
+            if w.isascii() and w[-1] > " ":
+                spelled = "Ġ" + w[1:] if w[0] == " " else w
+            else:
+                spelled = w.encode().decode("latin-1").translate(letters)
             words[w] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
