@@ -257,12 +257,34 @@ def test_word_encoder_is_the_library(monkeypatch):
     encoder = tokens.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
     rng = random.Random(9)
     texts = ["".join(rng.choice("aAbBéÉßſİıÅñ's 't12½³ \n\t\r.,!?<|>¡¬ª×÷\x00\x85\xa0日​") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    texts += ["<|endoftext|> a", LONG, "", "  two  spaces  ", "a\n\n b"]
+    texts += ["<|endoftext|> a", LONG, "", "  two  spaces  ", "a\n\n b", "don't you'll O'Neil", "tab\tand\rreturn"]
     want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(texts) == want
     assert word_encoder(tokenizer_path("byte_bpe_50k.json")).encode(texts) == want
 
 
+def test_words_as_numbers_are_the_library(monkeypatch):
+    from pairwright.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEEP_NUMBERS", 3_000)
+    encoder = tokens.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(19)
+    every = "".join(chr(c) for c in [*range(33, 39), *range(40, 127), *range(0xA1, 0xAD), *range(0xAE, 0x180)])
+    word = lambda: "".join(rng.choice(every if rng.random() < 0.3 else "abcdeéüß") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 15, 16, 17, 23, 24, 25, 40])))
+    pool = [word() for _ in range(1500)]
+    texts = []
+    for _ in range(900):
+        words = [rng.choice(pool) if rng.random() < 0.8 else word() for _ in range(rng.randint(0, 40))]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", ", ", ".\n"]) for w in words).strip() + rng.choice(["", "", "", " ", "  x", "'s"]))
+    texts += ["a", "é", "<|", "x <|endoftext|>", "one " * 40_000 + "two", ""]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [ids for i in range(0, len(texts), 37) for ids in encoder.encode(texts[i : i + 37])]
+    assert got == want
+    assert sum(tokens.is_plain(t) and tokens.is_tight(t) for t in texts if t) > 400
+    monkeypatch.setattr(tokens, "_MIX", [np.uint64(0)] * 3)  # every word has one hash: told by the bytes, split by the pattern
+    assert tokens.WordEncoder(tokenizer_path("byte_bpe_50k.json")).encode(texts) == want
+
+
 # ------------------------------------------------------------------------------- op9
 
 
