@@ -120,6 +120,9 @@ DOT = re.compile(
     r"(?i)\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*|(?<=[a-z0-9-])\s+dot\s+(?=[a-z0-9])"
     r"|&#0*46;|&#x2e;|&period;|(?<=[a-z0-9-])\s+\.\s+(?=[a-z]{2,}\b)"
 )
+#: Dots in German or Spanish words, of an address only: an English "at this point in" is none.
+SPOKEN = re.compile(r"(?i)(?:(?<=\s)at\s+|@\s*)[a-z0-9-]+(?:\s+(?:punkt|punto)\s+[a-z0-9-]+)+")
+SPOKEN_DOT = re.compile(r"(?i)\s+(?:punkt|punto)\s+")
 PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
 #: What parts the fours of a card number, other than one space or hyphen.
 FOURS = re.compile(r"(?<=[0-9]{4})(?:[\s./_,·-]{2,3}|[./_,·\t\n])(?=[0-9]{4})")
@@ -132,6 +135,7 @@ _LOOSE = re.compile(r"\s@|@\s")
 _LOOSE_DOT = re.compile(r"\.(?<=\s\.)\s")
 _AT = re.compile(r"at(?<=\sat)\s+[a-z0-9-]+\s*(?:[\[({<]|\.|\s(?:dot|point|punkt|punto)\b)")
 _FOURS = re.compile(r"[0-9]{4}(?:[\s./_,·-]{2,3}|[./_,·\t\n])[0-9]{4}")
+_SPOKEN = re.compile(r"(?:\sat\s+|@\s*)[a-z0-9-]+\s+(?:punkt|punto)\s")
 _SPELLED = re.compile(rf"\b(?:{_NUMBER}){_GAP}(?:{_NUMBER}|[0-9]){_GAP}(?:{_NUMBER}|[0-9])")
 
 
@@ -145,7 +149,7 @@ def disguised(text: str) -> bool:
     if STRANGE.search(text) or "@" in text and _LOOSE.search(text) or _LOOSE_DOT.search(text):
         return True
     low = _lower(text)
-    if ("dot" in low or "plus" in low) and _WORD.search(low) or _AT.search(low) or _BRACKET.search(low) or _SPELLED.search(low):
+    if ("dot" in low or "plus" in low) and _WORD.search(low) or _AT.search(low) or ("punkt" in low or "punto" in low) and _SPOKEN.search(low) or _BRACKET.search(low) or _SPELLED.search(low):
         return True
     return bool(DIGIT.search(text) and _FOURS.search(text))
 
@@ -215,7 +219,15 @@ def _marks(pattern: re.Pattern, mark: str) -> Callable[[Tape], Tape]:
     return lambda tape: tape.rewrite([(m.start(), m.end(), mark) for m in pattern.finditer(tape.text)])
 
 
-TRANSDUCERS = (_letters, _digits, _marks(DOT, "."), _marks(AT, "@"), _marks(PLUS, "+"), _marks(FOURS, "-"))
+def _spoken(tape: Tape) -> Tape:
+    """Dots in words between the parts of a domain."""
+    edits = []
+    for m in SPOKEN.finditer(tape.text):
+        edits += [(*d.span(), ".") for d in SPOKEN_DOT.finditer(tape.text, m.start(), m.end())]
+    return tape.rewrite(edits)
+
+
+TRANSDUCERS = (_letters, _digits, _spoken, _marks(DOT, "."), _marks(AT, "@"), _marks(PLUS, "+"), _marks(FOURS, "-"))
 
 
 def normalise(text: str) -> Tape:
