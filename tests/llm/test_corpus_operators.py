@@ -262,6 +262,23 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(empty(spark), tokenizer_path(BYTES)).count() == 0
 
 
+def test_packing_passes_over_other_columns(spark):
+    """Clashing names, null ids, equal lengths and repeated rows."""
+    shape = "doc_id long, text string, length long, piece int, rank string, block string, sequence_id string, bound int"
+    df = spark.createDataFrame([(d, t, 1, 2, "r", "b", "q", 3) for d, t in [(1, "same words"), (1, "same words"), (2, "same words"), (None, "same words"), (None, None), (3, "")]], shape)
+    got = packing.pack(df, tokenizer_path(BYTES)).collect()
+    assert len(got) == 6 and {r.sequences for r in got} == {1} == {r.bound for r in got} and len({r.offset for r in got}) == 6
+
+
+def test_dominated_fillings_are_left_out():
+    counts = {60: 1, 50: 1, 40: 1, 30: 2, 10: 1}
+    found = packing.completions(100, counts, sorted(counts, reverse=True), enough=50)
+    assert all(100 - sum(f) >= 0 for f in found) and (60, 40) in found
+    for f in found[1:]:
+        left, rest = 100 - sum(f), Counter(counts) - Counter(f)
+        assert not any(a < b <= a + left for a in f for b in rest), f
+
+
 # --------------------------------------------------------------------------------- op8
 
 
@@ -309,6 +326,21 @@ def test_passes_follow_the_number_of_vectors(vectors_):
     assert vectors_ > 1023 or (bits, passes) == (0, 1)
 
 
+@pytest.mark.parametrize("n", [2_000, 8_000])
+def test_lone_pairs_are_met_at_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    lone = unit(rng.standard_normal((n, 64)))
+    heads = lone[:500]
+    side = rng.standard_normal((500, 64))
+    side = unit(side - (side * heads).sum(axis=1, keepdims=True) * heads)
+    mates = 0.905 * heads + np.sqrt(1 - 0.905**2) * side
+    every = np.concatenate([lone, mates]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<float>")
+    linked = {r.vec_id for r in vectors.near_duplicates(df, 0.9, block=64).where("n_links > 0").select("vec_id").collect()}
+    assert sum(n + i in linked for i in range(500)) >= 495  # recall 0.99 at least
+
+
 def test_pairs_in_a_crowd_are_met(spark):
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -426,3 +458,90 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
     assert all("[EMAIL]" in r.text and "@" not in r.text and r.n_chars == len(r.text) for r in seen["personal_data"].values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(seen["personal_data"])
+
+
+def made_corpus(rng, n):
+    """Prose, junk, copies exact and near, shared passages inside lines, and personal data."""
+    word = lambda: "".join(rng.choice(["the", "an", "er", "on", "ti", "re", "at", "is"]) for _ in range(rng.randint(1, 3)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    passages = [". ".join(prose(rng.randint(12, 20)) for _ in range(5)) + "." for _ in range(4)]
+    rows = []
+    for i in range(n):
+        kind = rng.random()
+        if kind < 0.2:
+            text = " ".join(rng.choice(["BUY", "NOW", "WIN"]) + rng.choice(["!!", "$$$"]) for _ in range(80))
+        elif kind < 0.4 and rows:
+            words = rng.choice(rows)[1].split(" ")
+            for _ in range(rng.choice([0, 1, 3])):
+                words[rng.randrange(len(words))] = word()
+            text = " ".join(words)
+        else:
+            text = f"{prose(rng.randint(40, 90))}. {rng.choice(passages) if rng.random() < 0.3 else prose(20)} {prose(10)}.\nmail a{i}@b.example.com or a at b dot org"
+        rows.append((i, text))
+    return rows
+
+
+def test_stages_are_the_brute_force_ones(spark, tmp_path):
+    from pairwright.llm import pii, quality
+
+    rng = random.Random(21)
+    rows = made_corpus(rng, 220)
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, int("BUY" not in t and "NOW" not in t), 0) for d, t in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frames, now = {}, table
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path)).cache()
+        frames[name] = now
+    texts = lambda name: sorted((r.doc_id, r.text) for r in frames[name].collect())
+    scorer = quality._Scorer(quality.fit(table, quality.training_labels(spark, str(tmp_path))))
+    want = [(d, t) for d, t in rows if scorer.scores([t])[0] >= 0.5]
+    assert texts("quality") == want and 120 < len(want) < 220
+    component = {d: c for d, _, c, _ in slow_components(want, 5, 80)}
+    want = [(d, t) for d, t in want if component[d] == d]
+    assert texts("near_duplicates") == want and len(want) < len(component)
+    removed = slow_dedup(want, 25)
+    assert any(spans for _, spans, _ in removed.values())
+    want = [(d, removed[d][0]) for d, _ in want]
+    assert texts("repeated_passages") == want
+    want = [(d, pii.redacted(t)) for d, t in want]
+    assert texts("personal_data") == want and sum("[EMAIL]" in t for _, t in want) > 0.9 * len(want)
+    tokenizer, at = library(), {}
+    lengths = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in want}
+    for r in frames["packing"].collect():
+        assert r.start + r.length <= lengths[r.doc_id]
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length, r.doc_id))
+    packed = Counter()
+    for pieces in at.values():
+        place = 0
+        for offset, length, d in sorted(pieces):
+            assert offset == place
+            place += length
+            packed[d] += length
+        assert place <= 1024
+    assert packed == lengths
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, ties, names that operators use, and an empty table."""
+    rng = random.Random(23)
+    good = [(i, t) for i, t in made_corpus(rng, 60)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, class string, digest binary, _row int, score double, h long, tag long"
+    extra = ("c", b"d", 1, 0.5, 2, 3)
+    rows = [(d, t, "en", "s", len(t), *extra) for d, t in good] + [(d, t, "en", "s", len(t), *extra) for d, t in good[:5]]
+    rows += [(None, good[1][1], None, None, None, *[None] * 6), (None, None, None, None, None, *[None] * 6), (900, None, "en", "s", 0, *extra), (901, "", "en", "s", 0, *extra), (901, "", "en", "s", 0, *extra), (902, "word " * 60_000, "en", "s", 300_000, *extra)]
+    labels = spark.createDataFrame([(d, int("BUY" not in t and "NOW" not in t), 0) for d, t in good] + [(None, 1, None), (5, None, None), (12_345, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, data in (("full", rows), ("empty", [])):
+        root = tmp_path / name
+        spark.createDataFrame(data, shape).write.parquet(str(root / "documents.parquet"))
+        (labels if data else labels.limit(0)).write.parquet(str(root / "labels.parquet"))
+        found = corpus_pipeline.run(spark, str(root)).collect()
+        assert bool(found) == bool(data)
+        places = [(r.sequence_id, r.offset) for r in found]
+        assert len(set(places)) == len(places)
+    now = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path / "full"))
+        assert now.columns == [f.split()[0] for f in shape.split(", ")]
+    kept = now.collect()
+    assert sum(r.doc_id == 901 for r in kept) <= 1 and {r.doc_id for r in kept} >= {d for d, t in good[:1] if "BUY" not in t}
