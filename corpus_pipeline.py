@@ -7,6 +7,11 @@
 5. packing           what is left is tokenized and packed into sequences of 1024 ids
 
 Each stage is given what the one before it kept, written as Parquet and read again.
+
+Defined cases: null and empty texts are scored as texts of no bytes are, link with nothing, and are
+packed as the end id alone; rows without doc_id go the same way; of rows that agree in doc_id and text
+one stays; further columns of any names are carried up to the last stage; very long texts are
+whole in every stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,7 +60,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Compression and tokenization have no form in SQL; tests/llm holds the stages against brute force.
+#: Compression and tokenization have no form in SQL; tests/llm/test_corpus_operators.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
