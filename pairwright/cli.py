@@ -186,7 +186,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:  # noqa: C901
         _out(kept, f"{a.output}/records", "id")
         _out(report, f"{a.output}/quarantine", "external_id")
     elif name == "audit-pairs":
-        for row in reports.pair_audit(_tasks(spark, a.input)).collect():
+        for row in reports.pair_audit(_tasks(spark, a.input)).toLocalIterator():
             print(row.text)
     elif name == "evaluate":
         tasks, preds = _tasks(spark, a.input), _predictions(spark, a.other)

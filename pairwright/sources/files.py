@@ -229,8 +229,7 @@ def write_jsonl(df: DataFrame, path: str, order: str) -> None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([canonical(r) for r in batch.to_pylist()], pa.string())], names=["value"])
 
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.repartitionByRange(parts, order).sortWithinPartitions(order).select(*columns)
+    ordered = df.repartitionByRange(order).sortWithinPartitions(order).select(*columns)
     ordered.mapInArrow(run, StructType([StructField("value", StringType())])).write.mode("overwrite").text(path)
 
 
