@@ -36,6 +36,8 @@ from pairwright.llm.graph import connected_components
 
 #: Probability that a pair of the sought cosine meets, signs of a string, rows of a block, rows of a tile, passes made at once.
 RECALL, BITS, BLOCK, TILE, TOGETHER = 0.999, 60, 512, 512, 4
+#: Vectors of a part when they are dealt or sorted, at most on average.
+PART_ROWS = 50_000
 
 
 def plan(vectors: int, cosine: float, block: int = BLOCK, recall: float = RECALL) -> tuple[int, int]:
@@ -157,7 +159,7 @@ def window_edges(reps: DataFrame, places: DataFrame, cosine: float, block: int)
     return sent.join(reps.select("rep", "vec"), "rep").groupBy("at").applyInArrow(compare, "a long, b long")
 
 
-def run_edges(reps: DataFrame, places: DataFrame, bits: int, cosine: float, block: int) -> DataFrame:
+def run_edges(reps: DataFrame, places: DataFrame, bits: int, cosine: float, block: int, parts: int) -> DataFrame:
     """a, b: links that join all vectors near each other in runs that are longer than a window.
 
     A run's vectors are dealt into tiles of about a block; a task compares two tiles, so a run of any size is many tasks.
@@ -178,27 +180,25 @@ def run_edges(reps: DataFrame, places: DataFrame, bits: int, cosine: float, bloc
         return _edges(_spanning(near, ids))
 
     # rows may lie dealt by run already, which would put all tiles of one into a single task
-    parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tiled = [*run, "t1", "t2"]
     return sent.join(reps.select("rep", "vec"), "rep").repartition(parts, *tiled).groupBy(*tiled).applyInArrow(compare, "a long, b long")
 
 
-def pass_edges(reps: DataFrame, passes: list[int], bits: int, cosine: float, block: int) -> DataFrame:
+def pass_edges(reps: DataFrame, passes: list[int], bits: int, cosine: float, block: int, parts: int) -> DataFrame:
     """a, b: the links that these passes find.
 
     A vector's place in the order is counted by ranges of bit strings first, so no task sorts all.
     """
-    parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["pass", "dim", "h", "rep"]
     ordered = projected(reps, passes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     places = Stage(ordered.mapInArrow(_numbered, "rep long, dim int, pass int, h long, part int, row long"), "places")
-    edges = Stage(window_edges(reps, places.df, cosine, block).unionByName(run_edges(reps, places.df, bits, cosine, block)).distinct(), "pass-edges")
+    edges = Stage(window_edges(reps, places.df, cosine, block).unionByName(run_edges(reps, places.df, bits, cosine, block, parts)).distinct(), "pass-edges")
     places.drop()
     free_shuffles(reps.sparkSession)
     return edges.df
 
 
-def tile_links(members: DataFrame, cosine: float, tile: int = TILE) -> DataFrame:
+def tile_links(members: DataFrame, cosine: float, tile: int, parts: int) -> DataFrame:
     """rep, n: for every vector the vectors of its component that it is linked with, by their weights.
 
     members: component, rep, weight, vec.  A component's vectors are dealt into tiles of about
@@ -221,7 +221,6 @@ def tile_links(members: DataFrame, cosine: float, tile: int = TILE) -> DataFrame
         return pa.table({"rep": rows.column("rep"), "n": pa.array(near @ rows.column("weight").to_numpy(), pa.int64())})
 
     # rows may lie dealt by component already, which would put all tiles of one into a single task
-    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = sent.repartition(parts, "component", "t1", "t2").groupBy("component", "t1", "t2").applyInArrow(compare, "rep long, n long")
     return counts.groupBy("rep").agg(F.sum("n").alias("n"))
 
@@ -236,15 +235,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int | None
     groups = good.groupBy("digest").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
     numbered = Stage(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-groups").df
     reps = numbered.select("rep", "vec")
-    bits, needed = plan(numbered.count(), cosine, block)
+    size = numbered.count()
+    bits, needed = plan(size, cosine, block)
     passes = passes or needed
-    found = [pass_edges(reps, list(range(p, min(passes, p + TOGETHER))), bits, cosine, block) for p in range(0, passes, TOGETHER)]
+    # more parts than the setting has once a part would hold more than PART_ROWS vectors
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_ROWS)
+    found = [pass_edges(reps, list(range(p, min(passes, p + TOGETHER))), bits, cosine, block, parts) for p in range(0, passes, TOGETHER)]
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     links = connected_components(edges)
     members = numbered.join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = tile_links(members.select("component", "rep", "weight", "vec"), cosine, tile)
+    counts = tile_links(members.select("component", "rep", "weight", "vec"), cosine, tile, parts)
     known = members.select("rep", "component", "least_id", "weight", "digest").join(counts, "rep", "left")
     known = known.select("component", "least_id", "digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))

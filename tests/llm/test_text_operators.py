@@ -317,6 +317,42 @@ def test_quality_learns_and_holds_out(spark):
     assert quality.score(empty(spark), model).count() == 0
 
 
+def slow_score(model, text):
+    """The score from its description, a piece at a time."""
+    import math
+
+    import zstandard as zstd
+
+    def size(data, dictionary):
+        return len(zstd.ZstdCompressor(level=model.level, dict_data=zstd.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    data = (text or "").encode()
+    n = max(1, round(len(data) / 1024))
+    width = max(1, math.ceil(len(data) / n))
+    pieces = [data[i : i + width] for i in range(0, len(data), width)] or [b""]
+    gaps = [10 * (size(p, model.bad) - size(p, model.good)) / (len(p) + 16) for p in pieces]
+    mean, short = sum(gaps) / len(gaps), 64 / (len(data) + 64)
+    z = sum(w * x for w, x in zip(model.weights, (1, mean, min(gaps), short, mean * short), strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_the_brute_force_ones(spark):
+    every = labelled(spark).cache()
+    model = quality.fit(every, every.select("doc_id", "quality"))
+    rows = [(r.doc_id, r.text, "s") for r in every.limit(60).collect()] + [(901, None, "s"), (902, "", "s"), (903, "the of " * 9_000 + "BUY!! " * 3_000, "s"), (904, "é" * 1_500, "s"), (5, "again", "t"), (None, "no id", "t")]
+    got = sorted(round(r.score, 9) for r in quality.score(docs(spark, rows), model).collect())
+    assert got == sorted(round(slow_score(model, t), 9) for _, t, _ in rows)
+    exact = quality.CompressionModel(model.good, model.bad, (0.0,) * 5)  # every score is 0.5: ties stay
+    assert quality.reject(docs(spark, rows), exact).count() == len(rows)
+
+
+def test_repeated_labelled_rows_are_fetched_once(spark):
+    every = labelled(spark, 300)
+    labels = every.select("doc_id", "quality")
+    twice = every.unionByName(every).unionByName(every)
+    assert quality.fit(twice, labels.unionByName(labels)) == quality.fit(every, labels)
+
+
 def test_quality_without_labels(spark):
     model = quality.fit(docs(spark), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.score(docs(spark), model).collect()} == {0.5}
