@@ -96,28 +96,31 @@ def expected(given: dict) -> Column:
     return _struct(EXPECTED, given)
 
 
-def _pair(rows: DataFrame, domain: str, label: str, split: Column, act: dict, abstain: dict, version: str, pair_id: Column | None = None) -> DataFrame:
-    """Both tasks of every row; act and abstain give query, tools, environment, expected."""
+def _pair(domain: str, label: str, split: Column, act: dict, abstain: dict, version: str, pair_id: Column | None = None) -> list[Column]:
+    """Both tasks of a row as structs; act and abstain give query, tools, environment, expected."""
     pair = F.format_string(f"{domain}-{label.lower()}-%03d", "i") if pair_id is None else pair_id
-    sides = []
-    for variant, side in (("act", act), ("abstain", abstain)):
-        sides.append(
-            rows.select(
-                F.concat(pair, F.lit(f"-{variant}")).alias("id"),
-                pair.alias("pair_id"),
-                F.lit(domain).alias("domain"),
-                split.alias("split"),
-                F.lit(variant).alias("variant"),
-                F.lit(version).alias("generator_version"),
-                side["query"].alias("query"),
-                side["tools"].alias("tools"),
-                side["environment"].alias("environment"),
-                F.lit("CALL" if variant == "act" else label).alias("label"),
-                F.lit(None if variant == "act" else PERTURBATIONS[label]).cast("string").alias("perturbation"),
-                expected(side["expected"]).alias("expected"),
-            )
+    return [
+        F.struct(
+            F.concat(pair, F.lit(f"-{variant}")).alias("id"),
+            pair.alias("pair_id"),
+            F.lit(domain).alias("domain"),
+            split.alias("split"),
+            F.lit(variant).alias("variant"),
+            F.lit(version).alias("generator_version"),
+            side["query"].alias("query"),
+            side["tools"].alias("tools"),
+            side["environment"].alias("environment"),
+            F.lit("CALL" if variant == "act" else label).alias("label"),
+            F.lit(None if variant == "act" else PERTURBATIONS[label]).cast("string").alias("perturbation"),
+            expected(side["expected"]).alias("expected"),
         )
-    return sides[0].unionByName(sides[1])
+        for variant, side in (("act", act), ("abstain", abstain))
+    ]
+
+
+def _tasks(rows: DataFrame, tasks: list[Column]) -> DataFrame:
+    """All tasks of every row, in one projection."""
+    return rows.select(F.inline(F.array(*tasks)))
 
 
 def _side(query: Column, tools: Column, environment: Column, wanted: dict) -> dict:
@@ -140,13 +143,13 @@ def productivity_tasks(spark: SparkSession, seed: int = 0, per_class: int = 25,
     contacts = F.lit('{"contacts":[' + ",".join(f'{{"email":"{p.lower().replace(" ", ".")}@example.com","name":"{p}"}}' for p in PEOPLE) + "]}")
     found = obj(name=json_string(name), email=json_string(email))
     answers = _pair(
-        rows, "productivity", "ANSWER", where,
+        "productivity", "ANSWER", where,
         _side(F.format_string("Find the email address for %s.", name), tools, contacts, call("search_contacts", obj(name=json_string(name)), found)),
         _side(F.format_string("The email address for %1$s is %2$s. What is %1$s's email address?", name, email), tools, contacts, answer(email)), version,
     )
     mail = {"recipient": json_string(email), "message": json_string(message)}
     clarifies = _pair(
-        rows, "productivity", "CLARIFY", where,
+        "productivity", "CLARIFY", where,
         _side(F.format_string('Send "%s" to %s.', message, email), tools, contacts, call("send_email", obj(**mail), obj(**mail, status=F.lit('"sent"')))),
         _side(F.format_string('Send "%s"', message), tools, contacts, clarify("recipient")), version,
     )
@@ -155,7 +158,7 @@ def productivity_tasks(spark: SparkSession, seed: int = 0, per_class: int = 25,
     made = obj(**event, event_id=json_string(F.format_string("evt-2027-06-%1$02d-planning-session-%1$d", i + 1)), status=F.lit('"created"'))
     ask = F.format_string('Create a calendar event titled "%s" on %s.', title, date)
     refuses = _pair(
-        rows, "productivity", "REFUSE", where,
+        "productivity", "REFUSE", where,
         _side(ask, tools, F.lit("{}"), call("create_event", obj(**event), made)),
         _side(ask, tools_column("productivity", "create_event"), F.lit("{}"), refuse("create_event")), version,
     )
@@ -163,11 +166,11 @@ def productivity_tasks(spark: SparkSession, seed: int = 0, per_class: int = 25,
     close = F.format_string("Close support ticket %d.", ticket)
     state = lambda status: F.format_string('{"tickets":{"%d":"' + status + '"}}', ticket)
     noops = _pair(
-        rows, "productivity", "NOOP", where,
+        "productivity", "NOOP", where,
         _side(close, tools, state("open"), call("close_ticket", obj(ticket_id=_num(ticket)), obj(ticket_id=_num(ticket), status=F.lit('"closed"'), changed=F.lit("true")))),
         _side(close, tools, state("closed"), noop(F.format_string("Support ticket %d is already closed.", ticket), "already closed", "no action needed")), version,
     )
-    return answers.unionByName(clarifies).unionByName(refuses).unionByName(noops).coalesce(1)
+    return _tasks(rows, answers + clarifies + refuses + noops)
 
 
 def finance_tasks(spark: SparkSession, per_class: int = 25, version: str = VERSION, split: str = "train") -> DataFrame:
@@ -177,26 +180,26 @@ def finance_tasks(spark: SparkSession, per_class: int = 25, version: str = VERSI
     own, balance = json_string(account), _num(i + 1000)
     held = obj(balances=_keyed(account, balance))
     answers = _pair(
-        rows, "finance", "ANSWER", where,
+        "finance", "ANSWER", where,
         _side(F.format_string("What is the balance of %s?", account), tools, held, call("get_balance", obj(account_id=own), obj(account_id=own, balance=balance))),
         _side(F.format_string("The balance of %s is $%s. What is its balance?", account, balance), tools, held, answer(F.concat(F.lit("$"), balance))), version,
     )
     amount = _num((i + 10).cast("double"))
     moves = call("transfer", obj(source=own, destination=json_string(other), amount=amount), obj(status=F.lit('"transferred"'), amount=amount))
     ask = F.format_string("Transfer $%d from %s to %s.", i + 10, account, other)
-    clarifies = _pair(rows, "finance", "CLARIFY", where, _side(ask, tools, held, moves), _side(F.format_string("Transfer $%d to %s.", i + 10, other), tools, held, clarify("source")), version)
+    clarifies = _pair("finance", "CLARIFY", where, _side(ask, tools, held, moves), _side(F.format_string("Transfer $%d to %s.", i + 10, other), tools, held, clarify("source")), version)
     fifth = F.floor(i / 5)
     base, quote = _pick(CURRENCIES, fifth), _pick(CURRENCIES, (i % 5 + fifth + 1) % 5)
     rate = {"base": json_string(base), "quote": json_string(quote)}
     query, index = F.format_string("Get the current %s to %s exchange rate.", base, quote), obj(index=_num(i))
     refuses = _pair(
-        rows, "finance", "REFUSE", where,
+        "finance", "REFUSE", where,
         _side(query, tools, index, call("fx_rate", obj(**rate), obj(**rate, rate=_num(F.lit(0.9) + i / 1000)))),
         _side(query, tools_column("finance", "fx_rate"), index, refuse("fx_rate")), version,
     )
     done = noop(F.lit("The transfer is already completed."), "already transferred", "no action needed")
-    noops = _pair(rows, "finance", "NOOP", where, _side(ask, tools, F.lit('{"transfer_status":"pending"}'), moves), _side(ask, tools, F.lit('{"transfer_status":"completed"}'), done), version)
-    return answers.unionByName(clarifies).unionByName(refuses).unionByName(noops).coalesce(1)
+    noops = _pair("finance", "NOOP", where, _side(ask, tools, F.lit('{"transfer_status":"pending"}'), moves), _side(ask, tools, F.lit('{"transfer_status":"completed"}'), done), version)
+    return _tasks(rows, answers + clarifies + refuses + noops)
 
 
 def weather_tasks(spark: SparkSession, per_class: int = 25, version: str = VERSION, split: str = "train") -> DataFrame:
@@ -206,20 +209,20 @@ def weather_tasks(spark: SparkSession, per_class: int = 25, version: str = VERSI
     own, temp = json_string(city), _num(i + 60)
     warm = obj(weather=_keyed(city, temp))
     answers = _pair(
-        rows, "weather", "ANSWER", where,
+        "weather", "ANSWER", where,
         _side(F.format_string("What is the temperature in %s?", city), tools, warm, call("get_weather", obj(city=own), obj(city=own, temperature_f=temp))),
         _side(F.format_string("It is %s°F in %s. What is the temperature there?", temp, city), tools, warm, answer(F.concat(temp, F.lit("°F")))), version,
     )
     ends, miles = {"origin": own, "destination": json_string(other)}, _num(i + 100)
     clarifies = _pair(
-        rows, "weather", "CLARIFY", where,
+        "weather", "CLARIFY", where,
         _side(F.format_string("Calculate the distance from %s to %s.", city, other), tools, obj(miles=miles), call("distance", obj(**ends), obj(**ends, miles=miles))),
         _side(F.format_string("Calculate the distance from %s.", city), tools, obj(miles=miles), clarify("destination")), version,
     )
     hour = json_string(F.format_string("%02d:00", i % 12 + 1))
     ask = F.format_string("What time is it in %s?", city)
     refuses = _pair(
-        rows, "weather", "REFUSE", where,
+        "weather", "REFUSE", where,
         _side(ask, tools, obj(time=hour), call("get_time", obj(city=own), obj(city=own, time=hour))),
         _side(ask, tools_column("weather", "get_time"), obj(time=hour), refuse("get_time")), version,
     )
@@ -227,11 +230,11 @@ def weather_tasks(spark: SparkSession, per_class: int = 25, version: str = VERSI
     place = {"lat": _num(F.lit(30) + i / 10), "lon": _num(F.lit(-90) - i / 10)}
     find = F.format_string("Geocode %s.", address)
     noops = _pair(
-        rows, "weather", "NOOP", where,
+        "weather", "NOOP", where,
         _side(find, tools, obj(geocoded=F.lit("{}"), coordinates=obj(**place)), call("geocode", obj(address=json_string(address)), obj(**place, address=json_string(address)))),
         _side(find, tools, obj(geocoded=_keyed(address, obj(**place))), noop(F.lit("The address is already geocoded."), "already geocoded", "no action needed")), version,
     )
-    return answers.unionByName(clarifies).unionByName(refuses).unionByName(noops).coalesce(1)
+    return _tasks(rows, answers + clarifies + refuses + noops)
 
 
 def corpus(spark: SparkSession, seed: int = 0, per_class: int = 25, version: str = VERSION) -> DataFrame:
@@ -298,6 +301,6 @@ def protocol_tasks(spark: SparkSession, seed: int = 0, train_pairs: int = 16, va
         whole, less = obj(**parts), obj(**{k: v for k, v in parts.items() if k != first})
         act = _side(F.concat(F.lit(f"{verb} using these exact arguments: "), whole), tools, state, call(name, whole, F.lit('{"accepted":true}')))
         abstain = _side(F.concat(F.lit(f"{verb} using these arguments: "), less), tools, state, clarify(first))
-        pairs = _pair(rows.where(F.col("i") % 4 == case), "protocol", "CLARIFY", split, act, abstain, version, pair_id)
+        pairs = _tasks(rows.where(F.col("i") % 4 == case), _pair("protocol", "CLARIFY", split, act, abstain, version, pair_id))
         found = pairs if found is None else found.unionByName(pairs)
     return found.coalesce(1)
