@@ -60,8 +60,10 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float = JACCARD, self_j
     """
     grams = a.select(F.explode("grams").alias("gram")) if self_join else a.select(F.explode("grams").alias("gram")).unionByName(b.select(F.explode("grams").alias("gram")))
     ranks = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    x = prefixes(a, ranks, threshold).select(F.col("id").alias("left_id"), F.col("n").alias("n1"), "gram")
-    y = prefixes(b, ranks, threshold).select(F.col("id").alias("right_id"), F.col("n").alias("n2"), "gram")
+    first = Stage(prefixes(a, ranks, threshold), "prefixes").df  # read by both sides of a self join
+    second = first if self_join else prefixes(b, ranks, threshold)
+    x = first.select(F.col("id").alias("left_id"), F.col("n").alias("n1"), "gram")
+    y = second.select(F.col("id").alias("right_id"), F.col("n").alias("n2"), "gram")
     on = (F.col("n1") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n1"))
     meets = x.join(y, "gram").where(on & (F.col("left_id") < F.col("right_id")) if self_join else on)
     pairs = meets.select("left_id", "right_id").distinct()
