@@ -184,8 +184,8 @@ def run_edges(reps: DataFrame, places: DataFrame, bits: int, cosine: float, bloc
     return sent.join(reps.select("rep", "vec"), "rep").repartition(parts, *tiled).groupBy(*tiled).applyInArrow(compare, "a long, b long")
 
 
-def pass_edges(reps: DataFrame, passes: list[int], bits: int, cosine: float, block: int, parts: int) -> DataFrame:
-    """a, b: the links that these passes find.
+def pass_edges(reps: DataFrame, passes: list[int], bits: int, cosine: float, block: int, parts: int) -> Stage:
+    """a, b: the links that these passes find, staged.
 
     A vector's place in the order is counted by ranges of bit strings first, so no task sorts all.
     """
@@ -195,7 +195,7 @@ def pass_edges(reps: DataFrame, passes: list[int], bits: int, cosine: float, blo
     edges = Stage(window_edges(reps, places.df, cosine, block).unionByName(run_edges(reps, places.df, bits, cosine, block, parts)).distinct(), "pass-edges")
     places.drop()
     free_shuffles(reps.sparkSession)
-    return edges.df
+    return edges
 
 
 def tile_links(members: DataFrame, cosine: float, tile: int, parts: int) -> DataFrame:
@@ -241,10 +241,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int | None
     # more parts than the setting has once a part would hold more than PART_ROWS vectors
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_ROWS)
     found = [pass_edges(reps, list(range(p, min(passes, p + TOGETHER))), bits, cosine, block, parts) for p in range(0, passes, TOGETHER)]
-    edges = found[0]
+    edges = found[0].df
     for more in found[1:]:
-        edges = edges.unionByName(more)
-    links = connected_components(edges)
+        edges = edges.unionByName(more.df)
+    links = connected_components(edges)  # has its own copy of them
+    for stage in found:
+        stage.drop()
     members = numbered.join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = tile_links(members.select("component", "rep", "weight", "vec"), cosine, tile, parts)
     known = members.select("rep", "component", "least_id", "weight", "digest").join(counts, "rep", "left")
