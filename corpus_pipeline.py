@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import linededup, ngramjoin, packing, pii, quality
-from pairwright.llm.common import staged
+from pairwright.llm.common import Stage
 from pairwright.llm.tokens import tokenizer_path
 
 
@@ -65,11 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return stage_last(spark, docs, sf_dir)
-
-
-def stage_last(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made = Stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.drop()
+        docs, before = made.df, made
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    before.drop()  # packing has staged its pieces and reads no texts again
+    return packed
