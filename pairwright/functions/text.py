@@ -42,14 +42,15 @@ def foldings() -> tuple[dict[str, str], dict[str, str]]:
 def fold(text: Column) -> Column:
     """Case folding: lower(), and the foldings of the letters that it leaves as they are.
 
-    Letters that become several are rare, so their replacements are looked at only where one stands.
+    But for the sharp s such letters are rare, so they are looked at only where one stands.
     """
     single, several = foldings()
     rest = {k: v for k, v in several.items() if k != "ß"}
-    lowered = F.replace(F.translate(F.lower(text), "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in rest.items()))
-    spelled = F.aggregate(pairs, lowered, lambda s, p: F.replace(s, p["k"], p["v"]))
-    return F.when(F.regexp_like(lowered, F.lit("[" + "".join(rest) + "]")), spelled).otherwise(lowered)
+    spelled = F.aggregate(pairs, F.translate(plain, "".join(single), "".join(single.values())), lambda s, p: F.replace(s, p["k"], p["v"]))
+    low = [c for c in [*single, *rest] if ord(c) < 0x300]  # a few; the others begin above, among other scripts
+    return F.when(F.regexp_like(plain, F.lit("[" + "".join(low) + "\\x{300}-\\x{1ffff}]")), spelled).otherwise(plain)
 
 
 def normalize_query(text: Column) -> Column:

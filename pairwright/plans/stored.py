@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 from types import SimpleNamespace
 
@@ -44,7 +46,8 @@ def command(spark: SparkSession, name: str, **options: object) -> None:
     from pairwright import cli
 
     given = {"input": None, "other": None, "third": None, "output": None, "config": None, "kind": None, "seed": 0, "pairs": 25, "limit": None, "validation_limit": None, "per_cell": 4, "init_hash": "0" * 64, "revision": "0" * 40}
-    cli.run(spark, SimpleNamespace(command=name, **(given | options)))
+    with contextlib.redirect_stdout(io.StringIO()):  # commands tell what they have written
+        cli.run(spark, SimpleNamespace(command=name, **(given | options)))
 
 
 # ------------------------------------------------------------------------------------- scans
