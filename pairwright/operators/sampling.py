@@ -65,13 +65,14 @@ def smoke_pairs(tasks: DataFrame, order: str = "ord") -> DataFrame:
     return tasks.join(chosen.select("pair_id", "_first"), "pair_id").orderBy("_first", order).drop("_first")
 
 
-def positions(df: DataFrame, key: str, out: str = "position", start: int = 0) -> DataFrame:
-    """Place of every row by key.  No task sorts all rows: ranges of keys are sorted and their rows counted first.
+def positions(df: DataFrame, key: str | list[Column], out: str = "position", start: int = 0) -> DataFrame:
+    """Place of every row by key (or several ones).  No task sorts all rows: ranges of keys are sorted and their rows counted first.
 
     The sorted ranges are written once and read again, as ranges that are computed twice may differ.
     """
     number = F.monotonically_increasing_id()  # range in the upper bits, place in it in the lower 33
-    ranged = Stage(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", number), "positions").df
+    keys = [key] if isinstance(key, str) else key
+    ranged = Stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", number), "positions").df
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     placed = ranged.join(F.broadcast(totals), F.shiftright("_id", 33) == F.col("_part"))  # one row a range
