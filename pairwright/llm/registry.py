@@ -5,9 +5,11 @@ from __future__ import annotations
 from pairwright.llm.licenses import op2_license_scan
 from pairwright.llm.linededup import ORACLE_SQL as LINE_DEDUP_SQL
 from pairwright.llm.linededup import op10_line_dedup
+from pairwright.llm.merkle import op13_merkle_manifest
 from pairwright.llm.ngramjoin import ORACLE_SQL as NGRAM_JOIN_SQL
 from pairwright.llm.ngramjoin import op4_ngram_jaccard_join
 from pairwright.llm.packing import op7_best_fit_packing
+from pairwright.llm.periodic import op11_periodic_runs
 from pairwright.llm.pii import op1_pii
 from pairwright.llm.quality import op9_quality_classifier
 from pairwright.llm.store import op5_content_store
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: The other operators tokenize, compress, hash windows or iterate, which SQL cannot express.

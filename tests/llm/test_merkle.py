@@ -1,0 +1,102 @@
+"""op13: trees, proofs and tampering against plain code."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairwright.llm import merkle
+from pairwright.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def h(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_leaf(*values):
+    return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_tree(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([h("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+def plain_path(levels, i):
+    path = []
+    for level in levels[:-1]:
+        first = i - i % 3
+        path.append(("".join(level[first:i]), "".join(level[i + 1 : first + 3])))
+        i //= 3
+    return path
+
+
+def plain_rows(rows):
+    """rows: dicts with the five fields."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["source"], []).append((plain_leaf(*(r[c] for c in merkle.FIELDS)), r))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for s in order:
+        groups[s].sort(key=lambda x: (x[1]["doc_id"] is not None, x[1]["doc_id"] or 0, x[0]))
+    trees = {s: plain_tree([leaf for leaf, _ in groups[s]]) for s in order}
+    top = plain_tree([trees[s][-1][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for i, (leaf, r) in enumerate(groups[s]):
+            path = plain_path(trees[s], i) + plain_path(top, k)
+            folded = leaf
+            if r["doc_id"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 2 == 0:
+                folded = plain_leaf(*(r[c] for c in merkle.FIELDS[:-1]), r["text"].replace("\n", ""))
+            for before, after in path:
+                folded = h(before + folded + after)
+            out.append((r["doc_id"], leaf, trees[s][-1][0], top[-1][0], h("".join(b + a for b, a in path)), folded, folded == top[-1][0]))
+    return out
+
+
+def shown(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tree string, node string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    return [tuple(r) for r in merkle.op13_merkle_manifest(spark, str(tmp_path)).collect()]
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r))
+
+
+@pytest.mark.parametrize("levels", [6, 1, 2])
+def test_query_against_plain_code(spark, monkeypatch, levels):
+    monkeypatch.setattr(merkle, "LEVELS", levels)
+    rows = [r.asDict() for r in table(spark, SF, "documents").collect()]
+    found = [tuple(r) for r in merkle.op13_merkle_manifest(spark, SF).collect()]
+    assert by_id(found) == by_id(plain_rows(rows))
+    assert 0 < sum(r[-1] for r in found) < len(found)
+
+
+def test_groups_of_many_sizes_nulls_and_repeated_rows(spark, tmp_path):
+    rows = [(i, f"line {i}\nend", "en", f"s{size}", i, "x", "y") for size in (1, 2, 3, 4, 9, 10, 28) for i in range(100 * size, 100 * size + size)]
+    rows += [(None, "a\nb", None, None, None, "x", "y"), (7, None, None, None, 3, "x", "y"), (7, "", "é", "é", None, "x", "y"), (7, "", "é", "é", None, "x", "z"), (8, "b\n" * 50_000, "é", "Z", 1, None, None)]
+    found = shown(spark, tmp_path, rows)
+    names = ("doc_id", "text", "lang", "source", "n_chars")
+    assert by_id(found) == by_id(plain_rows([dict(zip(names, r, strict=False)) for r in rows]))
+
+
+def test_one_row_and_none(spark, tmp_path):
+    one = shown(spark, tmp_path, [(2, "x", "en", "s", 1, None, None)])
+    leaf = plain_leaf(2, "s", "en", 1, "x")
+    assert one == [(2, leaf, leaf, leaf, h(""), leaf, True)]
+    assert shown(spark, tmp_path, []) == []
+
+
+def test_a_changed_sibling_gives_another_root(spark):
+    docs = table(spark, SF, "documents")
+    rows = docs.select("doc_id", "source", merkle.leaf_of(*map(F.col, merkle.FIELDS)).alias("leaf"))
+    kept = merkle.manifest(rows, "source", "doc_id")
+    changed = F.transform("path", lambda p: p.withField("after", F.substring(p["after"], 2, 1 << 20)))
+    found = merkle.proofs(kept).select(merkle.folded(F.col("node"), F.col("path")).alias("root"), merkle.folded(F.col("node"), changed).alias("other"))
+    assert found.where(F.col("root") != kept.root).isEmpty() and found.where(F.col("other") == kept.root).isEmpty()
+    kept.drop()
