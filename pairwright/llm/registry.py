@@ -15,6 +15,7 @@ from pairwright.llm.quality import op9_quality_classifier
 from pairwright.llm.store import op5_content_store
 from pairwright.llm.trie_bpe import op6_trie_bpe
 from pairwright.llm.vectors import op8_embedding_neardup
+from pairwright.llm.webp import op12_webp_media
 from pairwright.llm.winnowing import op3_winnowing
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_webp_media": op12_webp_media,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
