@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.text import five_grams, normalize_query
 from pairwright.functions.udf import vectorized
+from pairwright.operators import segments, setjoin
+from pairwright.operators.guards import union_all
 from pairwright.staging import Stage
 
 JACCARD, SEQUENCE = 0.80, 0.90
@@ -46,30 +48,9 @@ def exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("h", F.col("id").alias("left_id")).join(b.select("h", F.col("id").alias("right_id")), "h").select("left_id", "right_id", F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
 
 
-def prefixes(rows: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
-    """id, gram, n: of each row's grams, rarest first, as many as must meet a similar set's."""
-    ordered = rows.select("id", "n", F.explode("grams").alias("gram")).join(ranks, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return ordered.select("id", "n", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("x")).select("id", "n", F.col("x.gram").alias("gram"))
-
-
 def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float = JACCARD, self_join: bool = False) -> DataFrame:
-    """left_id, right_id, score of all pairs of prepared rows at the threshold or over it.
-
-    Grams are ordered by how many rows hold them, so that candidates meet in rare ones only.
-    """
-    grams = a.select(F.explode("grams").alias("gram")) if self_join else a.select(F.explode("grams").alias("gram")).unionByName(b.select(F.explode("grams").alias("gram")))
-    ranks = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    first = Stage(prefixes(a, ranks, threshold), "prefixes").df  # read by both sides of a self join
-    second = first if self_join else prefixes(b, ranks, threshold)
-    x = first.select(F.col("id").alias("left_id"), F.col("n").alias("n1"), "gram")
-    y = second.select(F.col("id").alias("right_id"), F.col("n").alias("n2"), "gram")
-    on = (F.col("n1") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n1"))
-    meets = x.join(y, "gram").where(on & (F.col("left_id") < F.col("right_id")) if self_join else on)
-    pairs = meets.select("left_id", "right_id").distinct()
-    full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("grams").alias("g1")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("grams").alias("g2")), "right_id")
-    scored = full.select("left_id", "right_id", jaccard(F.col("g1"), F.col("g2")).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    """left_id, right_id, score of all pairs of prepared rows at the threshold or over it."""
+    return setjoin.similar(a.select("id", "grams"), b.select("id", "grams"), threshold, self_join)
 
 
 def jaccard_groups(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
@@ -86,25 +67,8 @@ def jaccard_groups(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
 
 
 def sequence_pairs(a: DataFrame, b: DataFrame, threshold: float = SEQUENCE) -> DataFrame:
-    """left_id, right_id, score of pairs with a matching sequence ratio of at least the threshold.
-
-    2 * min / (sum of lengths) bounds the ratio, so lengths are within a factor of each other; rows
-    are joined by bands of length (a row goes to its own band and the right one also to its
-    neighbours), and letter counts give a second bound before the sequences are compared.
-    """
-    from math import log
-
-    step = log((2 - threshold) / threshold)
-    band = F.floor(F.log(F.greatest("len", F.lit(1))) / step).cast("int")
-    counts = F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz0123456789")), lambda c: F.length("q") - F.length(F.replace(F.col("q"), c)))
-    x = a.select(F.col("id").alias("left_id"), F.col("q").alias("q1"), F.col("len").alias("l1"), band.alias("band"), counts.alias("c1"))
-    y = b.select(F.col("id").alias("right_id"), F.col("q").alias("q2"), F.col("len").alias("l2"), F.explode(F.sequence(band - 1, band + 1)).alias("band"), counts.alias("c2"))
-    total = F.col("l1") + F.col("l2")
-    common = F.aggregate(F.zip_with("c1", "c2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    spaces = F.least(F.col("l1") - F.aggregate("c1", F.lit(0), lambda s, v: s + v), F.col("l2") - F.aggregate("c2", F.lit(0), lambda s, v: s + v))
-    fits = (2 * F.least("l1", "l2") >= threshold * total) & (2 * (common + spaces) >= threshold * total)
-    found = x.join(y, "band").where(fits).withColumn("score", F.when(total == 0, 1.0).otherwise(sequence_ratio("q1", "q2")))
-    return found.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
+    """left_id, right_id, score of pairs of rows (id, q) with a matching sequence ratio of at least the threshold."""
+    return segments.matching(a.select("id", "q"), b.select("id", "q"), threshold)
 
 
 def overlap(external: DataFrame, internal: DataFrame) -> DataFrame:
@@ -112,16 +76,20 @@ def overlap(external: DataFrame, internal: DataFrame) -> DataFrame:
 
     First is by ord (file order of train, validation, test); of one pair the first method counts.
     """
-    a = prepared(external, "id", "query")
-    b = prepared(internal, "id", "query")
-    steps = [exact_pairs(a, b), jaccard_pairs(a, b).withColumn("method", F.lit("five_gram_jaccard")), sequence_pairs(a, b).withColumn("method", F.lit("sequence_match"))]
-    pairs = steps[0]
-    for i, more in enumerate(steps[1:]):
-        pairs = pairs.withColumn("rank", F.lit(0)) if i == 0 else pairs
-        pairs = pairs.unionByName(more.withColumn("rank", F.lit(i + 1)))
-    order = internal.select(F.col("id").alias("right_id"), "split", "ord")
-    first = pairs.join(order, "right_id").groupBy("left_id").agg(F.min(F.struct("ord", "rank", "right_id", "split", "method", "score")).alias("m"))
-    return first.select(F.col("left_id").alias("external_id"), F.col("m.right_id").alias("internal_id"), F.col("m.split").alias("internal_split"), F.col("m.method").alias("method"), F.col("m.score").alias("score"))
+    # a verdict follows from the normalised queries: each is compared once, whatever number of rows have it
+    spelled = external.select("id", normalize_query(F.col("query")).alias("q")).where("q is not null")
+    first = internal.withColumn("q", normalize_query(F.col("query"))).where("q is not null").groupBy("q").agg(F.min(F.struct("ord", "id", "split")).alias("m"))
+    own = first.select(F.col("m.id").alias("id"), "q", F.col("m.split").alias("split"), F.col("m.ord").alias("ord"))
+    asked = Stage(spelled.groupBy("q").agg(F.min("id").alias("id")), "queries").df
+    have = Stage(own, "queries").df
+    a, b = prepared(asked, "id", "q"), prepared(have, "id", "q")
+    steps = [exact_pairs(a, b).drop("method"), jaccard_pairs(a, b), sequence_pairs(a, b)]
+    named = [step.withColumns({"rank": F.lit(i), "method": F.lit(name)}) for i, (step, name) in enumerate(zip(steps, ("exact", "five_gram_jaccard", "sequence_match"), strict=True))]
+    order = have.select(F.col("id").alias("right_id"), "split", "ord")
+    best = union_all(*named).join(order, "right_id").groupBy("left_id").agg(F.min(F.struct("ord", "rank", "right_id", "split", "method", "score")).alias("m"))
+    found = asked.join(best, F.col("id") == F.col("left_id")).select("q", "m")
+    rows = spelled.join(found, "q")
+    return rows.select(F.col("id").alias("external_id"), F.col("m.right_id").alias("internal_id"), F.col("m.split").alias("internal_split"), F.col("m.method").alias("method"), F.col("m.score").alias("score"))
 
 
 def quarantine(external: DataFrame, internal: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,11 +152,10 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _short(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Items of under HEAD characters: every piece of a document as long as some item is joined with the items of that length."""
     lengths = sorted(r[0] for r in items.select(F.length("text")).distinct().collect())  # fewer than HEAD
-    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    for n in lengths:
-        pieces = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("text"))
-        found = found.unionByName(pieces.join(items.where(F.length("text") == n).select("item_id", "text"), "text").select("doc_id", "item_id"))
-    return found
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    every = F.concat(*(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in lengths))
+    return docs.select("doc_id", F.explode(every).alias("text")).join(items.select("item_id", "text"), "text").select("doc_id", "item_id")
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
