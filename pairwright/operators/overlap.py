@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,22 @@ def near_duplicate(left: Column, right: Column) -> Column:
     return F.when(a == b, row(True, "exact", F.lit(1.0))).when(j >= JACCARD, row(True, "five_gram_jaccard", j)).when(s >= SEQUENCE, row(True, "sequence_match", s)).otherwise(row(False, None, F.greatest(j, s)))
 
 
+@vectorized("array<long>")
+def gram_hashes(query: pd.Series) -> pd.Series:
+    """Distinct 64-bit hashes of a normalised query's five-character pieces, two blanks at each side."""
+
+    def one(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        padded = f"  {text}  "
+        return np.unique(segments.piece_hashes(padded, min(5, len(padded))))
+
+    return query.map(one)
+
+
 def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     """id, q (normalised text), grams (64-bit hashes of its five-grams), h, n, len; staged, as every step reads it."""
-    grams = F.transform(five_grams(F.col(text)), lambda g: F.xxhash64(g))
-    rows = df.select(F.col(key).alias("id"), normalize_query(F.col(text)).alias("q"), grams.alias("grams"))
+    rows = df.select(F.col(key).alias("id"), normalize_query(F.col(text)).alias("q")).withColumn("grams", gram_hashes("q"))
     return Stage(rows.withColumns({"h": F.sha2("q", 256), "n": F.size("grams"), "len": F.length("q")}), "prepared").df
 
 
@@ -58,11 +71,12 @@ def jaccard_groups(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
 
     Rows of one set are not paired with one another, so that any number of copies is that many rows.
     """
-    key = F.sha2(F.array_join(F.sort_array("grams").cast("array<string>"), ","), 256)
-    keyed = rows.select("id", key.alias("key"))
+    key = F.struct(F.xxhash64("grams"), F.xxhash64(F.reverse("grams")), F.size("grams"))  # grams are sorted: 128 bits of a set
+    keyed = Stage(rows.select("id", "grams", key.alias("key")), "keyed").df
     first = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    sets = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    copies = keyed.join(first, "key").where("id != rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
+    reps = Stage(keyed.select("id", "key").join(first, "key").select("id", "rep"), "reps").df
+    sets = Stage(keyed.join(reps.where("id = rep"), "id", "left_semi").select("id", "grams"), "sets").df
+    copies = reps.where("id != rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
     return jaccard_pairs(sets, sets, threshold, self_join=True).unionByName(copies)
 
 

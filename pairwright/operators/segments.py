@@ -151,7 +151,7 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     unmatched = lambda total: F.floor((1 - threshold) * total + _EPS)
     partner = lambda n: F.floor(n * ((2 - threshold) / threshold) + _EPS)
     fits = (l1 <= partner(l2)) & (l2 <= partner(l1)) & (F.abs(shift) + F.abs(l1 - l2 - shift) <= unmatched(l1 + l2))
-    shared = x.join(y, ["gram", "band", "cell"]).where(fits).groupBy("left_id", "right_id", "l1", "l2").agg(F.count_distinct("p2").alias("shared"))
+    shared = x.join(y.hint("merge"), ["gram", "band", "cell"]).where(fits).groupBy("left_id", "right_id", "l1", "l2").agg(F.count_distinct("p2").alias("shared"))
     enough = F.col("shared") >= unmatched(partner(l2) + l2) + 1 - unmatched(l1 + l2)
     return shared.where(enough).select("left_id", "right_id")
 

@@ -134,7 +134,8 @@ def candidates(x: DataFrame, y: DataFrame, threshold: float, self_join: bool) ->
     passes &= apart <= n1 + n2 - 2 * needed
     if self_join:
         passes = (F.col("left_id") < F.col("right_id")) & passes
-    return left.join(right, "gram").where(passes).select("left_id", "right_id").distinct()
+    # the files of prefixes are far smaller than their rows: their size must not make Spark broadcast them
+    return left.join(right.hint("merge"), "gram").where(passes).select("left_id", "right_id").distinct()
 
 
 def similar(a: DataFrame, b: DataFrame, threshold: float, self_join: bool = False) -> DataFrame:
