@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,27 @@ def sha256_of_json(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
+#: JSON that Spark spells as Python does: no escapes, no fractions or exponents, no integers of over 18 digits, none of Python's NaN and Infinity.
+_PLAIN = r"\\|[0-9][.eE]|[0-9]{19}|NaN|Infinity|-0"
+
+
+def plain_json(text: Column) -> Column:
+    """Whether a text is JSON whose canonical form the JVM can give: VARIANT sorts keys, and spells what is left after _PLAIN as Python does."""
+    ascii_only = ~F.regexp_like(text, F.lit(r"[^\x20-\x7e\s]"))  # keys of other letters are sorted in another order
+    return ascii_only & ~F.regexp_like(text, F.lit(_PLAIN)) & F.try_parse_json(text).isNotNull()
+
+
+def canonical_hashes(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df without its JSON text, but with the hash of the canonical form: null for bad JSON.
+
+    Rows are split by a filter, so that only those whose numbers or strings Spark spells otherwise go through Python.
+    """
+    kept = [c for c in df.columns if c != column]
+    marked = df.withColumn("_plain", F.coalesce(plain_json(F.col(column)), F.lit(False)))
+    fast = marked.where("_plain").select(*kept, F.sha2(F.to_json(F.parse_json(F.col(column))), 256).alias(out))
+    return fast.unionByName(marked.where("not _plain").select(*kept, sha256_of_json(F.col(column)).alias(out)))
+
+
 def tokenizer_identity(kind: Column, template: Column, end_id: Column) -> Column:
     """Hash of what tells tokenizers apart: class, chat template (or null) and end id (or null), as canonical JSON."""
     text = lambda c: F.coalesce(json_string(c), F.lit("null"))
@@ -68,20 +90,48 @@ def tokenizer_identity(kind: Column, template: Column, end_id: Column) -> Column
     return F.sha2(F.concat(*parts), 256)
 
 
-def ranged_digest(df: DataFrame, by: list[str], value: Column, order: Column, width: int, out: str) -> DataFrame:
-    """For each group the hash of the JSON list of its ranges' hashes, each that of the values (JSON text) of a range of `width` orders.
+#: Digests that one task of a tree takes together.
+TREE_WIDTH = 1000
+
+
+def tree_digest(df: DataFrame, by: list[str], value: Column, order: list[Column], out: str, width: int = TREE_WIDTH) -> DataFrame:
+    """One digest for each group: of all its values (JSON text) in order, by a tree as deep as the group needs.
 
-    A group of any size is many ranges, so that no task holds its values.
+    A node is the hash of the JSON list of up to `width` consecutive values, and above them of nodes, until a group has one
+    node; so no task holds more than `width` of them, however many rows a group has.  A group of up to `width` values has the hash of
+    the list of its values.  Equal orders must have equal values.
     """
-    ranges = df.groupBy(*by, F.floor(order / width).alias("_range")).agg(ordered_digest(value, order).alias("_digest"))
-    return ranges.groupBy(*by).agg(ordered_digest(json_string(F.col("_digest")), F.col("_range")).alias(out))
+    from pairwright.operators.sampling import positions
+    from pairwright.staging import Stage
+
+    keyed = df.select(*by, value.alias("_value"), *(o.alias(f"_o{i}") for i, o in enumerate(order)))
+    keys = [*(F.col(c).asc_nulls_first() for c in by), *(F.col(f"_o{i}").asc_nulls_first() for i in range(len(order)))]
+    placed = positions(keyed, keys, "_place")
+    first = placed.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)), F.lit(True))
+    joined = placed.join(first, same) if by else placed.join(F.broadcast(first))  # without groups it is one row
+    level = joined.select(*by, "_n", (F.col("_place") - F.col("_first")).alias("_at"), "_value")
+    most, stages = None, []
+    while most is None or most > 1:
+        node = json_string(F.col("_node"))
+        if stages:  # groups of one node are done and are handed on as they are
+            level = level.select(*by, "_n", "_at", node.alias("_value"))
+        nodes = level.groupBy(*by, "_n", F.floor(F.col("_at") / width).alias("_up")).agg(ordered_digest(F.col("_value"), F.col("_at")).alias("_hash"), F.first("_value").alias("_only"))
+        done = (F.col("_n") == 1) & F.lit(bool(stages))
+        made = nodes.select(*by, F.ceil(F.col("_n") / width).alias("_n"), F.col("_up").alias("_at"), F.when(done, F.substring("_only", F.lit(2), F.length("_only") - 2)).otherwise(F.col("_hash")).alias("_node"))
+        stages.append(Stage(made, "digests"))
+        level = stages[-1].df
+        most = level.agg(F.max("_n")).first()[0] or 0
+    for stage in stages[:-1]:
+        stage.drop()
+    return level.select(*by, F.col("_node").alias(out))
 
 
 def content_hash(df: DataFrame, column: str) -> str:
-    """Hash of all values of a column in whatever order they lie: of the sorted hashes, taken together by their first two digits first."""
+    """Hash of all values of a column in whatever order they lie: of the tree over their sorted hashes."""
     hashes = df.select(F.sha2(column, 256).alias("h"))
-    groups = hashes.groupBy(F.substring("h", 1, 2).alias("g")).agg(ordered_digest(json_string(F.col("h")), F.col("h")).alias("d"))
-    return groups.agg(ordered_digest(json_string(F.col("d")), F.col("g")).alias("d")).first()["d"]
+    found = tree_digest(hashes, [], json_string(F.col("h")), [F.col("h")], "d").first()
+    return found.d if found else digest([])
 
 
 def ordered_digest(value: Column, order: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +92,52 @@ def conflicting_first(df: DataFrame, key: str, value: str, order: str) -> DataFr
 
 
 def cycled(order: list[int], steps: int, spark) -> DataFrame:  # noqa: ANN001
-    """step (from 1) and the entry of a permutation that it uses, around and around."""
-    return spark.range(1, steps + 1).select(F.col("id").alias("step"), F.element_at(F.array(*map(F.lit, order)), F.pmod(F.col("id") - 1, F.lit(len(order))).cast("int") + 1).alias("item"))
+    """step (from 1) and the entry of a given permutation that it uses, around and around."""
+    entries = spark.createDataFrame(list(enumerate(order)), "_at long, item long")
+    return spark.range(1, steps + 1).select(F.col("id").alias("step"), F.pmod(F.col("id") - 1, F.lit(len(order))).alias("_at")).join(entries, "_at").select("step", "item")
+
+
+#: Rounds of the permutation (an even number, so that the digits end where they began), and times that it is applied at most until it stays below n (see permuted).
+ROUNDS, WALK = 4, 65
+
+
+def permuted(place: Column, n: int, key: str | Column) -> Column:
+    """Where a keyed permutation of 0..n-1 takes a place: a Feistel network on a x b >= n places, walked until it stays below n.
+
+    A place is split into one digit below a and one below b; each round adds a hash of one digit to the other one.  At most a - 1
+    of the a x b places are n or more, so a walk rarely takes a second step; none takes more than a, and for large n one of WALK
+    steps has a probability of n ** -(WALK / 2), where it is an error.
+    """
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = max(1, -(-n // a))
+    key = F.lit(key) if isinstance(key, str) else key
+
+    def once(x: Column) -> Column:
+        def turn(digits: Column, r: Column) -> Column:
+            mixed = F.conv(F.substring(F.sha2(F.concat_ws(":", key, r.cast("string"), digits["r"].cast("string")), 256), 1, 12), 16, 10).cast("long")
+            return F.struct(digits["r"].alias("l"), ((digits["l"] + mixed) % F.when(r % 2 == 0, a).otherwise(b)).cast("long").alias("r"))
+
+        start = F.struct((x % a).cast("long").alias("l"), F.floor(x / a).cast("long").alias("r"))
+        return F.reduce(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda digits: digits["l"] + digits["r"] * a)
+
+    walked = F.reduce(F.sequence(F.lit(1), F.lit(WALK)), F.lit(-1).cast("long"), lambda x, i: F.when((x >= 0) & (x < n), x).otherwise(once(F.when(x < 0, place).otherwise(x))))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a walk of the permutation is too long")))
+
+
+def epoch_order(df: DataFrame, key: str, seed: str, epoch: int = 0, out: str = "turn") -> DataFrame:
+    """Rows with their turn in an epoch: a permutation of their places by a unique key, another one for each seed and epoch.
+
+    Nothing is sorted by random numbers: a turn follows from a row's place alone.
+    """
+    placed = positions(df, key, "_place")
+    return placed.withColumn(out, permuted(F.col("_place"), placed.count(), f"{seed}:{epoch}")).drop("_place")
+
+
+def cycled_turns(spark, n: int, steps: int, seed: str) -> DataFrame:  # noqa: ANN001
+    """step (from 1) and the item of 0..n-1 that it uses, all items once an epoch, in another order each epoch."""
+    step = spark.range(1, steps + 1).select(F.col("id").alias("step"))
+    key = F.concat_ws(":", F.lit(seed), F.floor((F.col("step") - 1) / n).cast("string"))
+    return step.select("step", permuted((F.col("step") - 1) % n, n, key).alias("item"))
 
 
 def accumulated(df: DataFrame, step: str, every: int, value: str) -> DataFrame:

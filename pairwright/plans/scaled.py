@@ -272,16 +272,6 @@ def q_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.accumulated(rows, "step", 100, "value").select(F.col("update").alias("update_"), F.round("value", 6).alias("value"), "n")
 
 
-@query("""
-WITH r AS (SELECT source, doc_id // 1000 AS range, sha256('[' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || ']') AS h FROM documents GROUP BY 1, 2)
-SELECT source, sha256('[' || string_agg('"' || h || '"', ',' ORDER BY range) || ']') AS ids_hash FROM r GROUP BY 1""")
-def q_ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of each source's document ids in order: of ranges of a thousand ids, then of these."""
-    from pairwright.functions.canonical import ranged_digest
-
-    return ranged_digest(table(spark, sf_dir, "documents"), ["source"], F.col("doc_id").cast("string"), F.col("doc_id"), 1000, "ids_hash")
-
-
 @query("SELECT conv_id, turn FROM conversations QUALIFY role <> first_value(role) OVER (PARTITION BY conv_id ORDER BY turn)")
 def q_conflicting_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose role is not the conversation's first."""

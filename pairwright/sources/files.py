@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import canonical
@@ -13,6 +13,7 @@ from pairwright.functions.schemas import normalize_schemas
 from pairwright.functions.text import slug
 from pairwright.functions.udf import vectorized
 from pairwright.operators.guards import duplicates, strict
+from pairwright.staging import Stage
 
 # ------------------------------------------------------------------------------------- scans
 
@@ -27,28 +28,51 @@ def _problem(line: str) -> str | None:
 
 @vectorized("string")
 def line_problem(value: pd.Series) -> pd.Series:
-    return value.map(_problem)
+    return value.map(lambda line: None if line is None else _problem(line))
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, block, _id, value of every line, blank ones too.  Files are split by ranges of bytes, so that any size is many tasks."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+
+
+def with_line_numbers(staged: DataFrame) -> DataFrame:
+    """staged raw lines with their number in the file (from 1): the lines of a file's earlier ranges are counted before its own.
+
+    Only a count for each range is brought together; there are as many as tasks that read the files.
+    """
+    ranges = staged.groupBy("path", "block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    line = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return staged.join(before, ["path", "block"]).withColumn("line", line).drop("_before", "_first", "block", "_id")
+
+
+def something(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 1), value of every line with something on it; a file is one row until it is split."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    return text.select("path", (F.col("at") + 1).alias("line"), "value").where(F.regexp_like("value", F.lit(r"(?U)[^\s\x1c-\x1f]")))
+    """path, line (from 1), value of every line with something on it."""
+    return with_line_numbers(Stage(raw_lines(spark, path), "lines").df).where(something(F.col("value"))).select("path", "line", "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, checked: bool = True) -> DataFrame:
-    """JSON lines by a schema.
+    """JSON lines by a schema, with ord, the line's number.
 
-    checked: every line must be a strict JSON object, else ValueError "path:line: detail"; without
-    it Spark reads splittable files at full speed and fails on malformed lines.
+    checked: every line must be a strict JSON object, else ValueError "path:line: detail" for the first one
+    that is none.  The files are read once: lines, what is wrong with them and their places are staged.  Without
+    it Spark reads the files at full speed and fails on malformed lines.
     """
     if not checked:
         reader = spark.read.option("mode", "FAILFAST").option("allowSingleQuotes", "false")
         return (reader.schema(schema) if schema else reader).json(path)
-    lines = numbered_lines(spark, path)
-    bad = lines.withColumn("problem", line_problem("value")).where("problem is not null").orderBy("path", "line").limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0].path}:{bad[0].line}: {bad[0].problem}")
+    staged = Stage(raw_lines(spark, path).withColumn("problem", line_problem(F.when(something(F.col("value")), F.col("value")))), "jsonl").df
+    if not staged.where("problem is not null").isEmpty():
+        bad = with_line_numbers(staged.drop("value")).where("problem is not null").agg(F.min(F.struct("path", "line", "problem")).alias("b")).first().b
+        raise ValueError(f"{bad.path}:{bad.line}: {bad.problem}")
+    lines = with_line_numbers(staged.drop("problem")).where(something(F.col("value")))
     if schema is None:
         return lines.select(F.col("line").alias("ord"), "value")
     return lines.select("line", F.from_json("value", schema, {"mode": "FAILFAST", "allowSingleQuotes": "false"}).alias("r")).select(F.col("line").alias("ord"), "r.*")

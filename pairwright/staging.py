@@ -60,6 +60,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    at, system = _file_system(spark, path)
+    return [status.getPath().getName() for status in system.listStatus(at)] if system.exists(at) else []
+
+
 class Stage:
     """A DataFrame written to a shared folder and read again: its lineage ends at committed files."""
 

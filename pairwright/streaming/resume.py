@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.evaluation import PREDICTION
 from pairwright.operators.guards import duplicates, missing_from, strict
-from pairwright.staging import exists
+from pairwright.staging import exists, read_text, write_text
+from pairwright.streaming.journal import Journal
 
 #: A backend is made once a partition and gives for a row's dict the fields of a prediction but task_id.
 Backend = Callable[[], Callable[[dict], dict]]
@@ -38,24 +39,20 @@ def predicted(tasks: DataFrame, backend: Backend) -> DataFrame:
     return tasks.mapInPandas(run, PREDICTION)
 
 
-def _existing(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
 def resume(tasks: DataFrame, backend: Backend, path: str, limit: int | None = None) -> DataFrame:
-    """Predictions of the selected tasks (id, ord), from path where they are there, else computed and appended.
+    """Predictions of the selected tasks (id, ord), from the journal at path where they are there, else computed and appended.
 
     The limit takes the first tasks by ord before anything is left out.  ValueError for repeated or
     foreign ids in path.  Failures count as done.
     """
-    spark = tasks.sparkSession
+    journal = Journal(tasks.sparkSession, path, PREDICTION)
     chosen = tasks.orderBy("ord").limit(limit) if limit is not None else tasks
-    done = _existing(spark, path)
+    done = journal.read()
     strict(done, duplicates(done, "task_id"), "the output holds an id twice")
     strict(done, missing_from(done, chosen.select(F.col("id").alias("task_id")), "task_id"), "the output holds ids that are not asked for")
     rest = chosen.join(done.select(F.col("task_id").alias("id")), "id", "left_anti")
-    predicted(rest, backend).write.mode("append").parquet(path)
-    return chosen.select(F.col("id").alias("task_id"), "ord").join(_existing(spark, path), "task_id").orderBy("ord").drop("ord")
+    journal.append(predicted(rest, backend))
+    return chosen.select(F.col("id").alias("task_id"), "ord").join(journal.read(), "task_id").orderBy("ord").drop("ord")
 
 
 def resume_prompts(prompts: DataFrame, backend: Backend, path: str, limit: int | None = None) -> DataFrame:
@@ -63,18 +60,32 @@ def resume_prompts(prompts: DataFrame, backend: Backend, path: str, limit: int |
     return resume(prompts.select("id", "messages", F.col("id").alias("ord")), backend, path, limit)
 
 
-def stream(tasks: DataFrame, backend: Backend, path: str, checkpoint: str):  # noqa: ANN201
+def stream(tasks: DataFrame, backend: Backend, path: str, checkpoint: str, at: str | None = None, lifetime: str = "1 hour"):  # noqa: ANN201
     """The same over a stream of tasks, each id once.
 
-    Ids that this stream has seen are in its state; those that were in path when it began are looked up
-    there, so that no micro-batch reads what earlier ones wrote.
+    A micro-batch is a batch of the journal with its number: one that is repeated after a failure adds nothing.  Ids
+    that an earlier batch has are looked up in the journal's id column.  With `at`, the time of a task, ids that come again within
+    the lifetime are left out by Spark's state, which forgets them after it, so that it stays bounded; without it, a batch's own repeats go.
     """
-    earlier = _existing(tasks.sparkSession, path).select(F.col("task_id").alias("id"))
-
+    spark = tasks.sparkSession
+    journal = Journal(spark, path, PREDICTION)
     def append(batch: DataFrame, number: int) -> None:
-        predicted(batch.join(earlier, "id", "left_anti"), backend).write.mode("append").parquet(path)
+        if journal.committed(first + number):
+            return
+        done = journal.read().select(F.col("task_id").alias("id"))
+        journal.append(predicted(batch.dropDuplicates(["id"]).join(done, "id", "left_anti"), backend), first + number)
+
+    first = _first_batch(spark, checkpoint, max(journal.numbers(), default=-1) + 1)
+    once = tasks if at is None else tasks.withWatermark(at, lifetime).dropDuplicatesWithinWatermark(["id"])
+    return once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return tasks.dropDuplicates(["id"]).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _first_batch(spark: SparkSession, checkpoint: str, base: int) -> int:
+    """The journal's number of a stream's first micro-batch, kept beside its checkpoint."""
+    kept = f"{checkpoint.rstrip('/')}-first.json"
+    if not exists(spark, kept):
+        write_text(spark, kept, str(base))
+    return int(read_text(spark, kept))
 
 
 CACHED = "id string, example_hash string, chosen_logp double, rejected_logp double, chosen_tokens long, rejected_tokens long"
@@ -100,9 +111,9 @@ def reference_cache(examples: DataFrame, scorer: Callable[[], Callable[[list, st
                 rows.append((row.id, row.example_hash, chosen, rejected, n, m))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CACHED.split(", ")])
 
-    spark = examples.sparkSession
-    done = _existing(spark, path, CACHED)
+    journal = Journal(examples.sparkSession, path, CACHED)
+    done = journal.read()
     strict(done, duplicates(done, "id"), "an example is cached twice")
     rest = examples.join(done.select("id"), "id", "left_anti")
-    rest.select("id", "messages", "chosen", "rejected", "example_hash").mapInPandas(run, CACHED).write.mode("append").parquet(path)
-    return _existing(spark, path, CACHED)
+    journal.append(rest.select("id", "messages", "chosen", "rejected", "example_hash").mapInPandas(run, CACHED))
+    return journal.read()
