@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from pairwright.plans import cases, fixtures, generated, scaled, stored, tables
+    from pairwright.plans import scaled, tables
 
-    return scaled, tables, fixtures, cases, generated, stored
+    return scaled, tables
 
 
 def queries() -> dict:

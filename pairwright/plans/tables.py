@@ -52,6 +52,15 @@ def q_turn_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------ scans and sinks
 
 
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def q_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as canonical JSON lines and read again by the strict scan."""
+    path = shared_dir(spark, "conversations-jsonl")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    files.write_jsonl(rows.withColumn("place", F.struct("conv_id", "turn")), path, "place")
+    return files.read_jsonl(spark, path, "conv_id long, turn long, role string, text string").drop("ord")
+
+
 @query("SELECT doc_id, source, length(text) AS chars, sha256(text) AS text_sha256, row_number() OVER (ORDER BY doc_id) AS place FROM documents")
 def q_jsonl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as JSON lines and read strictly: places follow from the files' order and the lines' numbers."""

@@ -10,7 +10,7 @@ from pairwright.functions.calls import same_json
 from pairwright.functions.canonical import canonical_json, finite_error, ordered_digest, sha256_of_json
 from pairwright.functions.tools import run_tool
 from pairwright.operators import agreement, contracts, evaluation, generate, guards, metrics, reports, rewards, sampling, statistics, training
-from pairwright.plans.fixtures import literal
+from row_cases.fixtures import literal
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.canonical import canonical, tokenizer_identity
 from pairwright.operators import agreement, evaluation, generate, guards, reports, training
-from pairwright.plans.cases import said
-from pairwright.plans.fixtures import literal
+from row_cases.cases import said
+from row_cases.fixtures import literal
 from pairwright.sources import files
 from pairwright.staging import shared_dir, write_text
 from pairwright.streaming import resume
@@ -22,9 +22,9 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str, tables: bool = False):  # noqa: ANN201
+def query(sql: str):  # noqa: ANN201
     def add(run):  # noqa: ANN001, ANN202
-        QUERIES[run.__name__] = run if tables else lambda spark, sf_dir: run(spark)
+        QUERIES[run.__name__] = lambda spark, sf_dir: run(spark)
         ORACLE_SQL[run.__name__] = sql
         return run
 
@@ -53,15 +53,6 @@ def command(spark: SparkSession, name: str, **options: object) -> None:
 # ------------------------------------------------------------------------------------- scans
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations", tables=True)
-def q_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations written as canonical JSON lines and read again by the strict scan."""
-    path = shared_dir(spark, "conversations-jsonl")
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    files.write_jsonl(rows.withColumn("place", F.struct("conv_id", "turn")), path, "place")
-    return files.read_jsonl(spark, path, "conv_id long, turn long, role string, text string").drop("ord")
-
-
 @query(literal([("array", "ValueError"), ("blank", "ok"), ("broken", "ValueError"), ("empty", "ValueError"), ("good", "ok"), ("repeated", "ValueError"), ("split", "ValueError"), ("tail", "ValueError")], ("file", "outcome")))
 def q_scan_errors(spark: SparkSession) -> DataFrame:
     paths = _put(spark, shared_dir(spark, "scans"), good='{"id":"a","split":"train"}\n\n', blank=" \n\t\n", broken='{"id":"a"}\n{oops\n', array="[1]\n", tail='{"id":"a"} {"id":"b"}\n', repeated='{"id":"a"}\n{"id":"a"}\n')
