@@ -17,6 +17,7 @@ from pairwright.functions.canonical import canonical, finite_error
 from pairwright.functions.text import is_slug, looks_like_call
 from pairwright.functions.udf import vectorized
 
+#: Fixed value: how a call block is written.
 BLOCK = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
 ANY_CASE_BLOCK = re.compile(BLOCK.pattern, re.S | re.I)
 CALL = "struct<name:string,arguments:string>"

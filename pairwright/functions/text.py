@@ -17,6 +17,7 @@ EDGES = " \t\n\r.,!?;:'\""
 REFUSAL = r"\b(cannot|can't|unable|no available tool|no tool|not equipped|unsupported|none of (?:the )?(?:provided|available) (?:functions|tools))\b"
 NOTHING_TO_DO = ("already complete", "already completed", "already closed", "no action needed", "nothing to do")
 NUMBER = r"([-+]?[0-9]+(?:\.[0-9]+)?)"
+SEPARATORS = r"(?i)\s*(?:,|;|\band\b|\n|•)\s*"  # of the items of an answer that is a set
 CALL_MARKS = ("<tool_call", '"tool_call"', '"tool_calls"', '"arguments"')
 LABELS = ("CALL", "ANSWER", "CLARIFY", "REFUSE", "NOOP")
 
@@ -105,7 +106,7 @@ def first_number(text: Column) -> Column:
 
 
 def answer_pieces(text: Column) -> Column:
-    pieces = F.split(text, r"(?i)\s*(?:,|;|\band\b|\n|•)\s*")
+    pieces = F.split(text, SEPARATORS)
     return F.filter(pieces, lambda p: p != "")
 
 

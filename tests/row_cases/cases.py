@@ -618,7 +618,7 @@ REPORT_LINES = [
     (1, "id,family,method,split,status,task_count,accuracy,act_accuracy,abstention_accuracy,balanced_accuracy,call_accuracy,malformed_call_rate,protocol_compliance_rate"),
     (2, "base,1.5b,Base,internal-validation,baseline,120,0.625,0.8333,0.4167,,,,1.0"), (3, "ext,0.5b,Base <x>,bfcl,rejected,8,0.5,,0.75,,0.25,,"),
     (4, "| Base | 1.5b | internal-validation | baseline | 62.50% | 83.33% | 41.67% | 100.00% |"), (5, "| Base <x> | 0.5b | bfcl | rejected | 50.00% | 25.00% | 75.00% | — |"),
-    (6, '<text x="20" y="75" font-family="sans-serif" font-size="13">base</text>'), (7, '<rect x="280" y="58" width="350.000" height="22" fill="#2563eb"/>'), (8, '<text x="850" y="75" text-anchor="end" font-family="sans-serif" font-size="13">62.50%</text>'),
+    (6, '<g transform="translate(20,44)"><text>base</text><rect y="6" width="500" height="14" fill="#ddd"/><rect y="6" width="312.5" height="14" fill="#3a7d44"/><text x="510" y="18">62.50%</text></g>'),
 ]
 
 
@@ -627,7 +627,7 @@ def q_report_lines(spark: SparkSession) -> DataFrame:
     """Comparison rows as CSV, as Markdown and as bars."""
     rows = [reports.experiment_row(r, r["metrics"], 120) for r in REPORT]
     table = [x for x in reports.markdown(rows).splitlines() if x.startswith("| Base")]
-    drawn = reports.bars(rows, "1.5b").splitlines()[3:6]
+    drawn = reports.bars(rows, "1.5b").splitlines()[1:-1]
     return spark.createDataFrame(list(enumerate([*reports.csv_text(rows).splitlines(), *table, *drawn], 1)), "i int, line string")
 
 

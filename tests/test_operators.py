@@ -184,7 +184,7 @@ def test_comparison_rendering():
     assert row["accuracy"] == 0.5 and row["abstention_accuracy"] == 0.25
     assert "| M | 1.5b | bfcl | baseline | 50.00% | 100.00% | 25.00% | — |" in reports.markdown([row])
     assert reports.csv_text([row]).splitlines()[1] == "x,1.5b,M,bfcl,baseline,4,0.5,,0.25,,1.0,,"
-    assert 'width="280.000"' in reports.bars([row], "1.5b")
+    assert 'width="250.0"' in reports.bars([row], "1.5b")
     with pytest.raises(ValueError):
         reports.check_config({"experiments": [spec | {"metrics": "a/Test/m"}]})
     with pytest.raises(ValueError):
