@@ -516,7 +516,8 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but for all documents of a component after its first (by doc_id, then by text hash).
 
-    All columns stay.  Documents without words stay; of rows that agree in doc_id and text one stays.
+    All columns stay.  Documents without words stay; of rows that agree in doc_id and text the one with the least
+    hash of all its columns stays.
     """
     found = Stage(components(docs, k, percent).select("doc_id", "tag", "node"), "ngram-decisions").df
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
@@ -526,7 +527,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("_k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k2"), F.struct(*(F.col(f"`{c}`").alias(names[c]) for c in docs.columns)).alias("_row"))
     kept = rows.join(stay, F.col("_k1").eqNullSafe(F.col("_d")) & (F.col("_k2") == F.col("_t")), "left_semi")
     if not found.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
-        kept = kept.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+        kept = kept.groupBy("_k1", "_k2").agg(F.min_by("_row", F.struct(F.xxhash64(F.to_json("_row")), F.to_json("_row"))).alias("_row"))
     return kept.select(*(F.col(f"_row.{names[c]}").alias(c) for c in docs.columns))
 
 

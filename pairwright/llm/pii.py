@@ -13,6 +13,7 @@ of one kind never do; repeated rows get the same spans; further columns are hand
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -89,8 +90,8 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 #: Letters of other scripts that look like these ASCII ones, in their order.
 ALIKE = str.maketrans(
-    "АВЕКМНОРСТУХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρ",
-    "ABEKMHOPCTYXaeopcyxijsdhqwABEZHIKMNOPTYXoavikp",
+    "АВЕКМНОРСТУХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρɑɡı",
+    "ABEKMHOPCTYXaeopcyxijsdhqwABEZHIKMNOPTYXoavikpagi",
 )
 INVISIBLE = "­​‌‍⁠﻿"
 _DASHES = dict.fromkeys(map(ord, "‐‑‒–—−"), "-")
@@ -112,25 +113,30 @@ _GAP = r"[\x20,-]{1,2}"
 #: Three digits in words or more, one after the other (plain digits may stand between them).
 RUN = re.compile(rf"(?i)\b(?:{_NUMBER})(?:{_GAP}(?:{_NUMBER}|[0-9])){{2,}}\b")
 NUMBER = re.compile(rf"(?i)(?:{_NUMBER})|[0-9]")
+#: Digits in words between plain ones.
+BETWEEN = re.compile(rf"(?i)(?<=[0-9])(?:{_GAP}(?:{_NUMBER}))+(?={_GAP}[0-9])")
 AT = re.compile(
     r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[a-z0-9._%+-])\s+at\s+(?=[a-z0-9-]+\s*(?:[\[({<]|\.|\s(?:dot|point|punkt|punto)\b))"
-    r"|&#0*64;|&#x40;|&commat;|%40|(?<=[a-z0-9._%+-])\s+@\s*(?=[a-z0-9-]+\.)|(?<=[a-z0-9._%+-])@\s+(?=[a-z0-9-]+\.)"
+    r"|(?<=[a-z0-9._%+-])\s+(?:arroba|arobase)\s+(?=[a-z0-9-]+\s*(?:[\[({<]|\.|\s(?:dot|point|punkt|punto)\b))|&#0*64;|&#x0*40;|&commat;|%40|(?<=[a-z0-9._%+-])\s+@\s*(?=[a-z0-9-]+\.)|(?<=[a-z0-9._%+-])@\s+(?=[a-z0-9-]+\.)"
 )
 DOT = re.compile(
     r"(?i)\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*|(?<=[a-z0-9-])\s+dot\s+(?=[a-z0-9])"
-    r"|&#0*46;|&#x2e;|&period;|(?<=[a-z0-9-])\s+\.\s+(?=[a-z]{2,}\b)"
+    r"|(?<=[0-9])\s+(?:point|punkt|punto)\s+(?=[0-9])|&#0*46;|&#x0*2e;|&period;|(?<=[a-z0-9-])\s+\.\s+(?=[a-z]{2,}\b)"
 )
 #: Dots in German or Spanish words, of an address only: an English "at this point in" is none.
-SPOKEN = re.compile(r"(?i)(?:(?<=\s)at\s+|@\s*)[a-z0-9-]+(?:\s+(?:punkt|punto)\s+[a-z0-9-]+)+")
-SPOKEN_DOT = re.compile(r"(?i)\s+(?:punkt|punto)\s+")
+SPOKEN = re.compile(r"(?i)(?:(?<=\s)at\s+|@\s*)[a-z0-9-]+(?:\s+(?:punkt|punto)\s+[a-z0-9-]+)+|(?<=\s)(?:arroba|arobase)\s+[a-z0-9-]+(?:\s+(?:point|punkt|punto)\s+[a-z0-9-]+)+")
+SPOKEN_DOT = re.compile(r"(?i)\s+(?:point|punkt|punto)\s+")
 PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
 #: What parts the fours of a card number, other than one space or hyphen.
 FOURS = re.compile(r"(?<=[0-9]{4})(?:[\s./_,·-]{2,3}|[./_,·\t\n])(?=[0-9]{4})")
 #: Texts without any of these are not rewritten.
-STRANGE = re.compile("[" + INVISIBLE + " Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९ -―․ ⁠⁰-₟℀-⅏−①-⓿　-。！-｡\U0001d400-\U0001d7ff]")
+STRANGE = re.compile("[" + INVISIBLE + "ɑɡı Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९ -―․ ⁠⁰-₟℀-⅏−①-⓿　-。！-｡\U0001d400-\U0001d7ff]")
 #: The tests of disguised(): each is as wide as the alternatives of the transducers that it stands for.
 _WORD = re.compile(r"\b(?:dot|plus)\b")
-_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point|punkt|punto)\s*[\])}>]|&(?:#0*64|#x40|commat|#0*46|#x2e|period);|%40")
+_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point|punkt|punto)\s*[\])}>]|&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);|%40")
+_AT_WORD = re.compile(r"\s(?:arroba|arobase)\s+[a-z0-9-]+\s*(?:[\[({<]|\.|\s(?:dot|point|punkt|punto)\b)")
+_NUMBER_DOT = re.compile(r"[0-9]\s+(?:point|punkt|punto)\s+[0-9]")
+_BETWEEN = re.compile(rf"(?<=[0-9])(?:{_GAP}(?:{_NUMBER}))+(?={_GAP}[0-9])")
 _LOOSE = re.compile(r"\s@|@\s")
 _LOOSE_DOT = re.compile(r"\.(?<=\s\.)\s")
 _AT = re.compile(r"at(?<=\sat)\s+[a-z0-9-]+\s*(?:[\[({<]|\.|\s(?:dot|point|punkt|punto)\b)")
@@ -151,37 +157,60 @@ def disguised(text: str) -> bool:
     low = _lower(text)
     if ("dot" in low or "plus" in low) and _WORD.search(low) or _AT.search(low) or ("punkt" in low or "punto" in low) and _SPOKEN.search(low) or _BRACKET.search(low) or _SPELLED.search(low):
         return True
-    return bool(DIGIT.search(text) and _FOURS.search(text))
+    if ("arroba" in low or "arobase" in low) and _AT_WORD.search(low):
+        return True
+    return bool(DIGIT.search(text) and (_FOURS.search(text) or _NUMBER_DOT.search(low) or _BETWEEN.search(low)))
 
 
 class Tape:
-    """A text with, for each of its characters, the source span that it stands for."""
+    """A rewritten text, in parts that tell the source spans of their characters.
+
+    A part (at, start, end, plain) begins at a place of the text; if it is plain, its characters stand for those of the source from
+    start on, else all of them for the whole span.  There are as many parts as rewritings, whatever the text's length.
+    """
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, parts: list[tuple[int, int, int, bool]] | None = None):
         self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+        self.parts = [(0, 0, len(text), True)] if parts is None else parts
+        self.places = [p[0] for p in self.parts]
+
+    def _of(self, place: int) -> tuple[int, int, int, bool]:
+        return self.parts[bisect.bisect_right(self.places, place) - 1]
 
     def source(self, start: int, end: int) -> Span:
-        return self.starts[start], self.ends[end - 1]
+        at, low, _, plain = self._of(start)
+        first = low + start - at if plain else low
+        at, low, high, plain = self._of(end - 1)
+        return first, low + end - at if plain else high
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Parts replaced; a written character stands for the whole part, or for its own one where lengths agree."""
         if not edits:
             return self
-        text, starts, ends, at = [], [], [], 0
+        text, at = [], 0
         for lo, hi, new in edits:
             text += [self.text[at:lo], new]
-            starts += self.starts[at:lo]
-            ends += self.ends[at:lo]
-            if len(new) == hi - lo:
-                starts += self.starts[lo:hi]
-                ends += self.ends[lo:hi]
-            else:
-                starts += [self.starts[lo]] * len(new)
-                ends += [self.ends[hi - 1]] * len(new)
             at = hi
-        return Tape("".join([*text, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:])
+        text.append(self.text[at:])
+        parts: list[tuple[int, int, int, bool]] = []
+        size = at = 0
+        for lo, hi, new in [*(e for e in edits if len(e[2]) != e[1] - e[0]), (len(self.text), len(self.text), "")]:
+            size = self._copy(parts, size, at, lo)
+            if new:
+                parts.append((size, *self.source(lo, hi), False))
+                size += len(new)
+            at = hi
+        return Tape("".join(text), parts or [(0, 0, 0, True)])
+
+    def _copy(self, parts: list, size: int, start: int, end: int) -> int:
+        """Append what stands for the text from start to end; gives the new size."""
+        i = bisect.bisect_right(self.places, start) - 1
+        while start < end:
+            at, low, high, plain = self.parts[i]
+            stop = min(end, self.places[i + 1] if i + 1 < len(self.places) else end)
+            parts.append((size, low + start - at, low + stop - at, True) if plain else (size, low, high, False))
+            size, start, i = size + stop - start, stop, i + 1
+        return size
 
 
 def _letters(tape: Tape) -> Tape:
@@ -215,6 +244,14 @@ def _digits(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
+def _between(tape: Tape) -> Tape:
+    """Digits in words that stand between plain ones become digits; the gaps stay."""
+    edits = []
+    for run in BETWEEN.finditer(tape.text):
+        edits += [(*m.span(), SPELLED[m.group().lower()]) for m in NUMBER.finditer(tape.text, run.start(), run.end())]
+    return tape.rewrite(edits)
+
+
 def _marks(pattern: re.Pattern, mark: str) -> Callable[[Tape], Tape]:
     return lambda tape: tape.rewrite([(m.start(), m.end(), mark) for m in pattern.finditer(tape.text)])
 
@@ -227,7 +264,7 @@ def _spoken(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-TRANSDUCERS = (_letters, _digits, _spoken, _marks(DOT, "."), _marks(AT, "@"), _marks(PLUS, "+"), _marks(FOURS, "-"))
+TRANSDUCERS = (_letters, _digits, _between, _spoken, _marks(DOT, "."), _marks(AT, "@"), _marks(PLUS, "+"), _marks(FOURS, "-"))
 
 
 def normalise(text: str) -> Tape:
@@ -244,9 +281,12 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         tape = normalise(text)
         if tape.text != text:
             for kind, spans in base_spans(tape.text).items():
-                for lo, hi in (tape.source(*s) for s in spans):
-                    if not any(a < hi and lo < b for a, b in base[kind] + added[kind]):
+                starts, end = [a for a, _ in base[kind]], -1
+                for lo, hi in (tape.source(*s) for s in spans):  # by ascending start, as those of base are, which do not overlap
+                    before = bisect.bisect_left(starts, hi) - 1  # the last one that begins before hi
+                    if lo >= end and (before < 0 or base[kind][before][1] <= lo):
                         added[kind].append((lo, hi))
+                        end = hi
     return base, added
 
 
