@@ -76,6 +76,12 @@ def q_jsonl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("r.doc_id", "r.source", F.length("r.text").alias("chars"), F.sha2("r.text", 256).alias("text_sha256"), "place")
 
 
+@query()
+def q_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes of the files of all given tables, streamed by tasks."""
+    return files.inventory(spark, sf_dir).where(F.endswith("path", F.lit(".parquet")))
+
+
 def _answers():  # noqa: ANN202
     def predict(row: dict) -> dict:
         if row["id"].endswith("-3"):

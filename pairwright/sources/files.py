@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 
 import pandas as pd
@@ -157,8 +159,10 @@ def user_text(messages: Column) -> Column:
     return F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: m["content"]), "\n")
 
 
-#: Files up to this size are a row each; larger ones are read as streams.
-WHOLE_BYTES = 1 << 30
+#: Where tasks cannot open a store themselves, files up to this size are a row each; larger ones are read as streams.
+WHOLE_BYTES = 1 << 28
+#: Bytes of a file that a task holds at once while it hashes it.
+CHUNK_BYTES = 1 << 20
 
 
 def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
@@ -180,13 +184,64 @@ def stream_sha256(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def _open(path: str):  # noqa: ANN202
+    """A file as a stream of bytes, in any store that pyarrow knows."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))  # the listing gives plain names
+    return system.open_input_stream(place)
+
+
+def _opens(path: str) -> bool:
+    try:
+        _open(path).close()
+    except (OSError, ValueError, NotImplementedError):  # a store that only Spark can read
+        return False
+    return True
+
+
+def dealt(files: list[tuple[str, int]], parts: int) -> list[tuple[int, str]]:
+    """(part, path): the largest files first, each to the part that has least so far."""
+    loads, out = [(0, part) for part in range(parts)], []
+    for path, length in sorted(files, key=lambda f: (-f[1], f[0])):
+        load, part = heapq.heappop(loads)
+        heapq.heappush(loads, (load + length + CHUNK_BYTES, part))  # opening a file is work, too
+        out.append((part, path))
+    return out
+
+
+def streamed_hashes(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """path, sha256 of files, which tasks read piece by piece; files are dealt over tasks by their size."""
+    parts = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, found = batch.column(1).to_pylist(), []
+            for path in paths:
+                digest = hashlib.sha256()
+                with _open(path) as stream:
+                    while piece := stream.read(CHUNK_BYTES):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())], names=["path", "sha256"])
+
+    rows = spark.createDataFrame(dealt(files, parts), "part int, path string")
+    return rows.repartitionByRange(parts, "part").mapInArrow(run, "path string, sha256 string")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of every file below a path, but for those in .cache folders.
 
-    Files are hashed by tasks, each as one row; empty ones and those over WHOLE_BYTES, which Spark's scan
-    does not give, are found by the listing, and the large ones read as streams, one after the other.
+    The driver only lists them.  Tasks stream them (see streamed_hashes); in a store that tasks cannot open themselves Spark's scan gives
+    the files as rows, but for empty ones and those over WHOLE_BYTES, which are read as streams one after the other.
     """
     listed = [f for f in listing(spark, path) if "/.cache/" not in f[0]]
+    if listed and _opens(listed[0][0]):
+        return streamed_hashes(spark, listed)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where((F.col("length") > 0) & (F.col("length") <= WHOLE_BYTES))
     small = files.where(~F.contains("path", F.lit("/.cache/"))).select("path", F.sha2("content", 256).alias("sha256"))
     apart = [(name, stream_sha256(spark, name)) for name, length in listed if not length or length > WHOLE_BYTES]

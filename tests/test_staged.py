@@ -70,15 +70,39 @@ def test_groups_list_copies_once(spark):
     assert {(r.left_id, r.right_id) for r in found if r.score < 1} == {(0, 40)}
 
 
-def test_large_files_are_read_as_streams(spark, tmp_path, monkeypatch):
+def test_files_are_hashed_by_tasks_and_else_as_rows_or_streams(spark, tmp_path, monkeypatch):
     import hashlib
 
-    for name, size in (("empty", 0), ("small", 10), ("large", 5000)):
+    for name, size in (("empty", 0), ("small", 10), ("large", 5000), ("größer", 3 << 20)):
         (tmp_path / name).write_bytes(b"x" * size)
-    want = {n: hashlib.sha256(b"x" * s).hexdigest() for n, s in (("empty", 0), ("small", 10), ("large", 5000))}
-    assert {r.path: r.sha256 for r in files.inventory(spark, str(tmp_path)).collect()} == want
+    want = {n: hashlib.sha256(b"x" * s).hexdigest() for n, s in (("empty", 0), ("small", 10), ("large", 5000), ("größer", 3 << 20))}
+    hashes = lambda: {r.path: r.sha256 for r in files.inventory(spark, str(tmp_path)).collect()}
+    assert hashes() == want
+    monkeypatch.setattr(files, "_opens", lambda path: False)
+    assert hashes() == want
     monkeypatch.setattr(files, "WHOLE_BYTES", 100)
-    assert {r.path: r.sha256 for r in files.inventory(spark, str(tmp_path)).collect()} == want
+    assert hashes() == want
+
+
+def test_files_are_dealt_by_size():
+    rng = random.Random(3)
+    listed = [(f"f{i}", rng.choice([10, 1000, 10**6, 10**8])) for i in range(200)]
+    sizes, loads = dict(listed), [0] * 8
+    found = files.dealt(listed, 8)
+    assert sorted(p for _, p in found) == sorted(sizes)
+    for part, path in found:
+        loads[part] += sizes[path] + files.CHUNK_BYTES
+    assert max(loads) - min(loads) <= 10**8 + files.CHUNK_BYTES
+
+
+def test_hashes_of_given_tables(spark):
+    import glob
+    import hashlib
+
+    from pairwright.plans import tables
+
+    found = {r.path: r.sha256 for r in tables.q_table_files(spark, "/root/testdata/sf0.001").collect()}
+    assert found == {p.rsplit("/", 1)[1]: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in glob.glob("/root/testdata/sf0.001/*.parquet")}
 
 
 def test_a_cluster_must_name_its_shared_folder(spark):
