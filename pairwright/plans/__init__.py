@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> tuple:
-    from pairwright.plans import scaled, tables
+    from pairwright.plans import scaled, tables, turns
 
-    return scaled, tables
+    return scaled, tables, turns
 
 
 def queries() -> dict:

@@ -265,6 +265,8 @@ def q_contract_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- evaluation
 
+#: Parameters of both tools: conversations of large numbers are not allowed.
+TURN_PARAMETERS = '{"additionalProperties":false,"properties":{"conv":{"maximum":60,"type":"integer"}},"required":["conv"],"type":"object"}'
 ABSTAINING = ("ANSWER", "CLARIFY", "REFUSE", "NOOP")
 
 
@@ -291,13 +293,23 @@ def turn_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     wanted = F.substring(F.when(F.col("conv_id") % 2 == 0, F.col("text")).otherwise(F.col("asked")), 1, 12)
     of = lambda name, value: F.when(F.col("label") == name, value)
     validator = F.to_json(F.struct(F.lit("normalized_text").alias("kind"), wanted.alias("value")))
+    conv = lambda *more: F.concat(F.lit('{"conv":'), F.col("conv_id").cast("string"), *map(F.lit, more), F.lit("}"))
     shape = F.struct(
-        F.col("label").alias("kind"), of("CALL", F.lit("look_up")).alias("tool_name"), of("CALL", F.concat(F.lit('{"conv": '), "conv_id", F.lit("}"))).alias("arguments"),
-        of("ANSWER", F.from_json(validator, generate.VALIDATOR)).alias("validator"), of("CLARIFY", F.array(F.lit("city"))).alias("missing_slots"), of("NOOP", F.array(F.lit("already done"))).alias("allowed_markers"),
+        F.col("label").alias("kind"), of("CALL", F.lit("look_up")).alias("tool_name"), of("CALL", F.concat(F.lit('{"conv": '), "conv_id", F.lit("}"))).alias("arguments"), of("CALL", F.lit('{"ok":true}')).alias("expected_result"),
+        of("ANSWER", F.from_json(validator, generate.VALIDATOR)).alias("validator"), of("CLARIFY", F.array(F.lit("city"))).alias("missing_slots"), of("REFUSE", F.lit("look_up")).alias("unavailable_capability"),
+        of("REFUSE", F.lit("missing_tool")).alias("reason"), of("NOOP", F.lit("It is done.")).alias("state_assertion"), of("NOOP", F.array(F.lit("already done"))).alias("allowed_markers"),
     )
     expected = F.from_json(F.to_json(shape), generate.EXPECTED)
+    # an abstaining task differs from its acting one in what its class says, but for every thirteenth conversation
+    changed = lambda *labels: F.col("label").isin(*labels) & (F.col("conv_id") % 13 != 0)
+    tool = lambda name: F.struct(F.lit(name).alias("name"), F.lit(f"Can {name.replace('_', ' ')}.").alias("description"), F.lit(TURN_PARAMETERS).alias("parameters"))
+    rows = rows.withColumns({
+        "domain": F.lit("turns"), "split": F.when(F.col("conv_id") % 5 == 0, "validation").otherwise("train"), "generator_version": F.lit("1.0.0"), "query": F.concat("asked", F.when(changed("ANSWER", "CLARIFY"), " (again)").otherwise("")),
+        "tools": F.when(changed("REFUSE"), F.array(tool("send"))).otherwise(F.array(tool("look_up"), tool("send"))), "environment": F.when(changed("NOOP"), conv(',"done":true')).otherwise(conv()),
+        "perturbation": F.when(F.col("label") != "CALL", F.element_at(F.create_map(*(F.lit(x) for pair in generate.PERTURBATIONS.items() for x in pair)), F.col("label"))),
+    })
     error = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "RuntimeError: x")
-    staged = Stage(rows.select("id", "pair_id", "variant", "label", expected.alias("expected"), raw.alias("raw_text"), error.alias("inference_error")), "turn-tasks").df
+    staged = Stage(rows.select("id", "pair_id", "domain", "split", "variant", "generator_version", "query", "tools", "environment", "label", "perturbation", expected.alias("expected"), raw.alias("raw_text"), error.alias("inference_error")), "turn-tasks").df
     blank = {c.split()[0]: c.split()[1] for c in ("latency_ms double", "input_tokens long", "output_tokens long", "peak_memory_gb double")}
     predictions = staged.select(F.col("id").alias("task_id"), "raw_text", F.lit(None).cast("struct<name:string,arguments:string>").alias("tool_call"), *(F.lit(0).cast(t).alias(c) for c, t in blank.items()), "inference_error")
     return staged.drop("raw_text", "inference_error"), predictions

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import canonical
 from pairwright.operators import declared, evaluation, overlap, sampling, segments, setjoin, statistics
-from pairwright.plans import tables
+from pairwright.plans import tables, turns
 from pairwright.sources import files
 from pairwright.streaming import resume
 from pairwright.streaming.journal import Journal
@@ -279,15 +279,18 @@ def rows_of(rows, columns):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(tables.ORACLE_SQL))
+ORACLE_SQL, QUERIES = tables.ORACLE_SQL | turns.ORACLE_SQL, tables.QUERIES | turns.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_sql(spark, name):
     with duckdb.connect() as sql:
-        for table in "customer documents conversations events labels lineitem nation orders part supplier".split():
+        for table in "customer documents conversations events labels lineitem nation orders pages part supplier".split():
             sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-        wanted = sql.execute(tables.ORACLE_SQL[name])
+        wanted = sql.execute(ORACLE_SQL[name])
         columns = [c[0] for c in wanted.description]
         wanted = rows_of(wanted.fetchall(), columns)
-    found = tables.QUERIES[name](spark, SF)
+    found = QUERIES[name](spark, SF)
     assert sorted(found.columns) == sorted(columns)
     assert rows_of([tuple(r) for r in found.collect()], found.columns) == wanted
 
