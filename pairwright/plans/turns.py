@@ -9,11 +9,11 @@ from pairwright.functions import schemas, text
 from pairwright.functions.calls import same_json
 from pairwright.functions.canonical import finite_error, tokenizer_identity
 from pairwright.functions.udf import vectorized
-from pairwright.operators import agreement, contracts, evaluation, guards, malformed, metrics, rewards, training
+from pairwright.operators import agreement, contracts, evaluation, guards, malformed, metrics, rewards, statistics, training
 from pairwright.plans.scaled import FOLDED, QUERY_SQL, table
 from pairwright.plans.tables import TURN_PARAMETERS, TURNS_SQL, norm_text_sql, turn_tasks
 from pairwright.sources import files
-from pairwright.staging import Stage, shared_dir
+from pairwright.staging import Stage, move_only_file, shared_dir
 from pairwright.streaming import resume
 
 QUERIES: dict = {}
@@ -237,6 +237,110 @@ def q_turn_malformed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("base_malformed_count", "candidate_malformed_count", "new_count", "resolved_count", "persistent_count", F.sha2(F.array_join("new_ids", ","), 256).alias("new_hash"))
 
 
+@query(TURNS_SQL + " SELECT e.task_id, CASE WHEN k.turn % 4 = 3 THEN 'correct' ELSE '' END AS broken FROM e JOIN k USING (task_id)")
+def q_turn_evaluation_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation against its contract, the outcome of every fourth turn's turned around."""
+    scored = Stage(evaluation.evaluate(*turn_tasks(spark, sf_dir)).drop("parsed_tool_call"), "scored").df
+    late = (F.split("task_id", "-")[1].cast("int") % 4) == 3
+    wrong = scored.withColumns({"correct": F.when(late, ~F.col("correct")).otherwise(F.col("correct")), "predicted_class": F.coalesce("predicted_class", F.lit("NOOP"))})
+    return contracts.evaluations(wrong).select("task_id", F.array_join("violations", ",").alias("broken"))
+
+
+@query(TURNS_SQL + ", o AS (SELECT correct::INT AS a, (correct AND length(task_id) % 2 = 0)::INT AS b FROM e) SELECT 'fewer' AS comparison, count(*) AS task_count, round(avg(b) - avg(a), 9) AS difference FROM o")
+def q_paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two evaluations of the same responses, read from their files by id and outcome alone, paired and bootstrapped."""
+    scored = Stage(evaluation.evaluate(*turn_tasks(spark, sf_dir)).drop("parsed_tool_call"), "scored").df
+    paths = [shared_dir(spark, name) for name in ("base-run", "other-run")]
+    for path, right in zip(paths, (F.col("correct"), F.col("correct") & (F.length("task_id") % 2 == 0)), strict=True):
+        scored.withColumn("correct", right).write.json(path)
+    rows = statistics.compared(files.read_correct(spark, paths[0]), files.read_correct(spark, paths[1]), "fewer", 3)
+    found = statistics.paired_bootstrap(rows, 200)
+    inside = (F.col("ci95_low") <= F.col("difference")) & (F.col("difference") <= F.col("ci95_high"))
+    return guards.require(found, inside, "the interval does not hold the difference").select("comparison", "task_count", F.round("difference", 9).alias("difference"))
+
+
+@query(TASKS_SQL + """, z AS (SELECT pair_id, max(label) FILTER (variant = 'abstain') AS label, max(query) FILTER (variant = 'act') AS act, max(query) FILTER (variant = 'abstain') AS abstain,
+  max(CASE WHEN NOT changed THEN '' WHEN label IN ('ANSWER', 'CLARIFY') THEN 'query' WHEN label = 'REFUSE' THEN 'tools' ELSE 'environment' END) FILTER (variant = 'abstain') AS changes FROM q GROUP BY 1)
+SELECT pair_id, sha256(pair_id || ' [' || label || '] changes=' || changes || chr(10) || '  act: ' || act || chr(10) || '  abstain: ' || abstain) AS lines_hash FROM z""")
+def q_turn_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit lines of every pair of tasks."""
+    from pairwright.operators import reports
+
+    return reports.pair_audit(turn_tasks(spark, sf_dir)[0]).select("pair_id", F.sha2("text", 256).alias("lines_hash"))
+
+
+@query(TURNS_SQL + " SELECT 'a-' || task_id AS audit_id, label AS predicted_behavior, CASE WHEN length(asked) % 2 = 0 THEN 'YES' ELSE 'UNCERTAIN' END AS semantic_correctness, 'NO' AS format_acceptable, CASE WHEN turn % 4 = 3 THEN 'say \"' || substr(asked, 1, 30) || '\", or' ELSE '' END AS notes FROM k")
+def q_turn_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotation of every task, with notes that hold quotes, commas and line ends, written as CSV and read strictly."""
+    path = shared_dir(spark, "turn-annotations")
+    tasks = turn_tasks(spark, sf_dir)[0]
+    asked = F.regexp_replace("query", r" \(again\)$", "")
+    late = (F.split("id", "-")[1].cast("int") % 4) == 3
+    notes = F.when(late, F.concat(F.lit('say "'), F.substring(asked, 1, 30), F.lit('", or'))).otherwise("")
+    rows = tasks.select(F.concat(F.lit("a-"), "id").alias("audit_id"), F.col("label").alias("predicted_behavior"), F.when(F.length(asked) % 2 == 0, "YES").otherwise("UNCERTAIN").alias("semantic_correctness"), F.lit("NO").alias("format_acceptable"), notes.alias("notes"))
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return files.read_annotations(spark, path)
+
+
+@query("""SELECT 'bfcl-turn-' || conv_id || '-' || turn AS id, 'irrelevance' AS category, 'ABSTAIN' AS expected_decision, text AS query, '{"properties":{"conv":{"type":"integer"}},"type":"object"}' AS parameters, 'Turn_' || conv_id || '.' || turn AS original FROM conversations WHERE role = 'user'""")
+def q_external_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as a file of external records, read by the adapter that tells category, decision, slugs and types."""
+    folder, turns = shared_dir(spark, "external-turns"), table(spark, sf_dir, "conversations").where("role = 'user'")
+    question = F.array(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
+    shape = F.from_json(F.lit('{"type":"dict","properties":{"conv":{"type":"int"}}}'), "type string, properties struct<conv:struct<type:string>>")
+    function = F.array(F.struct(F.lit("look").alias("name"), F.lit("Looks.").alias("description"), shape.alias("parameters")))
+    rows = turns.select(F.to_json(F.struct(F.concat(F.lit("Turn_"), "conv_id", F.lit("."), "turn").alias("id"), question.alias("question"), function.alias("function"))).alias("value"))
+    rows.coalesce(1).write.text(f"{folder}/parts")
+    path = f"{folder}/BFCL_v3_irrelevance.json"
+    move_only_file(spark, f"{folder}/parts", path)
+    found = files.read_external(spark, path, "a" * 40, "Apache-2.0")
+    return found.select("id", "category", "expected_decision", files.user_text(F.col("messages")).alias("query"), F.col("functions")[0]["parameters"].alias("parameters"), F.col("provenance.original_id").alias("original"))
+
+
+@query("""WITH v AS (SELECT doc_id, lang, n_chars FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN n_chars % 2 = 1 OR n_chars IS NULL THEN 'chars' END, CASE WHEN lang <> 'en' THEN 'lang' END, CASE WHEN doc_id % 10 = 0 THEN 'source' END) AS differs FROM v""")
+def q_row_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded versions of a run for every document, against those wanted: some differ, some are missing."""
+    given = F.map_filter(F.create_map(F.lit("lang"), F.col("lang"), F.lit("chars"), (F.col("n_chars") % 2).cast("string"), F.lit("source"), F.when(F.col("doc_id") % 10 != 0, "x")), lambda k, v: v.isNotNull())
+    docs = table(spark, sf_dir, "documents").select("doc_id", given.alias("versions"))
+    return docs.select("doc_id", F.array_join(guards.version_gaps(F.col("versions"), {"lang": "en", "chars": "0", "source": "x"}), ",").alias("differs"))
+
+
+@query("""WITH r AS (SELECT l_suppkey, min(l_discount) * 20 AS initial_margin, avg(l_discount) * 20 AS final_margin, avg((l_quantity > 20)::INT) AS reward_accuracy, max(l_partkey) AS a, min(l_partkey) AS b FROM lineitem GROUP BY 1)
+SELECT l_suppkey, final_margin > initial_margin AND final_margin > 0 AND reward_accuracy >= 0.6 AND a <> b AS promoted FROM r""")
+def q_supplier_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's lines as a trained run: whether it would be promoted."""
+    runs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        (F.min("l_discount") * 20).alias("initial_margin"), (F.avg("l_discount") * 20).alias("final_margin"), F.avg((F.col("l_quantity") > 20).cast("int")).alias("reward_accuracy"),
+        F.max("l_partkey").cast("string").alias("initial_hash"), F.min("l_partkey").cast("string").alias("final_hash"),
+    )
+    return rewards.promotion(runs).select("l_suppkey", "promoted")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN l_discount = 0 THEN 'logps' END, CASE WHEN l_linenumber - 1 <= 0 THEN 'tokens' END, CASE WHEN l_quantity > 25 THEN 'example_hash' END) AS broken FROM lineitem""")
+def q_line_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a cached pair of log-probabilities against their contract: infinite ones, none of tokens, bad hashes."""
+    lines = table(spark, sf_dir, "lineitem")
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    logp = F.when(F.col("l_discount") == 0, float("-inf")).otherwise(-F.col("l_discount"))
+    rows = lines.select(*keys, logp.alias("chosen_logp"), (-F.col("l_tax")).alias("rejected_logp"), (F.col("l_linenumber") - 1).alias("chosen_tokens"), F.lit(3).alias("rejected_tokens"), F.when(F.col("l_quantity") > 25, "short").otherwise(F.sha2(F.col("l_partkey").cast("string"), 256)).alias("example_hash"))
+    return contracts.reference_logps(rows).select(*keys, F.array_join("violations", ",").alias("broken"))
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN lang NOT IN ('en', 'de') THEN 'choice' END, CASE WHEN doc_id % 4 = 0 THEN 'source_uri' END, CASE WHEN doc_id % 3 = 0 THEN 'license' END, CASE WHEN coalesce(text, '') = '' THEN 'messages' END) AS broken FROM documents""")
+def q_external_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an external record against the contract of its provenance."""
+    docs = table(spark, sf_dir, "documents")
+    decision = F.when(F.col("lang") == "en", "CALL").when(F.col("lang") == "de", "ABSTAIN").otherwise("MAYBE")
+    provenance = F.struct(
+        F.when(F.col("doc_id") % 4 == 0, "ftp://x").otherwise("https://x").alias("source_uri"), F.lit("0" * 40).alias("revision"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"),
+        F.when(F.col("doc_id") % 3 == 0, "none").otherwise("MIT").alias("license"), F.lit("external_eval").alias("usage"),
+    )
+    said = F.when(F.coalesce("text", F.lit("")) != "", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
+    rows = docs.select("doc_id", F.concat(F.lit("d-"), "doc_id").alias("id"), decision.alias("expected_decision"), F.lit("simple").alias("category"), provenance.alias("provenance"), said.alias("messages"))
+    return contracts.external(rows).select("doc_id", F.array_join("violations", ",").alias("broken"))
+
+
 # --------------------------------------------------------------------------- functions over tables
 
 PROP_SCHEMA = '{"properties":{"k":{"maximum":50,"minimum":3,"type":"int"}},"required":["k"],"type":"dict"}'

@@ -71,6 +71,14 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(at)] if system.exists(at) else []
 
 
+def move_only_file(spark: SparkSession, folder: str, path: str) -> None:
+    """The one data file of a folder that Spark has written, under a name of its own."""
+    (name,) = (n for n in names_in(spark, folder) if n.startswith("part-"))
+    at, system = _file_system(spark, f"{folder}/{name}")
+    if not system.rename(at, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"{path} cannot be written")
+
+
 class Stage:
     """A DataFrame written to a shared folder and read again: its lineage ends at committed files."""
 
