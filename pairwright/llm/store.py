@@ -40,6 +40,8 @@ DIGEST = 16
 BLOCK_DOCS, BLOCK_TOKENS = 1_000, 1 << 20
 #: Chunks that a task remembers as already handed on; bytes of a bucket of chunks, about.
 REMEMBER, BUCKET_BYTES = 200_000, 64 << 20
+#: Chunks that are sent by broadcast at most, and requests that such a chunk has at least.
+HOT, HOT_REQUESTS = 1_000, 1_000
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -279,6 +281,22 @@ class TokenStore:
             raise ValueError(f"store {self.path} does not match its manifest")
         self._check_top()
 
+    def _sent(self, asked: DataFrame) -> DataFrame:
+        """block, digest, data of the chunks that blocks ask for.
+
+        A chunk with a HOT-th part of all requests or more goes to the requests by broadcast: there are at most HOT such chunks, of at most
+        MOST ids each.  The requests for the others meet them in the chunks' buckets.
+        """
+        edge = max(HOT_REQUESTS, -(-asked.count() // HOT))
+        hot = asked.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= edge).select("digest")
+        found = [(bytes(r.digest),) for r in hot.collect()]  # at most HOT digests
+        if not found:
+            return asked.join(self._chunks(), "digest").select("block", "digest", "data")
+        named = F.broadcast(self.spark.createDataFrame(found, "digest binary"))
+        chunks = self._chunks()
+        few = asked.join(F.broadcast(chunks.join(named, "digest", "left_semi")), "digest").select("block", "digest", "data")
+        return few.unionByName(asked.join(named, "digest", "left_anti").join(chunks, "digest").select("block", "digest", "data"))
+
     def read(self, what: str, per_document) -> DataFrame:  # noqa: ANN001
         """Rebuild every document from its recipe: doc_id, start, n_tokens, and per_document(ids) as `out what`.
 
@@ -293,8 +311,8 @@ class TokenStore:
                 pairs = {(b, r[i : i + DIGEST]) for b, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i in range(0, len(r), DIGEST)}
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], names=["block", "digest"])
 
-        asked = recipes.select("block", "recipe").mapInArrow(wanted, "block long, digest binary")
-        sent = asked.join(self._chunks(), "digest").select("block", "digest", "data")
+        asked = Stage(recipes.select("block", "recipe").mapInArrow(wanted, "block long, digest binary"), "asked", "none")
+        sent = self._sent(asked.df)
         # a block's root comes as a row before its documents
         roots = self._read("manifest").where("level = 0").select(F.col("number").alias("block"), F.lit(-1).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("start"), F.col("n_docs").alias("n_tokens"), F.col("root").alias("leaf"), F.lit(None).cast("binary").alias("recipe"))
         kind = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[what]
@@ -331,6 +349,8 @@ class TokenStore:
 
 def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = TokenStore.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    found = Stage(store.read("long", zlib.crc32), "token-digests").df
-    store.drop()
+    try:
+        found = Stage(store.read("long", zlib.crc32), "token-digests").df
+    finally:  # the catalog forgets the table of chunks, too
+        store.drop()
     return found.select("doc_id", "start", "n_tokens", F.col("out").alias("ids_crc32"))

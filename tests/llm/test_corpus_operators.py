@@ -188,6 +188,22 @@ def test_store_round_trip(spark):
     kept.drop()
 
 
+def test_chunks_that_many_blocks_ask_for_are_sent_by_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = " ".join(str(rng.random()) for _ in range(600))
+    rows = [(i, f"{shared} {' '.join(str(rng.random()) for _ in range(200))}") for i in range(40)]
+    kept = store.TokenStore.write(docs(spark, rows), tokenizer_path(BYTES))
+    whole = lambda: sorted((r.doc_id, r.start, r.n_tokens, r.out) for r in kept.read("long", zlib.crc32).collect())
+    plain = whole()
+    monkeypatch.setattr(store, "HOT_REQUESTS", 1)
+    seen = []
+    sent = store.TokenStore._sent
+    monkeypatch.setattr(store.TokenStore, "_sent", lambda self, asked: seen.append(sent(self, asked)) or seen[-1])
+    assert whole() == plain and len(plain) == 40
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    kept.drop()
+
+
 def test_store_of_nothing(spark):
     kept = store.TokenStore.write(empty(spark), tokenizer_path(BYTES))
     kept.verify()
