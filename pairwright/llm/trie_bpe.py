@@ -3,8 +3,9 @@
 In a BPE encoding every prefix of a word that ends with a token of it has exactly the tokens
 before as its own encoding.  So the last token of each prefix is all that must be kept: the
 last token of a longer prefix is the one suffix token t for which the last token before t and t
-stay apart when they are encoded together.  Words are put into a trie; a depth-first walk hands
-the last tokens down, and a prefix that many words share is encoded once.
+stay apart when they are encoded together.  Words are put into a trie, which a worker keeps from one slice of
+texts to the next; a depth-first walk over the new words hands the last tokens down, and a prefix that many words
+share, in whatever slices, is encoded once.
 
 Decoding goes from ids alone: each id is looked up in the vocabulary, ids that it does not have are
 passed over, and the tokens are joined as the file's decoder joins them.
@@ -34,8 +35,8 @@ NUMERIC = "0-9²³¹¼-¾"
 #: How the file's pre-tokenizer splits lower-cased texts of the characters that PLAIN admits.
 WORDS = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMERIC}]|[^\s{LETTERS}{NUMERIC}]+")
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ]")
-#: Words kept by a worker, and words put into one trie; speed and memory only.
-KEEP_WORDS, KEEP_PAIRS, TRIE_WORDS = 400_000, 500_000, 50_000
+#: What a worker keeps, for speed alone: bytes of words and their ids, pairs of tokens, nodes of the trie, down to which depth; and the longest word that is kept.
+KEEP_BYTES, KEEP_PAIRS, NODES, DEPTH, LONG_WORD = 96 << 20, 500_000, 400_000, 48, 1_000
 
 
 def byte_letters() -> list[str]:
@@ -55,6 +56,10 @@ class TrieEncoder:
         self.state: dict[str, dict[str, bool]] = {t: {} for t in vocab}
         self.kept = 0
         self.built: dict[str, tuple[bool, bool, list, list]] = {}
+        #: the trie: the node that a node and a letter lead to, and the last token of each node's prefix
+        self.children: dict[int, int] = {}
+        self.ends: list[str] = [""]
+        self.walked = 0  # prefixes that were encoded
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the pair of least rank is joined, the leftmost first, until none is left."""
@@ -119,13 +124,17 @@ class TrieEncoder:
     def encode(self, words: list[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word, each word not empty.
 
-        The trie is kept as its depth-first order: sorted words, each of which branches off the
-        word before it where their common prefix ends.  lasts holds, along the path from the
-        root, the last token of each prefix; a word goes on from its branch.
+        Words come sorted, so that they are inserted in the trie's depth-first order: a word goes on from where it branches off the one
+        before it.  lasts holds, along the path from the root, the last token of each prefix: it is the node's where there is one, and
+        else follows from those above it.  Below DEPTH there are no nodes.
         """
+        if len(self.ends) > NODES:
+            self.children.clear()
+            del self.ends[1:]
         found: dict[str, list[str]] = {}
         lasts = [""] * (1 + max(map(len, words), default=0))
-        state, longest, before = self.state, self.longest, ""
+        state, longest, before, path = self.state, self.longest, "", [0]
+        children, ends = self.children, self.ends
         for word in sorted(words):
             n, at = len(word), 0
             for a, b in zip(before, word[:-1], strict=False):
@@ -134,7 +143,16 @@ class TrieEncoder:
                 at += 1
             at = min(at, len(before) - 1) if before else 0  # a word's last letter is not a node of its prefix
             before = word
+            del path[at + 1 :]
+            node = path[at]
             for end in range(at + 1, n):
+                step = node << 21 | ord(word[end - 1])
+                known = children.get(step) if node >= 0 else None
+                if known is not None:
+                    node = known
+                    path.append(node)
+                    lasts[end] = ends[node]
+                    continue
                 for start in range(end - longest if end > longest else 0, end):
                     fits = state.get(word[start:end])
                     if fits is not None:
@@ -146,6 +164,13 @@ class TrieEncoder:
                             break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
+                self.walked += 1
+                if node >= 0 and end <= DEPTH:
+                    children[step] = node = len(ends)
+                    ends.append(lasts[end])
+                else:
+                    node = -1
+                path.append(node)
             ended = word + END
             for start in range(n - longest if n > longest else 0, n):
                 fits = state.get(ended[start:])
@@ -189,6 +214,7 @@ class TextEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.id_bytes = {t: i.to_bytes(4, "little") for t, i in model["vocab"].items()}
         self.ids: dict[str, bytes] = {}
+        self.held = 0  # bytes of ids, about
         every = {**{i: t for t, i in model["vocab"].items()}, **{i: t for t, i in self.special.items()}}
         #: token of each id, None where there is none
         self.tokens = np.array([every.get(i) for i in range(max(every) + 1)], dtype=object)
@@ -202,12 +228,11 @@ class TextEncoder:
         return WORDS.findall(text.lower())
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), TRIE_WORDS):
-            part = new[at : at + TRIE_WORDS]
-            spelled = [w[1:] if w[0] == "\0" else w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in part]
-            tokens = self.trie.encode(list(dict.fromkeys(spelled)))
-            for w, own in zip(part, map(tokens.__getitem__, spelled), strict=True):
-                self.ids[w] = b"".join(map(self.id_bytes.__getitem__, own))
+        spelled = [w[1:] if w[0] == "\0" else w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in new]
+        tokens = self.trie.encode(list(dict.fromkeys(spelled)))
+        for w, own in zip(new, map(tokens.__getitem__, spelled), strict=True):
+            self.ids[w] = ids = b"".join(map(self.id_bytes.__getitem__, own))
+            self.held += 2 * len(w) + len(ids) + 200  # about what Python holds for it
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each."""
@@ -215,9 +240,9 @@ class TextEncoder:
         parts = [[self.special[p] if p in self.special else self._words(p) for p in one if p] for one in cut]
         words = [w for one in parts for p in one if not isinstance(p, int) for w in p]
         fresh = set(words).difference(self.ids)
-        if len(self.ids) + len(fresh) > KEEP_WORDS:
+        if self.held > KEEP_BYTES:
             self.ids.clear()
-            fresh = set(words)
+            self.held, fresh = 0, set(words)
         self._learn(sorted(fresh))
         out = []
         for one in parts:
@@ -228,6 +253,8 @@ class TextEncoder:
                 else:
                     ids.extend(map(self.ids.__getitem__, p))
             out.append(b"".join(ids))
+        for w in [w for w in fresh if len(w) > LONG_WORD]:
+            self.held -= 2 * len(w) + len(self.ids.pop(w)) + 200
         return out
 
     def decode(self, ids: np.ndarray) -> str:

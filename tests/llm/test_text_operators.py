@@ -239,13 +239,25 @@ def test_ids_decode_as_in_the_library():
 
 
 def test_small_memories_change_nothing(monkeypatch):
-    monkeypatch.setattr(trie_bpe, "KEEP_WORDS", 3)
-    monkeypatch.setattr(trie_bpe, "KEEP_PAIRS", 2)
+    for name, value in (("KEEP_BYTES", 700), ("KEEP_PAIRS", 2), ("NODES", 9), ("DEPTH", 3), ("LONG_WORD", 4)):
+        monkeypatch.setattr(trie_bpe, name, value)
     encoder = trie_bpe.TextEncoder(tokenizer_path("word_bpe_49k.json"))
     for text in ("one two three four five six", "seven eight nine ten", "one two"):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_slices_share_one_trie():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    whole, sliced = trie_bpe.TextEncoder(tokenizer_path("word_bpe_49k.json")), trie_bpe.TextEncoder(tokenizer_path("word_bpe_49k.json"))
+    ids = whole.encode([" ".join(words)])
+    parts = [sliced.encode([" ".join(words[i : i + 100])])[0] for i in range(0, len(words), 100)]
+    assert b"".join(parts) == ids[0]
+    prefixes = {w[:n] for w in words for n in range(1, len(w))}
+    assert whole.trie.walked == sliced.trie.walked == len(prefixes)  # each prefix once, in however many slices
+    assert np.frombuffer(ids[0], "<u4").tolist() == whole.library.encode(" ".join(words), add_special_tokens=False).ids
+
+
 def test_op6_edges(spark):
     path = tokenizer_path("word_bpe_49k.json")
     rows = trie_bpe.digest_documents(docs(spark), path).collect()
