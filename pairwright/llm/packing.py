@@ -5,8 +5,10 @@ pieces of full length after a first piece that takes what is left over.  Lengths
 the capacity, so the packing problem of any corpus is a histogram of that many counts.  On
 it, bin completion fills a sequence around the largest piece left: fillings that are not
 dominated are enumerated from the largest pieces down, branches are cut by the waste bound,
-and the best-fit filling is the first incumbent.  The filling found is repeated as often as
-the counts allow.  The last few sequences are searched by branch and bound over fillings.
+and the best-fit filling is the first incumbent.  Of the fillings whose waste is within a slack the one of fewest
+pieces is made, so that small pieces are left for later sequences, as often as the counts allow; that is
+done for several slacks.  The last few sequences are searched by branch and bound over fillings.
+Best-fit decreasing's solution is the incumbent of the whole: it stands only if it needs fewer sequences.
 
 Pieces get their places by their rank within their length, which is counted per task first,
 so that no length's pieces meet in one task.
@@ -38,7 +40,9 @@ from pairwright.llm.tokens import tokenizer_path, word_encoder
 CAPACITY, END_ID = 1024, 2
 #: Fillings that are tried around one largest piece, nodes of a search over sequences, pieces left to
 #: it at the end, and rounds in which sequences are taken apart again.
-FILLINGS, NODES, TAIL, ROUNDS = 2_000, 400, 48, 40
+FILLINGS, NODES, TAIL, ROUNDS = 2_000, 400, 48, 15
+#: Waste that a sequence may have for the sake of few pieces, one value after the other, and fillings that are chosen from.
+SLACKS, CHOICES, CHOICE_FILLINGS = (8, 2, 24, 0), 24, 600
 
 Filling = tuple[int, ...]
 
@@ -139,8 +143,11 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _greedy(counts: dict[int, int], capacity: int, stop: int) -> list[tuple[Filling, int]]:
-    """Bins completed one filling at a time, each repeated; changes counts, leaves at most `stop` pieces."""
+def _greedy(counts: dict[int, int], capacity: int, stop: int, slack: int | None = None) -> list[tuple[Filling, int]]:
+    """Bins completed one filling at a time, each repeated; changes counts, leaves at most `stop` pieces.
+
+    Without a slack the filling of least waste is taken, with one the filling of fewest pieces among those within it.
+    """
     bins: list[tuple[Filling, int]] = []
     sizes = sorted((s for s in counts if counts[s]), reverse=True)
     left = sum(counts[s] for s in sizes)
@@ -149,7 +156,12 @@ def _greedy(counts: dict[int, int], capacity: int, stop: int) -> list[tuple[Fill
             sizes.pop(0)
         top = sizes[0]
         counts[top] -= 1
-        filling = completions(capacity - top, counts, [s for s in sizes if counts[s]])[0]
+        room, live = capacity - top, [s for s in sizes if counts[s]]
+        if slack is None:
+            filling = completions(room, counts, live)[0]
+        else:
+            found = completions(room, counts, live, CHOICES, CHOICE_FILLINGS)
+            filling = min(found, key=lambda f: (max(0, room - sum(f) - slack), len(f), [-s for s in f]))  # noqa: B023
         counts[top] += 1
         whole = (top, *filling)
         need = Counter(whole)
@@ -261,16 +273,31 @@ def _merged(solution: list[tuple[Filling, int]]) -> list[tuple[Filling, int]]:
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
     """Fillings and how often each is made; together they hold every piece counted.
 
-    The incumbent is best-fit decreasing's; bin completion stands if it needs fewer sequences.
+    Bin completion's solution, taken apart and completed anew in part; the same from the incumbent, best-fit decreasing's, stands
+    only if it needs fewer sequences.
     """
     counts = {s: n for s, n in counts.items() if n}
     floor, incumbent = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity)
-    if _bins(incumbent) > floor:
-        left = dict(counts)
-        bins = _greedy(left, capacity, TAIL)
+    best = completed(counts, capacity, floor)
+    for start in (incumbent, best):
+        if _bins(best) <= floor:
+            break
+        best = min(best, improved(_merged(start), floor, capacity), key=_bins)
+    return _merged(best)
+
+
+def completed(counts: dict[int, int], capacity: int, floor: int = 0) -> list[tuple[Filling, int]]:
+    """Bin completion alone, slack after slack until the bound is met; the best of its solutions."""
+    best: list[tuple[Filling, int]] | None = None
+    for slack in SLACKS:
+        left = {s: n for s, n in counts.items() if n}
+        bins = _greedy(left, capacity, TAIL, slack)
         bins += _branch({s: n for s, n in left.items() if n}, capacity)
-        incumbent = min(incumbent, bins, key=_bins)
-    return improved(_merged(incumbent), floor, capacity)
+        if best is None or _bins(bins) < _bins(best):
+            best = bins
+        if _bins(best) <= floor:
+            break
+    return best
 
 
 # ------------------------------------------------------------------------------- placement

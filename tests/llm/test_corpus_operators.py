@@ -254,6 +254,45 @@ def test_bin_completion_beats_best_fit():
     assert packing.completions(6, {4: 1, 3: 2}, [4, 3])[0] == (3, 3)
 
 
+def fewest(pieces, capacity):
+    """Sequences of an optimal packing, by trying every place for each piece in turn."""
+    best = len(pieces)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(pieces):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= pieces[at]}.values():
+            place(at + 1, [*rooms[:i], rooms[i] - pieces[at], *rooms[i + 1 :]])
+        place(at + 1, [*rooms, capacity - pieces[at]])
+
+    place(0, [])
+    return best
+
+
+def test_small_packings_are_optimal():
+    rng = random.Random(11)
+    for _ in range(120):
+        capacity = rng.choice([12, 30, 100])
+        pieces = sorted((rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(1, max(2, capacity // 2)) for _ in range(rng.randint(1, 11))), reverse=True)
+        counts = dict(Counter(pieces))
+        for bins in (packing.pack_histogram(counts, capacity), packing.completed(counts, capacity)):
+            assert packing._histogram(bins) == Counter(pieces) and all(sum(f) <= capacity for f, _ in bins)
+            assert packing._bins(bins) == fewest(pieces, capacity), (pieces, capacity)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bin_completion_alone_is_at_most_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    counts = dict(Counter(min(1024, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(1500)))
+    alone = packing.completed(counts, 1024, packing.lower_bound(counts, 1024))
+    assert packing._bins(alone) <= packing._bins(packing.best_fit_decreasing(counts, 1024))
+    assert packing._histogram(alone) == Counter(counts)
+
+
 def test_packing_places_every_piece(spark):
     rows = [(i, "word " * (i * 37 % 2600)) for i in range(150)] + [(500, None), (501, ""), (7, "again"), (None, "no id"), (8, "again"), (9, "again")]
     got = packing.pack(docs(spark, rows), tokenizer_path(BYTES)).collect()
