@@ -42,7 +42,7 @@ CAPACITY, END_ID = 1024, 2
 #: it at the end, and rounds in which sequences are taken apart again.
 FILLINGS, NODES, TAIL, ROUNDS = 2_000, 400, 48, 15
 #: Waste that a sequence may have for the sake of few pieces, one value after the other, and fillings that are chosen from.
-SLACKS, CHOICES, CHOICE_FILLINGS = (8, 2, 24, 0), 24, 600
+SLACKS, CHOICES, CHOICE_FILLINGS = (8, 24), 24, 600
 
 Filling = tuple[int, ...]
 
