@@ -28,11 +28,20 @@ def normalise(value: str) -> str:
 
 
 @vectorized("string")
-def normalize_text(text: pd.Series) -> pd.Series:
+def _normalised(text: pd.Series) -> pd.Series:
     """normalise() over a column: Spark has neither NFKC nor case folding."""
     return text.map(lambda t: None if t is None else normalise(t))
 
 
+def normalize_text(text: Column) -> Column:
+    """normalise() of a column.  Of texts of ASCII alone the JVM makes the same; only the others are handed to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = ~F.regexp_like(text, F.lit(r"[^\x00-\x7f]"))
+    edge = "[ .,!?;:'\"]+"  # other white space has become blanks
+    joined = F.regexp_replace(F.lower(text), r"[\x09-\x0d\x1c-\x1f ]+", " ")
+    return F.when(plain, F.regexp_replace(joined, rf"\A{edge}|{edge}\z", "")).otherwise(_normalised(F.when(~plain, text)))
+
+
 @functools.lru_cache(1)
 def foldings() -> tuple[dict[str, str], dict[str, str]]:
     """What case folding does to letters that lower() leaves as they are: single letters, and those that become several."""

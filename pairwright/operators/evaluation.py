@@ -78,7 +78,7 @@ def evaluate(tasks: DataFrame, predictions: DataFrame) -> DataFrame:
     v = F.col("e.validator")
     rows = rows.withColumns(
         {
-            "call": F.coalesce("tool_call", F.when(F.col("inference_error").isNull(), parsed_call(F.col("raw_text")))),
+            "call": F.coalesce("tool_call", F.when(F.col("inference_error").isNull(), parsed_call(F.when(F.contains("raw_text", F.lit("{")), F.col("raw_text"))))),  # a call has a brace
             "norm": normalize_text(F.col("raw_text")),
             "n_value": normalize_text(v["value"]),
             "n_unit": normalize_text(v["unit"]),

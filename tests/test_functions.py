@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,13 @@ def test_families_and_strata(spark):
 def test_json_equality(spark):
     df = spark.createDataFrame([('{"a":1,"b":[1,2]}', '{"b":[1,2],"a":1.0}'), ('{"a":[1,2]}', '{"a":[2,1]}'), (json.dumps({}), None)], "a string, b string")
     assert [r.x for r in df.select(calls.same_json("a", "b").alias("x")).collect()] == [True, False, False]
+
+
+def test_normal_forms_by_the_jvm_are_those_of_python(spark):
+    rng = random.Random(21)
+    letters = "aAzZ09 .,!?;:'\"\t\n\r\x0b\x0c\x1c\x1f\x00\x7f-_"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    texts += ["".join(rng.choice(letters + "ßéÉİſﬁ\u2003\x85") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    found = {r.i: r.n for r in rows.select("i", text.normalize_text(F.col("t")).alias("n")).collect()}
+    assert [t for i, t in enumerate(texts) if found[i] != text.normalise(t)] == [] and found[len(texts)] is None
