@@ -3,10 +3,11 @@
 A document is its set of word shingles.  If two sets' Jaccard similarity is at least t, then
 under any order of all shingles they share one among the first n - ceil(t * n) + 1 of each.
 Three orders are used.  All put shingles that many documents hold last (by counts of a sketch over
-all documents, in powers of two), and differ in how they order the rest.  Sets that share a prefix
-token of the first order are candidates; of these only the ones stay that also share prefix
-tokens under the second and third order, and whose parity bitmaps differ in no more bits than
-the sets may; the rest are verified on whole sets.  Every filter is exact: no link is lost.
+all documents, in powers of two), and differ in how they order the rest.  The first one puts shingles of
+rare words first (by counts of a sketch of words), as the sketch of shingles tells little of rare ones once it
+is full.  Sets that share a prefix token of the first order are candidates; of these only the ones stay whose
+parity bitmaps differ in no more bits than the sets may, and then, as whole sets, those that also share prefix
+tokens under the second and third order; the rest are verified.  Every filter is exact: no link is lost.
 
 Equal sets are one class before candidates are sought.  A prefix token of more than POSTING
 classes makes no pairs.  Classes that have such tokens are dealt into tiles (by a token that most
@@ -24,6 +25,7 @@ empty one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,8 @@ from pairwright.llm.graph import connected_components
 
 #: The sketch has 16 counters a row of the table, between these powers of two (one byte each is broadcast).
 LEAST_BITS, MOST_BITS = 16, 24
+#: Counters of the sketch of words, as a power of two, and steps of a word's count for each doubling of it.
+WORD_BITS, WORD_STEPS = 22, 2
 #: Counters of one row of the sketch; classes of a token that is joined by pairs; classes and hashes of a tile, about.
 SEGMENT, POSTING, TILE, TILE_HASHES = 1 << 16, 64, 256, 1 << 20
 #: Classes whose documents are found again by a table of flags; more are found by a join.
@@ -103,27 +107,43 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Distinct shingle hashes (uint64, ascending) of each text."""
+    return [s for s, _ in _shingles(*word_hashes(texts), len(texts), k)]
+
+
+def rated_sets(texts: list[str], k: int, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same, each with how frequent its shingles' words are together; words: steps of each counter of words."""
     h, owner = word_hashes(texts)
-    counts = np.bincount(owner, minlength=len(texts)) if len(h) else np.zeros(len(texts), int)
+    steps = np.concatenate((np.zeros(1, np.uint64), np.cumsum(level_of(h, words))))
+    rates = steps[k:] - steps[:-k] if len(h) >= k else steps[:0]
+    out = []
+    for s, at in _shingles(h, owner, len(texts), k, places=True):
+        out.append((s, np.zeros(len(s), np.uint64) if at is None else rates[at]))
+    return out
+
+
+def _shingles(h: np.ndarray, owner: np.ndarray, n_texts: int, k: int, places: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Distinct shingle hashes of each text, and, if asked for, the number of the word at which each begins (none for texts of fewer words)."""
+    counts = np.bincount(owner, minlength=n_texts) if len(h) else np.zeros(n_texts, int)
     first = np.concatenate(([0], np.cumsum(counts)))
     m = max(0, len(h) - k + 1)
     gram = np.zeros(m, np.uint64)
     for i in range(k):
         gram = _mix(gram, _M[1]) + h[i : i + m] * _M[i % 4]
     gram = _mix(gram, _M[3])
-    out = []
     for i, n in enumerate(counts):
         lo = first[i]
-        if n >= k:
-            out.append(np.unique(gram[lo : lo + n - k + 1]))
+        if n >= k and places:
+            found, at = np.unique(gram[lo : lo + n - k + 1], return_index=True)
+            yield found, at + lo
+        elif n >= k:
+            yield np.unique(gram[lo : lo + n - k + 1]), None
         elif n:
             whole = np.full(1, n, np.uint64)
             for x in h[lo : lo + n].reshape(-1, 1) * _M[2]:
                 whole = _mix(whole, _M[1]) + x
-            out.append(_mix(whole, _M[0]))
+            yield _mix(whole, _M[0]), None
         else:
-            out.append(gram[:0])
-    return out
+            yield gram[:0], None
 
 
 # --------------------------------------------------------------------------------- sketch
@@ -136,8 +156,8 @@ def sketch_bits(rows: int) -> int:
 _COUNTERS = "segment int, salt int, counts binary"
 
 
-def merged_counters(rows: DataFrame, bits: int) -> np.ndarray:
-    """Sum of counter arrays given as rows (segment int, salt int, counts binary).
+def merged_counters(rows: DataFrame, bits: int, more: int = 0) -> np.ndarray:
+    """Sum of counter arrays given as rows (segment int, salt int, counts binary); more: counters beside the 2 ** bits.
 
     Its size is the sketch's, whatever the input; a task sums 32 rows a segment, then 32 of these.
     """
@@ -151,14 +171,17 @@ def merged_counters(rows: DataFrame, bits: int) -> np.ndarray:
 
     some = rows.withColumn("salt", F.expr("salt div 32").cast("int")).groupBy("segment", "salt").applyInArrow(add, _COUNTERS)
     some = some.withColumn("salt", F.expr("salt div 32").cast("int")).groupBy("segment", "salt").applyInArrow(add, _COUNTERS)
-    full = np.zeros(1 << bits, np.uint32)
+    full = np.zeros((1 << bits) + more, np.uint32)
     for r in some.groupBy("segment").applyInArrow(add, _COUNTERS).toLocalIterator():
         full[r.segment * sizes : (r.segment + 1) * sizes] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
     return full
 
 
-def _counter_rows(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """A task's counters by segment; segments without a count are left out, and salt is the task's number."""
+def _counter_rows(hashes: Iterator[np.ndarray], bits: int, beside: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A task's counters by segment; segments without a count are left out, and salt is the task's number.
+
+    beside: further counters, which are filled while the hashes are read.
+    """
     from pyspark import TaskContext
 
     counts, waiting, size = np.zeros(1 << bits, np.uint32), [], 0
@@ -176,22 +199,35 @@ def _counter_rows(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.Record
             size = 0
     if waiting:
         settle()
-    number = TaskContext.get().partitionId()
-    for i, part in enumerate(counts.reshape(-1, min(SEGMENT, 1 << bits))):
+    number, each = TaskContext.get().partitionId(), min(SEGMENT, 1 << bits)
+    parts = counts.reshape(-1, each)
+    for i, part in enumerate(parts if beside is None else itertools.chain(parts, beside.reshape(-1, each))):
         if part.any():
             columns = [pa.array([i], pa.int32()), pa.array([number], pa.int32()), pa.array([zlib.compress(part, 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["segment", "salt", "counts"])
 
 
-def levels(docs: DataFrame, k: int) -> np.ndarray:
-    """For each counter how far above the mean it is, in powers of two: 0 for all but frequent shingles."""
+def levels(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter of shingles how far above the mean it is, in powers of two: 0 for all but frequent shingles;
+    for each counter of words the logarithm of its count."""
     bits = sketch_bits(docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counter_rows((s for part in slices(batches, keep="ngrams") for s in shingle_sets(part.column(1).to_pylist(), k)), bits)
+        words = np.zeros(1 << WORD_BITS, np.uint32)
 
-    counts = merged_counters(doc_texts(docs).mapInArrow(run, _COUNTERS), bits)
-    return np.maximum(0, np.floor(np.log2((counts + 1.0) / (2 * counts.mean() + 8))) + 1).astype(np.uint8)
+        def sets() -> Iterator[np.ndarray]:
+            for part in slices(batches, keep="ngrams"):
+                h, owner = word_hashes(part.column(1).to_pylist())
+                places, n = np.unique((h >> np.uint64(64 - WORD_BITS)).astype(np.uint32), return_counts=True)
+                words[places] += n.astype(np.uint32)
+                yield from (s for s, _ in _shingles(h, owner, part.num_rows, k))
+
+        yield from _counter_rows(sets(), bits, words)
+
+    found = merged_counters(doc_texts(docs).mapInArrow(run, _COUNTERS), bits, 1 << WORD_BITS)
+    counts, words = found[: 1 << bits], found[1 << bits :]
+    level = np.maximum(0, np.floor(np.log2((counts + 1.0) / (2 * counts.mean() + 8))) + 1)
+    return level.astype(np.uint8), (WORD_STEPS * np.log2(words + 1.0)).astype(np.uint8)
 
 
 def level_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -201,13 +237,15 @@ def level_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------------- filters
 
 
-def prefix(hashes: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first n - ceil(t * n) + 1 shingles under an order."""
+def prefix(hashes: np.ndarray, level: np.ndarray, order: int, percent: int, rates: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(t * n) + 1 shingles under an order: by level, by rate where rates are given, then by a hash."""
     n = len(hashes)
     size = n + 1 + (-percent * n // 100)
     if size >= n:
         return hashes
     key = (level << np.uint64(56)) | (_mix(hashes, _M[order]) >> np.uint64(8))
+    if rates is not None:
+        key = (level << np.uint64(56)) | (rates << np.uint64(40)) | (key & np.uint64((1 << 56) - 1)) >> np.uint64(16)
     return hashes[np.argpartition(key, size - 1)[:size]]
 
 
@@ -241,7 +279,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # -------------------------------------------------------------------------------- the join
 
-_DOCS = "doc_id long, tag long, n int, digest binary, prefix array<long>, o2 binary, o3 binary, bits binary"
+_DOCS = "doc_id long, tag long, n int, digest binary, prefix array<long>, bits binary"
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -249,34 +287,28 @@ def tagged(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).withColumn("tag", F.xxhash64("text"))
 
 
-def described(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
-    """Every document's set size, digest, prefixes under the three orders, and parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)  # at most 2 ** MOST_BITS bytes
+def described(docs: DataFrame, k: int, percent: int, level: np.ndarray, words: np.ndarray) -> DataFrame:
+    """Every document's set size, digest, prefix under the first order, and parity map."""
+    shared = docs.sparkSession.sparkContext.broadcast((level, words))  # at most 2 ** MOST_BITS + 2 ** WORD_BITS bytes
     names = [x.split()[0] for x in _DOCS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 3]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, steps = shared.value
         for part in slices(batches, keep="ngrams"):
             rows: list[tuple] = []
-            for doc_id, tag, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), k), strict=True):
+            for doc_id, tag, (s, rates) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), rated_sets(part.column(1).to_pylist(), k, steps), strict=True):
                 if not len(s):
-                    rows.append((doc_id, tag, 0, None, None, None, None, None))
+                    rows.append((doc_id, tag, 0, None, None, None))
                     continue
-                own = level_of(s, table)
-                o1, o2, o3 = (prefix(s, own, j, percent) for j in range(3))
-                short = [np.unique(o.astype(np.uint32)).tobytes() for o in (o2, o3)]
-                rows.append((doc_id, tag, len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), o1.view(np.int64), *short, parity(s)))
+                first = prefix(s, level_of(s, table), 0, percent, rates)
+                rows.append((doc_id, tag, len(s), hashlib.md5(s.tobytes(), usedforsecurity=False).digest(), first.view(np.int64), parity(s)))
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return tagged(docs).mapInArrow(run, _DOCS)
 
 
-def _shares(a: bytes, b: bytes) -> bool:
-    return len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True)) > 0
-
-
 def _joined_sides(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
     """Pairs (a, b) with the columns of both classes as x_ and y_ ones."""
     out = pairs
@@ -287,9 +319,8 @@ def _joined_sides(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFr
 
 
 def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the parity maps and the second and third order let through.
+    """Pairs (a, b) that the parity maps let through.
 
-    The maps are short, so they go first; the other orders' prefixes travel for the pairs left.
     Pairs that share a token of many classes are left to the tiles.
     """
 
@@ -298,15 +329,9 @@ def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
             yield _pairs([(a, b) for a, b, na, p, nb, q in rows if may_link(na, nb, bits_apart(p, q), percent)])
 
-    def by_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4096):
-            rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
-            yield _pairs([(a, b) for a, b, p2, p3, q2, q3 in rows if _shares(p2, q2) and _shares(p3, q3)])
-
     near = _joined_sides(pairs, classes, "n", "bits").mapInArrow(by_bits, "a long, b long")
-    sides = _joined_sides(near, classes, "o2", "o3", "hot")
-    left = sides.where(~F.coalesce(F.arrays_overlap("x_hot", "y_hot"), F.lit(False))).select("a", "b", "x_o2", "x_o3", "y_o2", "y_o3")
-    return left.mapInArrow(by_orders, "a long, b long")
+    sides = _joined_sides(near, classes, "hot")
+    return sides.where(~F.coalesce(F.arrays_overlap("x_hot", "y_hot"), F.lit(False))).select("a", "b")
 
 
 def _pairs(kept: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -347,14 +372,22 @@ def whole_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -
     return found.join(ids.select("class", "digest"), "digest").groupBy("class").agg(F.first("hashes").alias("hashes"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def share_prefixes(a: np.ndarray, b: np.ndarray, level: np.ndarray, percent: int) -> bool:
+    """Whether two sets share prefix tokens under the second and third order."""
+    of_a, of_b = level_of(a, level), level_of(b, level)
+    return all(len(np.intersect1d(prefix(a, of_a, j, percent), prefix(b, of_b, j, percent), assume_unique=True)) > 0 for j in (1, 2))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
     """a, b, and the documents that each of them is linked with by this pair."""
+    shared = pairs.sparkSession.sparkContext.broadcast(level)
     x, y = (sets.select(F.col("class").alias(c), F.col("hashes").alias(h), F.col("weight").alias(f"w{h}")) for c, h in (("a", "x"), ("b", "y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sides = zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)
-            yield part.select(["a", "b", "wx", "wy"]).filter(pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in sides], pa.bool_()))
+            sides = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+            keep = [share_prefixes(p, q, shared.value, percent) and linked(p, q, percent) for p, q in sides]
+            yield part.select(["a", "b", "wx", "wy"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "wx", "wy", "x", "y").mapInArrow(run, "a long, b long, wx long, wy long")
 
@@ -465,9 +498,9 @@ def components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    level = levels(docs, k)
-    wide = Stage(described(docs, k, percent, level), "ngram-docs")
-    parts = ["n", "prefix", "o2", "o3", "bits"]
+    level, words = levels(docs, k)
+    wide = Stage(described(docs, k, percent, level, words), "ngram-docs")
+    parts = ["n", "prefix", "bits"]
     grouped = wide.df.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.first(F.struct(*parts)).alias("s"))
     classes = Stage(grouped.select(F.monotonically_increasing_id().alias("class"), "digest", "least_id", "weight", "s.*"), "ngram-classes")
     every = Stage(wide.df.select("doc_id", "tag", "n", "digest"), "ngram-ids").df
@@ -492,7 +525,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     needed = Stage(needed, "ngram-needed")
     whole = Stage(whole_sets(docs, classes.df, needed.df, k).join(classes.df.select("class", "weight"), "class"), "ngram-sets")
     free_shuffles(spark)
-    met = Stage(verified(kept.df, whole.df, percent), "ngram-links")
+    met = Stage(verified(kept.df, whole.df, level, percent), "ngram-links")
     dealt = Stage(tile_links(sent.df, whole.df.join(of_class, "class"), level, percent), "ngram-tile-links")
     for stage in (kept, sent, needed, whole):
         stage.drop()

@@ -150,6 +150,24 @@ def test_shingles_are_told_apart():
     assert ngramjoin.shingle_sets(["a b c"], 3)[0].tolist() == ngramjoin.shingle_sets(["zz", "A  b\nC"], 3)[1].tolist()
 
 
+def test_prefixes_meet_in_rare_words_only(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        words = [f"often{rng.randrange(9)}" for _ in range(60)]
+        for place in range(5, 60, 9):
+            words[place] = f"once{i}x{place}"
+        rows.append((i, " ".join(words)))
+    rows.append((300, rows[0][1] + " end"))
+    made = docs(spark, rows)
+    level, words = ngramjoin.levels(made, 3)
+    tokens = ngramjoin.described(made, 3, 90, level, words).select("doc_id", F.explode("prefix").alias("token"))
+    met = tokens.groupBy("token").agg(F.collect_set("doc_id").alias("ids")).where("size(ids) > 1")
+    assert {tuple(sorted(r.ids)) for r in met.collect()} == {(0, 300)}
+    rated = ngramjoin.rated_sets(["a b", "", rows[0][1]], 3, words)
+    assert [s.tolist() for s, _ in rated] == [s.tolist() for s in ngramjoin.shingle_sets(["a b", "", rows[0][1]], 3)]
+
+
 # --------------------------------------------------------------------------------- op5
 
 
