@@ -314,3 +314,19 @@ def test_sequences_of_tables_by_all_pairs(spark):
             if 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) and (score := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.9:
                 want[i, j] = round(score, 9)
     assert {(r.left_id, r.right_id): r.score for r in tables.q_turn_sequences(spark, SF).collect()} == want and len(want) > 10
+
+
+def test_sets_that_share_most_hashes_by_chance_send_no_row_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "LEAST_SETS", 7)
+    monkeypatch.setattr(setjoin, "ROWS", 3)
+    monkeypatch.setattr(setjoin, "COLUMNS", 5)
+    rng = np.random.default_rng(8)
+    every = rng.integers(-(2**62), 2**62, 500)
+    sets = [np.sort(rng.choice(every, n, replace=False)) for n in rng.integers(100, 500, 90)]
+    sets += [np.sort(rng.permutation(s)[: len(s) * 19 // 20]) for s in sets[::4]]
+    rows = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)] + [(900, []), (901, None)], "id long, grams array<long>")
+    maps = setjoin.wide_maps(rows.where("size(grams) > 0"))
+    near = [(r.left_id, r.right_id) for r in setjoin.candidates(maps, None, 0.8).collect()]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) for c in [len(np.intersect1d(sets[i], sets[j]))] if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c)}
+    assert len(near) == len(set(near)) and {(j, i) for i, j in near} >= want
+    assert {(r.right_id, r.left_id) for r in setjoin.similar(rows, rows, 0.8, self_join=True).collect()} == want
