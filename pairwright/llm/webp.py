@@ -556,6 +556,8 @@ def decode(data: bytes) -> Picture:
 LENGTH_LENGTHS = np.array([4, 7, 6, 6, 3, 3, 3, 3, 3, 4, 5, 6, 6, 7, 7, 7, 5, 5, 4])
 #: A back-reference is at least so many pixels long.
 LEAST_MATCH, MOST_MATCH = 8, 4096
+#: Tiles of predictors and of groups of codes, as a power of two; a page is tried with these if they leave this part of its bits at most.
+TILE, GAIN = 5, 0.9
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -847,13 +849,52 @@ def padded(text: str) -> bytes:
     return body + bytes([PAD]) * (-len(body) % UNIT or (0 if body else UNIT))
 
 
+def _entropy(samples: np.ndarray) -> float:
+    """Bits that a prefix code takes for samples, about."""
+    counts = np.bincount(samples)
+    return float(samples.size * np.log2(max(1, samples.size)) - counts @ np.log2(np.maximum(counts, 1)))
+
+
+def _predictor(grey: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """Modes by tile, from the left or from above, whichever leaves less, if what is left may be coded in fewer bits."""
+    flat = grey.ravel()
+    steps = (1, WIDTH) if len(grey) > 1 else (1,)
+    if min(_entropy(flat[step:] - flat[:-step]) / (len(flat) - step) for step in steps) > GAIN * _entropy(flat) / len(flat):
+        return None
+    left, top = np.diff(grey, axis=1, prepend=grey[:, :1]), np.diff(grey, axis=0, prepend=grey[:1])
+    size = [np.abs(d.view(np.int8).astype(np.int32)) for d in (left, top)]
+    for axis in (0, 1):
+        size = [np.add.reduceat(d, np.arange(0, grey.shape[axis], 1 << TILE), axis) for d in size]
+    return np.uint32(BLACK) | np.where(size[0] <= size[1], np.uint32(1), np.uint32(2)) << np.uint32(8), TILE
+
+
+def _groups(grey: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """Prefix codes of their own for the upper and the lower half, if that may take fewer bits."""
+    rows = _tiles(grey.shape[0], TILE)
+    middle = rows // 2 << TILE
+    if not middle or _entropy(grey[:middle].ravel()) + _entropy(grey[middle:].ravel()) > GAIN * _entropy(grey.ravel()):
+        return None
+    return np.repeat((np.arange(rows) >= rows // 2).astype(np.int64)[:, None], _tiles(grey.shape[1], TILE), 1), TILE
+
+
 def pages_of(payload: bytes) -> list[bytes]:
-    """A payload of whole rows as grey pictures; those of few different bytes have a palette."""
+    """A payload of whole rows as grey pictures; those of few different bytes have a palette.
+
+    Of the others each is written once more with a predictor or two groups of prefix codes where the entropy of its samples
+    speaks for these, and the shortest file stays.  A grey pixel less its green is its green: colours have nothing to
+    cross with, and a cached colour is a symbol beside the green one that means the same.
+    """
     pages = []
     for at in range(0, len(payload), WIDTH * ROWS):
-        grey = np.frombuffer(payload[at : at + WIDTH * ROWS], np.uint8)
-        argb = np.uint32(BLACK) | grey.astype(np.uint32).reshape(-1, WIDTH) * np.uint32(0x010101)
-        pages.append(encode(argb, green=True, palette=np.count_nonzero(np.bincount(grey)) <= 16))
+        grey = np.frombuffer(payload[at : at + WIDTH * ROWS], np.uint8).reshape(-1, WIDTH)
+        argb = np.uint32(BLACK) | grey.astype(np.uint32) * np.uint32(0x010101)
+        few = np.count_nonzero(np.bincount(grey.ravel())) <= 16
+        ways: list[dict] = [{"palette": few}]
+        if not few and (modes := _predictor(grey)) is not None:
+            ways.append({"predictor": modes})
+        if not few and (groups := _groups(grey)) is not None:
+            ways.append({"groups": groups})
+        pages.append(min((encode(argb, green=True, **way) for way in ways), key=len))
     return pages
 
 

@@ -268,3 +268,17 @@ def test_pixel_arrays_of_a_column_of_files(spark):
     assert np.array(found["a"].pixels, np.int32).view(np.uint32).tolist() == argb.ravel().tolist()
     assert found["b"].pixels is None and found["c"].pixels == [0]
     assert webp.decoded(files.where(F.lit(False))).collect() == []
+
+
+def test_pages_use_a_predictor_or_groups_where_these_help():
+    rng = np.random.default_rng(3)
+    slow = np.cumsum(rng.integers(-1, 2, webp.WIDTH * 60)).astype(np.uint8)
+    halves = np.concatenate((rng.integers(40, 70, webp.WIDTH * 64), rng.integers(80, 120, webp.WIDTH * 64))).astype(np.uint8)
+    text = " ".join(f"word{rng.integers(3000)}" for _ in range(3000)).encode()
+    for payload, predicted, grouped in ((slow.tobytes(), True, False), (halves.tobytes(), False, True), (text + b"." * (-len(text) % webp.WIDTH), False, False)):
+        pages = webp.pages_of(payload)
+        assert b"".join(part.tobytes() for part in webp.samples(pages)) == payload
+        grey = np.frombuffer(payload, np.uint8).reshape(-1, webp.WIDTH)
+        plain = webp.encode(np.uint32(webp.BLACK) | grey.astype(np.uint32) * np.uint32(0x010101), green=True)
+        assert ("predictor" in webp.decode(pages[0]).transforms) == predicted
+        assert (len(pages[0]) < len(plain)) == (predicted or grouped)
