@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -604,6 +604,9 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+_FIRST = np.zeros(1, np.int64)
+
+
 class Writer:
     def __init__(self) -> None:
         self.value, self.size = 0, 0
@@ -620,13 +623,14 @@ class Writer:
         out[: len(head) >> 3] = np.frombuffer(head, "<u8")
         if len(values):
             word, shift = starts >> 6, (starts & 63).astype(np.uint64)
-            firsts = np.flatnonzero(np.append(True, np.diff(word) != 0))
+            firsts = np.concatenate((_FIRST, np.flatnonzero(word[1:] != word[:-1]) + 1))
             out[word[firsts]] |= np.add.reduceat(values << shift, firsts)  # bits of a word do not meet: their sum is their union
             spill = np.flatnonzero((starts & 63) + sizes > 64)
             out[word[spill] + 1] |= values[spill] >> (np.uint64(64) - shift[spill])
         return out.tobytes()[: -(-(self.size + int(sizes.sum())) >> 3)]
 
 
+_LENGTHS_STORED = sum(int(LENGTH_LENGTHS[place]) << 3 * i for i, place in enumerate(LENGTH_ORDER))
 _LENGTH_CODES = list(zip(_codes(LENGTH_LENGTHS).tolist(), LENGTH_LENGTHS.tolist(), strict=True))
 
 
@@ -643,25 +647,27 @@ def _put_code(out: Writer, lengths: np.ndarray) -> None:
         _put_few(out, used)
         return
     out.put(len(LENGTH_ORDER) - 4 << 1, 5)
-    out.put(sum(int(LENGTH_LENGTHS[place]) << 3 * i for i, place in enumerate(LENGTH_ORDER)), 3 * len(LENGTH_ORDER))
+    out.put(_LENGTHS_STORED, 3 * len(LENGTH_ORDER))
     out.put(0, 1)
     value, size = 0, 0
-    for length, run in itertools.groupby(lengths.tolist()):
-        n = len(list(run))
-        turns = []
+    lasts, known, first = np.flatnonzero(lengths[1:] != lengths[:-1]).tolist(), lengths.tolist(), 0  # of runs of one length
+    for last in [*lasts, len(known) - 1]:
+        length, n, first = known[last], last + 1 - first, last + 1
+        code, width = _LENGTH_CODES[length]
         if length:
-            turns.append((length, 0, 0))
+            value |= code << size
+            size += width
             n -= 1
         while n >= 3:  # runs of zeros, or of what was last
             which, extra, least = (16, 2, 3) if length else (18, 7, 11) if n >= 11 else (17, 3, 3)
             took = min(n, least + (1 << extra) - 1)
-            turns.append((which, took - least, extra))
+            of_run, wide = _LENGTH_CODES[which]
+            value |= (of_run | took - least << wide) << size
+            size += wide + extra
             n -= took
-        turns += [(length, 0, 0)] * n
-        for symbol, more, extra in turns:
-            code, width = _LENGTH_CODES[symbol]
-            value |= (code | more << width) << size
-            size += width + extra
+        for _ in range(n):
+            value |= code << size
+            size += width
     out.put(value, size)
 
 
@@ -680,23 +686,34 @@ def _matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(pixels) - LEAST_MATCH + 1
     if n < 2:
         return []
-    with np.errstate(over="ignore"):
+    one_channel = not int(np.bitwise_or.reduce(pixels ^ pixels[0])) & ~0xFF00
+    if one_channel:  # the samples of LEAST_MATCH pixels are the bytes of one number
+        held = (pixels >> np.uint32(8)).astype(np.uint8)
+        window = np.ndarray(n, np.uint64, held, strides=(1,)).copy()
+        mixed = window * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    else:
         mixed = pixels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        window, size = mixed ^ (mixed >> np.uint64(31)), 1
+        mixed, size = mixed ^ (mixed >> np.uint64(31)), 1
         while size < LEAST_MATCH:
-            window = (window[:-size] * np.uint64(0xD6E8FEB86659FD93)) ^ (window[size:] + (window[size:] >> np.uint64(29)))
+            mixed = (mixed[:-size] * np.uint64(0xD6E8FEB86659FD93)) ^ (mixed[size:] + (mixed[size:] >> np.uint64(29)))
             size *= 2
-        keys = np.sort((window << np.uint64(24)) | np.arange(n, dtype=np.uint64))  # pictures have fewer than 2 ** 24 pixels here
-    same = np.flatnonzero(keys[1:] >> np.uint64(24) == keys[:-1] >> np.uint64(24)) + 1
+    keys = mixed << np.uint64(24)
+    keys |= np.arange(n, dtype=np.uint64)  # pictures have fewer than 2 ** 24 pixels here
+    keys.sort()
     low = np.uint64((1 << 24) - 1)
+    same = np.flatnonzero((keys[1:] ^ keys[:-1]) <= low) + 1
     at, before = (keys[same] & low).astype(np.int64), (keys[same - 1] & low).astype(np.int64)
-    window_of = np.arange(LEAST_MATCH)
-    real = (pixels[at[:, None] + window_of] == pixels[before[:, None] + window_of]).all(1)
+    if one_channel:
+        real = window[at] == window[before]
+    else:
+        window_of = np.arange(LEAST_MATCH)
+        real = (pixels[at[:, None] + window_of] == pixels[before[:, None] + window_of]).all(1)
     distance = np.zeros(n + 1, np.int64)
     distance[at[real]] = (at - before)[real]
     # a match goes on as long as the next places have matches at the same distance
     turns = np.flatnonzero(distance[1:] != distance[:-1]) + 1
-    firsts = np.append(0, turns)  # runs of places with one distance, or none
+    firsts = np.concatenate((_FIRST, turns))  # runs of places with one distance, or none
     steps = distance[firsts]
     runs = np.flatnonzero(steps)
     found, cursor = [], 0
@@ -849,17 +866,19 @@ def padded(text: str) -> bytes:
     return body + bytes([PAD]) * (-len(body) % UNIT or (0 if body else UNIT))
 
 
-def _entropy(samples: np.ndarray) -> float:
-    """Bits that a prefix code takes for samples, about."""
-    counts = np.bincount(samples)
-    return float(samples.size * np.log2(max(1, samples.size)) - counts @ np.log2(np.maximum(counts, 1)))
+def _bits(samples: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Bits that a prefix code takes for samples (which stand so often), about."""
+    counts = np.bincount(samples) if counts is None else counts
+    counts = counts[counts > 1].astype(np.float64)
+    return samples.size * math.log2(max(1, samples.size)) - float(counts @ np.log2(counts))
 
 
-def _predictor(grey: np.ndarray) -> tuple[np.ndarray, int] | None:
+def _predictor(grey: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int] | None:
     """Modes by tile, from the left or from above, whichever leaves less, if what is left may be coded in fewer bits."""
     flat = grey.ravel()
     steps = (1, WIDTH) if len(grey) > 1 else (1,)
-    if min(_entropy(flat[step:] - flat[:-step]) / (len(flat) - step) for step in steps) > GAIN * _entropy(flat) / len(flat):
+    most = GAIN * _bits(flat, counts) / len(flat)
+    if all(_bits(flat[step:] - flat[:-step]) / (len(flat) - step) > most for step in steps):
         return None
     left, top = np.diff(grey, axis=1, prepend=grey[:, :1]), np.diff(grey, axis=0, prepend=grey[:1])
     size = [np.abs(d.view(np.int8).astype(np.int32)) for d in (left, top)]
@@ -872,7 +891,7 @@ def _groups(grey: np.ndarray) -> tuple[np.ndarray, int] | None:
     """Prefix codes of their own for the upper and the lower half, if that may take fewer bits."""
     rows = _tiles(grey.shape[0], TILE)
     middle = rows // 2 << TILE
-    if not middle or _entropy(grey[:middle].ravel()) + _entropy(grey[middle:].ravel()) > GAIN * _entropy(grey.ravel()):
+    if not middle or _bits(grey[:middle].ravel()) + _bits(grey[middle:].ravel()) > GAIN * _bits(grey.ravel()):
         return None
     return np.repeat((np.arange(rows) >= rows // 2).astype(np.int64)[:, None], _tiles(grey.shape[1], TILE), 1), TILE
 
@@ -888,9 +907,10 @@ def pages_of(payload: bytes) -> list[bytes]:
     for at in range(0, len(payload), WIDTH * ROWS):
         grey = np.frombuffer(payload[at : at + WIDTH * ROWS], np.uint8).reshape(-1, WIDTH)
         argb = np.uint32(BLACK) | grey.astype(np.uint32) * np.uint32(0x010101)
-        few = np.count_nonzero(np.bincount(grey.ravel())) <= 16
+        counts = np.bincount(grey.ravel())
+        few = np.count_nonzero(counts) <= 16
         ways: list[dict] = [{"palette": few}]
-        if not few and (modes := _predictor(grey)) is not None:
+        if not few and (modes := _predictor(grey, counts)) is not None:
             ways.append({"predictor": modes})
         if not few and (groups := _groups(grey)) is not None:
             ways.append({"groups": groups})

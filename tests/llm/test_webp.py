@@ -282,3 +282,12 @@ def test_pages_use_a_predictor_or_groups_where_these_help():
         plain = webp.encode(np.uint32(webp.BLACK) | grey.astype(np.uint32) * np.uint32(0x010101), green=True)
         assert ("predictor" in webp.decode(pages[0]).transforms) == predicted
         assert (len(pages[0]) < len(plain)) == (predicted or grouped)
+
+
+def test_samples_of_a_page_are_counted_once(monkeypatch):
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(webp.np, "bincount", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    page = webp.padded("".join(chr(97 + (i * i + i // 7) % 23) for i in range(5000)) + "some words that come again, " * 9)
+    pages = webp.pages_of(page)
+    assert len(calls) == 5  # of samples, of two kinds of differences, of the codes of green and distance
+    assert b"".join(s.tobytes() for s in webp.samples(pages)) == page
