@@ -76,6 +76,42 @@ def test_many_texts_of_common_pieces_leave_no_candidates_by_chance(monkeypatch):
         assert len(asked) <= 2 * len(want)  # the texts themselves are looked at for few others
 
 
+def test_long_texts_meet_by_windows_and_not_by_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkqjxz", k=rng.randint(1, 8))) for _ in range(60)]
+    base = [" ".join(rng.choices(words, k=n))[: 5 * n] for n in (40, 41, 45, 60, 90, 200, 300) for _ in range(4)]
+    base += ["".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=400)), "ab" * 150, "a" * 200, "a" * 199, "".join(map(chr, range(0x4E00, 0x4F00))), "the the the " * 30]
+    left = [edited(rng, t, rng.randint(0, len(t) // 12)) for t in base for _ in range(2)] + [t[rng.randint(1, 40) :] for t in base] + [t[:90] + t[120:] for t in base]
+    want = {}
+    for i, a in enumerate(left):
+        for j, b in enumerate(base):
+            score = difflib.SequenceMatcher(None, a, b).ratio() if 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) else 0
+            if score >= 0.9:
+                want[i, j] = score
+    compared = []
+    plain = segments.by_blocks
+    monkeypatch.setattr(segments, "by_blocks", lambda a, b, *rest: compared.extend(r.n for r in b.select("n").collect()) or plain(a, b, *rest))
+    monkeypatch.setattr(segments, "CHARS", 700)
+    shaped = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id long, q string")
+    found = {(r.left_id, r.right_id): r.score for r in segments.matching(shaped(left), shaped(base), 0.9).collect()}
+    assert found == want and sum(len(base[j]) >= 200 for _, j in want) > 40
+    assert sorted(compared) == [199, 256]  # a short one, and one of which every character is looked for
+
+
+def test_windows_of_a_pair_are_as_many_as_its_blocks_need():
+    rng = random.Random(12)
+    for _ in range(300):
+        places, length = sorted(rng.sample(range(12), rng.randint(1, 5))), 12
+        for longest in (1, 2, 3, 5):
+            best = {0: 0}  # by last end, what blocks cover
+            for at in places:
+                for end, found in sorted(best.items()):
+                    for start in range(max(end, at - longest + 1), at + 1):
+                        for stop in range(at + 1, min(length, start + longest) + 1):
+                            best[stop] = max(best.get(stop, 0), found + stop - start)
+            assert segments.covered(places, longest, length) == max(best.values())
+
+
 def test_copies_are_not_paired_with_copies(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     left = spark.createDataFrame([(i, long) for i in range(40)] + [(40, "else"), (41, None), (42, "")], "id long, q string")
